@@ -7,8 +7,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, records
+from . import bpe, langid, packing, pii, quality, records, secrets, simhash, toxicity
 from .common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,5 +39,33 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), _word_model(WORD_MODEL), end_id=2)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_token_records": op2_token_records, "op4_packing": op4_packing}
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_documents(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", F.round("host_rate", 9).alias("host_rate"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_records, op3_secret_ownership, op4_packing, op5_toxicity, op6_language_id, op7_personal_data, op8_simhash, op10_host_quality)}
 ORACLE_SQL: dict[str, str] = {}
