@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, pii, quality, records, secrets, simhash, toxicity
+from . import bpe, embeddings, langid, packing, pii, quality, records, secrets, simhash, toxicity
 from .common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,26 +17,26 @@ WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
 @cache
-def _byte_model(path: str) -> bytes:
+def byte_model(path: str) -> bytes:
     return bpe.serialize_model(bpe.load_ranks(path))
 
 
 @cache
-def _word_model(path: str) -> str:
+def word_model(path: str) -> str:
     return Path(path).read_text()
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), _byte_model(RANKS), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), byte_model(RANKS), public_tokenizers.PATTERN)
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = records.record_files(read_table(spark, sf_dir, "documents"), _word_model(WORD_MODEL), end_id=1)
+    manifest = records.record_files(read_table(spark, sf_dir, "documents"), word_model(WORD_MODEL), end_id=1)
     return records.record_digests(records.read_records(manifest))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), _word_model(WORD_MODEL), end_id=2)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_model(WORD_MODEL), end_id=2)
 
 
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +62,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", F.round("host_rate", 9).alias("host_rate"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_records, op3_secret_ownership, op4_packing, op5_toxicity, op6_language_id, op7_personal_data, op8_simhash, op10_host_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_records, op3_secret_ownership, op4_packing, op5_toxicity, op6_language_id, op7_personal_data, op8_simhash, op9_embedding_neighbours, op10_host_quality)}
 ORACLE_SQL: dict[str, str] = {}

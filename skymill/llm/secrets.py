@@ -150,8 +150,8 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{owner_col}`").cast("string"))
     found = candidates(docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{owner_col}`").alias("owner")), owner_col="owner")
     live = judged_spans(stage_table(found, "candidates"), example_owners).select(F.col("doc_id").alias("__key"), F.filter("spans", lambda s: s["verdict"] == "live").alias("__spans"))
-    live = live.filter(F.size("__spans") > 0).groupBy("__key").agg(F.first("__spans").alias("__spans"))
-    joined = docs.withColumn("__key", key).join(live, "__key", "left")
+    live = live.filter(F.size("__spans") > 0).groupBy("__key").agg(F.first("__spans").alias("__spans"), F.count(F.lit(1)).alias("__n"))
+    joined = join_by_key(docs.withColumn("__key", key), stage_table(live, "live"), "__key", "__n")
     text = F.col(f"`{text_col}`")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_key, map_rows, stage_table, text_list
+from .common import join_by_key, map_rows, shuffle_partitions, stage_table, text_list
+from .graph import component_ids, connected, spanning
 
 WORDS = 4
 SEED = 42
@@ -183,21 +184,6 @@ def links_of(key: np.ndarray, home: np.ndarray, fps: np.ndarray, max_bits: int)
         at = to
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A subset of the links that joins what all of them join."""
-    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root, kept = list(range(len(names))), []
-    for k, (i, j) in enumerate(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True)):
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        if i != j:
-            root[j] = i
-            kept.append(k)
-    return a[kept], b[kept]
-
-
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links between distinct fingerprints that span all pairs within max_bits. distinct: a staged (fp, ...)."""
     plan = coverings(3 if distinct.count() < WIDE_FROM else 2, max_bits)
@@ -225,8 +211,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         spread = spread.select("anchor", "chunk", (F.col("home") & (F.col("own") == F.col("chunk"))).alias("home"), "fp")
     else:
         spread = spread.select("anchor", F.lit(0).alias("chunk"), "home", "fp")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.repartition(n, "anchor", "chunk").sortWithinPartitions("anchor", "chunk", F.col("home").desc())
+    dealt = spread.repartition(shuffle_partitions(distinct.sparkSession), "anchor", "chunk").sortWithinPartitions("anchor", "chunk", F.col("home").desc())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -246,42 +231,11 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): every node of the links with the least node reachable.
-
-    Alternating large-star and small-star steps over the links; each round is written to the shared folder, and the
-    number of rounds grows with the logarithm of the longest path. A hub's links are pre-aggregated by minimum.
-    """
-    edges = stage_table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
-    mark = None
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: each node's larger neighbours point to the least of it and its neighbours.
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        least = stage_table(least.select("u", F.least("u", "m").alias("m"), "n"), "least")
-        larger = join_by_key(both.filter("v > u"), least, "u", "n", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage_table(larger.filter("u <> v").distinct(), "large")
-        # Small star: each node and its smaller neighbours point to the least of those.
-        least = stage_table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        moved = join_by_key(large, least, "u", "n", "inner")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = stage_table(small.filter("u <> v").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable by links, the document's own included."""
     prints = stage_table(fingerprints(docs, id_col, text_col), "prints")
     distinct = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = stage_table(connected(near_links(distinct, max_bits)), "roots")
-    of_class = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
-    of_class = stage_table(of_class, "classes")
-    leader = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    named = join_by_key(of_class, stage_table(leader, "leaders"), "root", "members", "inner").select("fp", "component_id", "n")
+    named = component_ids(distinct, near_links(distinct, max_bits), "fp")
     return join_by_key(prints, stage_table(named, "named"), "fp", "n", "inner").select("doc_id", "fp", "component_id")
 
 
