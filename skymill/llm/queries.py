@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, embeddings, langid, packing, pii, quality, records, secrets, simhash, toxicity
 from .common import read_table
+from .oracles import ORACLE_SQL
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -68,8 +69,8 @@ def op9_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(read_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", F.round("host_rate", 9).alias("host_rate"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", F.round("host_rate", 6).alias("host_rate"))
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_records, op3_secret_ownership, op4_packing, op5_toxicity, op6_language_id, op7_personal_data, op8_simhash, op9_embedding_neighbours, op10_host_quality)}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
