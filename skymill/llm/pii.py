@@ -88,9 +88,20 @@ _SPELLED_PART = re.compile(rf"plus|\+|double|triple|{_DIGIT}|[0-9]+|.", re.IGNOR
 _DIGIT_HINT = re.compile(rf"(?<![A-Za-z]){_DIGIT}(?![A-Za-z])", re.IGNORECASE)
 _BRACKETED = re.compile(r"[ \t]{0,4}[(\[{<][ \t]{0,4}(?:(at|@)|(dot|punto|punkt|point|\.))[ \t]{0,4}[)\]}>][ \t]{0,4}", re.IGNORECASE)
 _HOST = r"[A-Za-z0-9-]{1,63}"
-_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}[ \t]+dot[ \t]+|[A-Za-z0-9_%+-]{{1,64}}\.){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?:[ \t]+at[ \t]+|@){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST}){{0,4}}[ \t]+dot[ \t]+{_HOST}", re.IGNORECASE)
+#: Last parts of host names that make three written-out words an address; bracketed marks need none of them.
+TOP_LEVELS = "com org net edu gov mil info biz io ai app dev co uk de fr es eu ch nl jp cn ru br au ca example test invalid local online site xyz"
+_TOP = "(?:" + "|".join(TOP_LEVELS.split()) + ")(?![A-Za-z0-9])"
+_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}[ \t]+dot[ \t]+|[A-Za-z0-9_%+-]{{1,64}}\.){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?:[ \t]+at[ \t]+|@){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST}){{0,4}}[ \t]+dot[ \t]+{_TOP}", re.IGNORECASE)
 _WRITTEN_PART = re.compile(r"[ \t]+(?:(at)|dot)[ \t]+", re.IGNORECASE)
 _DOT_HINT = re.compile(r"[ \t]dot[ \t]", re.IGNORECASE)
+#: A name with a digit or an inner mark before a lone "at", or an "@" between spaces, and a host with a lettered end.
+_MAILBOX_AT = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]{0,64}[0-9._+-][A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,64}(?<![._%+-])(?P<at>[ \t]+(?:at|arroba)[ \t]+|[ \t]+@[ \t]*|@[ \t]+)(?:[A-Za-z0-9-]{1,63}\.){1,5}[A-Za-z]{2,24}(?![A-Za-z0-9])", re.IGNORECASE)
+_AT_HINT = re.compile(r"[ \t](?:at|arroba)[ \t]|[ \t]@|@[ \t]", re.IGNORECASE)
+#: Character references for the two marks of an address.
+_REFERENCES = re.compile(r"&#0*64;|&#x0*40;|&commat;|%40|(&#0*46;|&#x0*2e;|&period;)", re.IGNORECASE)
+#: Letters that stand for digits, in words made of digits and such letters alone.
+_DIGIT_LETTER = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
+_DIGIT_WORD = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl]*[0-9])[0-9OoIl]+(?![A-Za-z0-9])")
 _DOTTED_DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,3}(?:[ \t]+dot[ \t]+[0-9]{1,3}){3}(?![A-Za-z0-9])", re.IGNORECASE)
 
 
@@ -162,7 +173,8 @@ def deobfuscate(text: str) -> Tape | None:
     tape = Tape(text) if _ODD.search(text) else None
     if tape:
         tape.rewrite([(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m[0])) != m[0]])
-    for step, hint in ((_bracket_edits, _BRACKETED), (_written_edits, _DOT_HINT), (_spelled_edits, _DIGIT_HINT)):
+    steps = ((_reference_edits, _REFERENCES), (_bracket_edits, _BRACKETED), (_written_edits, _DOT_HINT), (_mailbox_edits, _AT_HINT), (_letter_edits, _DIGIT_LETTER), (_spelled_edits, _DIGIT_HINT))
+    for step, hint in steps:
         now = tape.text if tape else text
         if hint.search(now) and (edits := step(now)):
             tape = tape or Tape(text)
@@ -170,6 +182,18 @@ def deobfuscate(text: str) -> Tape | None:
     return tape if tape and tape.text != text else None
 
 
+def _reference_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "." if m[1] else "@") for m in _REFERENCES.finditer(text)]
+
+
+def _mailbox_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span("at"), "@") for m in _MAILBOX_AT.finditer(text)]
+
+
+def _letter_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start() + i, m.start() + i + 1, "0" if c in "Oo" else "1") for m in _DIGIT_WORD.finditer(text) for i, c in enumerate(m[0]) if c in "OoIl"]
+
+
 def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
 

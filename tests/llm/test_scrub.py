@@ -112,7 +112,12 @@ def test_base_personal_data(text):
         ("call plus one three zero one five five five zero one nine nine now", "phone", "plus one three zero one five five five zero one nine nine"),
         ("host １９２.１６８.０.１ is up", "ip", "１９２.１６８.０.１"),
         ("card ４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
-        ("bob​@example.com", "email", None),
+        ("bob\u200b@example.com", "email", None),
+        ("ask be.06 at mail7.example.com soon", "email", "be.06 at mail7.example.com"),
+        ("ask jane.doe @ example.com soon", "email", "jane.doe @ example.com"),
+        ("jane&#64;example&#46;com", "email", "jane&#64;example&#46;com"),
+        ("call +1 (3O1) 555-O1l9 now", "phone", "+1 (3O1) 555-O1l9"),
+        ("be.06 at mail7 dot example dot com", "email", "be.06 at mail7 dot example dot com"),
     ],
 )
 def test_disguises(text, kind, found):
@@ -125,7 +130,7 @@ def test_disguises(text, kind, found):
         assert spans
 
 
-@pytest.mark.parametrize("text", ["look at the dot on the map", "one two three go", "nothing here (at all)", "é ü ñ – dash"])
+@pytest.mark.parametrize("text", ["look at the dot on the map", "one two three go", "nothing here (at all)", "é ü ñ – dash", "meet me at example.com", "version 2.0 at home", "10 O clock", "I am 1 of 3", "see you @ home. Then"])
 def test_clean_texts_stay_clean(text):
     base, added = pii.find_spans(text)
     assert not any(base.values()) and not any(added.values())
