@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RenderConfig
+from ..config import RenderConfig, types_of
 from ..functions.colour import byte, colour_pixels
 from ..operators import deposit, frames, interpolate, levels, select, smoothing
 from ..sinks.images import name_frames, render_images
-from ..sources.snapshots import box_size, read_header, read_particles
+from ..sources.snapshots import box_size, header_counts, read_header, read_particles
 
 
 def load(spark: SparkSession, cfg: RenderConfig, read=read_particles) -> tuple[DataFrame, RenderConfig, float]:
@@ -21,7 +22,14 @@ def load(spark: SparkSession, cfg: RenderConfig, read=read_particles) -> tuple[D
     box is then selected in each frame.
     """
     root = cfg.snap_a if cfg.mode != "single" else cfg.input
-    box = box_size(read_header(spark, root, cfg.isHDF5)) if not root.endswith(".parquet") else float(cfg.extra.get("box_size", 1.0))
+    if root.endswith(".parquet"):
+        box = float(cfg.extra.get("box_size", 1.0))
+    else:
+        headers = read_header(spark, root, cfg.isHDF5)
+        box = box_size(headers)
+        present = {r["ptype"] for r in header_counts(headers).filter("n > 0").collect()}  # a row for each type
+        if absent := [t for t in types_of(cfg.mask) or [] if t not in present]:
+            warnings.warn(f"the snapshot has no particles of type {absent}", stacklevel=2)
     cfg = cfg.in_box_units(box).validated()
     return particles_in_frames(spark, cfg, box, lambda name: read(spark, getattr(cfg, name), cfg.isHDF5)), cfg, box
 
