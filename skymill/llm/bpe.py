@@ -18,7 +18,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import CACHE_CHARS, CACHE_WORDS, map_rows, text_list
+from .common import CACHE_CHARS, CACHE_WORDS, map_rows, text_list, worker_state
 
 
 def byte_alphabet() -> list[str]:
@@ -125,15 +125,9 @@ class ByteBPE:
         return b"".join([tokens[i] for i in ids])
 
 
-_ENCODERS: dict[tuple[int, str], ByteBPE] = {}
-
-
 def _encoder(model: bytes, pattern: str) -> ByteBPE:
-    """The worker's own encoder, built once and kept between tasks."""
-    key = (hash(model), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ByteBPE(model, pattern)
-    return _ENCODERS[key]
+    """The worker's own encoder."""
+    return worker_state(("bpe", hash(model), pattern), lambda: ByteBPE(model, pattern))
 
 
 def encode_documents(docs: DataFrame, model: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

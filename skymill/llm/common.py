@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 300_000
 #: Words longer than this are never cached.
 CACHE_CHARS = 48
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2000
 #: Arrow batches are cut into slices of at most so many rows, so that Python lists stay small.
 SLICE_ROWS = 512
 #: And of at most about so many bytes, but for a single longer text.
@@ -55,6 +58,26 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STATE: list = []
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks, built when first asked for. Only the last key's is held, so that
+    the caches of a pipeline's earlier operators do not add up."""
+    if not _STATE or _STATE[0] != key:
+        _STATE.clear()
+        gc.collect()
+        _STATE[:] = [key, make()]
+    return _STATE[1]
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the rows that Arrow hands to Python at once, where the session has more: whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,9 +104,22 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], p
         for part in slices(batches):
             yield fn(part)
 
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows, with all columns, whose text passes; no shuffle."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.filter(pa.array(keep(text_list(part.column(at))), pa.bool_()))
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 def text_list(column: pa.Array) -> list[str]:
     """Python strings of a text column; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]

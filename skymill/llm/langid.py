@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, map_rows, slices, text_list
+from .common import CACHE_WORDS, filter_rows, map_rows, text_list, worker_state
 
 UND = "und"
 #: Training documents for each language, the longest text among them, and the most languages.
@@ -234,16 +234,9 @@ class Scorer:
         return langs, scores
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def _scorer(net: Network) -> Scorer:
-    """The worker's own scorer of this network, kept between tasks."""
-    key = net.w["o"].tobytes() + ",".join(net.langs).encode()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(net)
-    return _SCORERS[key]
+    """The worker's own scorer of this network."""
+    return worker_state(("langid", net.w["o"].tobytes(), tuple(net.langs)), lambda: Scorer(net))
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,11 +251,8 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
 def keep_known(docs: DataFrame, net: Network, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The documents, with all columns, whose language is known with at least min_score."""
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in slices(batches):
-            langs, scores = _scorer(net).score(text_list(batch.column(at)))
-            yield batch.filter(pa.array([lang != UND and s >= min_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+    def keep(texts: list[str]) -> list[bool]:
+        langs, scores = _scorer(net).score(texts)
+        return [lang != UND and s >= min_score for lang, s in zip(langs, scores, strict=True)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, text_col, keep)

@@ -19,7 +19,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, slices, text_list
+from .common import map_rows, slices, small_batches, text_list
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -252,6 +252,7 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in slices(batches):
             yield batch.set_column(at, batch.schema.field(at), pa.array([masked(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

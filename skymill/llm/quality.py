@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, map_rows, slices, stage_table, text_list
+from .common import filter_rows, join_by_key, map_rows, stage_table, text_list
 
 #: White space between words, and the characters that count as symbols.
 SPACE = " \t\n\x0b\x0c\r"
@@ -132,13 +132,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     """The documents that judge_documents keeps, with all their columns; texts are never shuffled unless many hosts are rejected."""
     judged = apply_rules(stage_table(document_counts(docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host")), host_col="host"), "counts"))
     bad = stage_table(host_verdicts(judged, max_rate).filter("rejected").select(F.col("host").alias("__rejected_host")), "rejected")
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in slices(batches):
-            yield batch.filter(pa.array([not base_fails(text_counts(t)) for t in text_list(batch.column(at))], pa.bool_()))
-
-    passed = docs.mapInArrow(run, docs.schema)
+    passed = filter_rows(docs, text_col, lambda texts: [not base_fails(text_counts(t)) for t in texts])
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     return passed.join(bad, passed[host_col] == bad["__rejected_host"], "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_CHARS, CACHE_WORDS, map_rows, text_list
+from .common import CACHE_CHARS, CACHE_WORDS, map_rows, text_list, worker_state
 from .langid import held_out
 
 #: Labelled rows that the machine is fitted on at most.
@@ -84,7 +84,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """Fit on documents given as distinct hashed terms. Adagrad on the logistic loss, one document at a time."""
     mean = float(labels.mean()) if len(labels) else 0.5
     empty = np.zeros(0, np.int64)
-    if not 0 < mean < 1:
+    if not len(labels) or not 0 < mean < 1:
         p = min(max(mean, 0.01), 0.99)
         return Machine(empty, np.zeros(0), np.zeros((0, FACTORS)), float(np.log(p / (1 - p))))
     ids = choose_terms(rows, labels)
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = map_rows(rows, ["doc_id", "label", "text"], run, "doc_id long, label int, terms array<int>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     terms = [np.asarray(got["terms"][int(i)].values.to_numpy(zero_copy_only=False), np.int64) for i in order]
-    return train(terms or [np.zeros(0, np.int64)] * 0, got["label"].to_numpy()[order].astype(np.float64))
+    return train(terms, got["label"].to_numpy()[order].astype(np.float64))
 
 
 class Scorer:
@@ -159,15 +159,9 @@ class Scorer:
         return self.machine.score(rows)
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def _scorer(machine: Machine) -> Scorer:
-    key = machine.weight.tobytes() + np.float64(machine.bias).tobytes()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(machine)
-    return _SCORERS[key]
+    """The worker's own scorer of this machine."""
+    return worker_state(("toxicity", machine.weight.tobytes(), machine.bias), lambda: Scorer(machine))
 
 
 def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

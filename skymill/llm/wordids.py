@@ -16,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from .bpe import to_piece
-from .common import CACHE_CHARS, CACHE_WORDS
+from .common import CACHE_CHARS, CACHE_WORDS, worker_state
 
 #: The normaliser and splitting pattern of the model files that the short way stands for.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -72,12 +72,6 @@ class WordEncoder(dict):
         return [self.encode(t) for t in texts]
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def word_encoder(model_json: str) -> WordEncoder:
-    """The worker's own encoder, built once and kept between tasks."""
-    key = hash(model_json)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(model_json)
-    return _ENCODERS[key]
+    """The worker's own encoder."""
+    return worker_state(("words", hash(model_json)), lambda: WordEncoder(model_json))
