@@ -249,7 +249,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     named = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("lead"))
     leaders = stage_table(named, "named")
     once = leaders.filter("lead and n = 1").select(F.col("doc_id").alias("__kept_id"))
-    kept = docs.join(once, docs[id_col] == once["__kept_id"], "left_semi")
+    # Ids are hashed and texts stream past them: texts are shuffled once and never sorted, at any size.
+    kept = docs.join(once.hint("shuffle_hash"), docs[id_col] == once["__kept_id"], "left_semi")
     # Repeated ids and null ids are rare; only their rows are sorted.
     odd = leaders.filter("lead and n > 1").select(F.col("doc_id").alias("__kept_id"))
     if odd.take(1):
