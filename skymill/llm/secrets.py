@@ -151,8 +151,10 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = candidates(docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{owner_col}`").alias("owner")), owner_col="owner")
     live = judged_spans(stage_table(found, "candidates"), example_owners).select(F.col("doc_id").alias("__key"), F.filter("spans", lambda s: s["verdict"] == "live").alias("__spans"))
     live = live.filter(F.size("__spans") > 0).groupBy("__key").agg(F.first("__spans").alias("__spans"), F.count(F.lit(1)).alias("__n"))
-    joined = join_by_key(docs.withColumn("__key", key), stage_table(live, "live"), "__key", "__n")
     text = F.col(f"`{text_col}`")
+    # Only texts with a candidate are joined, and so shuffled; all others pass.
+    maybe = F.coalesce(text.rlike("|".join(f"(?:{k.pattern})" for k in (*BASE, *ADDED, OPAQUE))), F.lit(False))
+    joined = join_by_key(docs.filter(maybe).withColumn("__key", key), stage_table(live, "live"), "__key", "__n")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -162,4 +164,5 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     redacted = F.aggregate("__spans", first, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     new = F.when(F.col("__spans").isNull(), text).otherwise(redacted)
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    changed = joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return docs.filter(~maybe).unionByName(changed)
