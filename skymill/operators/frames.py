@@ -17,7 +17,7 @@ BROADCAST_FRAMES = 100_000
 def frames_table(spark: SparkSession, cfg: RenderConfig) -> DataFrame:
     """(frame, t, angle_deg, lbox) of every frame of a render."""
     moving = cfg.mode != "single" and cfg.itmax > 1
-    rows = [(i, i / (cfg.itmax - 1) if moving else cfg.interp_frac, i * cfg.rot_dangle, cfg.lbox * cfg.zoom_factor**i if cfg.zoom > 0 else cfg.lbox) for i in range(cfg.frames)]
+    rows = [(i, float(i / (cfg.itmax - 1) if moving else cfg.interp_frac), float(i * cfg.rot_dangle), float(cfg.lbox * cfg.zoom_factor**i if cfg.zoom > 0 else cfg.lbox)) for i in range(cfg.frames)]
     return spark.createDataFrame(rows, FRAMES)
 
 

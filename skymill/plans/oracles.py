@@ -139,7 +139,7 @@ def _spline(u: str) -> str:
 
 
 def _table(top: float, value: str) -> str:
-    return f"SELECT i, round(u, 8) AS u, round({value}, 8) AS value FROM (SELECT CAST(range AS INTEGER) AS i, range * {top / 64!r} AS u FROM range(65))"
+    return f"SELECT i, round(u, 8) AS u, round({value}, 8) AS value FROM (SELECT CAST(range AS INTEGER) AS i, CAST(range * {top / 64!r} AS DOUBLE) AS u FROM range(65))"
 
 
 def _levels(source: str, keys: str, lo: str = "1e-1", hi: str = "1e0") -> str:

@@ -17,7 +17,8 @@ NO_BOX = 1e6
 
 
 def register(spark: SparkSession) -> None:
-    """Make the data sources known to the session."""
+    """Make the data sources known to the session, and let Spark hand them its filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (GadgetSource, Hdf5Source, ImageSink):
         spark.dataSource.register(source)
 
