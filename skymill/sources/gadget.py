@@ -49,7 +49,10 @@ def read_header(path: str) -> dict:
         nall = struct.unpack_from("<6I", raw, 96)
         num_files = struct.unpack_from("<i", raw, 124)[0]
         box, omega0, omega_l, hubble = struct.unpack_from("<4d", raw, 128)
-        at, end, blocks, order = start + HEADER_BYTES + 4, os.fstat(f.fileno()).st_size, {}, iter(("POS ", "VEL ", "ID  "))
+        n = sum(npart)
+        # Format 1 names no block: positions come first, velocities are as wide, ids are narrower.
+        widths = {12 * n: "VEL ", 8 * n: "ID  ", 4 * n: "ID  "}
+        at, end, blocks = start + HEADER_BYTES + 4, os.fstat(f.fileno()).st_size, {}
         while at < end:
             name = None
             if named:
@@ -58,9 +61,8 @@ def read_header(path: str) -> dict:
                 at += 16
             f.seek(at)
             size = struct.unpack("<I", f.read(4))[0]
-            blocks[name if named else next(order, f"block{at}")] = (at + 4, size)
+            blocks.setdefault(name if named else "POS " if not blocks else widths.get(size, f"at {at}"), (at + 4, size))
             at += size + 8
-    n = sum(npart)
     types = max([i + 1 for i in range(TYPES) if npart[i] or nall[i]], default=0)
     return {
         "file": path, "num_types": types, "npart": list(npart[:types]), "nall": list(nall[:types]), "massarr": list(mass[:types]), "time": time, "redshift": redshift,
