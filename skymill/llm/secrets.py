@@ -13,6 +13,8 @@ joined by broadcast, so none of them meets in one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,6 +143,20 @@ def span_digests(found: DataFrame) -> DataFrame:
     )
 
 
+#: What a text with a candidate holds: one of these in any case, one of these as it stands, or a long run.
+HINTS_ANY_CASE = ("password", "passwd", "secret", "token", "api_key", "apikey")
+HINTS = ("AKIA", "PRIVATE KEY-----", ".eyJ", "://", "xox")
+HINT_RUN = "[A-Za-z0-9+/_-]{24}"
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text may hold a candidate of any kind: cheap, and true for every text that does."""
+    as_it_stands = reduce(or_, [text.contains(h) for h in HINTS])
+    # The lower-cased text is made once, as the one element of an array.
+    any_case = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [t.contains(h) for h in HINTS_ANY_CASE]))
+    return as_it_stands | any_case | text.rlike(HINT_RUN)
+
+
 def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """The documents with each live secret replaced by <kind>; examples stay. All rows and columns stay.
 
@@ -152,8 +168,8 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     live = judged_spans(stage_table(found, "candidates"), example_owners).select(F.col("doc_id").alias("__key"), F.filter("spans", lambda s: s["verdict"] == "live").alias("__spans"))
     live = live.filter(F.size("__spans") > 0).groupBy("__key").agg(F.first("__spans").alias("__spans"), F.count(F.lit(1)).alias("__n"))
     text = F.col(f"`{text_col}`")
-    # Only texts with a candidate are joined, and so shuffled; all others pass.
-    maybe = F.coalesce(text.rlike("|".join(f"(?:{k.pattern})" for k in (*BASE, *ADDED, OPAQUE))), F.lit(False))
+    # Only texts that may hold a candidate are joined, and so shuffled; all others pass.
+    maybe = F.coalesce(may_hold(text), F.lit(False))
     joined = join_by_key(docs.filter(maybe).withColumn("__key", key), stage_table(live, "live"), "__key", "__n")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -44,6 +44,14 @@ def test_base_secrets(spark, docs, rows):
     assert {"pem", "url", "jwt", "vendor"} <= kinds
 
 
+def test_every_text_with_a_candidate_may_hold_one(spark, rows):
+    texts = [*TRICKY, *[r[1] for r in rows], "xoxb-" + "1" * 10, "sk_live_" + "a" * 16, "PASSWD:abcdefgh", "ApI_KeY=abcdefgh", "clean text"]
+    table = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r.doc_id for r in secrets.candidates(table).filter("size(spans) > 0").select("doc_id").collect()}
+    maybe = {r.doc_id for r in table.filter(secrets.may_hold(F.col("text"))).select("doc_id").collect()}
+    assert found <= maybe and len(texts) - 1 not in maybe
+
+
 def test_ownership_separates_examples_from_live(spark):
     shared, own, opaque = "deadbeef" * 5, "0123456789abcdef" * 2, "Zq8" * 9
     rows = [(i, f"token = {shared} ", f"o{i}") for i in range(4)] + [(9, f"token = {own} and {opaque}", "o9"), (10, None, None)]
