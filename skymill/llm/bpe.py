@@ -137,7 +137,7 @@ def encode_documents(docs: DataFrame, model: bytes, pattern: str, id_col: str =
         ids = _encoder(model, pattern).encode_batch(text_list(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_rows(docs, [id_col, text_col], run, "doc_id long, ids array<int>")
+    return map_rows(docs, [id_col, text_col], run, "doc_id long, ids array<int>", keeps=True)
 
 
 def decode_documents(encoded: DataFrame, model: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -147,7 +147,7 @@ def decode_documents(encoded: DataFrame, model: bytes, pattern: str, id_col: str
         decode = _encoder(model, pattern).decode
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
-    return map_rows(encoded, [id_col, ids_col], run, "doc_id long, data binary")
+    return map_rows(encoded, [id_col, ids_col], run, "doc_id long, data binary", keeps=True)
 
 
 def round_trip_digests(docs: DataFrame, model: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,4 +161,4 @@ def round_trip_digests(docs: DataFrame, model: bytes, pattern: str, id_col: str
         n, encoded, decoded = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_rows(docs, [id_col, text_col], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs, [id_col, text_col], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker's word cache may hold before it is emptied (about 100 MB of short words).
-CACHE_WORDS = 300_000
+#: Entries that a worker's word cache may hold before it is emptied (about 40 MB of short words).
+CACHE_WORDS = 200_000
 #: Words longer than this are never cached.
 CACHE_CHARS = 48
 #: Rows of an Arrow batch at most.
@@ -30,15 +31,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    """For sessions without the setting."""
+    return "file://" + tempfile.mkdtemp(prefix="skymill-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, as a full URI; deleted when the application ends.
 
     Only where the setting is missing (plain local sessions, tests) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="skymill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{base}/skymill-{uuid.uuid4().hex}")
     fs = path.getFileSystem(conf)
@@ -71,6 +75,14 @@ def worker_state(key: tuple, make: Callable[[], object]) -> object:
     return _STATE[1]
 
 
+def release_state() -> None:
+    """Let go of what the worker keeps, and give freed memory back: for tasks that need none of it."""
+    if _STATE:
+        _STATE.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the rows that Arrow hands to Python at once, where the session has more: whole texts are large rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -97,24 +109,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             at = to
 
 
-def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply fn to Arrow slices of the named columns; no shuffle, and only those columns are scanned."""
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, keeps: bool = False) -> DataFrame:
+    """Apply fn to Arrow slices of the named columns; no shuffle, and only those columns are scanned. keeps: fn uses worker_state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release_state()
         for part in slices(batches):
             yield fn(part)
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
-def filter_rows(df: DataFrame, column: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
-    """The rows, with all columns, whose text passes; no shuffle."""
+def filter_rows(df: DataFrame, column: str, keep: Callable[[list[str]], list[bool]], keeps: bool = False) -> DataFrame:
+    """The rows, with all columns, whose text passes; no shuffle. keeps: keep uses worker_state."""
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release_state()
         for part in slices(batches):
             yield part.filter(pa.array(keep(text_list(part.column(at))), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

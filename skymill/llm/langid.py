@@ -33,8 +33,8 @@ MAX_LANGS = 64
 MAX_BYTES = 24
 UNITS, EMBED = 16, 12
 STEPS, BATCH, RATE = 700, 256, 0.01
-#: A document with a lower score than this is rejected by keep_known.
-MIN_SCORE = 0.3
+#: A document with a lower score is rejected by keep_known: texts in two or three languages score above this, and are kept.
+MIN_SCORE = 0.15
 
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -246,7 +246,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
         langs, scores = _scorer(net).score(text_list(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return map_rows(docs, [id_col, text_col], run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_rows(docs, [id_col, text_col], run, "doc_id long, held_out boolean, lang_pred string, score double", keeps=True)
 
 
 def keep_known(docs: DataFrame, net: Network, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -255,4 +255,4 @@ def keep_known(docs: DataFrame, net: Network, text_col: str = "text", min_score:
         langs, scores = _scorer(net).score(texts)
         return [lang != UND and s >= min_score for lang, s in zip(langs, scores, strict=True)]
 
-    return filter_rows(docs, text_col, keep)
+    return filter_rows(docs, text_col, keep, keeps=True)

@@ -79,8 +79,11 @@ def best_fit(lengths: np.ndarray, capacity: int = WINDOW) -> tuple[np.ndarray, n
     return window, offset
 
 
-def cut_pieces(docs: DataFrame, model_json: str, end_id: int, capacity: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids binary, width): each document's ids and end_id, cut into full windows and a rest."""
+def cut_pieces(docs: DataFrame, model_json: str, end_id: int, capacity: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids_crc32) and, with_ids, (ids binary, width): each document's ids and end_id, cut into full windows and a rest.
+
+    ids_crc32: over the piece's ids as u32.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = word_encoder(model_json)
@@ -88,24 +91,17 @@ def cut_pieces(docs: DataFrame, model_json: str, end_id: int, capacity: int = WI
         for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(text_list(batch.column(1))), strict=True):
             ids += end
             n = len(ids) // width
-            rows += [(key, at, min(capacity, n - at), n, ids[at * width : (at + capacity) * width]) for at in range(0, n, capacity)]
-        key, start, length, total, ids = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(rows), pa.int32())],
-            ["doc_id", "start", "length", "doc_tokens", "ids", "width"],
-        )
-
-    return map_rows(docs, [id_col, text_col], run, "doc_id long, start long, length long, doc_tokens long, ids binary, width int")
-
-
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32 (over ids as u32) in place of their ids."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        crc = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4")) for x, w in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], ["doc_id", "start", "length", "doc_tokens", "ids_crc32"])
+            for at in range(0, n, capacity):
+                part = ids[at * width : (at + capacity) * width]
+                rows.append((key, at, len(part) // width, n, zlib.crc32(np.frombuffer(part, encoder.dtype).astype("<u4")), part))
+        *columns, ids = zip(*rows, strict=True)
+        out = {n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "length", "doc_tokens", "ids_crc32"), columns, strict=True)}
+        if with_ids:
+            out |= {"ids": pa.array(ids, pa.binary()), "width": pa.array([width] * len(rows), pa.int32())}
+        return pa.RecordBatch.from_pydict(out)
 
-    return map_rows(pieces, ["doc_id", "start", "length", "doc_tokens", "ids", "width"], run, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long")
+    schema = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long" + ", ids binary, width int" * with_ids
+    return map_rows(docs, [id_col, text_col], run, schema, keeps=True)
 
 
 def pack(pieces: DataFrame, capacity: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
@@ -133,13 +129,14 @@ def pack(pieces: DataFrame, capacity: int = WINDOW, shard_windows: int = SHARD_W
             yield from own.to_batches()
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, sequence_tokens long"
-    shard = F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)).cast("int")
+    # By the row's place in the staged table: equal rows, however many, are dealt out as well.
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     dealt = pieces.select(*names, shard.alias("__shard")).repartitionById(shards, F.col("__shard"))
     # Sorted, so that a repeated task packs its shard alike.
     return dealt.sortWithinPartitions("doc_id", "start", *[c for c in names if c not in ("doc_id", "start")]).mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, model_json: str, end_id: int, capacity: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset, sequence_tokens) of every piece of every document."""
-    pieces = stage_table(piece_digests(cut_pieces(docs, model_json, end_id, capacity)), "pieces")
+def pack_documents(docs: DataFrame, model_json: str, end_id: int, capacity: int = WINDOW, with_ids: bool = True) -> DataFrame:
+    """Every piece of every document (see cut_pieces) with sequence_id, offset and sequence_tokens."""
+    pieces = stage_table(cut_pieces(docs, model_json, end_id, capacity, with_ids=with_ids), "pieces")
     return pack(pieces, capacity)

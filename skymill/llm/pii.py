@@ -10,14 +10,14 @@ Offsets count code points, ends are exclusive. Null and empty texts have no span
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_rows, slices, small_batches, text_list
 
@@ -214,11 +214,6 @@ def find_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]
     return base, added
 
 
-def render(spans: dict[str, list[Span]]) -> str:
-    """kind:start:end by kind, then start."""
-    return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k])
-
-
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, disguised>>) of every whole text; no shuffle."""
 
@@ -257,16 +252,21 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """(doc_id, counts of plain spans, base_sha256, spans, n_disguised) from find_personal_data."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for spans in batch.column(1).to_pylist():
-            base = {k: [(s["start"], s["end"]) for s in spans if s["kind"] == k and not s["disguised"]] for k in KINDS}
-            every = {k: sorted((s["start"], s["end"]) for s in spans if s["kind"] == k) for k in KINDS}
-            rows.append((*[len(base[k]) for k in KINDS], hashlib.sha256(render(base).encode()).hexdigest(), render(every), sum(s["disguised"] for s in spans)))
-        *counts, digest, text, odd = zip(*rows, strict=True)
-        names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_disguised"]
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest), pa.array(text), pa.array(odd, pa.int64())], names)
-
-    return map_rows(found, ["doc_id", "spans"], run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_disguised long")
+    """(doc_id, counts of plain spans, base_sha256, spans, n_disguised) from find_personal_data; column functions only."""
+    plain = F.filter("spans", lambda s: ~s["disguised"])
+
+    def of_kind(kind: str):
+        return lambda s: s["kind"] == kind
+
+    def text(spans: Column) -> Column:
+        """By kind as listed, then start."""
+        ordered = F.concat(*[F.array_sort(F.transform(F.filter(spans, of_kind(k)), lambda s: F.struct(s["start"], s["end"], s["kind"]))) for k in KINDS])
+        return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(plain, of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(text(plain), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised"),
+    )

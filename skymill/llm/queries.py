@@ -33,11 +33,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.record_files(read_table(spark, sf_dir, "documents"), word_model(WORD_MODEL), end_id=1)
-    return records.record_digests(records.read_records(manifest))
+    return records.read_records(manifest, with_ids=False)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_model(WORD_MODEL), end_id=2)
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_model(WORD_MODEL), end_id=2, with_ids=False)
 
 
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ for null), id width in bytes (u8), then the ids. The index of a file holds, for
 and its payload's length (u64), so that a reader may fetch records in any order.
 
 Documents lie in ascending doc_id order, within a file and from file to file; null ids come first and rows
-with equal ids follow each other by their ids' bytes. A null or empty text gives a record that holds only the end id.
+with equal doc_id follow each other by a checksum of their ids and the ids. A null or empty text gives a record that holds only the end id.
 """
 
 from __future__ import annotations
@@ -119,17 +119,23 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def encode_documents(docs: DataFrame, model_json: str, end_id: int, bounds: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary, width, bucket): packed ids of every whole text, with end_id after them; bucket: how many bounds lie below doc_id."""
+    """(doc_id, ids binary, width, tie, bucket): packed ids of every whole text, with end_id after them.
+
+    bucket: how many bounds lie below doc_id. A bound that stands there m times belongs to an id of very many rows; these
+    are dealt to m buckets by the range of tie, a checksum of the ids that orders rows with equal doc_id.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = word_encoder(model_json)
         end = end_id.to_bytes(encoder.width, "little")
         ids = [x + end for x in encoder.encode_batch(text_list(batch.column(1)))]
         keys = [NO_ID if k is None else k for k in batch.column(0).to_pylist()]
-        bucket = np.searchsorted(np.array(bounds, np.int64), np.array(keys, np.int64), "left").astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(bucket)], ["doc_id", "ids", "width", "bucket"])
+        tie, edges = np.array([zlib.crc32(x) for x in ids], np.int64), np.array(bounds, np.int64)
+        first, last = (np.searchsorted(edges, np.array(keys, np.int64), side) for side in ("left", "right"))
+        bucket = (first + (np.maximum(last - first, 1) * tie >> 32)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(tie), pa.array(bucket)], ["doc_id", "ids", "width", "tie", "bucket"])
 
-    return map_rows(docs, [id_col, text_col], run, "doc_id long, ids binary, width int, bucket int")
+    return map_rows(docs, [id_col, text_col], run, "doc_id long, ids binary, width int, tie long, bucket int", keeps=True)
 
 
 def write_records(encoded: DataFrame, n: int, folder: str) -> DataFrame:
@@ -164,23 +170,24 @@ def write_records(encoded: DataFrame, n: int, folder: str) -> DataFrame:
             index.close()
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket_id], pa.int32()), "file": [f"{folder}/{name}"], "n_records": [n_records], "n_ids": [n_ids]})
 
-    dealt = encoded.select("bucket", "doc_id", "ids", "width").repartitionById(n, F.col("bucket"))
-    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(run, "bucket int, file string, n_records long, n_ids long")
+    dealt = encoded.select("bucket", "doc_id", "ids", "width", "tie").repartitionById(n, F.col("bucket"))
+    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids").mapInArrow(run, "bucket int, file string, n_records long, n_ids long")
 
 
 def id_bounds(docs: DataFrame, id_col: str, n: int) -> list[int]:
-    """Up to n-1 distinct values that split the ids into ranges of like counts, from a scan of that column alone."""
+    """Up to n-1 values that split the ids into ranges of like counts, from a scan of that column alone; an id of many rows comes several times."""
     shares = [i / n for i in range(1, n)]
     if not shares:
         return []
     got = docs.agg(F.percentile_approx(F.col(f"`{id_col}`").cast("long"), shares, 100 * n).alias("b")).first()["b"]
-    return sorted(set(got or []))
+    return sorted(got or [])
 
 
-def read_records(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids binary, width) from the files a manifest names; start: ids of all records before it.
+def read_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) and, with_ids, (ids binary, width), from the files a manifest names.
 
-    Every length and checksum is verified. Files are read by their index, in blocks of about READ_BYTES.
+    start: ids of all records before it; ids_crc32: over ids as u32. Every length and checksum is verified. Files are read
+    by their index, in blocks of about READ_BYTES.
     """
     n = shuffle_partitions(manifest.sparkSession)
     # One row for each file: as many as the write had tasks.
@@ -204,12 +211,13 @@ def read_records(manifest: DataFrame) -> DataFrame:
                         counts = np.array([(len(p) - 9) // w for p, (_, w) in zip(payloads, keys, strict=True)], np.int64)
                         starts = start + np.cumsum(counts) - counts
                         start += int(counts.sum())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([None if k == NO_ID else k for k, _ in keys], pa.int64()), pa.array(starts), pa.array([p[9:] for p in payloads], pa.binary()), pa.array([w for _, w in keys], pa.int32())],
-                            ["doc_id", "start", "ids", "width"],
-                        )
+                        crc = [zlib.crc32(np.frombuffer(p, f"<u{w}", offset=9).astype("<u4")) for p, (_, w) in zip(payloads, keys, strict=True)]
+                        out = {"doc_id": pa.array([None if k == NO_ID else k for k, _ in keys], pa.int64()), "start": pa.array(starts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
+                        if with_ids:
+                            out |= {"ids": pa.array([p[9:] for p in payloads], pa.binary()), "width": pa.array([w for _, w in keys], pa.int32())}
+                        yield pa.RecordBatch.from_pydict(out)
 
-    return files.select("file", "before").mapInArrow(run, "doc_id long, start long, ids binary, width int")
+    return files.select("file", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary, width int" * with_ids)
 
 
 def record_files(docs: DataFrame, model_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,15 +227,3 @@ def record_files(docs: DataFrame, model_json: str, end_id: int, id_col: str = "d
     store.create_dir(base)
     bounds = id_bounds(docs, id_col, shuffle_partitions(docs.sparkSession))
     return stage_table(write_records(encode_documents(docs, model_json, end_id, bounds, id_col, text_col), len(bounds) + 1, folder), "manifest")
-
-
-def record_digests(records: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of records that were read; the checksum is over ids as u32."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-        )
-
-    return map_rows(records, ["doc_id", "start", "ids", "width"], run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -172,4 +172,4 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
         held = pa.array([held_out(i) for i in batch.column(0).to_pylist()], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0), held, pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return map_rows(docs, [id_col, text_col], run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_rows(docs, [id_col, text_col], run, "doc_id long, held_out boolean, score double, predicted int", keeps=True)
