@@ -42,20 +42,24 @@ class WordEncoder(dict):
         self.packed = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.tokenize = self.tokenizer.model.tokenize
 
+    def piece(self, p: str) -> bytes:
+        """Packed ids of one piece, by the library's model."""
+        ids = self.pieces.get(p)
+        if ids is None:
+            packed = self.packed
+            ids = b"".join([packed[t.id] for t in self.tokenize(p if p.isascii() else to_piece(p.encode()))])
+            if len(p) <= CACHE_CHARS:
+                if len(self.pieces) >= CACHE_WORDS:
+                    self.pieces.clear()
+                self.pieces[p] = ids
+        return ids
+
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.short_way and _SIMPLE(text) and not ("<|" in text and any(s in text for s in self.special)):
-            pieces, packed, tokenize, out = self.pieces, self.packed, self.tokenize, []
-            for p in _PIECES(text.lower()):
-                ids = pieces.get(p)
-                if ids is None:
-                    ids = b"".join([packed[t.id] for t in tokenize(p if p.isascii() else to_piece(p.encode()))])
-                    if len(p) <= CACHE_CHARS:
-                        if len(pieces) >= CACHE_WORDS:
-                            pieces.clear()
-                        pieces[p] = ids
-                out.append(ids)
-            got = b"".join(out)
+        if self.short_way and word.isalpha():
+            got = self.piece(text.lower())
+        elif self.short_way and _SIMPLE(text) and not ("<|" in text and any(s in text for s in self.special)):
+            got = b"".join([self.piece(p) for p in _PIECES(text.lower())])
         else:
             got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(word) <= CACHE_CHARS:
