@@ -9,8 +9,12 @@ from ..schema import AXES, minimum_image, wrap_position
 
 
 def one_per_id(df: DataFrame) -> DataFrame:
-    """One row for each id, so that a match never multiplies rows; of several the least position stays."""
-    return df.groupBy("id").agg(F.min(F.struct(*AXES, "ptype")).alias("p")).select("id", "p.*")
+    """One row for each id, so that a match never multiplies rows; of several the one with the least hash stays.
+
+    Numbers only are aggregated, which Spark does by hash tables without sorting.
+    """
+    rows = df.select("id", *AXES, "ptype", F.xxhash64(*AXES, "ptype").alias("__h"))
+    return rows.groupBy("id").agg(*[F.min_by(c, "__h").alias(c) for c in (*AXES, "ptype")])
 
 
 def match_by_id(a: DataFrame, **others: DataFrame) -> DataFrame:
