@@ -53,16 +53,19 @@ def cic_map(df: DataFrame, width: int, height: int, centre: tuple[float, float],
     What falls outside the image is dropped. compat: rows beyond the upper edge, and those just below the lower one,
     come in again from the other side.
     """
-    lbox = F.lit(float(lbox)) if not isinstance(lbox, Column) else lbox
-    with_norm = df.withColumn("__n", F.lit(float(width)) * float(height) / (lbox * lbox))
+    # A box length that varies is a key of its own; a fixed one is a factor at the end.
+    varies = isinstance(lbox, Column)
+    norm = F.lit(float(width)) * float(height) / (lbox * lbox)
+    cell_keys = (*keys, "__n") if varies else keys
     axes = {"ix": to_pixel(F.col("x"), centre[0], lbox, width), "iy": to_pixel(F.col("y"), centre[1], lbox, height)}
-    parts = _corners(_moments(with_norm, (*keys, "__n"), axes), (*keys, "__n"), ["ix", "iy"])
+    parts = _corners(_moments(df.withColumn("__n", norm) if varies else df, cell_keys, axes), cell_keys, ["ix", "iy"])
+    weight = F.col("w") * F.col("__n") if varies else F.col("w") * norm
     inside = F.col("ix").between(0, width - 1)
     if compat:
         parts = parts.filter(inside & (F.col("iy") >= -height)).withColumn("iy", (F.col("iy") + height) % height)
     else:
         parts = parts.filter(inside & F.col("iy").between(0, height - 1))
-    return parts.groupBy(*keys, "iy", "ix").agg(F.sum(F.col("w") * F.col("__n")).alias("rho"))
+    return parts.groupBy(*keys, "iy", "ix").agg(F.sum(weight).alias("rho"))
 
 
 def cic_grid(df: DataFrame, n: int, low: tuple[Column | float, ...], span: tuple[Column | float, ...]) -> DataFrame:
