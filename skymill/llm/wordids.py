@@ -49,7 +49,7 @@ class WordEncoder(dict):
             packed = self.packed
             ids = b"".join([packed[t.id] for t in self.tokenize(p if p.isascii() else to_piece(p.encode()))])
             if len(p) <= CACHE_CHARS:
-                if len(self.pieces) >= CACHE_WORDS:
+                if len(self.pieces) >= 2 * CACHE_WORDS:
                     self.pieces.clear()
                 self.pieces[p] = ids
         return ids
@@ -63,7 +63,7 @@ class WordEncoder(dict):
         else:
             got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(word) <= CACHE_CHARS:
-            if len(self) >= 2 * CACHE_WORDS:
+            if len(self) >= 3 * CACHE_WORDS:
                 self.clear()
             self[word] = got
         return got
