@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_root, shuffle_partitions, slices, stage_table, text_list
+from .common import map_rows, shared_root, shuffle_partitions, slices, text_list
 from .wordids import word_encoder
 
 NO_ID = -(1 << 63)
@@ -226,4 +226,6 @@ def record_files(docs: DataFrame, model_json: str, end_id: int, id_col: str = "d
     store, base = _open(folder)
     store.create_dir(base)
     bounds = id_bounds(docs, id_col, shuffle_partitions(docs.sparkSession))
-    return stage_table(write_records(encode_documents(docs, model_json, end_id, bounds, id_col, text_col), len(bounds) + 1, folder), "manifest")
+    # What each task wrote comes back as Spark's own commit messages do: a row for each file, none for each record.
+    written = write_records(encode_documents(docs, model_json, end_id, bounds, id_col, text_col), len(bounds) + 1, folder)
+    return docs.sparkSession.createDataFrame(written.collect(), written.schema)
