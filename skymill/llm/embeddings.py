@@ -1,10 +1,12 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one for each shard of the vectors.
 
 Equal vectors are collapsed. Every shard's task builds a graph in numpy, by batches: a batch searches the graph as it
-stands, its members are joined to diverse near nodes, and those nodes' links are pruned alike. Then every vector queries
-every shard. A beam that ends full of linked vectors is widened for that query; and in every block of queries some are
-audited against the whole shard: as long as recall is too low, the beam is widened for the block. What the graphs find is
-verified by cosine in double precision, links are counted, and a spanning forest of them is united to components.
+stands, its members are joined to diverse near nodes, and those nodes' links are pruned alike. Then each pair of shards
+is searched from both sides, and a link that either side finds counts for both its ends. A beam that ends full of linked
+vectors is widened for that query. Before a graph is relied on, queries are compared with its whole shard until enough
+of them were seen with a link to another vector, and the beam is widened until it finds those links; where links are too
+few for that, all queries are compared with the whole shard. What is found is verified by cosine in double precision,
+links are counted, and a spanning forest of them is united to components.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, not even with their equals; nor do
 vectors of different lengths. A null vec_id never names a component. Equal rows are copies of one vector and link.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_by_key, shared_root, stage_table
@@ -30,13 +32,12 @@ MIN_COSINE = 0.9
 #: Vectors in a shard at most on average, and shards at least (they are built side by side).
 SHARD_ROWS = 20_000
 MIN_SHARDS = 6
-#: Queries in a task on average, and those that search together.
-TASK_ROWS = 4096
+#: Queries that search together; a multiple of 8.
 BLOCK = 256
 #: Links of a node above the lowest layer (twice as many there), and beams while building and at first for queries.
 DEGREE, BUILD_BEAM, BEAM = 12, 40, 24
-#: Audited queries in each block and the recall they must reach.
-AUDITS, MIN_RECALL = 8, 0.98
+#: Audited queries with a link to another vector for each pair of shards, and the recall they must reach: of their links, and on average over the queries.
+AUDITS, MIN_RECALL = 256, 0.98
 
 
 class SmallWorld:
@@ -175,32 +176,85 @@ class SmallWorld:
             near = self._search(q, near, k, 4, 2)[0]
         return self._search(q, near, 0, beam)
 
-    def within(self, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
-        """(query, node) of cosine >= least, and the beam that passed the audit."""
-        audit = np.unique(np.linspace(0, len(q) - 1, AUDITS).astype(int))
-        truth = int((q[audit] @ self.unit.T >= least).sum())
-        while True:
-            if beam >= len(self.unit):
-                return *np.nonzero(q @ self.unit.T >= least), beam
-            todo, ef, rows, nodes = np.arange(len(q)), beam, [], []
-            while len(todo):
-                if 2 * ef >= len(self.unit):
-                    r, c = np.nonzero(q[todo] @ self.unit.T >= least)
-                    rows.append(todo[r])
-                    nodes.append(c)
-                    break
-                step = max(1, BLOCK * BEAM // ef)
-                parts = [self.query(q[todo[i : i + step]], ef) for i in range(0, len(todo), step)]
-                ids, sims = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                full = sims[:, -1] >= least
-                r, c = np.nonzero((sims >= least) & ~full[:, None])
+    def whole(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of cosine >= least by comparison with every node."""
+        return np.nonzero(q @ self.unit.T >= least)
+
+    def near(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of cosine >= least that the beam finds; where it ends full of them, a wider one."""
+        todo, rows, nodes = np.arange(len(q)), [], []
+        while len(todo):
+            if 2 * beam >= len(self.unit):
+                r, c = self.whole(q[todo], least)
                 rows.append(todo[r])
-                nodes.append(ids[r, c])
-                todo, ef = todo[full], 4 * ef
-            rows, nodes = np.concatenate(rows), np.concatenate(nodes)
-            if np.isin(rows, audit).sum() >= MIN_RECALL * truth:
-                return rows, nodes, beam
+                nodes.append(c)
+                break
+            step = max(1, BLOCK * BEAM // beam)
+            parts = [self.query(q[todo[i : i + step]], beam) for i in range(0, len(todo), step)]
+            ids, sims = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            full = sims[:, -1] >= least
+            r, c = np.nonzero((sims >= least) & ~full[:, None])
+            rows.append(todo[r])
+            nodes.append(ids[r, c])
+            todo, beam = todo[full], 4 * beam
+        return np.concatenate(rows), np.concatenate(nodes)
+
+    def audited_beam(self, q: np.ndarray, own: np.ndarray, truth: np.ndarray, least: float) -> int:
+        """The least beam, by doubling, that finds enough of the queries' links. own: the query's own node or -1; truth: its links to others."""
+        beam = BEAM
+        while 2 * beam < len(self.unit):
+            found = np.zeros(len(q), np.int64)
+            for i in range(0, len(q), BLOCK):
+                r, c = self.near(q[i : i + BLOCK], least, beam)
+                found += np.bincount(r[c != own[i + r]] + i, minlength=len(q))
+            found = np.minimum(found, truth)
+            if found.sum() >= MIN_RECALL * truth.sum() and (found / truth).mean() >= MIN_RECALL:
+                break
             beam *= 2
+        return beam
+
+    def within(self, q: np.ndarray, least: float, same: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """For every block of queries its first query, (query in the block, node) of cosine >= least, and whether none can be missing.
+
+        same: the queries are the nodes; then a query's own node is no link and proves nothing.
+        """
+        starts = (np.random.default_rng(7).permutation(-(-len(q) // BLOCK)) * BLOCK).tolist()
+        queries, truths = [], []
+        while starts and sum(map(len, queries)) < AUDITS:
+            at = starts.pop()
+            r, c = self.whole(q[at : at + BLOCK], least)
+            yield at, r, c, True
+            n = np.bincount(r[c != r + at] if same else r, minlength=BLOCK)
+            queries.append(at + np.flatnonzero(n))
+            truths.append(n[n > 0])
+        if not starts:
+            return
+        audits = np.concatenate(queries)
+        beam = self.audited_beam(q[audits], audits if same else np.full(len(audits), -1), np.concatenate(truths), least)
+        exact = 2 * beam >= len(self.unit)
+        for at in starts:
+            yield at, *self.near(q[at : at + BLOCK], least, beam), exact
+
+
+def found_links(a: SmallWorld, b: SmallWorld, least: float) -> np.ndarray:
+    """Bits (node of a, node of b) of the links that a search from either side finds; all if a and b are one graph."""
+    bits = np.zeros((len(a.unit), -(-len(b.unit) // 8)), np.uint8)
+    missing = False
+    for at, r, c, exact in b.within(a.unit, least, a is b):
+        hit = np.zeros((min(BLOCK, len(a.unit) - at), len(b.unit)), bool)
+        hit[r, c] = True
+        bits[at : at + len(hit)] |= np.packbits(hit, axis=1)
+        if a is b and not exact:
+            part = np.packbits(hit.T, axis=1)
+            bits[:, at // 8 : at // 8 + part.shape[1]] |= part
+        missing |= not exact
+    if missing and a is not b:
+        for at, r, c, _ in a.within(b.unit, least):
+            hit = np.zeros((len(a.unit), min(BLOCK, len(b.unit) - at)), bool)
+            hit[c, r] = True
+            part = np.packbits(hit, axis=1)
+            bits[:, at // 8 : at // 8 + part.shape[1]] |= part
+    return bits
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -217,8 +271,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def build_shards(vectors: DataFrame, shards: int) -> list[str]:
-    """Write each shard's graphs (one for each length of vectors) to the shared folder; returns the files."""
+def build_shards(vectors: DataFrame, shards: int) -> list[tuple[int, str]]:
+    """Write each shard's graphs (one for each length of vectors) to the shared folder; returns lengths and files."""
     folder = f"{shared_root(vectors.sparkSession)}/graphs"
     store, base = _store(folder)
     store.create_dir(base)
@@ -239,54 +293,63 @@ def build_shards(vectors: DataFrame, shards: int) -> list[str]:
             store, base = _store(folder)
             with store.open_output_stream(f"{base}/{file}") as stream:
                 stream.write(out.getbuffer())
-            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{file}"]})
+            yield pa.RecordBatch.from_pydict({"dims": pa.array([d], pa.int32()), "file": [f"{folder}/{file}"]})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
-    built = dealt.sortWithinPartitions(F.xxhash64("node")).select("node", "n", "dims", "embedding").mapInArrow(run, "file string")
+    built = dealt.sortWithinPartitions(F.xxhash64("node")).select("node", "n", "dims", "embedding").mapInArrow(run, "dims int, file string")
     # A few names for each shard.
-    return sorted(r["file"] for r in stage_table(built, "graphs").collect())
+    return sorted((r["dims"], r["file"]) for r in stage_table(built, "graphs").collect())
+
+
+def _load(uri: str) -> tuple[SmallWorld, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's graph, and its nodes, their copies and their vectors."""
+    store, path = _store(uri)
+    with store.open_input_stream(path) as stream:
+        held = np.load(io.BytesIO(stream.read()))
+    x = held["x"]
+    graph = SmallWorld(_unit(x), [held[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in held.files))], 0)
+    return graph, held["node"], held["n"], x
+
 
+def search_shards(spark: SparkSession, files: list[tuple[int, str]], min_cosine: float) -> DataFrame:
+    """(a, b, n): rows (node, null, copies of other vectors linked), some for each linked node, and links (a, b, null) that span all found.
 
-def search_shards(vectors: DataFrame, files: list[str], min_cosine: float, tasks: int) -> DataFrame:
-    """(a, b, n): for every vector a row (node, null, copies of other vectors linked), and links (a, b, null) that span all found."""
+    Each task compares one pair of shards, or a shard with itself.
+    """
+    pairs = [(a, b) for i, (d, a) in enumerate(files) for e, b in files[i:] if d == e]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        dims = table["dims"].to_numpy()
-        for d in np.unique(dims).tolist():
-            own = table.filter(pa.array(dims == d)).combine_chunks()
-            node, x = own["node"].to_numpy(), _matrix(own["embedding"].chunk(0))
-            q, linked = _unit(x), np.zeros(len(x), np.int64)
+        for number in (k for batch in batches for k in batch.column(0).to_pylist()):
+            names_of = pairs[number]
+            same = names_of[0] == names_of[1]
+            one = _load(names_of[0])
+            graph, node, copies, x = one
+            other, names, copies_b, y = one if same else _load(names_of[1])
+            bits = found_links(graph, other, min_cosine - 1e-4)
+            linked = np.zeros(len(x), np.int64)
+            linked_b = linked if same else np.zeros(len(y), np.int64)
             left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for file in files:
-                store, path = _store(file)
-                with store.open_input_stream(path) as stream:
-                    held = np.load(io.BytesIO(stream.read()))
-                other = held["x"]
-                if other.shape[1] != d:
-                    continue
-                graph = SmallWorld(_unit(other), [held[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in held.files))], 0)
-                names, copies, beam = held["node"], held["n"], BEAM
-                for at in range(0, len(q), BLOCK):
-                    rows, found, beam = graph.within(q[at : at + BLOCK], min_cosine - 1e-4, beam)
-                    rows = rows + at
-                    for i in range(0, len(rows), 1 << 16):
-                        r, f = rows[i : i + (1 << 16)], found[i : i + (1 << 16)]
-                        a, b = x[r], other[f]
-                        a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
-                        cosine = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
-                        ok = (cosine >= min_cosine) & (names[f] != node[r])
-                        r, f = r[ok], f[ok]
-                        np.add.at(linked, r, copies[f])
-                        left, right = spanning(np.concatenate([left, node[r]]), np.concatenate([right, names[f]]))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(linked)], ["a", "b", "n"])
+            for at in range(0, len(x), BLOCK):
+                rows, cols = np.nonzero(np.unpackbits(bits[at : at + BLOCK], axis=1, count=len(y)))
+                rows += at
+                if same:
+                    rows, cols = rows[rows < cols], cols[rows < cols]
+                for i in range(0, len(rows), 1 << 16):
+                    r, c = rows[i : i + (1 << 16)], cols[i : i + (1 << 16)]
+                    a, b = x[r], y[c]
+                    a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
+                    cosine = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+                    ok = cosine >= min_cosine
+                    r, c = r[ok], c[ok]
+                    np.add.at(linked, r, copies_b[c])
+                    np.add.at(linked_b, c, copies[r])
+                    left, right = spanning(np.concatenate([left, node[r]]), np.concatenate([right, names[c]]))
+            for ids, n in [(node, linked)] if same else [(node, linked), (names, linked_b)]:
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(n[some])], ["a", "b", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.nulls(len(left), pa.int64())], ["a", "b", "n"])
 
-    dealt = vectors.repartition(tasks, "node").select("node", "dims", "embedding")
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return spark.range(0, len(pairs), 1, max(1, len(pairs))).mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -300,10 +363,10 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     classes = stage_table(groups.select(F.monotonically_increasing_id().alias("node"), "first_id", "n", F.size("embedding").alias("dims"), "embedding"), "classes")
     size = classes.count()
     files = build_shards(classes, max(MIN_SHARDS, math.ceil(size / SHARD_ROWS)))
-    found = stage_table(search_shards(classes, files, min_cosine, max(2 * MIN_SHARDS, math.ceil(size / TASK_ROWS))), "found")
+    found = stage_table(search_shards(table.sparkSession, files, min_cosine), "found")
     named = component_ids(classes.select("node", "first_id", "n"), found.filter("b is not null").select("a", "b"), "node")
-    linked = found.filter("b is null").select(F.col("a").alias("node"), F.col("n").alias("linked"))
-    of_vector = classes.select("node", "embedding").join(named, "node").join(linked, "node").select("embedding", "component_id", "n", "linked")
+    linked = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+    of_vector = classes.select("node", "embedding").join(named, "node").join(linked, "node", "left").select("embedding", "component_id", "n", F.coalesce("linked", F.lit(0)).alias("linked"))
     joined = join_by_key(rows.filter("embedding is not null"), stage_table(of_vector, "named"), "embedding", "n", "inner")
     linked_rows = joined.select("vec_id", (F.col("linked") + F.col("n") - 1).alias("n_links"), "component_id")
     alone = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -154,3 +154,38 @@ def test_graph_recall():
     near = g.query(u[:200], 40)[0][:, :5]
     true = np.argsort(-(u[:200] @ u.T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) for a, b in zip(near.tolist(), true.tolist(), strict=True)]) / 5 > 0.9
+
+
+def all_links(a, b, least):
+    return a @ b.T >= least
+
+
+def test_sparse_links_are_all_found():
+    """Twelve links between two shards, and a graph that leads to none of their ends: audits that see no link prove nothing."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(5000, 48))
+    a = embeddings._unit(centre[:4000])
+    b = embeddings._unit(np.concatenate([centre[1:13] + 0.1 * rng.normal(size=(12, 48)), rng.normal(size=(3988, 48))]))
+    b = b[rng.permutation(len(b))]
+    one, two = embeddings.SmallWorld.build(a), embeddings.SmallWorld.build(b)
+    want = all_links(a, b, 0.9)
+    assert want.sum() >= 12
+    for layer in two.layers:
+        layer[np.isin(layer, np.flatnonzero(want.any(0)))] = -1
+    assert len(two.near(a[:256], 0.9, embeddings.BEAM)[0]) < want[:256].sum() == 12
+    got = np.unpackbits(embeddings.found_links(one, two, 0.9), axis=1, count=len(b)).astype(bool)
+    assert (got == want).all()
+
+
+def test_beams_pass_audits_on_links_to_others_only():
+    """Every node finds itself; half the nodes have one twin. Links count from both ends."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 48))
+    u = embeddings._unit(np.concatenate([x, x[:1500] + 0.1 * rng.normal(size=(1500, 48))])[rng.permutation(4500)])
+    g = embeddings.SmallWorld.build(u)
+    got = np.unpackbits(embeddings.found_links(g, g, 0.9), axis=1, count=len(u)).astype(bool)
+    want = all_links(u, u, 0.9)
+    np.fill_diagonal(got, False)
+    np.fill_diagonal(want, False)
+    assert (got == got.T).all()
+    assert (got & want).sum() >= 0.98 * want.sum()
