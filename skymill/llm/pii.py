@@ -88,10 +88,21 @@ _SPELLED_PART = re.compile(rf"plus|\+|double|triple|{_DIGIT}|[0-9]+|.", re.IGNOR
 _DIGIT_HINT = re.compile(rf"(?<![A-Za-z]){_DIGIT}(?![A-Za-z])", re.IGNORECASE)
 _BRACKETED = re.compile(r"[ \t]{0,4}[(\[{<][ \t]{0,4}(?:(at|@)|(dot|punto|punkt|point|\.))[ \t]{0,4}[)\]}>][ \t]{0,4}", re.IGNORECASE)
 _HOST = r"[A-Za-z0-9-]{1,63}"
-#: Last parts of host names that make three written-out words an address; bracketed marks need none of them.
-TOP_LEVELS = "com org net edu gov mil info biz io ai app dev co uk de fr es eu ch nl jp cn ru br au ca example test invalid local online site xyz"
-_TOP = "(?:" + "|".join(TOP_LEVELS.split()) + ")(?![A-Za-z0-9])"
-_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}[ \t]+dot[ \t]+|[A-Za-z0-9_%+-]{{1,64}}\.){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?:[ \t]+at[ \t]+|@){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST}){{0,4}}[ \t]+dot[ \t]+{_TOP}", re.IGNORECASE)
+#: Last parts of host names that make three written-out words an address: generic ones, and all country codes. Bracketed marks need none of them.
+GENERIC_LEVELS = "com org net edu gov mil int info biz name pro mobi jobs travel museum aero coop cat tel asia post arpa app dev blog cloud club email life live media news online page shop site space store studio systems team tech today top website wiki work world xyz example test invalid local"
+COUNTRY_CODES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu "
+    "cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id "
+    "ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms "
+    "mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk "
+    "sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+)
+#: Words that make what follows an ordinary "dot": "look at the dot in the middle".
+ARTICLES = "a an the this that these those each every any some no one my your his her its our their another which what der die das den dem ein eine einen einem le la les un une el los las una"
+_TOP = "(?:" + "|".join([*GENERIC_LEVELS.split(), *COUNTRY_CODES.split()]) + ")(?![A-Za-z0-9])"
+#: A name with a digit or an inner mark goes before any host; others not before one that is an article.
+_NAME_OR_HOST = r"(?:(?=(?:[A-Za-z_%+-]*[0-9]|[A-Za-z0-9]+(?:[._%+-]|[ \t]+dot[ \t]+)[A-Za-z0-9]))|(?![A-Za-z0-9_%+-]+(?:[ \t]+at[ \t]+|@)(?:" + "|".join(ARTICLES.split()) + r")[ \t]+dot[ \t]))"
+_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME_OR_HOST}(?:[A-Za-z0-9_%+-]{{1,64}}[ \t]+dot[ \t]+|[A-Za-z0-9_%+-]{{1,64}}\.){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?:[ \t]+at[ \t]+|@){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST}){{0,4}}[ \t]+dot[ \t]+{_TOP}", re.IGNORECASE)
 _WRITTEN_PART = re.compile(r"[ \t]+(?:(at)|dot)[ \t]+", re.IGNORECASE)
 _DOT_HINT = re.compile(r"[ \t]dot[ \t]", re.IGNORECASE)
 #: A name with a digit or an inner mark before a lone "at", or an "@" between spaces, and a host with a lettered end.

@@ -144,6 +144,19 @@ def test_clean_texts_stay_clean(text):
     assert not any(base.values()) and not any(added.values())
 
 
+@pytest.mark.parametrize("end", "it pl se in at mx be us to no is za travel com".split())
+def test_written_addresses_of_all_countries(end):
+    for text in (f"anna at example dot {end}", f"anna dot lee at mail.example dot {end}", f"lee7 at the dot {end}"):
+        _, added = pii.find_spans(f"write to {text} , soon")
+        assert [f"write to {text} , soon"[a:b] for a, b in added["email"]] == [text]
+
+
+@pytest.mark.parametrize("text", ["look at the dot in the middle", "he pointed at a dot to the left", "aim at each dot at once", "we met at noon dot matrix"])
+def test_dots_in_prose_are_no_addresses(text):
+    base, added = pii.find_spans(text)
+    assert not any(base.values()) and not any(added.values())
+
+
 def test_personal_data_table(docs, rows):
     got = pii.span_digests(pii.find_personal_data(docs)).collect()
     assert len(got) == len(rows)
