@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from .common import CACHE_WORDS, filter_rows, map_rows, text_list, worker_state
 
 UND = "und"
-#: Training documents for each language, the longest text among them, and the most languages.
+#: Training documents for each language, and the characters that are drawn from longer texts among them.
 DOCS_PER_LANG = 300
 MAX_TRAIN_CHARS = 20_000
-MAX_LANGS = 64
+#: With more languages fewer characters of a text and more steps are taken, and fewer words are cached: all languages are learned within the same memory.
+MANY_LANGS = 64
+#: Longer runs without white space are drawn in parts.
+RUN_CHARS = 1000
 #: Pieces of words that the network reads at once.
 MAX_BYTES = 24
 UNITS, EMBED = 16, 12
@@ -107,8 +110,9 @@ class Network:
         k = len(self.langs)
         out = np.zeros((len(words), 2 * k), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 2048):
-            part = order[at : at + 2048]
+        size = max(64, 2048 * MANY_LANGS // max(MANY_LANGS, k))
+        for at in range(0, len(order), size):
+            part = order[at : at + size]
             data, lengths = _pack([words[i] for i in part])
             y = self.log_probs(data)
             inside = (np.arange(data.shape[1])[:, None] < lengths[None, :]).astype(np.float32)[:, :, None]
@@ -172,26 +176,48 @@ def train(words: list[list[bytes]], langs: list[str], steps: int = STEPS, seed:
     return net
 
 
+def drawn_text(text: str, chars: int, seed: int) -> str:
+    """The text, or if it is longer than about so many characters as many of words drawn from all of it."""
+    if len(text) <= chars:
+        return text
+    runs = [w[i : i + RUN_CHARS] for w in text.split() for i in range(0, len(w), RUN_CHARS)]
+    out, left = [], chars
+    for i in np.random.default_rng(seed).permutation(len(runs)).tolist():
+        if left <= 0:
+            break
+        out.append(i)
+        left -= len(runs[i]) + 1
+    return " ".join(runs[i] for i in sorted(out))
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, steps: int = STEPS) -> Network:
-    """Train on a bounded sample: up to about docs_per_lang documents, chosen by a hash of their id, of each of the most frequent languages.
+    """Train on a bounded sample: up to about docs_per_lang documents, chosen by a hash of their id, of each language.
 
-    Only rows with an id whose crc32 modulo 3 is not 1, a language and a text of at most MAX_TRAIN_CHARS characters count.
+    Only rows with an id whose crc32 modulo 3 is not 1, a language and a text count. Of long texts, words from the whole text are drawn.
     """
     key = F.col(f"`{id_col}`").cast("string")
     rows = docs.filter(key.isNotNull() & (F.crc32(key.cast("binary")) % 3 != 1) & F.col(f"`{lang_col}`").isNotNull())
     rows = rows.select(key.alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    # One row for each language.
+    counts = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Network.fresh([UND])
     share = {r["lang"]: min(1.0, 1.25 * docs_per_lang / r["count"]) for r in counts}
-    wanted = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(share[lang]))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.filter((draw < F.get(F.map_values(F.map_filter(wanted, lambda k, v: k == F.col("lang"))), F.lit(0))) & (F.length("text") <= MAX_TRAIN_CHARS))
+    shares = docs.sparkSession.createDataFrame(sorted(share.items()), "lang string, share double")
+    sample = rows.filter("text is not null").join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
+    chars = max(1, MAX_TRAIN_CHARS * MANY_LANGS // max(MANY_LANGS, len(langs)))
+
+    def shorten(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [drawn_text(t, chars, zlib.crc32(i.encode())) for i, t in zip(batch.column(0).to_pylist(), text_list(batch.column(2)), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "lang", "text"])
+
+    sample = map_rows(sample, ["id", "lang", "text"], shorten, "id string, lang string, text string")
     words: list[list[bytes]] = [[] for _ in langs]
     number = {lang: i for i, lang in enumerate(langs)}
     for r in sample.orderBy(F.xxhash64("id")).limit(docs_per_lang * len(langs)).collect():
@@ -199,7 +225,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     have = [i for i, w in enumerate(words) if w]
     if not have:
         return Network.fresh([UND])
-    return train([words[i] for i in have], [langs[i] for i in have], steps)
+    return train([words[i] for i in have], [langs[i] for i in have], steps * -(-len(have) // MANY_LANGS))
 
 
 class Scorer:
@@ -213,7 +239,7 @@ class Scorer:
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the mean probability that its positions give the pooled choice."""
         split = [word_pieces(t) for t in texts]
-        if len(self.rows) > CACHE_WORDS:
+        if len(self.rows) > CACHE_WORDS * MANY_LANGS // max(MANY_LANGS, self.k):
             self.rows, self.scores = {}, self.scores[:0]
         rows = self.rows
         missing = list({w for words in split for w in words if w not in rows})

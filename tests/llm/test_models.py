@@ -51,6 +51,23 @@ def test_languages_without_training_rows(no_docs, docs):
     assert langid.identify(no_docs, net).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, the rarest one only in texts of more than 20,000 characters."""
+    rows = [(3 * i + j, f"text of {i}", f"l{i:02}") for i in range(70) for j in range(3)]
+    rows += [(1000 + i, "szczęście " * 3000, "pl") for i in range(4)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=1)
+    learned = {r[2] for r in rows if not langid.held_out(r[0])}
+    assert len(learned) > 64 and "pl" in learned and set(net.langs) == learned
+
+
+def test_long_texts_are_drawn_from_as_a_whole():
+    text = "".join(f"w{i} " for i in range(20_000))
+    got = langid.drawn_text(text, 2000, 7).split()
+    assert len(" ".join(got)) <= 2010 and len(got) == len(set(got)) > 200
+    assert int(got[0][1:]) < 2000 and int(got[-1][1:]) > 18_000
+    assert langid.drawn_text("a b", 10, 7) == "a b" and 0 < len(langid.drawn_text("x" * 50_000, 2000, 7)) <= 3000
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     rng = np.random.default_rng(3)
