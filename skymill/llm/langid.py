@@ -36,8 +36,10 @@ RUN_CHARS = 1000
 MAX_BYTES = 24
 UNITS, EMBED = 16, 12
 STEPS, BATCH, RATE = 700, 256, 0.01
-#: A document with a lower score is rejected by keep_known: texts in two or three languages score above this, and are kept.
-MIN_SCORE = 0.15
+#: keep_known rejects a document with a smaller share of its letters in words that are spelled like a learned language's, whichever.
+MIN_KNOWN = 0.5
+#: A word is spelled like a language's if its bytes are as likely as those of all but this share of the training words.
+RARE_WORDS = 0.02
 
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -61,12 +63,73 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _triples(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's triples of bytes as numbers, and which of them lie inside."""
+    d = data.astype(np.int32)
+    return d[:, :-2] << 16 | d[:, 1:-1] << 8 | d[:, 2:], np.arange(data.shape[1] - 2)[None, :] < lengths[:, None] - 2
+
+
+@dataclass
+class Spelling:
+    """Logarithms of how likely a byte follows two others in any learned language: of known triples, and of others by their first two bytes.
+
+    The network has to choose a language for any text, and is often sure of one for texts in none; this tells such texts apart.
+    """
+
+    triples: np.ndarray
+    values: np.ndarray
+    pairs: np.ndarray
+    others: np.ndarray
+    least: float = -np.inf
+
+    @staticmethod
+    def count(words: list[list[bytes]]) -> Spelling:
+        """All languages weigh the same."""
+        found = []
+        for own in words:
+            parts = []
+            for at in range(0, len(own), 1 << 15):
+                t, inside = _triples(*_pack(own[at : at + (1 << 15)]))
+                parts.append(np.unique(t[inside], return_counts=True))
+            t, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([p[1] for p in parts]))
+            found.append((t, n, n.sum()))
+        most = max(total for _, _, total in found)
+        triples, where = np.unique(np.concatenate([t for t, _, _ in found]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([k * (most / total) for _, k, total in found]))
+        pairs, of = np.unique(triples >> 8, return_inverse=True)
+        total = np.bincount(of, n) + 0.05 * 256
+        return Spelling(triples, np.log((n + 0.05) / total[of]), pairs, np.log(0.05 / total))
+
+    @staticmethod
+    def learn(words: list[list[bytes]]) -> Spelling:
+        """The limit is set on half of the words by the counts of the other half, for the language that is spelled least regularly."""
+        half = [(w[: len(w) // 2] or w, w[len(w) // 2 :]) for w in words]
+        seen = Spelling.count([a for a, _ in half])
+        out = Spelling.count(words)
+        out.least = min(float(np.quantile(seen.means(b), RARE_WORDS)) for _, b in half)
+        return out
+
+    def means(self, words: list[bytes]) -> np.ndarray:
+        """Each word's mean over its triples."""
+        out = np.zeros(len(words))
+        for at in range(0, len(words), 1 << 13):
+            t, inside = _triples(*_pack(words[at : at + (1 << 13)]))
+            pair = np.minimum(np.searchsorted(self.pairs, t >> 8), len(self.pairs) - 1)
+            value = np.where(self.pairs[pair] == t >> 8, self.others[pair], -np.log(256))
+            place = np.minimum(np.searchsorted(self.triples, t), len(self.triples) - 1)
+            value = np.where(self.triples[place] == t, self.values[place], value)
+            out[at : at + (1 << 13)] = (value * inside).sum(1) / inside.sum(1)
+        return out
+
+
 @dataclass
 class Network:
     """Weights: embedding, for both directions input, recurrent and bias weights of the three gates, and the output layer."""
 
     langs: list[str]
     w: dict[str, np.ndarray]
+    spelling: Spelling | None = None
 
     @staticmethod
     def fresh(langs: list[str], seed: int = 7) -> Network:
@@ -225,7 +288,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     have = [i for i, w in enumerate(words) if w]
     if not have:
         return Network.fresh([UND])
-    return train([words[i] for i in have], [langs[i] for i in have], steps * -(-len(have) // MANY_LANGS))
+    net = train([words[i] for i in have], [langs[i] for i in have], steps * -(-len(have) // MANY_LANGS))
+    net.spelling = Spelling.learn([words[i] for i in have])
+    return net
 
 
 class Scorer:
@@ -234,8 +299,23 @@ class Scorer:
     def __init__(self, net: Network):
         self.net, self.k = net, len(net.langs)
         self.rows: dict[bytes, int] = {}
+        self.spelled: dict[bytes, bool] = {}
         self.scores = np.zeros((0, 2 * self.k), np.float32)
 
+    def known(self, texts: list[str]) -> list[float]:
+        """The share of each text's letters in words that are spelled like a learned language's; 0 where its language is und."""
+        langs, spelling, out = self.score(texts)[0], self.net.spelling, []
+        for text, lang in zip(texts, langs, strict=True):
+            words = [] if lang == UND else word_pieces(text)
+            missing = list({w for w in words if w not in self.spelled})
+            if missing and spelling:
+                self.spelled.update(zip(missing, (spelling.means(missing) >= spelling.least).tolist(), strict=True))
+            size = sum(map(len, words))
+            out.append(sum(len(w) for w in words if self.spelled.get(w, True)) / size if size else 0.0)
+            if len(self.spelled) > CACHE_WORDS:
+                self.spelled = {}
+        return out
+
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the mean probability that its positions give the pooled choice."""
         split = [word_pieces(t) for t in texts]
@@ -275,10 +355,12 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     return map_rows(docs, [id_col, text_col], run, "doc_id long, held_out boolean, lang_pred string, score double", keeps=True)
 
 
-def keep_known(docs: DataFrame, net: Network, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents, with all columns, whose language is known with at least min_score."""
+def keep_known(docs: DataFrame, net: Network, text_col: str = "text", min_known: float = MIN_KNOWN) -> DataFrame:
+    """The documents, with all columns, that have a language and at least min_known of their letters in words of learned languages.
+
+    Words of different learned languages count alike, so mixed texts stay; noise, encoded data and other languages go.
+    """
     def keep(texts: list[str]) -> list[bool]:
-        langs, scores = _scorer(net).score(texts)
-        return [lang != UND and s >= min_score for lang, s in zip(langs, scores, strict=True)]
+        return [k > 0 and k >= min_known for k in _scorer(net).known(texts)]
 
     return filter_rows(docs, text_col, keep, keeps=True)

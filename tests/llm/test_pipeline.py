@@ -1,5 +1,8 @@
 """The pipeline's stages on the fixture: what goes, what stays, and the columns."""
 
+import base64
+import random
+
 import corpus_pipeline
 from skymill.llm import langid, quality, simhash
 
@@ -26,3 +29,20 @@ def test_stages_in_order(spark, docs, rows):
 def test_first_stage_keeps_clean_texts(spark, docs):
     kept = langid.keep_known(docs, langid.fit(docs))
     assert {r.doc_id for r in kept.collect()} >= set(range(62))
+
+
+def test_first_stage_drops_noise_and_unlearned_languages(spark, docs, rows):
+    rng = random.Random(6)
+    en, de = rows[1][1].split(), rows[0][1].split()
+    good = [" ".join(en), " ".join(de), " ".join(en + de), " ".join(w for pair in zip(en, de, strict=False) for w in pair), " ".join(en) + f' token = "{rng.randrange(16**40):040x}"']
+    bad = [
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "все люди рождаются свободными и равными в своем достоинстве и правах",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(2000)),
+        base64.b64encode(rng.randbytes(1000)).decode(),
+        rng.randbytes(1000).hex(),
+    ]
+    table = spark.createDataFrame([(i, t, None, None, 0, None, None, None) for i, t in enumerate(good + bad)], docs.schema)
+    kept = langid.keep_known(table, langid.fit(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(good)))
