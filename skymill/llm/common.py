@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 200_000
 #: Words longer than this are never cached.
 CACHE_CHARS = 48
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 2000
 #: Arrow batches are cut into slices of at most so many rows, so that Python lists stay small.
 SLICE_ROWS = 512
 #: And of at most about so many bytes, but for a single longer text.
@@ -33,16 +32,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @cache
 def _own_folder() -> str:
-    """For sessions without the setting."""
+    """For local sessions without the setting."""
     return "file://" + tempfile.mkdtemp(prefix="skymill-")
 
 
 def shared_root(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, as a full URI; deleted when the application ends.
 
-    Only where the setting is missing (plain local sessions, tests) a temporary folder takes its place.
+    Where the setting is missing, a temporary folder takes its place if driver and executors are one process; on a cluster
+    that would be every machine's own, so there the setting must be made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[0-9*]+\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or _own_folder()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{base}/skymill-{uuid.uuid4().hex}")
     fs = path.getFileSystem(conf)
@@ -83,11 +86,12 @@ def release_state() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the rows that Arrow hands to Python at once, where the session has more: whole texts are large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def clear_name(columns: list[str], name: str) -> str:
+    """A name that begins no column's, in any case."""
+    name = f"__{name}"
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -119,7 +123,6 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], p
             yield fn(part)
         pa.default_memory_pool().release_unused()
 
-    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
@@ -134,7 +137,6 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[list[str]], list[boo
             yield part.filter(pa.array(keep(text_list(part.column(at))), pa.bool_()))
         pa.default_memory_pool().release_unused()
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, quality, secrets
+from . import embeddings, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -11,36 +11,39 @@ def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _plain(pattern: str) -> str:
-    """The pattern without look-behind and possessive marks: greedy leftmost matching finds the same runs."""
-    out = pattern.removesuffix("+") if pattern.endswith("}+") else pattern
-    return out[out.index(")") + 1 :] if out.startswith("(?<!") else out
+#: Kind, pattern, group of the value and its shortest length: written here once more, for RE2, so that a wrong pattern of the operator shows.
+SECRET_KINDS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]+", 0, 32),
+    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("vendor", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35,}", 0, 0),
+    ("url", r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", 0, 0),
+    ("opaque", r"[A-Za-z0-9+/_-]+", 0, 24),
+)
 
 
 def _secrets() -> str:
-    kinds = (*secrets.BASE, *secrets.ADDED, secrets.OPAQUE)
     found = []
-    for k in kinds:
-        p = _text(_plain(k.pattern))
-        found.append(f"""SELECT row, owner, {secrets.ORDER[k.name]} AS ord, '{k.name}' AS kind, val[i] AS v, m[i] AS whole,
-  CAST(list_sum(list_transform(seg[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start, {k.shortest} AS shortest
-  FROM (SELECT row, owner, m, val, seg, unnest(generate_series(1, len(m))) AS i FROM (SELECT row, owner, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {k.group}) AS val, string_split_regex(t, {p}) AS seg FROM d))""")
-    base = len(secrets.BASE)
-    opaque = secrets.ORDER[secrets.OPAQUE.name]
+    for i, (name, pattern, group, shortest) in enumerate(SECRET_KINDS):
+        p = _text(pattern)
+        found.append(f"""SELECT row, owner, {i} AS ord, '{name}' AS kind, val[i] AS v, m[i] AS whole,
+  CAST(list_sum(list_transform(seg[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start, {shortest} AS shortest
+  FROM (SELECT row, owner, m, val, seg, unnest(list_filter(generate_series(1, len(m)), lambda i: length(val[i]) >= {shortest})) AS i FROM (SELECT row, owner, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS val, string_split_regex(t, {p}) AS seg FROM d))""")
     return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
 f AS ({' UNION ALL '.join(found)}),
 g AS (SELECT *, start + length(whole) AS stop FROM f WHERE length(v) >= shortest),
-named AS (SELECT * FROM g WHERE ord <> {opaque}),
-o AS (SELECT * FROM g WHERE ord = {opaque} AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
+named AS (SELECT * FROM g WHERE kind <> 'opaque'),
+o AS (SELECT * FROM g WHERE kind = 'opaque' AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
   AND NOT EXISTS (SELECT 1 FROM named n WHERE n.row = g.row AND n.start < g.stop AND g.start < n.stop)),
 s AS (SELECT * FROM named UNION ALL SELECT * FROM o),
-own AS (SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS n_owners FROM s GROUP BY v),
-j AS (SELECT s.*, CASE WHEN n_owners >= {secrets.EXAMPLE_OWNERS} THEN 'example' WHEN n_owners = 1 AND regexp_matches(s.v, '[0-9]') AND NOT regexp_matches(s.v, {_text(secrets.PLACEHOLDER)}) THEN 'live' ELSE 'unsure' END AS verdict FROM s JOIN own USING (v)),
-kept AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM j WHERE ord <> {opaque} OR verdict = 'live'),
-a AS (SELECT row, {', '.join(f"count_if(kind = '{k.name}') AS n_{k.name}" for k in secrets.BASE)}, string_agg(span, ',' ORDER BY start, ord) FILTER (WHERE ord < {base}) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans,
-  count_if(verdict = 'live') AS n_live, count_if(verdict = 'example') AS n_example FROM kept GROUP BY row)
-SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k.name}, 0) AS BIGINT) AS n_{k.name}' for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example FROM d LEFT JOIN a USING (row)"""
+own AS (SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS n_owners, count(DISTINCT row) AS n_repos FROM s GROUP BY v),
+j AS (SELECT s.*, n_owners, n_repos, CASE WHEN n_owners >= 3 OR n_repos >= 10 THEN 'example' WHEN n_owners = 1 AND regexp_matches(s.v, '[0-9]') AND NOT regexp_matches(s.v, '(?i)example|changeme|placeholder|your|xxxx|dummy|sample') THEN 'live' ELSE 'unsure' END AS verdict FROM s JOIN own USING (v)),
+kept AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM j WHERE kind <> 'opaque' OR verdict = 'live'),
+a AS (SELECT row, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, ord) FILTER (WHERE ord < 3) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans,
+  count_if(verdict = 'live') AS n_live, count_if(verdict = 'example') AS n_example, max(n_repos) AS most_repos, max(n_owners) AS most_owners FROM kept GROUP BY row)
+SELECT doc_id, {', '.join(f'CAST(coalesce({n}, 0) AS BIGINT) AS {n}' for n in ('n_assign', 'n_access', 'n_hex', 'n_live', 'n_example', 'most_repos', 'most_owners'))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row)"""
 
 
 def _embeddings() -> str:

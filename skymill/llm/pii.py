@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import cache
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, small_batches, text_list
+from .common import map_rows, slices, text_list
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -36,7 +37,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 def find_emails(text: str) -> list[Span]:
     """A run of address characters is tried once, at its start or where the last match ended: other starts in it fail alike."""
     out, at = [], 0
-    while "@" in text and (m := (_ADDRESS_HERE(text, at) or _ADDRESS_NEXT(text, at))):
+    if "@" not in text:
+        return out
+    while m := (_ADDRESS_HERE(text, at) or _ADDRESS_NEXT(text, at)):
         out.append(m.span())
         at = m.end()
     return out
@@ -215,13 +218,14 @@ def find_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]
     added: dict[str, list[Span]] = {k: [] for k in KINDS}
     if tape := deobfuscate(text):
         for kind, find in FINDERS.items():
-            taken = sorted(base[kind])
+            # Spans of a kind are disjoint and in order, before and after they are mapped back.
+            ends, last = [e for _, e in base[kind]], 0
             for a, b in find(tape.text):
                 span = tape.starts[a], tape.ends[b - 1]
-                if not any(s < span[1] and span[0] < e for s, e in taken):
+                next_base = bisect_right(ends, span[0])
+                if span[0] >= last and not (next_base < len(ends) and base[kind][next_base][0] < span[1]):
                     added[kind].append(span)
-                    taken.append(span)
-            added[kind].sort()
+                    last = span[1]
     return base, added
 
 
@@ -258,7 +262,6 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in slices(batches):
             yield batch.set_column(at, batch.schema.field(at), pa.array([masked(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
