@@ -1,5 +1,7 @@
 """The driver contract: names, SQL for known queries, and every query against its SQL on the smallest tables."""
 
+import sys
+
 import duckdb
 import pytest
 
@@ -23,6 +25,18 @@ def test_names():
     assert set(QUERIES) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("missing", ["skymill.llm", "corpus_pipeline", "public_tokenizers"])
+def test_particle_queries_stand_alone(monkeypatch, missing):
+    for name in [m for m in sys.modules if m.startswith(("skymill.llm", "corpus_pipeline", "public_tokenizers"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    with pytest.warns(UserWarning, match="training-data"):
+        names = set(entry.queries())
+    assert set(QUERIES) <= names and "pipeline" not in names
+    with pytest.warns(UserWarning, match="training-data"):
+        assert set(oracles.ORACLE_SQL) <= set(entry.oracle_sql())
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
