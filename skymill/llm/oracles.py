@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from . import embeddings, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,10 +46,9 @@ SELECT doc_id, {', '.join(f'CAST(coalesce({n}, 0) AS BIGINT) AS {n}' for n in ('
 
 
 def _embeddings() -> str:
-    least = repr(embeddings.MIN_COSINE)
-    return f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    return """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {least}e0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9e0),
 reach AS (SELECT vec_id AS v, vec_id AS r FROM v UNION SELECT reach.v, link.b FROM reach JOIN link ON reach.r = link.a),
 comp AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v),
 n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
@@ -58,7 +56,7 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 
 
 def _quality() -> str:
-    low, high = quality.WORD_LENGTH
+    """The rules' limits are written here once more, so that a wrong one of the operator shows."""
     return rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 s AS (SELECT row, regexp_extract_all(t, '{WORD}') AS w, string_split(t, chr(10)) AS lines, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
 p AS (SELECT row, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM s),
@@ -68,15 +66,17 @@ rep AS (SELECT row, count(DISTINCT i + x) AS n_repeat_words FROM again, (VALUES
 ln AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(lines) AS line FROM s) WHERE regexp_matches(line, '{WORD}') GROUP BY row),
 c AS (SELECT d.doc_id, d.host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d JOIN s USING (row) LEFT JOIN rep USING (row) LEFT JOIN ln USING (row)),
-f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
-j AS (SELECT *, base_failed OR 100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * word_chars OR 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines OR word_chars < {low} * n_words OR word_chars > {high} * n_words AS failed FROM f),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+j AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS failed FROM f),
 h AS (SELECT host, count(*) AS n, count_if(failed) AS k FROM j WHERE host IS NOT NULL GROUP BY host),
-m AS (SELECT sum(k) / sum(n) AS mean, sum(n) AS total, count(*) AS hosts FROM h),
-b AS (SELECT any_value(mean) AS mean, sum(n * pow(k / n - mean, 2)) / any_value(total) - any_value(mean * (1 - mean) * hosts / total) AS between_hosts FROM h, m),
-prior AS (SELECT mean, greatest(1e0, least(1e3, mean * (1 - mean) / greatest(between_hosts, 1e-9) - 1)) AS strength FROM b),
-r AS (SELECT host, (k + mean * strength) / (n + strength) AS rate, n + strength AS size FROM h, prior),
-verdict AS (SELECT host, rate, rate - {quality.CAUTION} * sqrt(rate * (1 - rate) / (size + 1)) > {quality.MAX_HOST_RATE} AS rejected FROM r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept, failed, round(rate, 6) AS host_rate FROM j LEFT JOIN verdict USING (host)"""
+m AS (SELECT sum(k) / sum(n) AS mean FROM h),
+b AS (SELECT any_value(mean) AS mean, avg(pow(k / n - mean, 2)) - any_value(mean * (1 - mean)) * avg(1 / n) AS between_hosts FROM h, m),
+prior AS (SELECT mean, greatest(1e0, least(1e2, mean * (1 - mean) / greatest(between_hosts, 1e-9) - 1)) AS strength FROM b),
+r AS (SELECT host, mean, (k + mean * strength) / (n + strength) AS rate, n + strength AS size FROM h, prior),
+low AS (SELECT *, rate - 2 * sqrt(rate * (1 - rate) / (size + 1)) AS low FROM r),
+verdict AS (SELECT host, rate, low > mean + 0.5e0 * (1 - mean) AS rejected, low > 1.5e0 * mean AS suspect FROM low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AND NOT (failed AND coalesce(suspect, false)) AS kept, failed,
+  round(rate, 6) AS host_rate, coalesce(rejected, false) AS host_rejected, coalesce(suspect, false) AS host_suspect FROM j LEFT JOIN verdict USING (host)"""
 
 
 ORACLE_SQL = {"op3_secret_ownership": _secrets(), "op9_embedding_neighbours": _embeddings(), "op10_host_quality": _quality()}

@@ -69,7 +69,10 @@ def op9_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(read_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", F.round("host_rate", 6).alias("host_rate"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", F.round("host_rate", 6).alias("host_rate"),
+        F.coalesce("rejected", F.lit(False)).alias("host_rejected"), F.coalesce("suspect", F.lit(False)).alias("host_suspect"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_records, op3_secret_ownership, op4_packing, op5_toxicity, op6_language_id, op7_personal_data, op8_simhash, op9_embedding_neighbours, op10_host_quality)}

@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,13 +261,52 @@ def test_counts(text):
     assert (n_words, chars, symbols, again, repeats) == brute_counts(text)
 
 
-def test_hosts_that_fail_are_rejected(spark):
-    good = " ".join(f"word{i}" for i in range(60))
-    rows = [(i, "bad " * 60, "junk.example") for i in range(200)] + [(1000 + i, good, "fine.example") for i in range(200)]
-    rows += [(5000, good, "junk.example"), (5001, good, None), (5002, good, "new.example"), (None, None, "fine.example")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rejected", F.lit(True))
-    kept = {r.doc_id: r.kept for r in quality.judge_documents(table).collect()}
-    assert not kept[0] and not kept[5000] and kept[1000] and kept[5001] and kept[5002] and not kept[None]
-    out = quality.keep_good(table)
-    assert out.columns == table.columns
-    assert {r.doc_id for r in out.collect()} == {i for i, k in kept.items() if k}
+@pytest.fixture(scope="module")
+def hosted(spark):
+    """Hosts of good documents, of all kinds of junk, half of symbol spam, and small ones of either kind."""
+    rng = random.Random(12)
+
+    def good():
+        return " ".join(f"word{rng.randrange(900)}" for _ in range(60))
+
+    def symbols():
+        return " ".join(f"w{rng.randrange(900)}$$" for _ in range(60))
+
+    plan = {"junk": (400, 1.0, lambda: "bad " * 60), "spam": (400, 0.9, symbols), "half": (300, 0.4, symbols), "small": (30, 1.0, symbols), "lone": (1, 1.0, symbols)}
+    plan |= {f"fine{i}": (rng.randint(1, 400), 0.05, symbols) for i in range(60)}
+    rows = [(host, bad() if rng.random() < share else good()) for host, (n, share, bad) in plan.items() for _ in range(n)]
+    rows += [("junk", good()), (None, good()), (None, None), ("fine0", None)]
+    schema = "doc_id long, source string, text string, __quality int, rejected boolean, n_words int"
+    return spark.createDataFrame([(i, *r, 1, True, 2) for i, r in enumerate(rows)], schema)
+
+
+def test_hosts_by_their_shrunk_rates(hosted):
+    """The query equals its SQL, and the hosts' verdicts reject documents that the base rules pass."""
+    from skymill.llm import queries
+
+    got = {r.doc_id: r for r in quality.judge_documents(hosted).collect()}
+    of = {r.doc_id: r for r in hosted.collect()}
+    verdict = {of[i].source: (bool(r.rejected), bool(r.suspect)) for i, r in got.items()}
+    assert [verdict[h] for h in ("junk", "spam", "half", "small", "lone", None)] == [(True, True), (True, True), (False, True), (True, True), (False, False), (False, False)]
+    assert not any(any(verdict[f"fine{i}"]) for i in range(60))
+    for i, r in got.items():
+        failed = bool(r.failed)
+        want = {"junk": False, "spam": False, "small": False, "half": not failed}.get(of[i].source, not r.base_failed)
+        assert r.kept == want, of[i].source
+    assert sum(not r.base_failed and not r.kept for r in got.values()) > 400
+    out = quality.keep_good(hosted)
+    assert out.columns == hosted.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, r in got.items() if r.kept)
+    con = duckdb.connect()
+    con.register("documents", hosted.select("doc_id", "source", "text").toArrow())
+    sql = {i: (kept, rate) for i, kept, rate in con.sql(queries.ORACLE_SQL["op10_host_quality"]).select("doc_id", "kept", "host_rate").fetchall()}
+    assert {i: k for i, (k, _) in sql.items()} == {i: r.kept for i, r in got.items()}
+    assert all(sql[i][1] == pytest.approx(r.host_rate, abs=1e-5) for i, r in got.items())
+
+
+def test_one_small_bad_host_in_a_large_table(spark):
+    """Fifty hosts that differ by chance alone hold nearly all documents; a host of 200 that all fail is found."""
+    counts = spark.range(100_200).select(F.when(F.col("id") < 100_000, F.concat(F.lit("h"), F.col("id") % 50)).otherwise("bad").alias("host"), ((F.col("id") >= 100_000) | (F.xxhash64("id") % 20 == 0)).alias("failed"))
+    judged = counts.withColumns({f"fails_{r}": F.col("failed") for r in quality.RULES})
+    got = {r.host: r.rejected for r in quality.host_verdicts(judged).collect()}
+    assert got.pop("bad") and not any(got.values()) and len(got) == 50
