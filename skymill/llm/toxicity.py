@@ -1,12 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are words and their beginnings, hashed. Terms that go with the label beyond chance are kept; the machine gives
-each a weight and a vector, and scores a document by the sum of its terms' weights and of the inner products of all pairs
-of their vectors, so that two terms together may count for more or less than apart. It is fitted in numpy by Adagrad on
-a bounded sample of labelled rows.
-
-Null and empty texts have no terms and get the machine's score for none. Equal texts get equal scores. Without
-labelled rows of both classes every score is the labels' mean (0.5 if there are none).
+Terms are words and their beginnings, hashed. Terms that go with the label beyond chance are kept, alone or in pairs whose
+terms may each say nothing; the machine gives each a weight and a vector, and scores a document by the sum of its terms'
+weights and of the inner products of all pairs of their vectors, so that two terms together may count for more or less
+than apart. It is fitted in numpy by Adagrad on a bounded sample of labelled rows.
+
+Null and empty texts have no terms and get the machine's score for none. Equal texts get equal scores. Rows without an id
+are scored; rows that share an id are scored one by one, and count once for training. Without labelled rows of both classes,
+or without documents, every score is the labels' mean (0.5 if there are none). An empty table gives an empty result. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ PREFIXES = (4, 5, 6, 7)
 #: A term is kept if its log-likelihood ratio with the label is above this, and the most telling ones up to a number.
 MIN_RATIO = 15.0
 MAX_TERMS = 8192
+#: Pairs of the commonest terms of label 1 are tried; one is kept if its ratio is above this and above so many times that of either term alone.
+PAIR_TERMS, MIN_PAIR_RATIO, PAIR_GAIN = 1024, 40.0, 2.0
+MAX_PAIRS = 512
 FACTORS, EPOCHS, RATE, DECAY = 8, 60, 0.2, 1e-4
 THRESHOLD = 0.7
 
@@ -63,21 +68,45 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def choose_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Hashed terms with a log-likelihood ratio above MIN_RATIO, ascending."""
-    every, where = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(labels, [len(r) for r in rows])
-    n1, n = int(labels.sum()), len(labels)
-    a = np.bincount(where, owner, len(every))
-    b = np.bincount(where, minlength=len(every)) - a
+def _ratios(a: np.ndarray, df: np.ndarray, n1: int, n: int) -> np.ndarray:
+    """Log-likelihood ratios of being in a document and its label: a of the n1 documents of label 1 and df of all n hold it."""
 
     def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(expected, 1e-12)), 0)
 
-    df = a + b
-    ratio = 2 * (part(a, df * n1 / n) + part(b, df * (n - n1) / n) + part(n1 - a, (n - df) * n1 / n) + part(n - n1 - b, (n - df) * (n - n1) / n))
+    b = df - a
+    return 2 * (part(a, df * n1 / n) + part(b, df * (n - n1) / n) + part(n1 - a, (n - df) * n1 / n) + part(n - n1 - b, (n - df) * (n - n1) / n))
+
+
+def choose_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Hashed terms with a log-likelihood ratio above MIN_RATIO, and those of telling pairs; ascending."""
+    every, where = np.unique(np.concatenate(rows), return_inverse=True)
+    owner = np.repeat(labels, [len(r) for r in rows])
+    n1, n = int(labels.sum()), len(labels)
+    a, df = np.bincount(where, owner, len(every)), np.bincount(where, minlength=len(every))
+    ratio = _ratios(a, df, n1, n)
     best = np.argsort(-ratio, kind="stable")[:MAX_TERMS]
-    return np.sort(every[best[ratio[best] > MIN_RATIO]])
+    common = np.sort(np.argsort(-a, kind="stable")[:PAIR_TERMS])
+    return np.union1d(every[best[ratio[best] > MIN_RATIO]], every[common[telling_pairs(rows, labels, every[common], ratio[common])]])
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Places of the terms of pairs that say more of the label than either term. terms: ascending; ratio: of each alone."""
+    both = np.zeros((2, len(terms), len(terms)), np.float32)
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        for at in range(0, len(own), 512):
+            held = np.stack([np.isin(terms, rows[i], assume_unique=True) for i in own[at : at + 512]]).astype(np.float32)
+            both[label] += held.T @ held
+    found = []
+    for at in range(0, len(terms), 64):
+        a, df = both[1, at : at + 64].astype(np.float64), both[:, at : at + 64].sum(0, dtype=np.float64)
+        value = _ratios(a, df, int(labels.sum()), len(labels))
+        value[np.arange(len(terms))[None, :] <= np.arange(at, at + len(value))[:, None]] = 0
+        more = (value > MIN_PAIR_RATIO) & (value > PAIR_GAIN * np.maximum(ratio[at : at + 64, None], ratio[None, :]))
+        i, j = np.nonzero(more)
+        found += zip((-value[i, j]).tolist(), (i + at).tolist(), j.tolist(), strict=True)
+    return np.unique(np.array([x for _, i, j in sorted(found)[:MAX_PAIRS] for x in (i, j)], np.int64))
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
@@ -115,20 +144,28 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     return Machine(ids, weight, vector, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN) -> Machine:
-    """Train on up to max_rows labelled documents, chosen by a hash of their id, whose id's crc32 modulo 3 is not 1."""
-    key = F.col("doc_id").cast("string")
-    chosen = labels.filter(F.col(label_col).isNotNull() & (F.crc32(key.cast("binary")) % 3 != 1)).select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    chosen = chosen.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", max_rows: int = MAX_TRAIN) -> Machine:
+    """Train on up to max_rows labelled documents, chosen by a hash of their id, whose id's crc32 modulo 3 is not 1.
+
+    An id with several labels has the greatest; of several rows with one id, one text is taken, the same each time.
+    """
+    key = F.col(f"`{label_id_col}`")
+    chosen = labels.filter(F.col(f"`{label_col}`").isNotNull() & (F.crc32(key.cast("string").cast("binary")) % 3 != 1)).select(key.cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # At most max_rows rows of two numbers.
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col("__id").alias("doc_id"), F.col("__label").alias("label"), F.col(f"`{text_col}`").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted({i for w in set(_WORDS(t.lower())) for i in term_ids(w)}) for t in text_list(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "terms"])
-
-    got = map_rows(rows, ["doc_id", "label", "text"], run, "doc_id long, label int, terms array<int>").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+        texts = text_list(batch.column(2))
+        found = [sorted({i for w in set(_WORDS(t.lower())) for i in term_ids(w)}) for t in texts]
+        mark = [(zlib.crc32(t.encode()) << 31) | (len(t) & 0x7FFFFFFF) for t in texts]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mark, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["id", "label", "mark", "terms"])
+
+    # One row for each id, however many rows have it.
+    mapped = map_rows(rows, ["id", "label", "text"], run, "id long, label int, mark long, terms array<int>")
+    got = mapped.groupBy("id").agg(F.first("label").alias("label"), F.min_by("terms", "mark").alias("terms")).toArrow()
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
     terms = [np.asarray(got["terms"][int(i)].values.to_numpy(zero_copy_only=False), np.int64) for i in order]
     return train(terms, got["label"].to_numpy()[order].astype(np.float64))
 

@@ -1,5 +1,7 @@
 """The learned operators: gradients, held-out accuracy and odd rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,45 @@ def test_pairs_count_beyond_single_terms(toxic):
     assert got[None].predicted == 1 and got[None].held_out is False
 
 
+def test_pairs_of_terms_that_say_nothing_alone(spark):
+    """A document is toxic if it holds just one of two words, so each is independent of the label."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(1600):
+        text = [f"w{x}" for x in rng.integers(0, 300, 40)] + [["alpha", "beta"], ["alpha"], ["beta"], []][i % 4]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 in (1, 2))))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    got = toxicity.score_documents(docs, machine).filter("held_out").collect()
+    assert np.mean([r.predicted == int(r.doc_id % 4 in (1, 2)) for r in got]) > 0.97
+
+
+def test_scores_equal_all_pairs_written_out():
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(30)]
+    ids = np.unique([i for w in words for i in toxicity.term_ids(w)])
+    machine = toxicity.Machine(ids, rng.normal(size=len(ids)), rng.normal(size=(len(ids), 8)) / 4, -0.3)
+    texts = ["", "none of these", "Word1, word2!", *[" ".join(rng.choice(words, 12)) for _ in range(30)]]
+    got = toxicity.Scorer(machine).score(texts)
+    for text, score in zip(texts, got.tolist(), strict=True):
+        held = sorted({i for w in re.findall(r"[a-z]+[0-9]*", text.lower()) for i in toxicity.term_ids(re.sub("[0-9]", "", w))} & set(ids.tolist()))
+        at = [int(np.searchsorted(ids, h)) for h in held]
+        x = machine.bias + sum(machine.weight[i] for i in at) + sum(float(machine.vector[i] @ machine.vector[j]) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert abs(score - 1 / (1 + np.exp(-x))) < 1e-9
+
+
+def test_an_id_on_many_rows_is_trained_on_once(spark, toxic):
+    docs, labels = toxic
+    hot = spark.range(5000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("w1 "), F.col("id") % 3).alias("text"), F.lit("x").alias("label"))
+    machine = toxicity.fit(docs.filter("doc_id <> 5").unionByName(hot), labels.unionByName(labels))
+    assert np.isfinite(machine.weight).all()
+    renamed = docs.withColumnRenamed("doc_id", "key")
+    assert (toxicity.fit(renamed, labels, id_col="key").weight == toxicity.fit(docs, labels).weight).all()
+    assert toxicity.score_documents(docs.filter(F.lit(False)), machine).collect() == []
+
+
 def test_toxicity_without_labels(toxic):
     docs, labels = toxic
     machine = toxicity.fit(docs, labels.filter(F.lit(False)))
