@@ -9,12 +9,14 @@ few for that, all queries are compared with the whole shard. What is found is ve
 links are counted, and a spanning forest of them is united to components.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, not even with their equals; nor do
-vectors of different lengths. A null vec_id never names a component. Equal rows are copies of one vector and link.
+vectors of different lengths. A null vec_id never names a component. Equal rows are copies of one vector and link. An
+empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import io
+import logging
 import math
 import uuid
 from collections.abc import Iterator
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import join_by_key, shared_root, stage_table
 from .graph import component_ids, spanning
 
+log = logging.getLogger(__name__)
+
 MIN_COSINE = 0.9
 #: Vectors in a shard at most on average, and shards at least (they are built side by side).
-SHARD_ROWS = 20_000
+SHARD_ROWS = 50_000
 MIN_SHARDS = 6
 #: Queries that search together; a multiple of 8.
 BLOCK = 256
@@ -45,6 +49,8 @@ class SmallWorld:
 
     def __init__(self, unit: np.ndarray, layers: list[np.ndarray], entry: int):
         self.unit, self.layers, self.entry = unit, layers, entry
+        #: Links that audits of searches in this graph knew, and how many of them the beam found that was then used.
+        self.audited = np.zeros(2, np.int64)
 
     @staticmethod
     def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, seed: int = 7) -> SmallWorld:
@@ -208,9 +214,13 @@ class SmallWorld:
                 r, c = self.near(q[i : i + BLOCK], least, beam)
                 found += np.bincount(r[c != own[i + r]] + i, minlength=len(q))
             found = np.minimum(found, truth)
+            last = np.array([truth.sum(), found.sum()])
             if found.sum() >= MIN_RECALL * truth.sum() and (found / truth).mean() >= MIN_RECALL:
                 break
             beam *= 2
+        else:
+            last = np.array([truth.sum()] * 2)
+        self.audited += last
         return beam
 
     def within(self, q: np.ndarray, least: float, same: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -288,7 +298,10 @@ def build_shards(vectors: DataFrame, shards: int) -> list[tuple[int, str]]:
             x = _matrix(own["embedding"].chunk(0))
             graph = SmallWorld.build(_unit(x))
             out = io.BytesIO()
-            np.savez(out, node=own["node"].to_numpy(), n=own["n"].to_numpy(), x=x, **{f"layer{i}": a for i, a in enumerate(graph.layers)})
+            with np.errstate(over="ignore"):
+                narrow = x.astype(np.float32)
+            # Components that were single precision are kept so.
+            np.savez(out, node=own["node"].to_numpy(), n=own["n"].to_numpy(), x=narrow if (narrow == x).all() else x, **{f"layer{i}": a for i, a in enumerate(graph.layers)})
             file = f"{uuid.uuid4().hex}.npz"
             store, base = _store(folder)
             with store.open_output_stream(f"{base}/{file}") as stream:
@@ -306,13 +319,13 @@ def _load(uri: str) -> tuple[SmallWorld, np.ndarray, np.ndarray, np.ndarray]:
     store, path = _store(uri)
     with store.open_input_stream(path) as stream:
         held = np.load(io.BytesIO(stream.read()))
-    x = held["x"]
+    x = held["x"].astype(np.float64)
     graph = SmallWorld(_unit(x), [held[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in held.files))], 0)
     return graph, held["node"], held["n"], x
 
 
 def search_shards(spark: SparkSession, files: list[tuple[int, str]], min_cosine: float) -> DataFrame:
-    """(a, b, n): rows (node, null, copies of other vectors linked), some for each linked node, and links (a, b, null) that span all found.
+    """(a, b, n, known, found): rows (node, null, copies of other vectors linked), some for each linked node, links (a, b, null) that span all found, and for each pair of shards what its audits knew and found.
 
     Each task compares one pair of shards, or a shard with itself.
     """
@@ -346,26 +359,50 @@ def search_shards(spark: SparkSession, files: list[tuple[int, str]], min_cosine:
                     left, right = spanning(np.concatenate([left, node[r]]), np.concatenate([right, names[c]]))
             for ids, n in [(node, linked)] if same else [(node, linked), (names, linked_b)]:
                 some = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(n[some])], ["a", "b", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.nulls(len(left), pa.int64())], ["a", "b", "n"])
+                yield rows_of(pa.array(ids[some]), None, pa.array(n[some]))
+            yield rows_of(pa.array(left), pa.array(right), None)
+            known, found = graph.audited if same else graph.audited + other.audited
+            if known:
+                yield rows_of(None, None, None, pa.array([known], pa.int64()), pa.array([found], pa.int64()))
 
-    return spark.range(0, len(pairs), 1, max(1, len(pairs))).mapInArrow(run, "a long, b long, n long")
+    def rows_of(*columns: pa.Array | None) -> pa.RecordBatch:
+        size = max(len(c) for c in columns if c is not None)
+        columns = [*columns, *[None] * (5 - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else c for c in columns], ["a", "b", "n", "known", "found"])
 
+    return spark.range(0, len(pairs), 1, max(1, len(pairs))).mapInArrow(run, "a long, b long, n long, known long, found long")
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    v = F.col(f"`{vector_col}`").cast("array<float>")
+
+def audited_recall(found: DataFrame) -> float | None:
+    """The share of the links known to the audits of search_shards that their beams found; None if no graph was relied on."""
+    known, hit = found.agg(F.sum("known"), F.sum("found")).first()
+    return hit / known if known else None
+
+
+def usable_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, embedding) of every row, in double precision; the embedding is null where it links with nothing."""
+    v = F.col(f"`{vector_col}`").cast("array<double>")
     usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     # Adding zero turns negative zeros into zeros, so that such vectors count as equal.
-    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0).cast("float"))).alias("embedding"))
-    rows = stage_table(rows, "vectors")
+    return table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0))).alias("embedding"))
+
+
+def found_between(rows: DataFrame, min_cosine: float = MIN_COSINE) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal vectors and what search_shards finds between them, both staged. rows: staged usable_vectors."""
     groups = rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     classes = stage_table(groups.select(F.monotonically_increasing_id().alias("node"), "first_id", "n", F.size("embedding").alias("dims"), "embedding"), "classes")
-    size = classes.count()
-    files = build_shards(classes, max(MIN_SHARDS, math.ceil(size / SHARD_ROWS)))
-    found = stage_table(search_shards(table.sparkSession, files, min_cosine), "found")
+    files = build_shards(classes, max(MIN_SHARDS, math.ceil(classes.count() / SHARD_ROWS)))
+    return classes, stage_table(search_shards(rows.sparkSession, files, min_cosine), "found")
+
+
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    rows = stage_table(usable_vectors(table, id_col, vector_col), "vectors")
+    classes, found = found_between(rows, min_cosine)
+    if (recall := audited_recall(found)) is not None:
+        log.info("audits found %.4f of the links they knew", recall)
     named = component_ids(classes.select("node", "first_id", "n"), found.filter("b is not null").select("a", "b"), "node")
-    linked = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+    linked = found.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     of_vector = classes.select("node", "embedding").join(named, "node").join(linked, "node", "left").select("embedding", "component_id", "n", F.coalesce("linked", F.lit(0)).alias("linked"))
     joined = join_by_key(rows.filter("embedding is not null"), stage_table(of_vector, "named"), "embedding", "n", "inner")
     linked_rows = joined.select("vec_id", (F.col("linked") + F.col("n") - 1).alias("n_links"), "component_id")

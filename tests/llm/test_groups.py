@@ -147,6 +147,40 @@ def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_recall_on_planted_clusters(spark, monkeypatch):
+    """6000 vectors in clusters of all sizes up to a third of them, spread over shards, against all pairs."""
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 800)
+    rng = np.random.default_rng(14)
+    sizes = [2000, 300, 100, *[2] * 200, *[3] * 100, *[8] * 60]
+    parts = [c + s * rng.normal(size=(n, 48)) / np.sqrt(48) for n in sizes for c, s in [(rng.normal(size=48) / np.sqrt(48), rng.choice([0.1, 0.25, 0.33]))]]
+    x = np.concatenate([*parts, rng.normal(size=(6000 - sum(sizes), 48))]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
+    m = x.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    want, n = near.sum(1), np.array([got[i].n_links for i in range(len(x))])
+    assert len(got) == len(x) and (n <= want).all() and want.sum() > 1_000_000
+    assert n.sum() >= 0.98 * want.sum()
+    rare = (want > 0) & (want < 10)
+    assert rare.sum() > 500 and n[rare].sum() >= 0.98 * want[rare].sum()
+    comp = components(len(x), list(zip(*np.nonzero(np.triu(near)), strict=True)))
+    assert sum(got[i].component_id == comp[i] for i in range(len(x))) >= 0.995 * len(x)
+    recall = embeddings.audited_recall(embeddings.found_between(embeddings.usable_vectors(table).cache())[1])
+    assert recall is not None and recall >= embeddings.MIN_RECALL
+
+
+def test_double_precision_is_kept(spark):
+    """Components beyond single precision, and pairs that only double precision tells from 0.9."""
+    a = [1.0, 0.0, 0.0]
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [2e200, 1e190]), (4, [1e-310, 1e-312]), (5, a), (6, [0.9 + 1e-12, (1 - (0.9 + 1e-12) ** 2) ** 0.5, 0.0]), (7, [0.9 - 1e-12, 0.0, (1 - (0.9 - 1e-12) ** 2) ** 0.5])]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in (1, 2, 3, 4)] == [3, 3, 3, 3]
+    assert (got[5].n_links, got[6].n_links, got[7].n_links) == (1, 1, 0)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(2)
     u = embeddings._unit(rng.normal(size=(1500, 24)))
