@@ -1,15 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each word's bytes forwards and backwards from a space to a space and gives every position a
-distribution over the languages; a document's log probabilities are pooled over the positions of all its words. It is
-trained in numpy by backpropagation through time, on words of a bounded sample of documents.
+The network reads a text's bytes, lower-cased and nothing left out, forwards and backwards, and gives every position a
+distribution over the languages; a document's log probabilities are pooled over all its positions. It is trained in numpy
+by backpropagation through time, on windows of a bounded sample of documents.
 
-As the network's state does not cross a word's end, equal words have equal outputs, which are cached within a bound: a
-text costs a network pass only for words that the worker has not met. Words are what lies between ASCII characters that
-are not letters, lower-cased; those of more than MAX_BYTES bytes are read in pieces, so nothing of a text is left out.
+Texts are read in windows of WINDOW bytes with MARGIN more on either side where the text goes on; each position is
+labelled once, in the window that holds it with its context. So a text of any length takes bounded memory, and windows of
+many texts are read side by side.
 
-A null text, or one without any letter, is `und` with score 0. Equal texts get equal results. With no usable training
-rows every text is `und`.
+A null text, or one without any letter, is `und` with score 0. Equal texts get equal results; rows without an id are
+identified like any other. With no usable training rows every text is `und`. An empty table gives an empty result. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ UND = "und"
 #: Training documents for each language, and the characters that are drawn from longer texts among them.
 DOCS_PER_LANG = 300
 MAX_TRAIN_CHARS = 20_000
-#: With more languages fewer characters of a text and more steps are taken, and fewer words are cached: all languages are learned within the same memory.
+#: With more languages fewer characters of a text and more steps are taken, and fewer windows are read at once: all languages are learned within the same memory.
 MANY_LANGS = 64
 #: Longer runs without white space are drawn in parts.
 RUN_CHARS = 1000
-#: Pieces of words that the network reads at once.
-MAX_BYTES = 24
+#: Bytes that a window labels, and bytes of context on either side; windows that are read side by side.
+WINDOW, MARGIN = 192, 16
+READ_AT_ONCE = 1024
 UNITS, EMBED = 16, 12
-STEPS, BATCH, RATE = 700, 256, 0.01
+#: Windows of a training step, and their bytes.
+STEPS, BATCH, TRAIN_BYTES, RATE = 600, 96, 80, 0.01
+#: Words are judged by their spelling in pieces of so many bytes.
+MAX_BYTES = 24
 #: keep_known rejects a document with a smaller share of its letters in words that are spelled like a learned language's, whichever.
 MIN_KNOWN = 0.5
 #: A word is spelled like a language's if its bytes are as likely as those of all but this share of the training words.
@@ -59,10 +64,6 @@ def _pack(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([len(w) + 2 for w in words])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _triples(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each word's triples of bytes as numbers, and which of them lie inside."""
     d = data.astype(np.int32)
@@ -123,9 +124,24 @@ class Spelling:
         return out
 
 
+def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many bytes that follow each other: each window's text, first byte and length, and the first and last + 1 place in it that it labels."""
+    n = -(-lengths // WINDOW)
+    text = np.repeat(np.arange(len(lengths)), n)
+    core = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    size = lengths[text]
+    first = np.maximum(core - MARGIN, 0)
+    last = np.minimum(core + WINDOW + MARGIN, size)
+    offset = (np.cumsum(lengths) - lengths)[text]
+    return text, offset + first, last - first, core - first, np.minimum(core + WINDOW, size) - first
+
+
 @dataclass
 class Network:
-    """Weights: embedding, for both directions input, recurrent and bias weights of the three gates, and the output layer."""
+    """Weights: embedding e; for each gate (z: update, r: reset, c: candidate) and direction (f, b) input x, recurrent u and bias v; output o; and bias.
+
+    The gates are logistic, written by the hyperbolic tangent: z = (1 + tanh) / 2, and r = 1 + tanh, its half being in u.
+    """
 
     langs: list[str]
     w: dict[str, np.ndarray]
@@ -135,102 +151,132 @@ class Network:
     def fresh(langs: list[str], seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
 
-        def draw(a: int, b: int) -> np.ndarray:
-            return (rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
+        def draw(a: int, b: int, scale: float = 1.0) -> np.ndarray:
+            return (scale * rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
 
-        w = {"e": draw(256, EMBED) * 4, "o": draw(2 * UNITS, len(langs)), "ob": np.zeros(len(langs), np.float32)}
+        w = {"e": draw(256, EMBED, 16.0), "bias": np.zeros(len(langs), np.float32)}
         for d in "fb":
-            w |= {f"x{d}": draw(EMBED, 3 * UNITS), f"h{d}": draw(UNITS, 3 * UNITS), f"b{d}": np.zeros(3 * UNITS, np.float32)}
+            w[f"o{d}"] = draw(UNITS, len(langs))
+            for g in "zrc":
+                w |= {f"x{g}{d}": draw(EMBED, UNITS, 0.5), f"u{g}{d}": draw(UNITS, UNITS, 0.5), f"v{g}{d}": np.zeros(UNITS, np.float32)}
         return Network(langs, w)
 
-    def run(self, data: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each byte in one direction (time, word, unit); keep: also what the gradient needs."""
-        table = self.w["e"] @ self.w[f"x{d}"] + self.w[f"b{d}"]
-        n, width = data.shape
-        h, u = np.zeros((n, UNITS), np.float32), self.w[f"h{d}"]
-        states, kept = np.empty((width, n, UNITS), np.float32), []
+    def run(self, data: np.ndarray, going: list[int], d: str, kept: list | None = None) -> np.ndarray:
+        """What one direction's states add to the languages' scores at each place (place, window, language).
+
+        data: bytes (place, window), the longest window first; going: how many windows have each place. kept: takes what the gradient needs.
+        """
+        w = self.w
+        tz, tr, tc = (w["e"] @ w[f"x{g}{d}"] + w[f"v{g}{d}"] for g in "zrc")
+        uz, ur, uc = (w[f"u{g}{d}"] for g in "zrc")
+        width, n = data.shape
+        h = np.zeros((n, UNITS), uz.dtype)
+        buffers = [np.empty_like(h) for _ in range(4)]
+        out = np.zeros((width, n, len(self.langs)), uz.dtype)
         for t in range(width) if d == "f" else range(width - 1, -1, -1):
-            x = table[data[:, t]]
-            gates = _sigmoid(x[:, : 2 * UNITS] + h @ u[:, : 2 * UNITS])
-            z, r = gates[:, :UNITS], gates[:, UNITS:]
-            rh = r * h
-            c = np.tanh(x[:, 2 * UNITS :] + rh @ u[:, 2 * UNITS :])
-            if keep:
-                kept.append((t, h, z, r, rh, c))
-            h = h + z * (c - h)
-            states[t] = h
-        return states, kept
-
-    def log_probs(self, data: np.ndarray) -> np.ndarray:
-        """Log probabilities of the languages at each position (time, word, language)."""
-        both = np.concatenate([self.run(data, "f")[0], self.run(data, "b")[0]], axis=2)
-        y = both @ self.w["o"] + self.w["ob"]
+            m, at = going[t], data[t, : going[t]]
+            x, z, r, c = (b[:m] for b in buffers)
+            now = h[:m]
+            for gate, u, table in ((z, uz, tz), (r, ur, tr)):
+                np.matmul(now, u, out=gate)
+                gate += np.take(table, at, axis=0, out=x, mode="clip")
+                np.tanh(gate, out=gate)
+            np.matmul(now, uc, out=c)
+            if kept is not None:
+                before = (now.copy(), z.copy(), r.copy(), c.copy())
+            r += 1
+            c *= r
+            c += np.take(tc, at, axis=0, out=x, mode="clip")
+            np.tanh(c, out=c)
+            if kept is not None:
+                kept.append((t, *before, c.copy()))
+            z += 1
+            z *= 0.5
+            c -= now
+            c *= z
+            now += c
+            np.matmul(now, w[f"o{d}"], out=out[t, :m])
+        return out
+
+    def window_scores(self, data: np.ndarray, going: list[int], inside: np.ndarray) -> np.ndarray:
+        """For each window, log probabilities and probabilities of the languages summed over the places inside (window, 2 * languages)."""
+        y = self.run(data, going, "f")
+        y += self.run(data, going, "b")
+        y += self.w["bias"]
         y -= y.max(2, keepdims=True)
-        return y - np.log(np.exp(y).sum(2, keepdims=True))
+        p = np.exp(y)
+        total = p.sum(2, keepdims=True)
+        p /= total
+        y -= np.log(total)
+        return np.concatenate([np.einsum("tnk,tn->nk", x, inside) for x in (y, p)], axis=1)
 
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """For each word, log probabilities and probabilities summed over its positions (word, 2 * languages)."""
+    def text_scores(self, texts: list[bytes]) -> np.ndarray:
+        """For each text, log probabilities and probabilities of the languages summed over all its bytes."""
         k = len(self.langs)
-        out = np.zeros((len(words), 2 * k), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        size = max(64, 2048 * MANY_LANGS // max(MANY_LANGS, k))
+        held = np.frombuffer(b"".join(texts), np.uint8)
+        text, first, length, low, high = windows_of(np.array([len(t) for t in texts], np.int64))
+        out = np.zeros((len(texts), 2 * k))
+        order = np.argsort(-length, kind="stable")
+        size = max(16, READ_AT_ONCE * 4 // max(4, k))
         for at in range(0, len(order), size):
             part = order[at : at + size]
-            data, lengths = _pack([words[i] for i in part])
-            y = self.log_probs(data)
-            inside = (np.arange(data.shape[1])[:, None] < lengths[None, :]).astype(np.float32)[:, :, None]
-            out[part, :k] = (y * inside).sum(0)
-            out[part, k:] = (np.exp(y) * inside).sum(0)
+            place = np.arange(length[part[0]])[:, None]
+            data = held[np.minimum(first[part] + place, len(held) - 1)].astype(np.intp)
+            going = (length[part] > place).sum(1).tolist()
+            inside = ((place >= low[part]) & (place < high[part])).astype(np.float32)
+            np.add.at(out, text[part], self.window_scores(data, going, inside))
         return out
 
-    def gradient(self, data: np.ndarray, lengths: np.ndarray, lang: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all positions and its gradient, by backpropagation through time."""
-        w = self.w
-        passes = {d: self.run(data, d, keep=True) for d in "fb"}
-        both = np.concatenate([passes["f"][0], passes["b"][0]], axis=2)
-        y = both @ w["o"] + w["ob"]
+    def gradient(self, data: np.ndarray, lang: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over all places of windows of one length and its gradient, by backpropagation through time."""
+        w, (width, n) = self.w, data.shape
+        kept: dict[str, list] = {"f": [], "b": []}
+        y = sum(self.run(data, [n] * width, d, kept[d]) for d in "fb") + w["bias"]
         y -= y.max(2, keepdims=True)
         p = np.exp(y)
         p /= p.sum(2, keepdims=True)
-        inside = (np.arange(data.shape[1])[:, None] < lengths[None, :]).astype(np.float32)
-        scale = inside / inside.sum()
-        rows = np.arange(len(lang))
-        loss = float(-(np.log(np.maximum(p[:, rows, lang], 1e-9)) * scale).sum())
+        rows = np.arange(n)
+        loss = float(-np.log(np.maximum(p[:, rows, lang], 1e-9)).mean())
         dy = p
         dy[:, rows, lang] -= 1
-        dy *= scale[:, :, None]
+        dy /= width * n
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        g["o"] = np.tensordot(both, dy, ([0, 1], [0, 1]))
-        g["ob"] = dy.sum((0, 1))
-        dboth = dy @ w["o"].T
-        for d, part in (("f", slice(0, UNITS)), ("b", slice(UNITS, None))):
-            u, dh = w[f"h{d}"], np.zeros((len(lang), UNITS), np.float32)
-            dtable = np.zeros((256, 3 * UNITS), np.float32)
-            for t, h, z, r, rh, c in reversed(passes[d][1]):
-                dh = dh + dboth[t][:, part]
+        g["bias"] = dy.sum((0, 1))
+        for d in "fb":
+            uz, ur, uc = (w[f"u{k}{d}"] for k in "zrc")
+            dh = np.zeros((n, UNITS), uz.dtype)
+            tables = {k: np.zeros((256, UNITS), uz.dtype) for k in "zrc"}
+            for t, h, tz, tr, m, c in reversed(kept[d]):
+                z = 0.5 * (1 + tz)
+                g[f"o{d}"] += (h + z * (c - h)).T @ dy[t]
+                dh = dh + dy[t] @ w[f"o{d}"].T
                 dc = dh * z * (1 - c * c)
-                dz = dh * (c - h) * z * (1 - z)
-                drh = dc @ u[:, 2 * UNITS :].T
-                dr = drh * h * r * (1 - r)
-                dgates = np.concatenate([dz, dr], 1)
-                g[f"h{d}"][:, : 2 * UNITS] += h.T @ dgates
-                g[f"h{d}"][:, 2 * UNITS :] += rh.T @ dc
-                np.add.at(dtable, data[:, t], np.concatenate([dgates, dc], 1))
-                dh = dh * (1 - z) + drh * r + dgates @ u[:, : 2 * UNITS].T
-            g[f"b{d}"] = dtable.sum(0)
-            g[f"x{d}"] = w["e"].T @ dtable
-            g["e"] += dtable @ w[f"x{d}"].T
+                dz = dh * (c - h) * 0.5 * (1 - tz * tz)
+                dr = dc * m * (1 - tr * tr)
+                dm = dc * (1 + tr)
+                for k, own, recurrent in (("z", dz, dz), ("r", dr, dr), ("c", dc, dm)):
+                    np.add.at(tables[k], data[t], own)
+                    g[f"u{k}{d}"] += h.T @ recurrent
+                dh = dh * (1 - z) + dz @ uz.T + dr @ ur.T + dm @ uc.T
+            for k, table in tables.items():
+                g[f"v{k}{d}"] = table.sum(0)
+                g[f"x{k}{d}"] = w["e"].T @ table
+                g["e"] += table @ w[f"x{k}{d}"].T
         return loss, g
 
 
-def train(words: list[list[bytes]], langs: list[str], steps: int = STEPS, seed: int = 7) -> Network:
-    """Fit by Adam on batches with as many words of each language. words: for each language, words as often as they occur."""
+def train(texts: list[list[bytes]], langs: list[str], steps: int = STEPS, seed: int = 7) -> Network:
+    """Fit by Adam on batches with as many windows of each language. texts: for each language its documents' bytes."""
     net, rng = Network.fresh(langs, seed), np.random.default_rng(seed)
+    # Documents of a language are read one after the other, repeated if they are shorter than a window.
+    own = [b"\n".join(t) + b"\n" for t in texts]
+    own = [np.frombuffer(t * -(-TRAIN_BYTES // len(t)), np.uint8) for t in own]
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     for step in range(1, steps + 1):
         lang = rng.integers(0, len(langs), BATCH)
-        data, lengths = _pack([words[k][rng.integers(len(words[k]))] for k in lang])
-        _, g = net.gradient(data, lengths, lang)
+        at = [rng.integers(len(own[k]) - TRAIN_BYTES + 1) for k in lang]
+        data = np.stack([own[k][i : i + TRAIN_BYTES] for k, i in zip(lang, at, strict=True)], axis=1).astype(np.intp)
+        _, g = net.gradient(data, lang)
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, v in g.items():
             first[k] = 0.9 * first[k] + 0.1 * v
@@ -281,26 +327,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "lang", "text"])
 
     sample = map_rows(sample, ["id", "lang", "text"], shorten, "id string, lang string, text string")
-    words: list[list[bytes]] = [[] for _ in langs]
+    texts: list[list[str]] = [[] for _ in langs]
     number = {lang: i for i, lang in enumerate(langs)}
     for r in sample.orderBy(F.xxhash64("id")).limit(docs_per_lang * len(langs)).collect():
-        words[number[r["lang"]]] += word_pieces(r["text"])
+        texts[number[r["lang"]]].append(r["text"])
+    words = [[w for t in own for w in word_pieces(t)] for own in texts]
     have = [i for i, w in enumerate(words) if w]
     if not have:
         return Network.fresh([UND])
-    net = train([words[i] for i in have], [langs[i] for i in have], steps * -(-len(have) // MANY_LANGS))
+    net = train([[t.lower().encode() for t in texts[i]] for i in have], [langs[i] for i in have], steps * -(-len(have) // MANY_LANGS))
     net.spelling = Spelling.learn([words[i] for i in have])
     return net
 
 
 class Scorer:
-    """A network with a bounded cache of word scores."""
+    """A network, and a bounded cache of which words are spelled like a learned language's."""
 
     def __init__(self, net: Network):
         self.net, self.k = net, len(net.langs)
-        self.rows: dict[bytes, int] = {}
         self.spelled: dict[bytes, bool] = {}
-        self.scores = np.zeros((0, 2 * self.k), np.float32)
 
     def known(self, texts: list[str]) -> list[float]:
         """The share of each text's letters in words that are spelled like a learned language's; 0 where its language is und."""
@@ -318,31 +363,19 @@ class Scorer:
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the mean probability that its positions give the pooled choice."""
-        split = [word_pieces(t) for t in texts]
-        if len(self.rows) > CACHE_WORDS * MANY_LANGS // max(MANY_LANGS, self.k):
-            self.rows, self.scores = {}, self.scores[:0]
-        rows = self.rows
-        missing = list({w for words in split for w in words if w not in rows})
-        if missing:
-            base = len(self.scores)
-            rows.update(zip(missing, range(base, base + len(missing)), strict=True))
-            self.scores = np.concatenate([self.scores, self.net.word_scores(missing)])
-        langs, scores = [], []
-        for text, words in zip(texts, split, strict=True):
-            if self.net.langs == [UND] or not words or not any(map(str.isalpha, text)):
-                langs.append(UND)
-                scores.append(0.0)
-                continue
-            pooled = self.scores[np.fromiter([rows[w] for w in words], np.int64, len(words))].sum(0, dtype=np.float64)
-            best = int(pooled[: self.k].argmax())
-            langs.append(self.net.langs[best])
-            scores.append(float(min(1.0, pooled[self.k + best] / pooled[self.k :].sum())))
+        langs, scores = [UND] * len(texts), [0.0] * len(texts)
+        told = [] if self.net.langs == [UND] else [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]
+        if told:
+            pooled = self.net.text_scores([texts[i].lower().encode() for i in told])
+            for i, row, best in zip(told, pooled, pooled[:, : self.k].argmax(1).tolist(), strict=True):
+                langs[i] = self.net.langs[best]
+                scores[i] = round(float(min(1.0, row[self.k + best] / row[self.k :].sum())), 6)
         return langs, scores
 
 
 def _scorer(net: Network) -> Scorer:
     """The worker's own scorer of this network."""
-    return worker_state(("langid", net.w["o"].tobytes(), tuple(net.langs)), lambda: Scorer(net))
+    return worker_state(("langid", net.w["of"].tobytes(), tuple(net.langs)), lambda: Scorer(net))
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
