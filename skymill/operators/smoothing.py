@@ -4,21 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import AXES
+from ..staging import staged
 from .deposit import cic_grid
-from .neighbours import nearest
+from .tree import SUBTREE_ROWS, leaves, nearest
 
 #: The box around all particles is widened by this on each side before it is cut into a grid.
 PAD = 1e-4
-#: Nodes of up to so many particles are split further inside one task.
-SUBTREE_ROWS = 200_000
 
 
 def box_mean(grid: DataFrame, n: int) -> DataFrame:
@@ -78,84 +74,9 @@ def knn_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta:
     return df.join(found.select("id", F.when(F.col("n") >= num_ngb, h).alias("h")), "id")
 
 
-def _ranked(df: DataFrame, node: str, coord: str) -> DataFrame:
-    """Adds rn, each row's number within its node by (coord, id), by a range shuffle: no node has to fit a task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, node, coord, "id").sortWithinPartitions(node, coord, "id")
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", __part int, __local long"
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, last, seen = TaskContext.get().partitionId(), None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            nodes = b.column(node).to_numpy()
-            start = np.concatenate([[True], nodes[1:] != nodes[:-1]])
-            first = np.maximum.accumulate(np.where(start, np.arange(len(nodes)), 0))
-            local = np.arange(len(nodes)) - first + 1
-            local[nodes == nodes[0]] += seen if nodes[0] == last else 0
-            last, seen = nodes[-1], int(local[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(nodes), part), pa.int32()), pa.array(local, pa.int64())], [*b.schema.names, "__part", "__local"])
-
-    numbered = _staged(ordered.mapInArrow(number, schema))
-    # One row for each node and partition.
-    sizes = numbered.groupBy(node, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(node).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
-    return numbered.join(before, [node, "__part"]).withColumn("rn", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
-
-
-def _staged(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
-
-
-def split_once(df: DataFrame, node: str = "node") -> DataFrame:
-    """df with each node split in two along its longest axis: the lower half by (coordinate, id) becomes 2*node, the rest 2*node+1.
-
-    Of equally long axes the first is taken; the lower half has half the rows, rounded down.
-    """
-    boxes = df.groupBy(node).agg(F.count(F.lit(1)).alias("__n"), *[(F.max(a) - F.min(a)).alias(f"__s{a}") for a in AXES])
-    axis = F.when((F.col("__sx") >= F.col("__sy")) & (F.col("__sx") >= F.col("__sz")), F.col("x")).when(F.col("__sy") >= F.col("__sz"), F.col("y")).otherwise(F.col("z"))
-    placed = df.join(boxes, node).withColumn("__c", axis).drop("__sx", "__sy", "__sz")
-    return _ranked(placed, node, "__c").withColumn(node, 2 * F.col(node) + (F.col("rn") > F.floor(F.col("__n") / 2)).cast("long")).drop("rn", "__n", "__c")
-
-
-def leaf_numbers(xyz: np.ndarray, ids: np.ndarray, leaf_size: int) -> np.ndarray:
-    """A leaf number for each row: nodes above leaf_size are halved along their longest axis, ties by id."""
-    leaf, stack, made = np.zeros(len(ids), np.int64), [np.arange(len(ids))], 0
-    while stack:
-        rows = stack.pop()
-        if len(rows) <= leaf_size:
-            leaf[rows] = made
-            made += 1
-            continue
-        p = xyz[rows]
-        axis = int(np.argmax(p.max(0) - p.min(0)))
-        rows = rows[np.lexsort((ids[rows], p[:, axis]))]
-        half = len(rows) // 2
-        stack += [rows[half:], rows[:half]]
-    return leaf
-
-
-def leaves(df: DataFrame, leaf_size: int = 32, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
-    """(id, x, y, z, node, leaf): upper levels are split by range shuffles, nodes of up to subtree_rows within a task."""
-    out = df.select("id", *AXES, F.lit(1).cast("long").alias("node"))
-    most = out.count()
-    while most > max(subtree_rows, leaf_size):
-        out = _staged(split_once(out))
-        most = -(-most // 2)
-
-    def run(table: pa.Table) -> pa.Table:
-        xyz = np.stack([table[a].to_numpy() for a in AXES], 1)
-        return table.append_column("leaf", pa.array(leaf_numbers(xyz, table["id"].to_numpy(), leaf_size)))
-
-    return out.groupBy("node").applyInArrow(run, "id long, x double, y double, z double, node long, leaf long")
-
-
 def leaf_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, leaf_size: int = 32, max_voxels: float = 8.0, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
     """df (with id) and h from the density of the particle's leaf: its count over the volume of its bounding box, flat axes left out."""
-    placed = _staged(leaves(df, leaf_size, subtree_rows))
+    placed = staged(leaves(df, leaf_size, subtree_rows))
     volume = F.lit(1.0)
     for a in AXES:
         span = F.max(a) - F.min(a)

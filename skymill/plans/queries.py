@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RenderConfig, unit_axis
 from ..functions import colour, cosmology, kernels
-from ..operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing
+from ..operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
 from ..sinks.images import render_images
 
@@ -153,7 +153,7 @@ def leaf_smoothing_length(spark, d):
 
 def leaf_first_splits(spark, d):
     one = particles_emb(spark, d).select("id", *AXES, F.lit(1).cast("long").alias("node"))
-    return smoothing.split_once(smoothing.split_once(one)).select("id", "node")
+    return tree.split(tree.split(one)).select("id", "node")
 
 
 def radius_neighbours(spark, d):

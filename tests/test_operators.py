@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skymill.config import RenderConfig
 from skymill.functions import colour, cosmology, kernels
-from skymill.operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing
+from skymill.operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing, tree
 from skymill.schema import minimum_image, wrap_position
 
 XYZ = "id long, ptype int, x double, y double, z double"
@@ -185,6 +185,49 @@ def test_nearest_equals_brute_force(spark, spread, k):
     assert len(got) == len(q) and all(got[i].n == n and math.isclose(got[i].r2, d2[i, n - 1], abs_tol=1e-12) for i in range(len(q)))
 
 
+def points(spark, p):
+    return spark.createDataFrame([(i, 0, *map(float, v)) for i, v in enumerate(p)], XYZ)
+
+
+def kth(q, p, k):
+    d2 = np.sort(((q[:, None] - p[None]) ** 2).sum(2), axis=1)
+    return d2[:, min(k, len(p)) - 1]
+
+
+@pytest.mark.parametrize(("subtree", "group"), [(200_000, 256), (300, 2)])
+def test_nearest_of_clustered_points(spark, monkeypatch, subtree, group):
+    """A third of all points in one place, a tight cluster, a thin halo; in several rounds of range shuffles and groups."""
+    monkeypatch.setattr(tree, "GROUP_LEAVES", group)
+    rng = np.random.default_rng(8)
+    p = np.concatenate([np.full((700, 3), 0.25), 0.6 + 1e-4 * rng.normal(size=(700, 3)), rng.random((600, 3)), 40 * rng.normal(size=(100, 3))])
+    got = {r.id: r for r in tree.nearest(points(spark, p), 9, subtree_rows=subtree).collect()}
+    want = kth(p, p, 9)
+    assert len(got) == len(p) and all(got[i].n == 9 and math.isclose(got[i].r2, want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(p)))
+    q = np.concatenate([rng.random((150, 3)), 1000 + rng.random((5, 3)), p[:3]])
+    got = {r.id: r for r in tree.nearest(points(spark, p), 9, points(spark, q), subtree_rows=subtree).collect()}
+    want = kth(q, p, 9)
+    assert len(got) == len(q) and all(got[i].n == 9 and math.isclose(got[i].r2, want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(q)))
+
+
+def test_distant_queries_and_few_points(spark):
+    p = np.array([[0.0, 0, 0], [1, 0, 0], [0, 2, 0]])
+    q = points(spark, [[0.1, 0, 0], [1e6, 1e6, 1e6]])
+    assert {r.id: r.n for r in neighbours.nearest(points(spark, p), 3, q).collect()} == {0: 3, 1: 3}
+    got = {r.id: (r.n, r.r2) for r in neighbours.nearest(points(spark, p), 5, q).collect()}
+    assert got[0][0] == got[1][0] == 3 and math.isclose(got[0][1], 4.01)
+    none = points(spark, p).filter("id > 9")
+    assert {(r.n, r.r2) for r in neighbours.nearest(none, 2, q).collect()} == {(0, None)}
+    assert neighbours.nearest(points(spark, p), 2, none).collect() == []
+
+
+def test_density_weighs_masses(spark):
+    p, df = cloud(spark, 90, 12)
+    r = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) / 0.3
+    w = 8 / math.pi * np.where(r < 0.5, 6 * r * r * (r - 1) + 1, np.where(r < 1, 2 * (1 - r) ** 3, 0)) / 0.3**3
+    got = {x.id: x.density for x in neighbours.kernel_density(df, 0.3, F.col("id") + 1.0).collect()}
+    assert all(math.isclose(got[i], v, rel_tol=1e-9) for i, v in enumerate(w @ np.arange(1, 91)))
+
+
 def test_radius_and_density(spark):
     p, df = cloud(spark, 120, 3)
     d2 = ((p[:, None] - p[None]) ** 2).sum(2)
@@ -200,7 +243,7 @@ def test_leaves_halve_and_stay_small(spark):
     for r in got:
         sizes[r.node, r.leaf] = sizes.get((r.node, r.leaf), 0) + 1
     assert len(got) == 1000 and max(sizes.values()) <= 32 and min(sizes.values()) >= 15
-    whole = smoothing.leaf_numbers(p, np.arange(1000), 32)
+    whole = tree.leaf_numbers(p, np.arange(1000), 32)
     groups = {}
     for r in got:
         groups.setdefault((r.node, r.leaf), set()).add(r.id)
