@@ -122,6 +122,20 @@ def _knn(k: int) -> str:
     return f"{EMB}, pairs AS (SELECT a.id, {D2} AS r2 FROM particles_emb a, particles_emb b), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r2) AS rn FROM pairs), kth AS (SELECT id, r2 FROM ranked WHERE rn = {k})"
 
 
+PLACE = "round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, count(*) AS n"
+
+
+def _knn_li(k: int) -> str:
+    """The k nearest line items in the cubes around each; those with too few within a cube's edge are compared with all."""
+    around = ", ".join(f"CAST(range % {3 ** (i + 1)} // {3**i} - 1 AS INTEGER) AS d{x}" for i, x in enumerate("xyz"))
+    return f"""WITH {LI}, li AS MATERIALIZED (SELECT row_number() OVER () AS id, x, y, z FROM particles_li), e AS (SELECT 25e-1 * pow({k} * 75e-2 / ({PI} * count(*)), 1e0 / 3) AS edge FROM li),
+c AS (SELECT id, x, y, z, edge, {', '.join(f'CAST(floor({x} / edge) AS INTEGER) AS c{x}' for x in 'xyz')} FROM li, e), around AS (SELECT {around} FROM range(27)),
+wide AS (SELECT id, x, y, z, cx + dx AS cx, cy + dy AS cy, cz + dz AS cz FROM c, around),
+near AS (SELECT a.id, list_sort(min({D2}, {k})) AS best FROM wide a JOIN c b USING (cx, cy, cz) GROUP BY a.id),
+poor AS (SELECT p.* FROM li p JOIN near USING (id), e WHERE len(best) < {k} OR best[{k}] > edge * edge),
+kth AS (SELECT id, best[{k}] AS r2 FROM near ANTI JOIN poor USING (id) UNION ALL SELECT a.id, list_sort(min({D2}, {k}))[{k}] AS r2 FROM poor a, li b GROUP BY a.id)"""
+
+
 WITH_H = f"{_knn(8)}, lengths AS (SELECT p.*, least(12e-1 * sqrt(r2), 125e-3) AS h FROM particles_emb p JOIN kth USING (id))"
 
 
@@ -269,11 +283,11 @@ ORACLE_SQL = {
     "cic_3d_grid": f"{UNIT_GRID} SELECT * FROM (SELECT iz, iy, ix, round(rho, 4) AS rho FROM grid) WHERE rho > 0",
     "grid_box_mean": f"{UNIT_GRID}, {_mean(16)} SELECT * FROM (SELECT iz, iy, ix, round(rho, 4) AS rho FROM mean_grid) WHERE rho > 0",
     "grid_smoothing_length": _grid_lengths(),
-    "knn_smoothing_length": f"WITH {WITH_H} SELECT id, round(h, 6) AS h FROM lengths",
+    "knn_smoothing_length": f"{_knn_li(32)} SELECT {PLACE}, round(max(least(12e-1 * sqrt(r2), 25e-1)), 6) AS h FROM kth JOIN li USING (id) GROUP BY x, y, z",
     "leaf_first_splits": _first_splits(),
     "radius_neighbours": f"WITH {EMB} SELECT * FROM (SELECT a.id, b.id AS other, {D2} AS r2 FROM particles_emb a, particles_emb b) WHERE r2 <= 1e-1 * 1e-1".replace("SELECT * FROM (SELECT a.id", "SELECT id, other, round(r2, 8) AS r2 FROM (SELECT a.id"),
     "kde_density": f"WITH {EMB}, p AS (SELECT a.id, sqrt({D2}) / 2e-1 AS u FROM particles_emb a, particles_emb b WHERE {D2} <= 2e-1 * 2e-1) SELECT id, round(sum({_spline('u')} / 8e-3), 4) AS density FROM p GROUP BY id",
-    "nth_neighbour": f"WITH {_knn(6)} SELECT id, round(sqrt(r2), 6) AS distance FROM kth",
+    "nth_neighbour": f"{_knn_li(6)} SELECT {PLACE}, round(max(sqrt(r2)), 6) AS distance FROM kth JOIN li USING (id) GROUP BY x, y, z",
     "octant_counts": f"WITH {EVT} SELECT CAST((x > 5e-1)::INT + 2 * (y > 5e-1)::INT + 4 * (z > 5e-1)::INT AS INTEGER) AS octant, count(*) AS n, {', '.join(f'round(avg({a}), 6) AS mean_{a}' for a in 'xyz')} FROM particles_evt GROUP BY ALL",
     "opened_cells": _opened(),
     "kernel_table_3d": _table(1.0, _spline("u")),

@@ -10,6 +10,7 @@ from ..functions import colour, cosmology, kernels
 from ..operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
 from ..sinks.images import render_images
+from ..staging import staged
 
 MID = (0.5, 0.5, 0.5)
 AXIS = unit_axis((1.0, 2.0, 3.0))
@@ -143,8 +144,18 @@ def _with_h(spark: SparkSession, d: str) -> DataFrame:
     return smoothing.knn_lengths(particles_emb(spark, d), 1.0, SIDE, num_ngb=8)
 
 
+def _numbered_li(spark: SparkSession, d: str) -> DataFrame:
+    """The line items' particles with numbers as ids, written once so that each keeps its own."""
+    return staged(particles_li(spark, d).withColumn("id", F.monotonically_increasing_id()))
+
+
+def _by_place(df: DataFrame, value: str) -> DataFrame:
+    """Rows of one place have equal values, whatever their ids."""
+    return _round(df.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias(value)), 6, *AXES, value)
+
+
 def knn_smoothing_length(spark, d):
-    return _with_h(spark, d).select("id", F.round("h", 6).alias("h"))
+    return _by_place(smoothing.knn_lengths(_numbered_li(spark, d), 20.0, SIDE), "h")
 
 
 def leaf_smoothing_length(spark, d):
@@ -166,7 +177,8 @@ def kde_density(spark, d):
 
 
 def nth_neighbour(spark, d):
-    return _round(neighbours.nth_neighbour(particles_emb(spark, d), 5), 6, "distance")
+    p = _numbered_li(spark, d)
+    return _by_place(p.join(neighbours.nth_neighbour(p, 5), "id"), "distance")
 
 
 def octant_counts(spark, d):

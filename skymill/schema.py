@@ -71,8 +71,8 @@ def particles_evt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def particles_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Particles without ids from line items: quantity, price and supplier."""
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        (F.col("l_linenumber") - 1).cast("int").alias("ptype"), (F.col("l_quantity") / F.lit(51.0)).alias("x"), (F.col("l_extendedprice") / F.lit(105000.0)).alias("y"), ((F.pmod("l_suppkey", F.lit(100)) + F.lit(0.5)) / F.lit(1e2)).alias("z")
-    )
+        (F.col("l_linenumber") - 1).cast("int").alias("ptype"), (F.col("l_quantity") / F.lit(51.0)).alias("x"), (F.col("l_extendedprice") / F.lit(105000.0)).alias("y"), ((F.pmod("l_suppkey", F.lit(100)) + F.lit(0.5)) / F.lit(1e2)).alias("z"),
+    )
 
 
 def snapshots(spark: SparkSession, n: int = 10) -> DataFrame:
