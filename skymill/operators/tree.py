@@ -22,12 +22,12 @@ from ..staging import staged
 SUBTREE_ROWS = 200_000
 #: Each round of range shuffles cuts a node into so many parts (a power of two).
 PARTS = 16
-#: Particles in a leaf of the neighbour search at most, or twice the neighbours asked for if that is more.
-LEAF_ROWS = 64
+#: Particles in a leaf of the neighbour search at most, or four times the neighbours asked for if that is more.
+LEAF_ROWS = 256
 #: Levels that a step of the search descends, and nodes of a level up to which they are broadcast (some 5 MB).
 STRIDE, BROADCAST_NODES = 3, 1 << 16
 #: Leaves that one group compares with a leaf, and points compared at once.
-GROUP_LEAVES, CHUNK_POINTS = 256, 4096
+GROUP_LEAVES, CHUNK_POINTS = 128, 4096
 
 
 def _ranked(df: DataFrame, node: str, coord: str) -> DataFrame:
@@ -134,7 +134,7 @@ def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUB
         for i, own in enumerate(nodes):
             if len(own):
                 p = xyz[own]
-                d2 = ((p[:, None, :] - p[None, :, :]) ** 2).sum(2)
+                d2 = sum((p[:, a, None] - p[None, :, a]) ** 2 for a in range(3))
                 far = math.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1].max()) if len(own) >= k else None
                 rows.append((first + i, len(own), far, ids[own], *p.T, *[x for a in range(3) for x in (p[:, a].min(), p[:, a].max())]))
         names = [f.split()[0] for f in PACKED.split(", ")]
@@ -154,7 +154,7 @@ def _box_distance(farthest: bool = False) -> Column:
 
 
 def leaf_pairs(queries: DataFrame, points: DataFrame, depth: int, enough: bool) -> DataFrame:
-    """(leaf, other, gap): the leaves of points that may hold one of the k nearest of a point in a leaf of queries.
+    """(leaf, other, gap, reach): the leaves of points that may hold one of the k nearest of a point in a leaf of queries.
 
     queries: (leaf, own, box). A leaf's reach is own, or where it is null the least distance within which a node's points
     must all lie; nodes that begin beyond it are left out. The nearest node by that measure always stays. enough: every
@@ -163,7 +163,7 @@ def leaf_pairs(queries: DataFrame, points: DataFrame, depth: int, enough: bool)
     box = [f"{s}{a}" for a in AXES for s in "lh"]
     levels = sorted({max(0, depth - STRIDE * i) for i in range(depth + 1)})
     walk = queries.select("leaf", F.coalesce("own", F.lit(float("inf"))).alias("reach"), F.col("own").isNotNull().alias("same"), *box, F.lit(1).cast("long").alias("other")).repartition("leaf")
-    gap = None
+    found = None
     for above, level in zip([0, *levels], levels, strict=False):
         node = F.shiftright("leaf", depth - level)
         boxes = points.groupBy(node.alias("other")).agg(*[(F.min if c[0] == "l" else F.max)(c).alias(f"o{c}") for c in box])
@@ -177,9 +177,57 @@ def leaf_pairs(queries: DataFrame, points: DataFrame, depth: int, enough: bool)
             walk = walk.withColumns({"reach": F.least("reach", F.min("far").over(nearest)), "first": F.min(F.struct("far", "other")).over(nearest)["other"]})
             own = F.when(F.col("same"), F.shiftright("leaf", depth - level)).otherwise(F.col("first"))
             walk = walk.filter((F.col("gap") < F.col("reach")) | (F.col("other") == own))
-        gap = walk.select("leaf", "other", "gap")
+        found = walk.select("leaf", "other", "gap", "reach")
         walk = walk.select("leaf", "reach", "same", *box, "other")
-    return gap
+    return found
+
+
+class _Group:
+    """The k nearest of some points among those that are added; only points within reach of all of the points' box count."""
+
+    def __init__(self, ids: np.ndarray, p: np.ndarray, k: int, reach: float, shared: bool):
+        self.ids, self.p, self.k, self.shared = ids, p, k, shared
+        self.low, self.high = p.min(0), p.max(0)
+        # A hair more, so that rounding loses nothing.
+        self.reach2 = reach * reach * (1 + 1e-12)
+        self.best = np.zeros((len(p), 0))
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, q: np.ndarray) -> None:
+        gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
+        q = q[(gap * gap).sum(1) <= self.reach2]
+        self.waiting.append(q)
+        self.size += len(q)
+        if self.size >= CHUNK_POINTS or self.best.shape[1] < self.k <= self.size:
+            self.compare()
+
+    def compare(self) -> None:
+        q = np.concatenate([np.zeros((0, 3)), *self.waiting])
+        self.waiting, self.size = [], 0
+        if not len(q):
+            return
+        d2 = sum((self.p[:, a, None] - q[None, :, a]) ** 2 for a in range(3))
+        if self.best.shape[1] == self.k:
+            # Few points are nearer than what is known: only those are merged.
+            rows, cols = np.nonzero(d2 < self.best.max(1)[:, None])
+            count = np.bincount(rows, minlength=len(self.p))
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+            nearer = np.full((len(self.p), int(count.max(initial=0))), np.inf)
+            nearer[rows, place] = d2[rows, cols]
+            d2 = nearer
+        every = np.concatenate([self.best, d2], 1)
+        self.best = np.partition(every, self.k - 1, axis=1)[:, : self.k] if every.shape[1] > self.k else every
+        if self.best.shape[1] == self.k:
+            self.reach2 = min(self.reach2, float(self.best.max()) * (1 + 1e-12))
+
+    def result(self) -> pa.RecordBatch:
+        self.compare()
+        size, n = self.best.shape
+        lists = np.sort(self.best, 1) if self.shared else np.zeros((size, 0))
+        offsets = pa.array(np.arange(size + 1) * lists.shape[1], pa.int32())
+        r2 = pa.array(self.best.max(1) if n else np.zeros(size), pa.float64(), mask=np.full(size, not n))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), r2, pa.array(np.full(size, n), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(lists.ravel()))], ["id", "r2", "n", "all"])
 
 
 def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_rows: int = LEAF_ROWS, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
@@ -187,57 +235,37 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_ro
 
     Fewer than k points in all: n < k and r2 is the farthest; none at all: n is 0 and r2 null. Every query has a row.
     """
-    held, depth, total = packed_leaves(points, k, max(leaf_rows, 2 * k), subtree_rows)
+    held, depth, total = packed_leaves(points, k, max(leaf_rows, 4 * k), subtree_rows)
     asked = held if queries is None else packed_leaves(queries, 1, leaf_rows, subtree_rows)[0].withColumn("own", F.lit(None).cast("double"))
     if not total:
         return asked.select(F.explode("ids").alias("id"), F.lit(None).cast("double").alias("r2"), F.lit(0).alias("n"))
     pairs = staged(leaf_pairs(asked, held, depth, total >= k))
-    salts = pairs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP_LEAVES).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "leaf").withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int"))
-    other = held.select(F.col("leaf").alias("other"), "x", "y", "z")
+    salts = pairs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP_LEAVES).cast("int").alias("salts"), F.max("reach").alias("reach"))
+    dealt = pairs.drop("reach").join(salts, "leaf").withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int"))
+    other = held.select(F.col("leaf").alias("other"), *AXES)
     empty = F.array().cast("array<long>")
-    rows = dealt.join(other, "other").select("leaf", "salt", "salts", F.lit(1).alias("kind"), "gap", empty.alias("ids"), *AXES)
-    own = asked.join(salts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", F.lit(0).alias("kind"), F.lit(0.0).alias("gap"), "ids", *AXES)
-    grouped = rows.unionByName(own).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind", "gap")
+    # A leaf's own points come first, then those of other leaves, itself before all others.
+    rows = dealt.join(other, "other").select("leaf", "salt", "salts", "reach", F.when(F.col("other") == F.col("leaf"), 1).otherwise(2).alias("turn"), "gap", empty.alias("ids"), *AXES)
+    own = asked.join(salts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "reach", F.lit(0).alias("turn"), F.lit(0.0).alias("gap"), "ids", *AXES)
+    grouped = rows.unionByName(own).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "turn", "gap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, p, best, salted = np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros((0, 0)), 1
-        waiting: list[np.ndarray] = []
-
-        def compare() -> None:
-            nonlocal best
-            if waiting:
-                q = np.concatenate(waiting)
-                waiting.clear()
-                every = np.concatenate([best, sum((p[:, a, None] - q[None, :, a]) ** 2 for a in range(3))], 1)
-                best = np.partition(every, k - 1, axis=1)[:, :k] if every.shape[1] > k else every
-
-        def result() -> pa.RecordBatch:
-            compare()
-            n, size = best.shape[1], len(ids)
-            kth = best.max(1) if n else np.full(size, np.nan)
-            lists = best if salted > 1 else np.zeros((size, 0))
-            offsets = pa.array(np.arange(size + 1) * lists.shape[1], pa.int32())
-            r2 = pa.array(kth, pa.float64(), mask=np.full(size, not n))
-            return pa.RecordBatch.from_arrays([pa.array(ids), r2, pa.array(np.full(size, n), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.sort(lists, 1).ravel()))], ["id", "r2", "n", "all"])
-
+        group = None
         for batch in batches:
-            kinds, parts, own_ids = batch.column(3).to_numpy(), [batch.column(c) for c in (6, 7, 8)], batch.column(5)
+            salts, reach, turn = (batch.column(c).to_numpy() for c in (2, 3, 4))
+            ids, parts = batch.column(6), [batch.column(c) for c in (7, 8, 9)]
             xyz = np.stack([c.flatten().to_numpy() for c in parts], 1)
             ends = np.concatenate([[0], np.cumsum(parts[0].value_lengths().to_numpy())])
-            many = batch.column(2).to_numpy()
             for i in range(batch.num_rows):
-                q = xyz[ends[i] : ends[i + 1]]
-                if kinds[i] == 0:
-                    if len(ids):
-                        yield result()
-                    ids, p, best, salted = own_ids[i].values.to_numpy(), q, np.zeros((len(q), 0)), int(many[i])
+                p = xyz[ends[i] : ends[i + 1]]
+                if turn[i] == 0:
+                    if group:
+                        yield group.result()
+                    group = _Group(ids[i].values.to_numpy(), p, k, float(reach[i]), bool(salts[i] > 1))
                 else:
-                    waiting.append(q)
-                    if sum(map(len, waiting)) >= CHUNK_POINTS:
-                        compare()
-        if len(ids):
-            yield result()
+                    group.add(p)
+        if group:
+            yield group.result()
 
     found = grouped.mapInArrow(run, "id long, r2 double, n int, all array<double>")
     alone = found.filter(F.size("all") == 0).select("id", "r2", "n")

@@ -194,17 +194,17 @@ def kth(q, p, k):
     return d2[:, min(k, len(p)) - 1]
 
 
-@pytest.mark.parametrize(("subtree", "group"), [(200_000, 256), (300, 2)])
+@pytest.mark.parametrize(("subtree", "group"), [(200_000, 128), (300, 2)])
 def test_nearest_of_clustered_points(spark, monkeypatch, subtree, group):
     """A third of all points in one place, a tight cluster, a thin halo; in several rounds of range shuffles and groups."""
     monkeypatch.setattr(tree, "GROUP_LEAVES", group)
     rng = np.random.default_rng(8)
     p = np.concatenate([np.full((700, 3), 0.25), 0.6 + 1e-4 * rng.normal(size=(700, 3)), rng.random((600, 3)), 40 * rng.normal(size=(100, 3))])
-    got = {r.id: r for r in tree.nearest(points(spark, p), 9, subtree_rows=subtree).collect()}
+    got = {r.id: r for r in tree.nearest(points(spark, p), 9, leaf_rows=16, subtree_rows=subtree).collect()}
     want = kth(p, p, 9)
     assert len(got) == len(p) and all(got[i].n == 9 and math.isclose(got[i].r2, want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(p)))
     q = np.concatenate([rng.random((150, 3)), 1000 + rng.random((5, 3)), p[:3]])
-    got = {r.id: r for r in tree.nearest(points(spark, p), 9, points(spark, q), subtree_rows=subtree).collect()}
+    got = {r.id: r for r in tree.nearest(points(spark, p), 9, points(spark, q), leaf_rows=16, subtree_rows=subtree).collect()}
     want = kth(q, p, 9)
     assert len(got) == len(q) and all(got[i].n == 9 and math.isclose(got[i].r2, want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(q)))
 
