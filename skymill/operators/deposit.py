@@ -20,9 +20,14 @@ def to_pixel(p: Column, centre: float, lbox: Column | float, n: int) -> Column:
     return (p - centre) * n / lbox + n / 2
 
 
-def _moments(df: DataFrame, keys: tuple[str, ...], axes: dict[str, Column]) -> DataFrame:
-    """Cells and their moments: for each subset of axes the sum of the product of the offsets in them."""
+def _moments(df: DataFrame, keys: tuple[str, ...], axes: dict[str, Column], within: dict[str, tuple[int, int | None]]) -> DataFrame:
+    """Cells and their moments: for each subset of axes the sum of the product of the offsets in them.
+
+    within: first and last pixel of the image on each axis; particles that reach no pixel go before they are summed and shuffled.
+    """
     cells = df.select(*keys, *[F.floor(p - 0.5).cast("int").alias(f"c_{a}") for a, p in axes.items()], *[p.alias(f"p_{a}") for a, p in axes.items()])
+    for a, (first, last) in within.items():
+        cells = cells.filter((F.col(f"c_{a}") >= first - 1) & (F.lit(True) if last is None else F.col(f"c_{a}") <= last))
     cells = cells.select(*keys, *[f"c_{a}" for a in axes], *[(F.col(f"p_{a}") - (F.col(f"c_{a}") + 0.5)).alias(f"t_{a}") for a in axes])
     sums = []
     for used in product((0, 1), repeat=len(axes)):
@@ -58,7 +63,8 @@ def cic_map(df: DataFrame, width: int, height: int, centre: tuple[float, float],
     norm = F.lit(float(width)) * float(height) / (lbox * lbox)
     cell_keys = (*keys, "__n") if varies else keys
     axes = {"ix": to_pixel(F.col("x"), centre[0], lbox, width), "iy": to_pixel(F.col("y"), centre[1], lbox, height)}
-    parts = _corners(_moments(df.withColumn("__n", norm) if varies else df, cell_keys, axes), cell_keys, ["ix", "iy"])
+    within = {"ix": (0, width - 1), "iy": (-height, None) if compat else (0, height - 1)}
+    parts = _corners(_moments(df.withColumn("__n", norm) if varies else df, cell_keys, axes, within), cell_keys, ["ix", "iy"])
     weight = F.col("w") * F.col("__n") if varies else F.col("w") * norm
     inside = F.col("ix").between(0, width - 1)
     if compat:
@@ -68,12 +74,12 @@ def cic_map(df: DataFrame, width: int, height: int, centre: tuple[float, float],
     return parts.groupBy(*keys, "iy", "ix").agg(F.sum(weight).alias("rho"))
 
 
-def cic_grid(df: DataFrame, n: int, low: tuple[Column | float, ...], span: tuple[Column | float, ...]) -> DataFrame:
-    """(iz, iy, ix, rho): unit masses on an n*n*n grid over a box; corners outside are dropped."""
+def cic_grid(df: DataFrame, n: int, low: tuple[Column | float, ...], span: tuple[Column | float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, iz, iy, ix, rho): unit masses on an n*n*n grid over a box; corners outside are dropped."""
     axes = {f"i{a}": (F.col(a) - lo) * n / s for a, lo, s in zip("xyz", low, span, strict=True)}
-    parts = _corners(_moments(df, (), axes), (), list(axes))
+    parts = _corners(_moments(df, keys, axes, {a: (0, n - 1) for a in axes}), keys, list(axes))
     inside = F.col("ix").between(0, n - 1) & F.col("iy").between(0, n - 1) & F.col("iz").between(0, n - 1)
-    return parts.filter(inside).groupBy("iz", "iy", "ix").agg(F.sum("w").alias("rho"))
+    return parts.filter(inside).groupBy(*keys, "iz", "iy", "ix").agg(F.sum("w").alias("rho"))
 
 
 def pixel_lengths(df: DataFrame, width: int, lbox: Column | float, max_px: float = 8.0, skip_px: float = 16.0) -> DataFrame:

@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from ..schema import AXES, minimum_image, wrap_position
 
 
-def one_per_id(df: DataFrame) -> DataFrame:
-    """One row for each id, so that a match never multiplies rows; of several the one with the least hash stays.
+def one_per_id(df: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One row for each id (or other keys), so that a match never multiplies rows; of several the one with the least hash stays.
 
     Numbers only are aggregated, which Spark does by hash tables without sorting.
     """
-    rows = df.select("id", *AXES, "ptype", F.xxhash64(*AXES, "ptype").alias("__h"))
-    return rows.groupBy("id").agg(*[F.min_by(c, "__h").alias(c) for c in (*AXES, "ptype")])
+    rows = df.select(*keys, *AXES, "ptype", F.xxhash64(*AXES, "ptype").alias("__h"))
+    return rows.groupBy(*keys).agg(*[F.min_by(c, "__h").alias(c) for c in (*AXES, "ptype")])
 
 
-def match_by_id(a: DataFrame, **others: DataFrame) -> DataFrame:
+def match_by_id(a: DataFrame, keys: tuple[str, ...] = ("id",), **others: DataFrame) -> DataFrame:
     """All rows of a with each other snapshot's position (x_name, y_name, z_name), null where the id is absent there.
 
     All joins are on the same key, so a is shuffled once and each other snapshot once.
     """
     out = a
     for name, other in others.items():
-        right = one_per_id(other).select("id", *[F.col(c).alias(f"{c}_{name}") for c in AXES], F.lit(True).alias(f"has_{name}"))
-        out = out.join(right, "id", "left")
+        right = one_per_id(other, keys).select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in AXES], F.lit(True).alias(f"has_{name}"))
+        out = out.join(right, list(keys), "left")
     return out.withColumns({f"has_{name}": F.coalesce(f"has_{name}", F.lit(False)) for name in others})
 
 

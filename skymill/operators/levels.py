@@ -7,22 +7,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 MIN_RANGE = 0.01
 FILL_PASSES = 64
+#: Pixels of a frame that one task may sort, and bins of a round where there are more.
+ONE_TASK, BINS = 1 << 21, 4096
 TILE = 512
 
 
-def auto_levels(pixels: DataFrame, log_scale: bool = True, lo: float = 0.10, hi: float = 1.0, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """(keys, n, vmin, vmax): the values at two shares of the sorted positive pixels, by truncated index, at least MIN_RANGE apart."""
-    value = (F.log10("rho") if log_scale else F.col("rho")).alias("v")
-    w = Window.partitionBy(*keys)
-    ranked = pixels.filter("rho > 0").select(*keys, value).select(*keys, "v", F.row_number().over(w.orderBy("v")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    last = F.col("n") - 1
+def auto_levels(pixels: DataFrame, log_scale: bool = True, lo: float = 0.10, hi: float = 1.0, keys: tuple[str, ...] = ("frame",), most: int | None = None) -> DataFrame:
+    """(keys, n, vmin, vmax): the values at two shares of the sorted positive pixels, by truncated index, at least MIN_RANGE apart.
+
+    most: pixels of a frame at most, where that is known. Up to ONE_TASK of them are sorted in one task; others are counted
+    in bins between the frame's least and greatest value, and bins that hold a value looked for are cut into finer ones,
+    until the values in them are few or equal. Either way the same pixels are picked.
+    """
+    value = F.log10("rho") if log_scale else F.col("rho")
+    values = pixels.filter("rho > 0").select(*keys, value.alias("v"))
+    ranks = _ranks_sorted if most is not None and most <= ONE_TASK else _ranks_binned
+    picked = ranks(values, keys, lo, hi)
+    return picked.withColumn("vmax", F.when(F.col("vmax") - F.col("vmin") < MIN_RANGE, F.col("vmin") + MIN_RANGE).otherwise(F.col("vmax")))
+
+
+def _places(n: Column, lo: float, hi: float) -> tuple[Column, Column]:
+    """Two places in n sorted values, from 0."""
+    last = n - 1
     first = F.floor(lo * last)
     second = F.least(F.floor(hi * last), last)
-    second = F.when(second <= first, F.least(first + 1, last)).otherwise(second)
-    picked = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("i") - 1 == first, F.col("v"))).alias("vmin"), F.max(F.when(F.col("i") - 1 == second, F.col("v"))).alias("vmax"))
-    return picked.withColumn("vmax", F.when(F.col("vmax") - F.col("vmin") < MIN_RANGE, F.col("vmin") + MIN_RANGE).otherwise(F.col("vmax")))
+    return first, F.when(second <= first, F.least(first + 1, last)).otherwise(second)
+
+
+def _ranks_sorted(values: DataFrame, keys: tuple[str, ...], lo: float, hi: float) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    ranked = values.select(*keys, "v", F.row_number().over(w.orderBy("v")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    first, second = _places(F.col("n"), lo, hi)
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("i") - 1 == first, F.col("v"))).alias("vmin"), F.max(F.when(F.col("i") - 1 == second, F.col("v"))).alias("vmax"))
+
+
+def _ranks_binned(values: DataFrame, keys: tuple[str, ...], lo: float, hi: float) -> DataFrame:
+    """Only counts by bin are shuffled: for each frame and round at most twice BINS rows from a task."""
+    values = staged(values)
+    whole = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    first, second = _places(F.col("n"), lo, hi)
+    which = F.array(F.struct(F.lit("vmin").alias("name"), first.cast("long").alias("place")), F.struct(F.lit("vmax").alias("name"), second.cast("long").alias("place")))
+    # For each value looked for: its place among the values of the bin a..b, and how many those are. A few rows for each frame.
+    todo = whole.select(*keys, "n", "a", "b", F.explode(which).alias("k")).select(*keys, F.col("n").alias("total"), "k.name", "k.place", "n", "a", "b")
+    done = None
+    while True:
+        todo = staged(todo)
+        single = todo.filter("a = b").select(*keys, "total", "name", F.col("a").alias("v"))
+        done = single if done is None else done.unionByName(single)
+        rest = todo.filter("a < b")
+        if not rest.take(1):
+            break
+        inside = values.join(F.broadcast(rest), [*keys]).filter(F.col("v").between(F.col("a"), F.col("b")))
+        # The greatest value falls in the last bin; equal values always share one.
+        bin_of = F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * BINS).cast("int"), F.lit(BINS - 1))
+        counts = inside.groupBy(*keys, "total", "name", "place", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        before = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy("bin")) - F.col("n")
+        hit = counts.withColumn("place", F.col("place") - before).filter((F.col("place") >= 0) & (F.col("place") < F.col("n")))
+        todo = hit.select(*keys, "total", "name", "place", "n", "a", "b")
+    return done.groupBy(*keys).agg(F.max("total").alias("n"), F.max(F.when(F.col("name") == "vmin", F.col("v"))).alias("vmin"), F.max(F.when(F.col("name") == "vmax", F.col("v"))).alias("vmax"))
 
 
 def locked_levels(pixels: DataFrame, **options) -> DataFrame:

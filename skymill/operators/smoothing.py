@@ -17,12 +17,12 @@ from .tree import SUBTREE_ROWS, leaves, nearest
 PAD = 1e-4
 
 
-def box_mean(grid: DataFrame, n: int) -> DataFrame:
-    """(iz, iy, ix, rho): mean over the 3*3*3 cells around each cell, of those inside the grid; cells with an empty surrounding have no row."""
+def box_mean(grid: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, iz, iy, ix, rho): mean over the 3*3*3 cells around each cell, of those inside the grid; cells with an empty surrounding have no row."""
     spread = grid
     for a in ("iz", "iy", "ix"):
         others = [c for c in ("iz", "iy", "ix") if c != a]
-        spread = spread.select(*others, "rho", F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1)).alias(a)).filter(F.col(a).between(0, n - 1)).groupBy("iz", "iy", "ix").agg(F.sum("rho").alias("rho"))
+        spread = spread.select(*keys, *others, "rho", F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1)).alias(a)).filter(F.col(a).between(0, n - 1)).groupBy(*keys, "iz", "iy", "ix").agg(F.sum("rho").alias("rho"))
 
     def width(a: str) -> Column:
         return 3 - (F.col(a) == 0).cast("int") - (F.col(a) == n - 1).cast("int")
@@ -30,10 +30,10 @@ def box_mean(grid: DataFrame, n: int) -> DataFrame:
     return spread.withColumn("rho", F.col("rho") / (width("iz") * width("iy") * width("ix")))
 
 
-def sample_grid(df: DataFrame, grid: DataFrame, n: int, low: tuple[float, ...], span: tuple[float, ...]) -> DataFrame:
+def sample_grid(df: DataFrame, grid: DataFrame, n: int, low: tuple[Column | float, ...], span: tuple[Column | float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """df (with id) and rho: the grid's values at each position by trilinear weights.
 
-    The grid has at most n**3 cells, whatever the number of particles; Spark broadcasts it if it is small enough.
+    The grid has at most n**3 cells (for each key), whatever the number of particles; Spark broadcasts it if it is small enough.
     """
     p = {a: (F.col(a) - lo) * n / s for a, lo, s in zip(AXES, low, span, strict=True)}
     base = df.withColumns({f"c{a}": F.floor(x - 0.5).cast("int") for a, x in p.items()})
@@ -45,49 +45,53 @@ def sample_grid(df: DataFrame, grid: DataFrame, n: int, low: tuple[float, ...],
         for a in AXES:
             w = w * (F.col(f"t{a}") if up[a] else 1 - F.col(f"t{a}"))
         corners.append(F.struct(*[(F.col(f"c{a}") + up[a]).alias(f"i{a}") for a in AXES], w.alias("w")))
-    rows = base.select("id", F.explode(F.array(*corners)).alias("k")).select("id", "k.*")
-    got = rows.join(grid, ["ix", "iy", "iz"], "left").groupBy("id").agg(F.sum(F.col("w") * F.coalesce("rho", F.lit(0.0))).alias("rho"))
-    return df.join(got, "id")
+    rows = base.select("id", *keys, F.explode(F.array(*corners)).alias("k")).select("id", *keys, "k.*")
+    got = rows.join(grid, [*keys, "ix", "iy", "iz"], "left").groupBy("id", *keys).agg(F.sum(F.col("w") * F.coalesce("rho", F.lit(0.0))).alias("rho"))
+    return df.join(got, ["id", *keys])
 
 
-def grid_lengths(df: DataFrame, lbox: float, n: int = 128, num_ngb: int = 32, eta: float = 1.2, min_frac: float = 0.1, max_voxels: float = 8.0) -> DataFrame:
+def grid_lengths(df: DataFrame, lbox: float, n: int = 128, num_ngb: int = 32, eta: float = 1.2, min_frac: float = 0.1, max_voxels: float = 8.0, group: str | None = None) -> DataFrame:
     """df (with id) and h from a smoothed density grid; null where the density is below min_frac of the mean.
 
-    h is at most max_voxels * lbox / 768, whatever the image's resolution.
+    h is at most max_voxels * lbox / 768, whatever the image's resolution. group: a column with a grid for each of its values.
     """
-    b = df.agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"l{a}") for a in AXES], *[F.max(a).alias(f"h{a}") for a in AXES]).first()
-    if not b["n"]:
-        return df.withColumn("h", F.lit(None).cast("double"))
-    low = tuple(b[f"l{a}"] - PAD for a in AXES)
-    span = tuple(b[f"h{a}"] + PAD - lo for a, lo in zip(AXES, low, strict=True))
-    grid = box_mean(cic_grid(df, n, low, span), n)
-    cell = math.prod(span) / n**3
-    factor = eta * (3 * num_ngb * cell / (4 * math.pi)) ** (1 / 3)
+    keys = () if group is None else (group,)
+    low, span = [f"__l{a}" for a in AXES], [f"__s{a}" for a in AXES]
+    ends = [x for a in AXES for x in ((F.min(a) - PAD).alias(f"__l{a}"), (F.max(a) - F.min(a) + 2 * PAD).alias(f"__s{a}"))]
+    bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *ends)
+    # One row, or one for each value of the group.
+    placed = df.join(F.broadcast(bounds), list(keys)) if keys else df.crossJoin(F.broadcast(bounds))
+    lows, spans = tuple(map(F.col, low)), tuple(map(F.col, span))
+    grid = box_mean(cic_grid(placed, n, lows, spans, keys), n, keys)
+    cell = spans[0] * spans[1] * spans[2] / n**3
+    factor = eta * F.cbrt(3 * num_ngb * cell / (4 * math.pi))
     h = F.least(factor / F.cbrt("rho"), F.lit(max_voxels * lbox / 768))
-    return sample_grid(df, grid, n, low, span).withColumn("h", F.when(F.col("rho") >= min_frac * b["n"] / n**3, h)).drop("rho")
+    found = sample_grid(placed, grid, n, lows, spans, keys)
+    return found.withColumn("h", F.when(F.col("rho") >= min_frac * F.col("__n") / n**3, h)).drop("rho", "__n", *low, *span)
 
 
-def knn_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, max_voxels: float = 8.0) -> DataFrame:
+def knn_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, max_voxels: float = 8.0, group: str | None = None) -> DataFrame:
     """df (with id) and h = eta times the distance to the num_ngb-th neighbour, the particle itself counted; null if there are fewer."""
-    found = nearest(df, num_ngb)
+    found, keys = nearest(df, num_ngb, group=group), ["id"] if group is None else ["id", group]
     h = F.least(eta * F.sqrt("r2"), F.lit(max_voxels * lbox / width))
-    return df.join(found.select("id", F.when(F.col("n") >= num_ngb, h).alias("h")), "id")
+    return df.join(found.select(*keys, F.when(F.col("n") >= num_ngb, h).alias("h")), keys)
 
 
-def leaf_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, leaf_size: int = 32, max_voxels: float = 8.0, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
+def leaf_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, leaf_size: int = 32, max_voxels: float = 8.0, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> DataFrame:
     """df (with id) and h from the density of the particle's leaf: its count over the volume of its bounding box, flat axes left out."""
-    placed = staged(leaves(df, leaf_size, subtree_rows))
+    placed = staged(leaves(df, leaf_size, subtree_rows, group))
     volume = F.lit(1.0)
     for a in AXES:
         span = F.max(a) - F.min(a)
         volume = volume * F.when(span > 1e-10, span).otherwise(1.0)
     density = placed.groupBy("node", "leaf").agg((F.count(F.lit(1)) / (volume + 1e-30)).alias("density"))
     h = F.least(eta * F.cbrt(num_ngb / (F.col("density") * (4 / 3 * math.pi))), F.lit(max_voxels * lbox / width))
-    return df.join(placed.join(density, ["node", "leaf"]).select("id", h.alias("h")), "id")
+    keys = [] if group is None else [group]
+    return df.join(placed.join(density, ["node", "leaf"]).select("id", *[F.col("grp").alias(g) for g in keys], h.alias("h")), ["id", *keys])
 
 
 def smoothing_lengths(df: DataFrame, method: str, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, **options) -> DataFrame:
-    """df and h by one of the methods grid, leaf and knn."""
+    """df and h by one of the methods grid, leaf and knn. group (an option): a column within whose values particles count."""
     if method == "grid":
         return grid_lengths(df, lbox, num_ngb=num_ngb, eta=eta, **options)
     return {"leaf": leaf_lengths, "knn": knn_lengths}[method](df, lbox, width, num_ngb=num_ngb, eta=eta, **options)

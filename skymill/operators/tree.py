@@ -58,10 +58,11 @@ def _ranked(df: DataFrame, node: str, coord: str) -> DataFrame:
     return numbered.join(before, [node, "__part"]).withColumn("rn", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
 
 
-def split(df: DataFrame, node: str = "node", parts: int = 2) -> DataFrame:
+def split(df: DataFrame, node: str = "node", parts: int = 2, above: int = 0) -> DataFrame:
     """df with each node cut along its longest axis into parts of equal counts by (coordinate, id), numbered parts * node and on.
 
-    Of equally long axes the first is taken; of two parts the lower has half the rows, rounded down.
+    Of equally long axes the first is taken; of two parts the lower has half the rows, rounded down. Nodes of no more than
+    above rows stay as they are.
     """
     boxes = df.groupBy(node).agg(F.count(F.lit(1)).alias("__n"), *[(F.max(a) - F.min(a)).alias(f"__s{a}") for a in AXES])
     axis = F.when((F.col("__sx") >= F.col("__sy")) & (F.col("__sx") >= F.col("__sz")), F.col("x")).when(F.col("__sy") >= F.col("__sz"), F.col("y")).otherwise(F.col("z"))
@@ -69,7 +70,7 @@ def split(df: DataFrame, node: str = "node", parts: int = 2) -> DataFrame:
     part = F.col("rn") - 1 >= F.floor(F.col("__n") / parts)
     for i in range(2, parts):
         part = part.cast("long") + (F.col("rn") - 1 >= F.floor(F.col("__n") * i / parts)).cast("long")
-    return _ranked(placed, node, "__c").withColumn(node, parts * F.col(node) + part.cast("long")).drop("rn", "__n", "__c")
+    return _ranked(placed, node, "__c").withColumn(node, F.when(F.col("__n") > above, parts * F.col(node) + part.cast("long")).otherwise(F.col(node))).drop("rn", "__n", "__c")
 
 
 def leaf_numbers(xyz: np.ndarray, ids: np.ndarray, leaf_size: int) -> np.ndarray:
@@ -93,31 +94,44 @@ def _by_longest_axis(xyz: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.n
     return rows[np.lexsort((ids[rows], p[:, axis]))]
 
 
-def leaves(df: DataFrame, leaf_size: int = 32, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
-    """(id, x, y, z, node, leaf): upper levels are split by range shuffles, nodes of up to subtree_rows within a task."""
-    out = df.select("id", *AXES, F.lit(1).cast("long").alias("node"))
-    most = out.count()
-    while most > max(subtree_rows, leaf_size):
-        out = staged(split(out))
+def _rooted(df: DataFrame, group: str | None) -> tuple[DataFrame, int, int, int]:
+    """(id, x, y, z, grp, node) with a root for each group, and the levels above the roots, rows of the largest and the smallest group.
+
+    group: a column of numbers from 0; each of its values has a tree of its own, all of the same depth. Without it: one tree.
+    """
+    if group is None:
+        out = df.select("id", *AXES, F.lit(0).alias("grp"), F.lit(1).cast("long").alias("node"))
+        n = out.count()
+        return out, 0, n, n
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max(group), F.max("n"), F.min("n")).first()
+    above = int(sizes[0] or 0).bit_length()
+    return df.select("id", *AXES, F.col(group).cast("int").alias("grp"), (F.col(group) + (1 << above)).cast("long").alias("node")), above, sizes[1] or 0, sizes[2] or 0
+
+
+def leaves(df: DataFrame, leaf_size: int = 32, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> DataFrame:
+    """(id, x, y, z, grp, node, leaf): upper levels are split by range shuffles, nodes of up to subtree_rows within a task."""
+    out, _, most, _ = _rooted(df, group)
+    limit = max(subtree_rows, leaf_size)
+    while most > limit:
+        out = staged(split(out, above=limit))
         most = -(-most // 2)
 
     def run(table: pa.Table) -> pa.Table:
         xyz = np.stack([table[a].to_numpy() for a in AXES], 1)
         return table.append_column("leaf", pa.array(leaf_numbers(xyz, table["id"].to_numpy(), leaf_size)))
 
-    return out.groupBy("node").applyInArrow(run, "id long, x double, y double, z double, node long, leaf long")
+    return out.groupBy("node").applyInArrow(run, "id long, x double, y double, z double, grp int, node long, leaf long")
 
 
-PACKED = "leaf long, n int, own double, ids array<long>, x array<double>, y array<double>, z array<double>, " + ", ".join(f"l{a} double, h{a} double" for a in AXES)
+PACKED = "leaf long, grp int, n int, own double, ids array<long>, x array<double>, y array<double>, z array<double>, " + ", ".join(f"l{a} double, h{a} double" for a in AXES)
 
 
-def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUBTREE_ROWS) -> tuple[DataFrame, int, int]:
-    """A row for each leaf, staged, the depth of all leaves below the root (1), and the number of particles.
+def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> tuple[DataFrame, int, int, int]:
+    """A row for each leaf, staged, the depth of all leaves below their roots, the levels above those, and the particles of the smallest tree.
 
     A leaf's row holds its particles, its box and own, the greatest distance of a particle to its k-th nearest in the leaf.
     """
-    out = df.select(F.col("id").cast("long").alias("id"), *AXES, F.lit(1).cast("long").alias("node"))
-    total = most = out.count()
+    out, above, most, least = _rooted(df.withColumn("id", F.col("id").cast("long")), group)
     depth = 0
     while most > max(subtree_rows, leaf_rows):
         out = staged(split(out, parts=PARTS))
@@ -129,19 +143,19 @@ def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUB
         nodes = [np.arange(len(ids))]
         for _ in range(inner):
             nodes = [part for rows in nodes for part in np.split(_by_longest_axis(xyz, ids, rows) if len(rows) else rows, [len(rows) // 2])]
-        first = table["node"][0].as_py() << inner
+        first, grp = table["node"][0].as_py() << inner, table["grp"][0].as_py()
         rows = []
         for i, own in enumerate(nodes):
             if len(own):
                 p = xyz[own]
                 d2 = sum((p[:, a, None] - p[None, :, a]) ** 2 for a in range(3))
                 far = math.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1].max()) if len(own) >= k else None
-                rows.append((first + i, len(own), far, ids[own], *p.T, *[x for a in range(3) for x in (p[:, a].min(), p[:, a].max())]))
+                rows.append((first + i, grp, len(own), far, ids[own], *p.T, *[x for a in range(3) for x in (p[:, a].min(), p[:, a].max())]))
         names = [f.split()[0] for f in PACKED.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3, *[pa.float64()] * 6]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3, *[pa.float64()] * 6]
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
-    return staged(out.groupBy("node").applyInArrow(run, PACKED)), depth + inner, total
+    return staged(out.groupBy("node").applyInArrow(run, PACKED)), depth + inner, above, least
 
 
 def _box_distance(farthest: bool = False) -> Column:
@@ -153,30 +167,29 @@ def _box_distance(farthest: bool = False) -> Column:
     return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
 
 
-def leaf_pairs(queries: DataFrame, points: DataFrame, depth: int, enough: bool) -> DataFrame:
+def leaf_pairs(queries: DataFrame, points: DataFrame, k: int, depth: int, above: int) -> DataFrame:
     """(leaf, other, gap, reach): the leaves of points that may hold one of the k nearest of a point in a leaf of queries.
 
-    queries: (leaf, own, box). A leaf's reach is own, or where it is null the least distance within which a node's points
-    must all lie; nodes that begin beyond it are left out. The nearest node by that measure always stays. enough: every
-    node holds k points; if not, nothing is left out.
+    queries: (leaf, grp, own, box); a leaf is matched with leaves of its group. A leaf's reach is own, or the least distance
+    within which all of a node of k points or more must lie, whichever is less; nodes that begin at or beyond it are left
+    out. The leaf itself stays, or without own the node that gave the reach.
     """
     box = [f"{s}{a}" for a in AXES for s in "lh"]
     levels = sorted({max(0, depth - STRIDE * i) for i in range(depth + 1)})
-    walk = queries.select("leaf", F.coalesce("own", F.lit(float("inf"))).alias("reach"), F.col("own").isNotNull().alias("same"), *box, F.lit(1).cast("long").alias("other")).repartition("leaf")
+    walk = queries.select("leaf", F.coalesce("own", F.lit(float("inf"))).alias("reach"), F.col("own").isNotNull().alias("same"), *box, (F.col("grp") + (1 << above)).cast("long").alias("other")).repartition("leaf")
     found = None
-    for above, level in zip([0, *levels], levels, strict=False):
+    for before, level in zip([0, *levels], levels, strict=False):
         node = F.shiftright("leaf", depth - level)
-        boxes = points.groupBy(node.alias("other")).agg(*[(F.min if c[0] == "l" else F.max)(c).alias(f"o{c}") for c in box])
-        n_children = 1 << (level - above)
+        boxes = points.groupBy(node.alias("other")).agg(F.sum("n").alias("on"), *[(F.min if c[0] == "l" else F.max)(c).alias(f"o{c}") for c in box])
+        n_children = 1 << (level - before)
         children = F.transform(F.sequence(F.lit(0), F.lit(n_children - 1)), lambda i: F.col("other") * n_children + i)
         walk = walk.select("leaf", "reach", "same", *box, F.explode(children).alias("other"))
-        walk = walk.join(F.broadcast(boxes) if 1 << level <= BROADCAST_NODES else boxes, "other")
-        walk = walk.withColumns({"gap": _box_distance(), "far": _box_distance(True)})
-        if enough:
-            nearest = Window.partitionBy("leaf")
-            walk = walk.withColumns({"reach": F.least("reach", F.min("far").over(nearest)), "first": F.min(F.struct("far", "other")).over(nearest)["other"]})
-            own = F.when(F.col("same"), F.shiftright("leaf", depth - level)).otherwise(F.col("first"))
-            walk = walk.filter((F.col("gap") < F.col("reach")) | (F.col("other") == own))
+        walk = walk.join(F.broadcast(boxes) if 1 << (level + above) <= BROADCAST_NODES else boxes, "other")
+        full = F.when(F.col("on") >= k, F.struct(_box_distance(True).alias("far"), F.col("other")))
+        walk = walk.withColumns({"gap": _box_distance(), "first": F.min(full).over(Window.partitionBy("leaf"))})
+        walk = walk.withColumn("reach", F.least("reach", F.col("first.far")))  # a null counts for nothing
+        kept = F.when(F.col("same"), F.col("other") == F.shiftright("leaf", depth - level)).when(F.col("first").isNotNull(), F.col("other") == F.col("first.other")).otherwise(F.col("gap") <= F.col("reach"))
+        walk = walk.filter((F.col("gap") < F.col("reach")) | kept)
         found = walk.select("leaf", "other", "gap", "reach")
         walk = walk.select("leaf", "reach", "same", *box, "other")
     return found
@@ -185,8 +198,8 @@ def leaf_pairs(queries: DataFrame, points: DataFrame, depth: int, enough: bool)
 class _Group:
     """The k nearest of some points among those that are added; only points within reach of all of the points' box count."""
 
-    def __init__(self, ids: np.ndarray, p: np.ndarray, k: int, reach: float, shared: bool):
-        self.ids, self.p, self.k, self.shared = ids, p, k, shared
+    def __init__(self, grp: int, ids: np.ndarray, p: np.ndarray, k: int, reach: float, shared: bool):
+        self.grp, self.ids, self.p, self.k, self.shared = grp, ids, p, k, shared
         self.low, self.high = p.min(0), p.max(0)
         # A hair more, so that rounding loses nothing.
         self.reach2 = reach * reach * (1 + 1e-12)
@@ -227,33 +240,38 @@ class _Group:
         lists = np.sort(self.best, 1) if self.shared else np.zeros((size, 0))
         offsets = pa.array(np.arange(size + 1) * lists.shape[1], pa.int32())
         r2 = pa.array(self.best.max(1) if n else np.zeros(size), pa.float64(), mask=np.full(size, not n))
-        return pa.RecordBatch.from_arrays([pa.array(self.ids), r2, pa.array(np.full(size, n), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(lists.ravel()))], ["id", "r2", "n", "all"])
+        columns = [pa.array(self.ids), pa.array(np.full(size, self.grp), pa.int32()), r2, pa.array(np.full(size, n), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(lists.ravel()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "grp", "r2", "n", "all"])
 
 
-def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_rows: int = LEAF_ROWS, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
+def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_rows: int = LEAF_ROWS, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> DataFrame:
     """(id, r2, n): squared distance to the k-th nearest point, a point itself counted first, and how many were found (k at most).
 
     Fewer than k points in all: n < k and r2 is the farthest; none at all: n is 0 and r2 null. Every query has a row.
+    group: a column of numbers from 0 within which points are neighbours; then the result has it, too, and no queries may be given.
     """
-    held, depth, total = packed_leaves(points, k, max(leaf_rows, 4 * k), subtree_rows)
+    if group is not None and queries is not None:
+        raise ValueError("groups have no separate queries")
+    held, depth, above, least = packed_leaves(points, k, max(leaf_rows, 4 * k), subtree_rows, group)
+    named = [] if group is None else [F.col("grp").alias(group)]
     asked = held if queries is None else packed_leaves(queries, 1, leaf_rows, subtree_rows)[0].withColumn("own", F.lit(None).cast("double"))
-    if not total:
-        return asked.select(F.explode("ids").alias("id"), F.lit(None).cast("double").alias("r2"), F.lit(0).alias("n"))
-    pairs = staged(leaf_pairs(asked, held, depth, total >= k))
+    if not least:
+        return asked.select(F.explode("ids").alias("id"), *named, F.lit(None).cast("double").alias("r2"), F.lit(0).alias("n"))
+    pairs = staged(leaf_pairs(asked, held, k, depth, above))
     salts = pairs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP_LEAVES).cast("int").alias("salts"), F.max("reach").alias("reach"))
     dealt = pairs.drop("reach").join(salts, "leaf").withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int"))
     other = held.select(F.col("leaf").alias("other"), *AXES)
     empty = F.array().cast("array<long>")
     # A leaf's own points come first, then those of other leaves, itself before all others.
-    rows = dealt.join(other, "other").select("leaf", "salt", "salts", "reach", F.when(F.col("other") == F.col("leaf"), 1).otherwise(2).alias("turn"), "gap", empty.alias("ids"), *AXES)
-    own = asked.join(salts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "reach", F.lit(0).alias("turn"), F.lit(0.0).alias("gap"), "ids", *AXES)
+    rows = dealt.join(other, "other").select("leaf", "salt", "salts", "reach", F.when(F.col("other") == F.col("leaf"), 1).otherwise(2).alias("turn"), "gap", F.lit(0).alias("grp"), empty.alias("ids"), *AXES)
+    own = asked.join(salts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "reach", F.lit(0).alias("turn"), F.lit(0.0).alias("gap"), "grp", "ids", *AXES)
     grouped = rows.unionByName(own).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "turn", "gap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = None
         for batch in batches:
             salts, reach, turn = (batch.column(c).to_numpy() for c in (2, 3, 4))
-            ids, parts = batch.column(6), [batch.column(c) for c in (7, 8, 9)]
+            grp, ids, parts = batch.column(6).to_numpy(), batch.column(7), [batch.column(c) for c in (8, 9, 10)]
             xyz = np.stack([c.flatten().to_numpy() for c in parts], 1)
             ends = np.concatenate([[0], np.cumsum(parts[0].value_lengths().to_numpy())])
             for i in range(batch.num_rows):
@@ -261,14 +279,14 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_ro
                 if turn[i] == 0:
                     if group:
                         yield group.result()
-                    group = _Group(ids[i].values.to_numpy(), p, k, float(reach[i]), bool(salts[i] > 1))
+                    group = _Group(int(grp[i]), ids[i].values.to_numpy(), p, k, float(reach[i]), bool(salts[i] > 1))
                 else:
                     group.add(p)
         if group:
             yield group.result()
 
-    found = grouped.mapInArrow(run, "id long, r2 double, n int, all array<double>")
-    alone = found.filter(F.size("all") == 0).select("id", "r2", "n")
+    found = grouped.mapInArrow(run, "id long, grp int, r2 double, n int, all array<double>")
+    alone = found.filter(F.size("all") == 0).select("id", "grp", "r2", "n")
     # Points of leaves that were compared in several groups: the k nearest of all of them.
-    some = found.filter(F.size("all") > 0).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("all"))), 1, k).alias("all"))
-    return alone.unionByName(some.select("id", F.element_at("all", -1).alias("r2"), F.size("all").alias("n")))
+    some = found.filter(F.size("all") > 0).groupBy("id", "grp").agg(F.slice(F.array_sort(F.flatten(F.collect_list("all"))), 1, k).alias("all"))
+    return alone.unionByName(some.select("id", "grp", F.element_at("all", -1).alias("r2"), F.size("all").alias("n"))).select("id", *named, "r2", "n")

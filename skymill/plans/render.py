@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from ..config import RenderConfig, types_of
 from ..functions.colour import byte, colour_pixels
 from ..operators import deposit, frames, interpolate, levels, select, smoothing
+from ..schema import AXES
 from ..sinks.images import name_frames, render_images
 from ..sources.snapshots import box_size, header_counts, read_header, read_particles
+from ..staging import staged
 
 
 def load(spark: SparkSession, cfg: RenderConfig, read=read_particles) -> tuple[DataFrame, RenderConfig, float]:
@@ -21,7 +24,12 @@ def load(spark: SparkSession, cfg: RenderConfig, read=read_particles) -> tuple[D
     In interpolating modes the snapshots are matched once and every frame's positions are computed from that; the same
     box is then selected in each frame.
     """
-    root = cfg.snap_a if cfg.mode != "single" else cfg.input
+    cfg, box = in_snapshot_units(spark, cfg, cfg.snap_a if cfg.mode != "single" else cfg.input)
+    return particles_in_frames(spark, cfg, box, lambda name: read(spark, getattr(cfg, name), cfg.isHDF5)), cfg, box
+
+
+def in_snapshot_units(spark: SparkSession, cfg: RenderConfig, root: str) -> tuple[RenderConfig, float]:
+    """(settings in a snapshot's units, its box length); warns of asked types that it does not hold."""
     if root.endswith(".parquet"):
         box = float(cfg.extra.get("box_size", 1.0))
     else:
@@ -30,8 +38,7 @@ def load(spark: SparkSession, cfg: RenderConfig, read=read_particles) -> tuple[D
         present = {r["ptype"] for r in header_counts(headers).filter("n > 0").collect()}  # a row for each type
         if absent := [t for t in types_of(cfg.mask) or [] if t not in present]:
             warnings.warn(f"the snapshot has no particles of type {absent}", stacklevel=2)
-    cfg = cfg.in_box_units(box).validated()
-    return particles_in_frames(spark, cfg, box, lambda name: read(spark, getattr(cfg, name), cfg.isHDF5)), cfg, box
+    return cfg.in_box_units(box).validated(), box
 
 
 def particles_in_frames(spark: SparkSession, cfg: RenderConfig, box: float, open_snapshot) -> DataFrame:
@@ -67,7 +74,7 @@ def density(df: DataFrame, cfg: RenderConfig) -> DataFrame:
 
 
 def with_lengths(df: DataFrame, cfg: RenderConfig) -> DataFrame:
-    """df and h. Without interpolation all frames share the lengths of the first; else each frame has its own."""
+    """df and h. Without interpolation all frames share the lengths of the first; else each frame has its own, all in one plan."""
     method = "grid" if cfg.fast_smooth else cfg.h_method
     options = {"max_voxels": cfg.max_h_voxels} | ({"n": cfg.smooth_grid, "min_frac": cfg.min_rho_frac} if method == "grid" else {})
     if cfg.mode == "single" or cfg.frames == 1:
@@ -77,25 +84,28 @@ def with_lengths(df: DataFrame, cfg: RenderConfig) -> DataFrame:
         else:
             h = smoothing.smoothing_lengths(first, method, cfg.lbox, cfg.width, cfg.num_ngb, cfg.sph_eta, **options)
         return df.join(h.select("id", "h"), "id")
-    parts = None
-    for i in range(cfg.frames):
-        one = smoothing.smoothing_lengths(df.filter(F.col("frame") == i), method, cfg.lbox, cfg.width, cfg.num_ngb, cfg.sph_eta, **options)
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    return smoothing.smoothing_lengths(df, method, cfg.lbox, cfg.width, cfg.num_ngb, cfg.sph_eta, group="frame", **options)
 
 
 def finish(pixels: DataFrame, cfg: RenderConfig) -> DataFrame:
     """(frame, iy, ix, rho, r, g, b, a): levels, noise floor, filled holes and colours."""
-    options = {"log_scale": cfg.log_scale, "lo": cfg.auto_pct_lo, "hi": cfg.auto_pct_hi}
-    fixed = pixels.select("frame").distinct().withColumns({"vmin": F.lit(cfg.vmin), "vmax": F.lit(cfg.vmax)})
+    options = {"log_scale": cfg.log_scale, "lo": cfg.auto_pct_lo, "hi": cfg.auto_pct_hi, "most": cfg.width * cfg.height}
     locked = cfg.auto_levels and cfg.lock_levels
-    before = levels.locked_levels(pixels, **options) if locked else fixed
-    # One row of levels for each frame.
-    leveled = pixels.join(F.broadcast(before), "frame")
+    if locked:
+        # Written once, as the levels and the pictures both read it. One row of levels for each frame.
+        pixels = staged(pixels)
+        leveled = pixels.join(F.broadcast(levels.locked_levels(pixels, **options)), "frame")
+    else:
+        leveled = pixels.withColumns({"vmin": F.lit(float(cfg.vmin)), "vmax": F.lit(float(cfg.vmax))})
     clean = levels.apply_floor(leveled, levels.noise_floor(F.col("vmin"), cfg.log_scale, cfg.noise_floor_fraction, cfg.compat)).select("frame", "iy", "ix", "rho")
-    filled = levels.fill_holes(clean, cfg.width, cfg.height, cfg.max_fill_passes)
-    after = levels.auto_levels(filled, **options).select("frame", "vmin", "vmax") if cfg.auto_levels and not locked else before
-    shown = filled.join(F.broadcast(after), "frame")
+    shown = levels.fill_holes(clean, cfg.width, cfg.height, cfg.max_fill_passes)
+    if locked:
+        shown = shown.join(F.broadcast(leveled.select("frame", "vmin", "vmax").distinct()), "frame")
+    elif cfg.auto_levels:
+        shown = staged(shown)
+        shown = shown.join(F.broadcast(levels.auto_levels(shown, **options).select("frame", "vmin", "vmax")), "frame")
+    else:
+        shown = shown.withColumns({"vmin": F.lit(float(cfg.vmin)), "vmax": F.lit(float(cfg.vmax))})
     return colour_pixels(shown, cfg, F.col("vmin"), F.col("vmax")).drop("vmin", "vmax")
 
 
@@ -121,34 +131,43 @@ def render_to_files(spark: SparkSession, cfg: RenderConfig) -> None:
     images.select("file", "image").write.format("skymill_images").mode("append").save()
 
 
-def sequence_configs(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, mode: str) -> list[tuple[int, RenderConfig, int]]:
-    """(first global frame, settings, frames to keep) for each interval of a list of snapshots."""
-    roles = {"a": "snap_a", "b": "snap_b", "prev": "snap_prev", "next": "snap_next"}
-    rows = frames.snapshot_roles(snaps, mode).orderBy("seq").collect()  # a row for each interval
-    out, at = [], 0
-    for i, r in enumerate(rows):
-        keep = cfg.itmax if i == len(rows) - 1 else cfg.itmax - 1
-        out.append((at, replace(cfg, **{roles[k]: r[k] for k in roles if k in r.asDict()}), keep))
-        at += keep
-    return out
+#: The snapshots of an interval in order: its ends a and b, the one before and the one behind.
+ROLES = {"hermite": ("a", "b"), "catmull": ("p", "a", "b"), "catmull4": ("p", "a", "b", "n")}
 
 
-def render_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, mode: str = "hermite", lock: bool = True) -> DataFrame:
+def sequence_frames(spark: SparkSession, cfg: RenderConfig, intervals: int) -> DataFrame:
+    """(interval, frame, t, angle_deg, lbox): frames numbered through; an interval's last frame is the next one's first, and kept at the end only."""
+    moving = replace(cfg, snap_a="a", snap_b="b")
+    table = frames.frames_table(spark, moving)
+    local = spark.range(intervals).select(F.col("id").cast("int").alias("interval")).crossJoin(F.broadcast(table))  # a row for each image
+    kept = local.filter((F.col("frame") < cfg.itmax - 1) | (F.col("interval") == intervals - 1))
+    return kept.withColumn("frame", (F.col("frame") + F.col("interval") * (cfg.itmax - 1)).cast("int"))
+
+
+def sequence_particles(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode: str, box: float, read=read_particles) -> DataFrame:
+    """Selected particles of every frame of a sequence, as particles_in_frames: the interval is a column, so all intervals are one match and one job."""
+    parts = [read(spark, root, cfg.isHDF5).select("id", "ptype", *AXES, F.lit(i).alias("place")) for i, root in enumerate(roots)]
+    every = reduce(DataFrame.unionByName, parts)
+    names, count = ROLES[mode], len(roots) - len(ROLES[mode]) + 1
+    role = {n: every.withColumn("interval", F.col("place") - k).filter(F.col("interval").between(0, count - 1)).drop("place") for k, n in enumerate(names)}
+    a = role.pop("a").filter(select.type_filter(cfg.mask))
+    matched = interpolate.match_by_id(a, ("id", "interval"), **role).join(F.broadcast(sequence_frames(spark, cfg, count)), "interval")
+    t, centre = F.col("t"), (cfg.xc, cfg.yc, cfg.zc)
+    df = interpolate.hermite(matched, t, box) if mode == "hermite" else interpolate.catmull_rom(matched, t, box, "n" in names)
+    df = df.filter(select.cube_filter(centre, cfg.lbox, box))
+    return df if cfg.compat else select.unwrap_to_view(df, centre, box)
+
+
+def render_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, mode: str = "hermite", lock: bool = True, read=read_particles) -> DataFrame:
     """(frame, image, file) of all intervals, numbered through; lock: levels of the very first frame hold for all."""
-    out, fixed = None, cfg
-    for at, one, keep in sequence_configs(spark, cfg, snaps, mode):
-        df, one, _ = load(spark, one)
-        pixels = density(df.filter(F.col("frame") < keep), one)
-        if lock and fixed.auto_levels and at == 0:
-            first = levels.auto_levels(pixels.filter("frame = 0"), one.log_scale, one.auto_pct_lo, one.auto_pct_hi).first()
-            if first:
-                fixed = replace(cfg, vmin=first["vmin"], vmax=first["vmax"], auto_levels=False)
-        one = replace(one, vmin=fixed.vmin, vmax=fixed.vmax, auto_levels=fixed.auto_levels)
-        images = render_images(finish(pixels, one), one.width, one.height, empty_colour(spark, one)).withColumn("frame", F.col("frame") + at)
-        out = images if out is None else out.unionByName(images)
-    if out is None:
+    roots = [r["root"] for r in snaps.orderBy("seq").collect()]  # a row for each snapshot
+    if len(roots) < len(ROLES[mode]):
         raise ValueError("the list has too few snapshots for this mode")
-    return name_frames(out, cfg.output or "frame")
+    cfg, box = in_snapshot_units(spark, cfg, roots[ROLES[mode].index("a")])
+    moving = replace(cfg, snap_a="a", snap_b="b", lock_levels=lock or cfg.lock_levels)
+    pixels = density(sequence_particles(spark, cfg, roots, mode, box, read), moving)
+    images = render_images(finish(pixels, moving), cfg.width, cfg.height, empty_colour(spark, cfg))
+    return name_frames(images, cfg.output or "frame")
 
 
 def gray_pixels(pixels: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:

@@ -165,6 +165,28 @@ def test_lookup_interpolates(spark):
     assert value(spark, kernels.lookup([1.0, 1.0], 2.0, F.lit(2.0))) == 0
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_particles_beyond_the_image_change_nothing(spark, compat):
+    """They are left out before they are summed; those at the edge still reach its pixels."""
+    rng = np.random.default_rng(6)
+    p = rng.uniform(-1, 2, (400, 2))
+    df = spark.createDataFrame([(*map(float, v), k) for k in (0, 1) for v in p], "x double, y double, frame int").withColumn("lbox", F.lit(0.5) / (F.col("frame") + 1))
+    got = {(r.frame, r.iy, r.ix): r.rho for r in deposit.cic_map(df, 8, 6, (0.5, 0.5), F.col("lbox"), ("frame",), compat).collect()}
+    want = {}
+    for frame in (0, 1):
+        lbox = 0.5 / (frame + 1)
+        for x, y in p:
+            px, py = (x - 0.5) * 8 / lbox + 4, (y - 0.5) * 6 / lbox + 3
+            for dy in (0, 1):
+                for dx in (0, 1):
+                    iy, ix = math.floor(py - 0.5) + dy, math.floor(px - 0.5) + dx
+                    w = max(0, 1 - abs(px - ix - 0.5)) * max(0, 1 - abs(py - iy - 0.5)) * 48 / lbox**2
+                    if 0 <= ix < 8 and (iy >= -6 if compat else 0 <= iy < 6):
+                        want[frame, (iy + 6) % 6, ix] = want.get((frame, (iy + 6) % 6, ix), 0) + w
+    assert {k for k, v in got.items() if v > 1e-9} == {k for k, v in want.items() if v > 1e-9}
+    assert all(math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-9) for k, v in want.items() if v > 1e-9)
+
+
 def test_sph_mass(spark):
     df = spark.createDataFrame([(0.5, 0.5, 0.06)], "x double, y double, h double")
     total = deposit.sph_map(df, 64, 64, (0.5, 0.5), 1.0).agg(F.sum("rho")).first()[0]
@@ -209,6 +231,19 @@ def test_nearest_of_clustered_points(spark, monkeypatch, subtree, group):
     assert len(got) == len(q) and all(got[i].n == 9 and math.isclose(got[i].r2, want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(q)))
 
 
+def test_nearest_within_groups_of_all_sizes(spark):
+    """A tree for each group, all as deep as the largest needs: the leaves of small ones hold fewer than k points."""
+    rng = np.random.default_rng(10)
+    sizes = {0: 900, 1: 40, 3: 9, 4: 5, 6: 60}
+    p = {g: np.full((n, 3), 0.5) if g == 6 else rng.random((n, 3)) for g, n in sizes.items()}
+    rows = [(i, *map(float, v), g) for g in p for i, v in enumerate(p[g])]
+    got = {(r.g, r.id): (r.r2, r.n) for r in tree.nearest(spark.createDataFrame(rows, "id long, x double, y double, z double, g int"), 9, leaf_rows=16, group="g").collect()}
+    assert len(got) == len(rows)
+    for g in p:
+        want = kth(p[g], p[g], 9)
+        assert all(got[g, i][1] == min(9, len(want)) and math.isclose(got[g, i][0], w, rel_tol=1e-9, abs_tol=1e-15) for i, w in enumerate(want))
+
+
 def test_distant_queries_and_few_points(spark):
     p = np.array([[0.0, 0, 0], [1, 0, 0], [0, 2, 0]])
     q = points(spark, [[0.1, 0, 0], [1e6, 1e6, 1e6]])
@@ -284,6 +319,33 @@ def test_levels(spark):
     assert math.isclose(value(spark, levels.noise_floor(F.lit(1.0))), 0.001)
 
 
+@pytest.mark.parametrize(("lo", "hi"), [(0.1, 1.0), (0.0, 0.5), (0.37, 0.371), (1.0, 1.0)])
+def test_levels_by_bins_equal_sorted_ones(spark, monkeypatch, lo, hi):
+    """Ties, one value only, values over many magnitudes, and few bins, so that several rounds are needed."""
+    monkeypatch.setattr(levels, "BINS", 4)
+    rng = np.random.default_rng(3)
+    frames = [rng.random(200), np.full(50, 7.0), 10.0 ** rng.uniform(-30, 30, 150), np.concatenate([np.full(99, 1.0), [1e9]]), [5.0], [0.0, 3.0]]
+    rows = [(f, 0, i, float(v)) for f, values in enumerate(frames) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "frame int, iy int, ix int, rho double")
+    a, b = (sorted(map(tuple, levels.auto_levels(df, True, lo, hi, most=m).collect())) for m in (10**6, None))
+    assert a == b and len(a) == len(frames)
+    assert levels.auto_levels(df.filter("frame > 90"), True, lo, hi).collect() == []
+
+
+@pytest.mark.parametrize("method", ["grid", "leaf", "knn"])
+def test_lengths_of_groups_equal_those_alone(spark, method):
+    p, df = cloud(spark, 300, 9)
+    df = df.withColumn("frame", F.when(F.col("id") < 100, 0).when(F.col("id") < 260, 1).otherwise(5))
+    df = df.withColumn("x", F.col("x") * (F.col("frame") + 1)).unionByName(df.filter("id < 40").withColumn("frame", F.lit(2)))
+    options = {"num_ngb": 6} | ({"n": 8} if method == "grid" else {"subtree_rows": 50} if method == "leaf" else {})
+    got = {(r.frame, r.id): r.h for r in smoothing.smoothing_lengths(df, method, 50.0, 64, group="frame", **options).collect()}
+    want = {}
+    for frame in (0, 1, 2, 5):
+        want |= {(frame, r.id): r.h for r in smoothing.smoothing_lengths(df.filter(F.col("frame") == frame), method, 50.0, 64, **options).collect()}
+    assert got.keys() == want.keys() and len(got) == 340
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or math.isclose(got[k], want[k], rel_tol=1e-9)) for k in want)
+
+
 def slow_fill(image, passes):
     for _ in range(passes):
         out, changed = image.copy(), False

@@ -1,5 +1,7 @@
 """Snapshot sources, image sinks, whole renders and the stream."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +86,36 @@ def test_png_round_trip(channels):
     assert images.encode_pnm(image).startswith(b"P5\n5 7\n255\n" if channels == 1 else b"P6\n5 7\n255\n")
 
 
+@pytest.mark.parametrize(("kind", "channels"), [("png", "rgba"), ("png", "rgb"), ("pnm", "rgb"), ("png", "r")])
+def test_images_are_drawn_by_strips(spark, monkeypatch, kind, channels):
+    """Strips of three rows, some empty, the last one shorter; several frames, pixels outside."""
+    monkeypatch.setattr(images, "STRIP_BYTES", 3 * 9 * len(channels))
+    rng = np.random.default_rng(4)
+    want = np.tile(np.array([9, 8, 7, 255], np.uint8), (2, 20, 9, 1))
+    rows = []
+    for frame, iy, ix in {(int(rng.integers(2)), int(rng.choice([0, 1, 2, 7, 8, 19])), int(rng.integers(9))) for _ in range(60)}:
+        want[frame, iy, ix] = rng.integers(0, 256, 4)
+        rows.append((frame, iy, ix, *map(int, want[frame, iy, ix])))
+    rows += [(0, -1, 3, 1, 1, 1, 1), (1, 3, 9, 1, 1, 1, 1), (0, 20, 0, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "frame int, iy int, ix int, r int, g int, b int, a int")
+    got = {r.frame: bytes(r.image) for r in images.render_images(df, 9, 20, (9, 8, 7, 255), kind, channels).collect()}
+    for frame in (0, 1):
+        image = want[frame][:, :, ["rgba".index(c) for c in channels]]
+        assert got[frame] == images.encode_png(image) if kind == "png" else images.encode_pnm(image)
+        if kind == "png":
+            assert (images.decode_png(got[frame]) == image).all()
+
+
+def test_gray_images(spark):
+    """The plain gray picture: densities between two values, others at the ends; empty pixels black."""
+    df = spark.createDataFrame([(0, 0, 0, 0.0), (0, 0, 1, 0.25), (0, 1, 0, 0.5), (0, 1, 1, 7.0), (0, 2, 0, -1.0), (0, 2, 1, 1.0)], "frame int, iy int, ix int, rho double")
+    got = {(r.iy, r.ix): (r.r, r.g, r.b, r.a) for r in render.gray_pixels(df).collect()}
+    assert got == {(0, 0): (0, 0, 0, 255), (0, 1): (64, 64, 64, 255), (1, 0): (128, 128, 128, 255), (1, 1): (255, 255, 255, 255), (2, 0): (0, 0, 0, 255), (2, 1): (255, 255, 255, 255)}
+    assert {r.r for r in render.gray_pixels(df, 1.0, 7.0).filter("iy = 2 and ix = 1").collect()} == {0}
+    image = images.decode_png(bytes(images.render_images(render.gray_pixels(df), 2, 3, channels="r").first().image))
+    assert image[:, :, 0].tolist() == [[0, 64], [128, 255], [0, 255]]
+
+
 @pytest.fixture
 def parquet_snapshots(spark, tmp_path):
     rng = np.random.default_rng(3)
@@ -132,6 +164,23 @@ def test_sequence(spark, parquet_snapshots):
     assert [r.frame for r in got] == list(range(7))
 
 
+@pytest.mark.parametrize(("mode", "more"), [("hermite", {}), ("catmull", {"kernel_smoothing": True, "h_method": "knn", "num_ngb": 8}), ("catmull4", {"rot_dangle": 20.0})])
+def test_sequence_equals_its_intervals(spark, parquet_snapshots, mode, more):
+    """One plan for all intervals gives the pictures of one render for each."""
+    cfg = base(itmax=3, **more)
+    snaps = spark.createDataFrame(list(enumerate(parquet_snapshots)), "seq int, root string")
+    got = {r.frame: bytes(r.image) for r in render.render_sequence(spark, cfg, snaps, mode, lock=False).collect()}
+    lead, behind = int(mode != "hermite"), int(mode == "catmull4")
+    count = len(parquet_snapshots) - 1 - lead - behind
+    assert len(got) == 2 * count + 1
+    for i in range(count):
+        a = i + lead
+        names = {"snap_a": a, "snap_b": a + 1} | ({"snap_prev": a - 1} if lead else {}) | ({"snap_next": a + 2} if behind else {})
+        alone = {r.frame: bytes(r.image) for r in render.render(spark, replace(cfg, **{k: parquet_snapshots[v] for k, v in names.items()})).collect()}
+        for frame in range(3 if i == count - 1 else 2):
+            assert (images.decode_png(got[2 * i + frame]) == images.decode_png(alone[frame])).all()
+
+
 def test_files_and_command_line(spark, parquet_snapshots, tmp_path):
     out = str(tmp_path / "img" / "f")
     cli.main(["-input", parquet_snapshots[0], "-output", out, "-lbox", "1", "-all_types", "-width", "12", "-height", "10"])
