@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from ..config import unit_axis
-from ..functions.colour import EVEN, MAGMA
+from ..functions.colour import EVEN, MAGMA, VIRIDIS
 from ..functions.kernels import GL_NODES, GL_WEIGHTS
 
 AXIS = unit_axis((1.0, 2.0, 3.0))
@@ -174,6 +176,19 @@ def _rows(stops: list[tuple]) -> str:
     return "(VALUES " + ", ".join(f"({', '.join(f'CAST({float(x)!r} AS DOUBLE)' for x in s)})" for s in stops) + ")"
 
 
+def _rows_of(anchors: tuple) -> list[tuple]:
+    """256 rows (i, r, g, b) through anchors: one cubic, and from the third anchor to the last but two the cube of what lies beyond each."""
+    jumps = [i for i, (a, b) in enumerate(zip(anchors, anchors[1:], strict=False)) if b[0] - a[0] == 1]
+    smooth = np.array(anchors[: jumps[0] + 1] if jumps else anchors, float)
+    x, at = smooth[:, 0] / 255, np.arange(smooth[-1, 0] + 1) / 255
+
+    def basis(u: np.ndarray) -> np.ndarray:
+        return np.stack([np.ones_like(u), u, u * u, u**3, *[np.maximum(u - k, 0) ** 3 for k in x[2:-2]]], 1)
+
+    rows = basis(at) @ np.linalg.solve(basis(x), smooth[:, 1:])
+    return [(i, *map(float, r)) for i, r in enumerate([*rows, *[a[1:] for a in anchors[len(smooth) :]]])]
+
+
 def _palettes() -> str:
     names = ("hot", "grayscale", "fire", "ice", "coolwarm", "inferno", "plasma")
     parts = []
@@ -182,6 +197,8 @@ def _palettes() -> str:
         stops = _rows([(i, *c) for i, c in enumerate(EVEN[n])])
         rgb = ", ".join(f"round(a.{c} + (s.f - a.p) * (b.{c} - a.{c}), 6) AS {c}" for c in "rgb")
         parts.append(f"SELECT '{n}' AS cmap, s.i, {rgb} FROM (SELECT CAST(range AS INTEGER) AS i, range / 255e0 * {k} AS f FROM range(256)) s JOIN {stops} a(p, r, g, b) ON a.p = least(floor(s.f), {k - 1}) JOIN {stops} b(p, r, g, b) ON b.p = a.p + 1")
+    for n, anchors in (("viridis", VIRIDIS), ("magma", MAGMA)):
+        parts.append(f"SELECT '{n}' AS cmap, CAST(i AS INTEGER) AS i, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM {_rows(_rows_of(anchors))} m(i, r, g, b)")
     return " UNION ALL ".join(parts)
 
 
@@ -226,19 +243,63 @@ def _opened() -> str:
 
 
 def _composite() -> str:
-    def byte(v: str) -> str:
-        return f"CAST(floor(least(1e0, greatest(0e0, {v})) * 255 + 5e-1) AS INTEGER)"
-
-    rgb = ", ".join(f"{byte(f'(g * sqrt(u) + {b} * 1e0 * (1 - sqrt(u))) / (sqrt(u) + 1e0 * (1 - sqrt(u)))')} AS {n}" for n, b in (("r", "2e-1"), ("g", "4e-1"), ("b", "6e-1")))
+    rgb = ", ".join(f"{_byte(f'(g * sqrt(u) + {b} * 1e0 * (1 - sqrt(u))) / (sqrt(u) + 1e0 * (1 - sqrt(u)))')} AS {n}" for n, b in (("r", "2e-1"), ("g", "4e-1"), ("b", "6e-1")))
     # Gray is linear in t between its 256 rows as well.
     return f"{_scaled(True)}, q AS (SELECT iy, ix, round(t, 6) AS u, round(t, 6) AS g FROM sc) SELECT iy, ix, {rgb}, 255 AS a FROM q"
 
 
+def _looked_up(source: str, name: str) -> str:
+    """CTEs: the source's rows and r, g, b of its t in magma."""
+    rgb = ", ".join(f"a.{c} + (s.f - a.i) * (b.{c} - a.{c}) AS {c}" for c in "rgb")
+    return f"""m AS (SELECT * FROM {_rows(_rows_of(MAGMA))} m(i, r, g, b)), {name}_f AS (SELECT *, least(1e0, greatest(0e0, t)) * 255 AS f FROM {source}),
+{name} AS (SELECT s.* EXCLUDE (f), {rgb} FROM {name}_f s JOIN m a ON a.i = floor(s.f) JOIN m b ON b.i = least(floor(s.f) + 1, 255))"""
+
+
+def _byte(v: str) -> str:
+    return f"CAST(floor(least(1e0, greatest(0e0, {v})) * 255 + 5e-1) AS INTEGER)"
+
+
 def _magma() -> str:
-    rgb = ", ".join(f"round(a.{c} + (s.f - a.p) / (b.p - a.p) * (b.{c} - a.{c}), 6) AS {c}" for c in "rgb")
-    pairs = _rows([(*a, *b) for a, b in zip(MAGMA, MAGMA[1:], strict=False)])
-    rgb = rgb.replace("a.p", "m.p0").replace("b.p", "m.p1").replace("a.r", "m.r0").replace("b.r", "m.r1").replace("a.g", "m.g0").replace("b.g", "m.g1").replace("a.b", "m.b0").replace("b.b", "m.b1")
-    return f"{_scaled(True)}, s AS (SELECT iy, ix, t * 255 AS f FROM sc) SELECT s.iy, s.ix, {rgb} FROM s JOIN {pairs} m(p0, r0, g0, b0, p1, r1, g1, b1) ON s.f >= m.p0 AND (s.f < m.p1 OR (m.p1 = 255 AND s.f = 255))"
+    return f"{_scaled(True)}, {_looked_up('sc', 'c')} SELECT iy, ix, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM c"
+
+
+def _filled(source: str, n: int, passes: int = 64) -> str:
+    """CTEs: full, the source's positive pixels after all passes of hole filling."""
+    out = [f"grid AS MATERIALIZED (SELECT CAST(a.range AS INTEGER) AS iy, CAST(b.range AS INTEGER) AS ix FROM range({n}) a, range({n}) b)", "off AS (SELECT CAST(a.range AS INTEGER) - 1 AS dy, CAST(b.range AS INTEGER) - 1 AS dx FROM range(3) a, range(3) b WHERE a.range <> 1 OR b.range <> 1)", f"f0 AS MATERIALIZED (SELECT CAST(iy AS INTEGER) AS iy, CAST(ix AS INTEGER) AS ix, rho FROM {source} WHERE rho > 0)"]
+    for i in range(passes):
+        near = f"SELECT iy + dy AS iy, ix + dx AS ix, avg(rho) AS near FROM f{i}, off WHERE iy + dy BETWEEN 1 AND {n - 2} AND ix + dx BETWEEN 1 AND {n - 2} GROUP BY ALL"
+        out.append(f"f{i + 1} AS MATERIALIZED (SELECT iy, ix, coalesce(rho, near) AS rho FROM f{i} FULL JOIN ({near}) USING (iy, ix))")
+    return ", ".join([*out, f"full_image AS (SELECT * FROM f{passes})"])
+
+
+def _inpaint_full() -> str:
+    return f"WITH {EMB}, {_cic('img', 'particles_emb', 32)}, known AS (SELECT * FROM img WHERE rho > 1e-4), {_filled('known', 32)} SELECT * FROM (SELECT 0 AS frame, iy, ix, round(rho, 4) AS rho FROM full_image) WHERE rho > 0"
+
+
+def _full_render() -> str:
+    """Floor at a ten-thousandth, filling, levels of what is filled, magma by the square root's opacity over black."""
+    rgb = ", ".join(f"{_byte(f'({c} * o + 0e0) / (o + 1e0 * (1 - o))')} AS {c}" for c in "rgb")
+    return f"""{LI_MAP}, known AS (SELECT * FROM img WHERE rho >= 1e-4), {_filled('known', 64)}, fr AS (SELECT 0 AS frame, rho FROM full_image), {_levels('fr', 'frame')},
+n AS (SELECT iy, ix, rho, (greatest(vmin, least(vmax, log10(rho))) - vmin) / (vmax - vmin) AS t FROM full_image, lv), {_looked_up('n', 'c')}, o AS (SELECT *, sqrt(least(1e0, greatest(0e0, t))) AS o FROM c)
+SELECT 0 AS frame, iy, ix, round(rho, 4) AS rho, {rgb}, {_byte('o + 1e0 * (1 - o)')} AS a FROM o"""
+
+
+def _png() -> str:
+    shown = ", ".join(f"coalesce({_byte(c)}, 0) AS {c}" for c in "rgb")
+    return f"{_scaled(True)}, {_looked_up('sc', 'c')}, grid AS (SELECT CAST(a.range AS INTEGER) AS iy, CAST(b.range AS INTEGER) AS ix FROM range(64) a, range(64) b) SELECT 0 AS frame, grid.iy, grid.ix, {shown}, 255 AS a FROM grid LEFT JOIN c USING (iy, ix)"
+
+
+def _leaf_lengths(levels: int = 16) -> str:
+    """Nodes of more than 32 rows are halved, level by level; as many levels as 2 million particles need."""
+    out = [EMB, "s0 AS MATERIALIZED (SELECT id, x, y, z, CAST(1 AS BIGINT) AS node FROM particles_emb)"]
+    for i in range(levels):
+        spans = f"SELECT node, count(*) AS n, max(x)-min(x) AS sx, max(y)-min(y) AS sy, max(z)-min(z) AS sz FROM s{i} GROUP BY node"
+        ranked = f"SELECT s.*, n, row_number() OVER (PARTITION BY s.node ORDER BY CASE WHEN sx >= sy AND sx >= sz THEN x WHEN sy >= sz THEN y ELSE z END, id) AS rn FROM s{i} s JOIN ({spans}) USING (node)"
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT id, x, y, z, CASE WHEN n <= 32 THEN node ELSE 2 * node + CASE WHEN rn > n // 2 THEN 1 ELSE 0 END END AS node FROM ({ranked}))")
+    volume = " * ".join(f"CASE WHEN max({a}) - min({a}) > 1e-10 THEN max({a}) - min({a}) ELSE 1e0 END" for a in "xyz")
+    out.append(f"d AS (SELECT node, count(*) / ({volume} + 1e-30) AS density FROM s{levels} GROUP BY node)")
+    # Nodes that stop early keep their number, which no child of another node has.
+    return f"WITH {', '.join(out)} SELECT id, round(least(12e-1 * cbrt(32 / (density * (4e0 / 3 * {PI}))), 8 * 1e0 / 64), 6) AS h FROM s{levels} JOIN d USING (node)"
 
 
 STOPS = [(0.2, 0.0, 0.1, 0.5), (0.5, 0.3, 0.9, 0.4), (0.5, 0.6, 0.2, 0.1), (0.9, 1.0, 0.8, 0.0)]
@@ -301,6 +362,10 @@ ORACLE_SQL = {
     "locked_levels_frames": f"WITH {_turned()}, {_cic('img', 'turned', 32, keys='frame')}, sh AS ({_shown('img', 'frame')}), f0 AS (SELECT * FROM sh WHERE frame = 0), {_levels('f0', 'frame')} SELECT s.frame, round(vmin, 6) AS vmin, round(vmax, 6) AS vmax FROM (SELECT DISTINCT frame FROM sh) s, lv",
     "noise_floor": f"{LI_MAP}, f AS (SELECT * FROM img WHERE rho >= pow(1e1, 72e-1) * 1e-4) {_shown('f')}",
     "inpaint_one_pass": _inpaint(),
+    "inpaint_full": _inpaint_full(),
+    "leaf_smoothing_length": _leaf_lengths(),
+    "render_png": _png(),
+    "full_render": _full_render(),
     "normalise_log": f"{_scaled(True)} SELECT iy, ix, round(t, 6) AS t FROM sc",
     "normalise_linear": f"{_scaled(False)} SELECT iy, ix, round(t, 6) AS t FROM sc",
     "opacity_transfer": "SELECT i, round(8e-1, 8) AS o_flat, round(t * 8e-1, 8) AS o_linear, round(sqrt(t) * 8e-1, 8) AS o_sqrt, round(pow(t, 2) * 8e-1, 8) AS o_power, round(ln(1 + 9 * t) / ln(1e1) * 8e-1, 8) AS o_log, round((CASE WHEN t >= 1e-1 THEN 1e0 ELSE 0e0 END) * 8e-1, 8) AS o_threshold FROM (SELECT CAST(range AS INTEGER) AS i, range / 1e2 AS t FROM range(101))",

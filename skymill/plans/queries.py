@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..config import RenderConfig, unit_axis
 from ..functions import colour, cosmology, kernels
 from ..operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
-from ..sinks.images import render_images
+from ..sinks.images import decode_png, render_images
 from ..staging import staged
 
 MID = (0.5, 0.5, 0.5)
@@ -262,7 +264,7 @@ def opacity_transfer(spark, d):
 
 
 def palette_generated(spark, d):
-    return _round(colour.palette_table(spark, ["hot", "grayscale", "fire", "ice", "coolwarm", "inferno", "plasma"]), 6, "r", "g", "b")
+    return _round(colour.palette_table(spark, ["hot", "grayscale", "fire", "ice", "coolwarm", "inferno", "plasma", "viridis", "magma"]), 6, "r", "g", "b")
 
 
 def palette_lookup_magma(spark, d):
@@ -288,7 +290,21 @@ def composite_rgba(spark, d):
 def render_png(spark, d):
     cfg = RenderConfig(lbox=1.0, width=SIDE, height=SIDE)
     shown = colour.colour_pixels(_frame0(_li_map(spark, d)), cfg, F.lit(4.0), F.lit(6.0))
-    return render_images(shown, SIDE, SIDE).select("frame", F.sha2("image", 256).alias("png_sha256"), F.length("image").alias("n_bytes"))
+    return _pixels_of(render_images(shown, SIDE, SIDE))
+
+
+def _pixels_of(images: DataFrame) -> DataFrame:
+    """(frame, iy, ix, r, g, b, a) of every pixel, read back from the PNGs."""
+
+    def run(batches):
+        for batch in batches:
+            for frame, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                image = decode_png(data)
+                iy, ix = np.indices(image.shape[:2], np.int32)
+                columns = [np.full(iy.size, frame, np.int32), iy.ravel(), ix.ravel(), *image.reshape(-1, 4).T.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["frame", "iy", "ix", "r", "g", "b", "a"])
+
+    return images.select("frame", "image").mapInArrow(run, "frame int, iy int, ix int, r int, g int, b int, a int")
 
 
 def slab_histogram(spark, d):

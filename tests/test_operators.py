@@ -456,3 +456,19 @@ def test_sql_functions_equal_columns(spark):
     )
     assert np.allclose(np.array(got.orderBy("u").collect(), float), np.array(want.orderBy("u").collect(), float))
     assert spark.sql("SELECT box_distance2(2, 0.5, -1, 0, 0, 0, 1, 1, 1)").first()[0] == 2
+
+
+#: Rows between the anchors of the two tabulated palettes.
+TABLE_ROWS = {
+    "viridis": {1: (0.268510, 0.009605, 0.335427), 2: (0.269944, 0.014625, 0.341379), 6: (0.274952, 0.037752, 0.364543), 20: (0.283197, 0.115680, 0.436115), 36: (0.275191, 0.194905, 0.496005), 250: (0.945636, 0.899815, 0.039907), 253: (0.974417, 0.903590, 0.029363)},
+    "magma": {1: (0.002258, 0.001295, 0.018331), 3: (0.004512, 0.003490, 0.029965), 18: (0.048062, 0.036607, 0.150327), 42: (0.171713, 0.067305, 0.370771), 60: (0.291366, 0.064553, 0.475462), 210: (0.967317, 0.641305, 0.162785), 250: (0.849625, 0.918303, 0.007967), 254: (0.837124, 0.937642, 0.0), 255: (0.997257, 0.999892, 0.749423)},
+}
+
+
+@pytest.mark.parametrize("name", sorted(TABLE_ROWS))
+def test_tabulated_palettes(name):
+    """Less than a seventh of a step of 255 off, so that bytes differ at the very edge of a step only."""
+    rows = colour.palette_rows(name)
+    assert len(rows) == 256 and all(0 <= c <= 1 for r in rows for c in r)
+    for i, want in TABLE_ROWS[name].items():
+        assert all(abs(a - b) < 5.5e-4 for a, b in zip(rows[i], want, strict=True)), i
