@@ -25,7 +25,13 @@ def load(spark: SparkSession, cfg: RenderConfig, read=read_particles) -> tuple[D
     box is then selected in each frame.
     """
     cfg, box = in_snapshot_units(spark, cfg, cfg.snap_a if cfg.mode != "single" else cfg.input)
-    return particles_in_frames(spark, cfg, box, lambda name: read(spark, getattr(cfg, name), cfg.isHDF5)), cfg, box
+    return particles_in_frames(spark, cfg, box, lambda name: read(spark, getattr(cfg, name), cfg.isHDF5, wanted_columns(cfg), types_of(cfg.mask) if name in ("input", "snap_a") else None)), cfg, box
+
+
+def wanted_columns(cfg: RenderConfig) -> tuple[str, ...]:
+    """Velocities only where they move particles, ids only where particles are matched or get lengths."""
+    ids = ("id",) if cfg.mode != "single" or cfg.kernel_smoothing else ()
+    return (*ids, "ptype", *AXES, *([f"v{a}" for a in AXES] if cfg.mode == "single" and cfg.interp_frac else []))
 
 
 def in_snapshot_units(spark: SparkSession, cfg: RenderConfig, root: str) -> tuple[RenderConfig, float]:
@@ -146,7 +152,7 @@ def sequence_frames(spark: SparkSession, cfg: RenderConfig, intervals: int) -> D
 
 def sequence_particles(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode: str, box: float, read=read_particles) -> DataFrame:
     """Selected particles of every frame of a sequence, as particles_in_frames: the interval is a column, so all intervals are one match and one job."""
-    parts = [read(spark, root, cfg.isHDF5).select("id", "ptype", *AXES, F.lit(i).alias("place")) for i, root in enumerate(roots)]
+    parts = [read(spark, root, cfg.isHDF5, ("id", "ptype", *AXES)).select("id", "ptype", *AXES, F.lit(i).alias("place")) for i, root in enumerate(roots)]
     every = reduce(DataFrame.unionByName, parts)
     names, count = ROLES[mode], len(roots) - len(ROLES[mode]) + 1
     role = {n: every.withColumn("interval", F.col("place") - k).filter(F.col("interval").between(0, count - 1)).drop("place") for k, n in enumerate(names)}

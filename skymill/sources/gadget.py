@@ -6,9 +6,8 @@ present velocities and ids. Format 2 puts a 16-byte record with a block's name b
 
 from __future__ import annotations
 
-import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,29 +15,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from pyspark.sql.types import StructType
 
 from ..schema import HEADER, PARTICLES
+from .files import open_file, snapshot_files
 
 HEADER_BYTES = 256
-#: Rows that one task reads of one file.
-ROWS = 4_000_000
+#: Rows that one task reads of one file, and rows that it holds at once.
+ROWS, HELD_ROWS = 4_000_000, 1 << 18
 TYPES = 6
 
 
-def snapshot_files(root: str, suffix: str = "") -> list[str]:
-    """The files of a snapshot: root itself, or root.0, root.1 and so on. FileNotFoundError if there is neither."""
-    if os.path.isfile(root + suffix):
-        return [root + suffix]
-    files, i = [], 0
-    while os.path.isfile(f"{root}.{i}{suffix}"):
-        files.append(f"{root}.{i}{suffix}")
-        i += 1
-    if not files:
-        raise FileNotFoundError(f"no snapshot at {root}{suffix} or {root}.0{suffix}")
-    return files
-
-
 def read_header(path: str) -> dict:
     """The header of one file, with the byte offsets of its data blocks and whether ids are 4 or 8 bytes wide."""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         named = struct.unpack("<i", f.read(4))[0] == 8
         start = 16 + 4 if named else 4
         f.seek(start)
@@ -52,7 +39,7 @@ def read_header(path: str) -> dict:
         n = sum(npart)
         # Format 1 names no block: positions come first, velocities are as wide, ids are narrower.
         widths = {12 * n: "VEL ", 8 * n: "ID  ", 4 * n: "ID  "}
-        at, end, blocks = start + HEADER_BYTES + 4, os.fstat(f.fileno()).st_size, {}
+        at, end, blocks = start + HEADER_BYTES + 4, f.size(), {}
         while at < end:
             name = None
             if named:
@@ -87,76 +74,116 @@ def type_ranges(header: dict, wanted: set[int] | None, rows: int) -> list[Range]
     return out
 
 
-class TypeFilterReader(DataSourceReader):
-    """A reader that takes filters on ptype and leaves all others to Spark."""
-
-    wanted: set[int] | None = None
+class TakesFilters:
+    """For readers of a session that pushes filters to Python sources: those on ptype are taken, all others left to Spark."""
 
     def pushFilters(self, filters: list):
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("ptype",):
-                self._narrow({f.value})
+                self.narrow({f.value})
             elif isinstance(f, In) and f.attribute == ("ptype",):
-                self._narrow(set(f.value))
+                self.narrow(set(f.value))
             else:
                 yield f
 
-    def _narrow(self, types: set[int]) -> None:
-        self.wanted = types if self.wanted is None else self.wanted & types
+
+def particle_schema(options: dict) -> str:
+    """That of headers with the option header=true; else that of particles, of those columns that the option columns names."""
+    if options.get("header", "false") == "true":
+        return HEADER
+    wanted = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
+    if strange := set(wanted) - {c.split()[0] for c in PARTICLES.split(", ")}:
+        raise ValueError(f"particles have no columns {sorted(strange)}")
+    return ", ".join(c for c in PARTICLES.split(", ") if not wanted or c.split()[0] in wanted)
 
 
 class GadgetSource(DataSource):
-    """spark.read.format("skymill_gadget").load(root): particles; option header=true: a row for each file."""
+    """spark.read.format("skymill_gadget").load(root): particles.
+
+    Options: header=true: a row for each file instead; columns and types: those that are wanted, by commas, so that others
+    are never read; rows: how many of a file a task reads; pushdown=true: the session hands filters to Python sources.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "skymill_gadget"
 
     def schema(self) -> str:
-        return HEADER if self.options.get("header", "false") == "true" else PARTICLES
+        return particle_schema(self.options)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         files = snapshot_files(self.options["path"])
-        return _Headers(files) if self.options.get("header", "false") == "true" else _Particles(files, int(self.options.get("rows", ROWS)))
+        if schema.names == [c.split()[0] for c in HEADER.split(", ")]:
+            return HeaderReader(files, read_header)
+        return particle_reader(_Particles, files, read_header, self.options, schema.names)
 
 
-class _Headers(DataSourceReader):
-    def __init__(self, files: list[str]):
-        self.files = files
+def particle_reader(kind: type, files: list[str], header: Callable[[str], dict], options: dict, names: list[str]) -> DataSourceReader:
+    """A reader of the kind, one that takes filters where the session pushes them: else Spark refuses such a reader."""
+    kind = type(kind.__name__, (TakesFilters, kind), {}) if options.get("pushdown", "false") == "true" else kind
+    out = kind(files, header, int(options.get("rows", ROWS)), names)
+    if options.get("types", ""):
+        out.narrow({int(t) for t in options["types"].split(",")})
+    return out
+
+
+class HeaderReader(DataSourceReader):
+    def __init__(self, files: list[str], header: Callable[[str], dict]):
+        self.files, self.header = files, header
 
     def read(self, partition):
         for f in self.files:
-            h = read_header(f)
+            h = self.header(f)
             yield tuple(h[k.split()[0]] for k in HEADER.split(", "))
 
 
-class _Particles(TypeFilterReader):
-    def __init__(self, files: list[str], rows: int):
-        self.files, self.rows = files, rows
+class ParticleReader(DataSourceReader):
+    """Ranges of rows of a snapshot's files; only the blocks that the wanted columns need are read, in batches."""
+
+    def __init__(self, files: list[str], header: Callable[[str], dict], rows: int, names: list[str]):
+        self.files, self.header, self.rows, self.names = files, header, rows, names
+        self.wanted: set[int] | None = None
+        columns = {"pos": {"x", "y", "z"}, "vel": {"vx", "vy", "vz"}, "ids": {"id"}}
+        self.wants = [k for k, c in columns.items() if c & set(names)]
+
+    def narrow(self, types: set[int]) -> None:
+        self.wanted = types if self.wanted is None else self.wanted & types
 
     def partitions(self) -> list[InputPartition]:
-        return [r for f in self.files for r in type_ranges(read_header(f), self.wanted, self.rows)] or [Range("", 0, 0, 0, {})]
+        return [r for f in self.files for r in type_ranges(self.header(f), self.wanted, self.rows)] or [Range("", 0, 0, 0, {})]
+
+    def blocks(self, partition: Range, low: int, high: int) -> dict[str, np.ndarray | None]:
+        """pos, vel and ids, as far as wanted, of rows low to high - 1 of the file; None where the file has none."""
+        raise NotImplementedError
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        n, h = partition.hi - partition.lo, partition.header
-        if n <= 0:
-            return
-        with open(partition.file, "rb") as f:
-
-            def block(name: str, kind: str, width: int) -> np.ndarray | None:
-                if name not in h["blocks"]:
-                    return None
-                at, _ = h["blocks"][name]
-                kind = np.dtype(kind)
-                f.seek(at + partition.lo * width * kind.itemsize)
-                return np.frombuffer(f.read(n * width * kind.itemsize), kind).reshape(n, width)
-
-            pos, vel, ids = block("POS ", "<f4", 3), block("VEL ", "<f4", 3), block("ID  ", f"<u{h['id_width'] or 8}", 1)
-        # Ids are kept bit by bit: those of 2**63 and above come out negative.
-        columns = [pa.nulls(n, pa.int64()) if ids is None else pa.array(ids[:, 0].astype(np.uint64).view(np.int64)), pa.array(np.full(n, partition.ptype, np.int32))]
-        columns += [pa.array(pos[:, i].astype(np.float64)) for i in range(3)]
-        columns += [pa.nulls(n, pa.float64()) if vel is None else pa.array(vel[:, i].astype(np.float64)) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "ptype", "x", "y", "z", "vx", "vy", "vz"])
+        for low in range(partition.lo, partition.hi, HELD_ROWS):
+            high = min(low + HELD_ROWS, partition.hi)
+            n, found = high - low, self.blocks(partition, low, high)
+
+            def column(name: str) -> pa.Array:
+                if name == "ptype":
+                    return pa.array(np.full(n, partition.ptype, np.int32))
+                if name == "id":
+                    # Ids are kept bit by bit: those of 2**63 and above come out negative.
+                    return pa.nulls(n, pa.int64()) if found["ids"] is None else pa.array(found["ids"].reshape(n).astype(np.uint64).view(np.int64))
+                block = found["vel" if name[0] == "v" else "pos"]
+                return pa.nulls(n, pa.float64()) if block is None else pa.array(block[:, "xyz".index(name[-1])].astype(np.float64))
+
+            yield pa.RecordBatch.from_arrays([column(c) for c in self.names], self.names)
+
+
+class _Particles(ParticleReader):
+    def blocks(self, partition: Range, low: int, high: int) -> dict[str, np.ndarray | None]:
+        h, out = partition.header, {}
+        kinds = {"pos": ("POS ", "<f4", 3), "vel": ("VEL ", "<f4", 3), "ids": ("ID  ", f"<u{h['id_width'] or 8}", 1)}
+        with open_file(partition.file) as f:
+            for k in self.wants:
+                name, kind, width = kinds[k]
+                size = width * np.dtype(kind).itemsize
+                held = h["blocks"].get(name)
+                out[k] = None if held is None else np.frombuffer(f.read_at((high - low) * size, held[0] + low * size), kind).reshape(high - low, width)
+        return out
 
 
 def write_snapshot(path: str, counts: list[int], pos: np.ndarray, vel: np.ndarray | None = None, ids: np.ndarray | None = None, box: float = 1.0, redshift: float = 0.0, fmt: int = 1, num_files: int = 1, nall: list[int] | None = None) -> None:

@@ -1,16 +1,15 @@
-"""HDF5 snapshots as a Spark data source; needs h5py, and says so where it is missing."""
+"""HDF5 snapshots as a Spark data source, on any file system that pyarrow knows; the format is read in plain Python."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
-from ..schema import HEADER, PARTICLES
-from .gadget import ROWS, Range, TypeFilterReader, snapshot_files, type_ranges
+from ..schema import HEADER
+from .files import snapshot_files
+from .gadget import HeaderReader, ParticleReader, Range, particle_reader, particle_schema
+from .h5file import H5File
 
 #: Types are looked for up to this number.
 MAX_TYPES = 32
@@ -18,29 +17,21 @@ MAX_TYPES = 32
 CONVENTIONS = ("SWIFT", "GADGET4", "AREPO", "LEGACY")
 
 
-def library():
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError("HDF5 snapshots need the h5py package; convert them to Parquet to read them without it") from e
-    return h5py
-
-
 def read_header(path: str) -> dict:
-    """The header of one file: counts by type as far as the file's own attribute lists them."""
-    with library().File(path, "r") as f:
+    """The header of one file: counts by type as far as the file's own attribute lists them, else from the groups there are."""
+    with H5File(path) as f:
         a = f["Header"].attrs
-        npart = [int(n) for n in a["NumPart_ThisFile"]]
         have = [t for t in range(MAX_TYPES) if f"PartType{t}" in f]
+        types = max(have, default=0) + 1
+        npart = [int(n) for n in np.ravel(a["NumPart_ThisFile"])] if "NumPart_ThisFile" in a else [f[f"PartType{t}/Coordinates"].shape[0] if t in have else 0 for t in range(types)]
         redshift = float(np.ravel(a["Redshift"])[0])
-        types = len(npart) or max(have, default=-1) + 1
 
         def one(name: str) -> float | None:
             return float(np.ravel(a[name])[0]) if name in a else None
 
         return {
-            "file": path, "num_types": types, "npart": npart, "nall": [int(n) for n in np.ravel(a["NumPart_Total"])], "massarr": [float(m) for m in np.ravel(a["MassTable"])] if "MassTable" in a else [], "time": 1 / (1 + redshift), "redshift": redshift,
-            "num_files": int(np.ravel(a["NumFilesPerSnapshot"])[0]), "box_size": float(np.ravel(a["BoxSize"])[0]), "omega0": one("Omega0"), "omega_lambda": one("OmegaLambda"), "hubble": one("HubbleParam"),
+            "file": path, "num_types": len(npart), "npart": npart, "nall": [int(n) for n in np.ravel(a["NumPart_Total"])] if "NumPart_Total" in a else npart, "massarr": [float(m) for m in np.ravel(a["MassTable"])] if "MassTable" in a else [],
+            "time": 1 / (1 + redshift), "redshift": redshift, "num_files": int(one("NumFilesPerSnapshot") or 1), "box_size": one("BoxSize"), "omega0": one("Omega0"), "omega_lambda": one("OmegaLambda"), "hubble": one("HubbleParam"),
         }
 
 
@@ -48,10 +39,10 @@ def read_cosmology(path: str, convention: str = "GADGET4") -> tuple[float, float
     """(scale factor, H0, omega_m, omega_lambda, h) by the named convention."""
     if convention not in CONVENTIONS:
         raise ValueError(f"convention is one of {CONVENTIONS}")
-    with library().File(path, "r") as f:
+    with H5File(path) as f:
         head = f["Header"].attrs
 
-        def one(attrs, name: str) -> float:
+        def one(attrs: dict, name: str) -> float:
             return float(np.ravel(attrs[name])[0])
 
         if convention == "SWIFT":
@@ -64,52 +55,26 @@ def read_cosmology(path: str, convention: str = "GADGET4") -> tuple[float, float
 
 
 class Hdf5Source(DataSource):
-    """spark.read.format("skymill_hdf5").load(root): particles; option header=true: a row for each file."""
+    """spark.read.format("skymill_hdf5").load(root): particles; options as for the binary format."""
 
     @classmethod
     def name(cls) -> str:
         return "skymill_hdf5"
 
     def schema(self) -> str:
-        return HEADER if self.options.get("header", "false") == "true" else PARTICLES
+        return particle_schema(self.options)
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        library()
         files = snapshot_files(self.options["path"], ".hdf5")
-        if self.options.get("header", "false") == "true":
-            return _Headers(files)
-        return _Particles(files, int(self.options.get("rows", ROWS)))
-
-
-class _Headers(DataSourceReader):
-    def __init__(self, files: list[str]):
-        self.files = files
-
-    def read(self, partition):
-        for f in self.files:
-            h = read_header(f)
-            yield tuple(h[k.split()[0]] for k in HEADER.split(", "))
-
-
-class _Particles(TypeFilterReader):
-    def __init__(self, files: list[str], rows: int):
-        self.files, self.rows = files, rows
+        if schema.names == [c.split()[0] for c in HEADER.split(", ")]:
+            return HeaderReader(files, read_header)
+        return particle_reader(_Particles, files, read_header, self.options, schema.names)
 
-    def partitions(self) -> list[InputPartition]:
-        return [r for f in self.files for r in type_ranges(read_header(f), self.wanted, self.rows)] or [Range("", 0, 0, 0, {})]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        n = partition.hi - partition.lo
-        if n <= 0:
-            return
+class _Particles(ParticleReader):
+    def blocks(self, partition: Range, low: int, high: int) -> dict[str, np.ndarray | None]:
         before = sum(partition.header["npart"][: partition.ptype])
-        rows = slice(partition.lo - before, partition.hi - before)
-        with library().File(partition.file, "r") as f:
+        names = {"pos": "Coordinates", "vel": "Velocities", "ids": "ParticleIDs"}
+        with H5File(partition.file) as f:
             group = f[f"PartType{partition.ptype}"]
-            pos = np.asarray(group["Coordinates"][rows], np.float64)
-            vel = np.asarray(group["Velocities"][rows], np.float64) if "Velocities" in group else None
-            ids = np.asarray(group["ParticleIDs"][rows], np.uint64).view(np.int64) if "ParticleIDs" in group else None
-        columns = [pa.nulls(n, pa.int64()) if ids is None else pa.array(ids), pa.array(np.full(n, partition.ptype, np.int32))]
-        columns += [pa.array(pos[:, i]) for i in range(3)]
-        columns += [pa.nulls(n, pa.float64()) if vel is None else pa.array(vel[:, i]) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "ptype", "x", "y", "z", "vx", "vy", "vz"])
+            return {k: group[names[k]].rows(low - before, high - before) if names[k] in group else None for k in self.wants}

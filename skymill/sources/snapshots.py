@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.images import ImageSink
+from .files import locate, open_file
 from .gadget import GadgetSource
 from .hdf5 import Hdf5Source
 
@@ -17,8 +18,7 @@ NO_BOX = 1e6
 
 
 def register(spark: SparkSession) -> None:
-    """Make the data sources known to the session, and let Spark hand them its filters."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the data sources known to the session."""
     for source in (GadgetSource, Hdf5Source, ImageSink):
         spark.dataSource.register(source)
 
@@ -27,13 +27,21 @@ def _format(root: str, hdf5: bool) -> str:
     return "parquet" if root.rstrip("/").endswith(".parquet") else "skymill_hdf5" if hdf5 else "skymill_gadget"
 
 
-def read_particles(spark: SparkSession, root: str, hdf5: bool = False) -> DataFrame:
-    """Particles of a snapshot; Parquet, the format for large snapshots, is read with pushed filters and pruned columns."""
+def read_particles(spark: SparkSession, root: str, hdf5: bool = False, columns: tuple[str, ...] = (), types: list[int] | None = None) -> DataFrame:
+    """Particles of a snapshot; Parquet, the format for large snapshots, is read with pushed filters and pruned columns.
+
+    columns: those wanted, all if none are named; types: likewise, all for None. Of binary files the others are left unread.
+    """
     kind = _format(root, hdf5)
     if kind == "parquet":
-        return spark.read.parquet(root)
+        df = spark.read.parquet(root)
+        df = df.filter(F.col("ptype").isin(types)) if types is not None else df
+        return df.select(*columns) if columns else df
     register(spark)
-    return spark.read.format(kind).load(root)
+    if types == []:
+        types = [-1]
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(kind).options(columns=",".join(columns), types=",".join(map(str, types or [])), pushdown=pushes).load(root)
 
 
 def read_header(spark: SparkSession, root: str, hdf5: bool = False) -> DataFrame:
@@ -54,21 +62,22 @@ def header_counts(headers: DataFrame) -> DataFrame:
 
 def snapshot_list(spark: SparkSession, path: str) -> DataFrame:
     """(seq, root): the lines of a list file in order, without comments and blank ones. A list has a line for each snapshot."""
-    with open(path) as f:
-        lines = [x for x in (line.split("#")[0].strip() for line in f) if x]
+    with open_file(path) as f:
+        lines = [x for x in (line.split("#")[0].strip() for line in f.read().decode().splitlines()) if x]
     return spark.createDataFrame(list(enumerate(lines)), "seq int, root string")
 
 
 def write_lengths(path: str, h: np.ndarray, num_ngb: int, eta: float) -> None:
     """A smoothing-length file: count, neighbours, eta, then the lengths in single precision."""
-    with open(path, "wb") as f:
+    store, name = locate(path)
+    with store.open_output_stream(name) as f:
         f.write(struct.pack("<iif", len(h), num_ngb, eta) + np.asarray(h, "<f4").tobytes())
 
 
 def read_lengths(path: str, n: int, num_ngb: int, eta: float) -> np.ndarray | None:
     """The lengths of a file that was written for the same settings, else None."""
     try:
-        with open(path, "rb") as f:
+        with open_file(path) as f:
             head, body = f.read(12), f.read()
     except FileNotFoundError:
         return None

@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import h5write
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from skymill.config import RenderConfig
 from skymill.operators import select
 from skymill.plans import render
 from skymill.sinks import images
-from skymill.sources import gadget, hdf5, snapshots
+from skymill.sources import files, gadget, h5file, hdf5, snapshots
 from skymill.streaming import watch
 
 
@@ -53,20 +54,131 @@ def test_several_files_and_ranges(spark, snapshot):
 
 def test_missing_snapshot():
     with pytest.raises(FileNotFoundError):
-        gadget.snapshot_files("/nowhere/snap")
-
-
-def test_hdf5_needs_its_library(tmp_path):
-    if hdf5.__dict__.get("h5py") is None:
-        try:
-            import h5py  # noqa: F401
-        except ImportError:
-            with pytest.raises(ImportError, match="h5py"):
-                hdf5.read_header("x.hdf5")
+        files.snapshot_files("/nowhere/snap")
+
+
+SAMPLES = {"f8": np.linspace(0, 1, 51).reshape(17, 3), "f4": np.arange(51, dtype=">f4").reshape(17, 3), "u8": np.arange(17, dtype="<u8") + 2**63, "i2": np.arange(-8, 9, dtype="<i2")}
+
+
+@pytest.mark.parametrize(("new", "dense"), [(False, False), (True, False), (True, True)])
+def test_h5_structures(tmp_path, new, dense):
+    """Every structure that is read: groups, attributes and datasets of either style, all layouts and filters, any rows."""
+    w = h5write.Writer(new, dense)
+    sets, want = {}, {}
+    kinds = [(None, (), "tree")] + [(c, p, "tree") for c in (4, 17, 1) for p in ((), ("deflate",), ("shuffle", "deflate"), ("shuffle", "deflate", "checksum"))]
+    if new:
+        kinds += [(20, (), "single"), (20, ("deflate",), "single"), (5, (), "implicit"), (3, (), "fixed"), (3, ("shuffle", "deflate"), "fixed"), (1, ("deflate",), "fixed")]
+    for kind, values in SAMPLES.items():
+        for chunk, packed, index in kinds:
+            name = f"{kind}_{chunk}_{'+'.join(packed)}_{index}"
+            shape = None if chunk is None else (chunk, *([2] if index in ("tree", "fixed", "implicit") and values.ndim == 2 else values.shape[1:]))
+            missing = (1,) if chunk in (3, 4) else ()
+            sets[name], want[name] = w.dataset(values, shape, packed, index, missing), values.copy()
+            if missing:
+                hole = [slice(chunk, 2 * chunk)] if values.ndim == 1 else [slice(0, chunk), slice(2, 3)]
+                want[name][tuple(hole)] = 0
+    sets["empty"], want["empty"] = w.dataset(np.zeros((0, 3), "f4")), np.zeros((0, 3), "f4")
+    attrs = {f"a{i}": np.float64(i) for i in range(40)} | {"list": np.arange(6, dtype="<i4"), "text": np.array(b"some text", "S9"), "f4": np.float32([1.5])}
+    inner = w.group(sets, attrs, split=True)
+    w.save(tmp_path / "x.h5", w.group({"Group": inner, "Other": w.group({})}), shift=512 if new else 0)
+    with h5file.H5File(str(tmp_path / "x.h5")) as f:
+        assert "Group" in f and "None" not in f and "Group/none" not in f and set(f["Group"].links) == set(sets)
+        got = f["Group"].attrs
+        assert set(got) == set(attrs) and all((np.asarray(got[k]) == attrs[k]).all() for k in attrs)
+        for name, values in want.items():
+            node = f["Group/" + name]
+            assert node.shape == values.shape and node.dtype == values.dtype, name
+            for low, high in [(0, 17), (0, 3), (3, 4), (5, 14), (16, 99), (9, 9)]:
+                assert (node.rows(low, high) == values[low:high]).all(), (name, low, high)
+
+
+def test_h5_refuses_what_it_cannot_read(tmp_path):
+    (tmp_path / "no.h5").write_bytes(b"nothing" * 300)
+    with pytest.raises(ValueError, match="no HDF5"):
+        h5file.H5File(str(tmp_path / "no.h5"))
+    with pytest.raises(FileNotFoundError):
+        h5file.H5File(str(tmp_path / "none.h5"))
+
+
+def h5_snapshot(path, parts, new, box=2.0, files=1, total=None, compressed=True):
+    """parts: for each type (positions, velocities, ids) or None."""
+    w = h5write.Writer(new)
+    groups = {}
+    for t, part in enumerate(parts):
+        if part is not None:
+            pos, vel, ids = part
+            packed = ("shuffle", "deflate") if compressed else ()
+            sets = {"Coordinates": w.dataset(pos.astype("<f4"), (16, 3), packed), "ParticleIDs": w.dataset(ids.astype("<u8"), (16,), packed)}
+            if vel is not None:
+                sets["Velocities"] = w.dataset(vel.astype("<f4"))
+            groups[f"PartType{t}"] = w.group(sets)
+    counts = np.array([0 if p is None else len(p[0]) for p in parts], "<i4")
+    head = {"NumPart_ThisFile": counts, "NumPart_Total": np.array(total if total is not None else counts, "<u4"), "NumFilesPerSnapshot": np.int32(files), "Redshift": np.float64(1.0), "BoxSize": np.float64(box), "MassTable": np.zeros(len(parts)), "Time": np.float64(0.5), "HubbleParam": np.float64(0.7), "Omega0": np.float64(0.3), "OmegaLambda": np.float64(0.7), "Scale-factor": np.float64([0.5])}
+    groups["Header"] = w.group({}, head)
+    groups["Parameters"] = w.group({}, {"HubbleParam": np.float64(0.68), "Omega0": np.float64(0.31), "OmegaLambda": np.float64(0.69)})
+    groups["Cosmology"] = w.group({}, {"h": np.float64([0.68]), "Omega_b": np.float64([0.05]), "Omega_cdm": np.float64([0.26]), "Omega_lambda": np.float64([0.69]), "H0 [internal units]": np.float64([68.0])})
+    w.save(path, w.group(groups))
+
+
+@pytest.fixture(params=[False, True], ids=["old", "new"])
+def h5_snap(request, tmp_path):
+    rng = np.random.default_rng(5)
+    parts = [(rng.random((n, 3)) * 2, rng.normal(size=(n, 3)), np.arange(n, dtype="u8") + np.uint64(1000 * t + 2**63 - 5)) if n else None for t, n in enumerate([37, 50, 0, 0, 20])]
+    h5_snapshot(tmp_path / "snap.hdf5", parts, request.param)
+    return str(tmp_path / "snap"), parts
+
+
+def test_hdf5_snapshots(spark, h5_snap):
+    root, parts = h5_snap
+    head = snapshots.read_header(spark, root, True).first()
+    assert (head.num_types, list(head.npart), head.box_size, head.redshift, head.time, head.omega0) == (5, [37, 50, 0, 0, 20], 2.0, 1.0, 0.5, 0.3)
+    got = {(r.ptype, r.id): (r.x, r.y, r.z, r.vx, r.vy, r.vz) for r in snapshots.read_particles(spark, root, True).collect()}
+    want = {(t, int(np.uint64(i).view(np.int64))): (*map(float, p), *map(float, v)) for t, part in enumerate(parts) if part for p, v, i in zip(part[0].astype("f4"), part[1].astype("f4"), part[2].astype("u8"), strict=True)}
+    assert got == want
+    some = snapshots.read_particles(spark, root, True, ("ptype", "x"), [0, 4])
+    assert some.columns == ["ptype", "x"] and {r.ptype: r["count"] for r in some.groupBy("ptype").count().collect()} == {0: 37, 4: 20}
+    df = spark.read.format("skymill_hdf5").option("rows", 7).load(root)
+    assert df.rdd.getNumPartitions() == 6 + 8 + 3 and df.select("id").distinct().count() == 107
+    assert hdf5.read_cosmology(root + ".hdf5", "LEGACY") == (0.5, 70.0, 0.3, 0.7, 0.7)
+    assert hdf5.read_cosmology(root + ".hdf5") == (0.5, 68.0, 0.31, 0.69, 0.68)
+    assert np.allclose(hdf5.read_cosmology(root + ".hdf5", "SWIFT"), (0.5, 68.0, 0.31, 0.69, 0.68))
     with pytest.raises(ValueError):
         hdf5.read_cosmology("x", "NONE")
 
 
+def test_hdf5_in_several_files(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    for k, n in enumerate((12, 30)):
+        h5_snapshot(tmp_path / f"s.{k}.hdf5", [None, (rng.random((n, 3)), None, np.arange(n) + 100 * k)], False, files=2, total=[0, 42], compressed=k == 0)
+    df = snapshots.read_particles(spark, str(tmp_path / "s"), True)
+    assert df.count() == 42 and df.filter("vx is null and ptype = 1").count() == 42 and df.select("id").distinct().count() == 42
+    assert {r.ptype: r.n for r in snapshots.header_counts(snapshots.read_header(spark, str(tmp_path / "s"), True)).collect()} == {0: 0, 1: 42}
+
+
+@pytest.mark.parametrize("more", [{}, {"kernel_smoothing": True}, {"interp_frac": 0.1}])
+def test_hdf5_snapshots_are_rendered(spark, h5_snap, more):
+    """The picture is that of the same particles from a Parquet file."""
+    root, parts = h5_snap
+    path = root + ".parquet"
+    snapshots.read_particles(spark, root, True).write.parquet(path)
+    cfg = RenderConfig(xc=1.0, yc=1.0, zc=1.0, lbox=2.0, width=24, height=20, mask=0b10011, isHDF5=True, **more)
+    a, b = (bytes(render.render(spark, replace(cfg, input=i, extra={"box_size": 2.0})).first().image) for i in (root, path))
+    assert a == b and len(np.unique(images.decode_png(a))) > 5
+
+
+def test_sources_leave_the_session_alone(spark, h5_snap):
+    root, _ = h5_snap
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name, None)
+    snapshots.read_particles(spark, root, True).count()
+    assert spark.conf.get(name, None) == before
+    spark.conf.set(name, "true")
+    try:
+        assert snapshots.read_particles(spark, root, True).filter("ptype = 4").count() == 20
+    finally:
+        spark.conf.unset(name)
+
+
 def test_lists_and_length_files(spark, tmp_path):
     f = tmp_path / "list.txt"
     f.write_text("# all\na\n\nb # second\n")
@@ -148,8 +260,8 @@ def test_interpolated_renders(spark, parquet_snapshots, extra):
 
 
 def test_render_does_not_depend_on_partitions(spark, parquet_snapshots):
-    def read(s, root, hdf5=False):
-        return snapshots.read_particles(s, root).repartition(n)
+    def read(s, root, hdf5=False, columns=(), types=None):
+        return snapshots.read_particles(s, root, hdf5, columns, types).repartition(n)
 
     seen = set()
     for n in (1, 5):
