@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from .kernels import GL_NODES, GL_WEIGHTS
 
@@ -31,6 +32,11 @@ def definitions() -> dict[str, tuple[str, str]]:
     }
 
 
+def uniform(seed: int) -> Column:
+    """A number in [0, 1) for each row; the same for the same seed and partitions."""
+    return F.rand(seed)
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Define the functions in the session; returns their names."""
     for name, (arguments, body) in definitions().items():

@@ -242,6 +242,36 @@ def _opened() -> str:
     return f"WITH {', '.join(sql)} SELECT id, count(*) AS n_cells FROM ({' UNION ALL '.join(seen)}) GROUP BY id"
 
 
+def _tree(source: str, axes: str, bucket: int, depth: int) -> str:
+    """CTEs: nodes, every cell of every level whose cell above holds more than a bucket."""
+    cells = ", ".join(f"greatest(0, CAST(ceil((p.{a} - l{a}) / s{a} * {2**depth}) AS BIGINT) - 1) AS c{a}" for a in axes)
+    digit = " + ".join(f"((c{a} >> ({depth} - i)) & 1) * {1 << k}" for k, a in enumerate(axes))
+    ends = ", ".join(f"min({a}) AS l{a}, max({a}) - min({a}) AS s{a}" for a in axes)
+    stats = ", ".join(f"avg({a}) AS mean_{a}, any_value(l{a} + (c{a} >> ({depth} - level)) * s{a} / (1 << level)) AS low_{a}, any_value(l{a} + ((c{a} >> ({depth} - level)) + 1) * s{a} / (1 << level)) AS high_{a}" for a in axes)
+    return f"""t_b AS (SELECT {ends} FROM {source}), t_c AS (SELECT p.*, t_b.*, {cells} FROM {source} p, t_b),
+t_e AS (SELECT *, CAST(list_aggregate(list_transform(range(1, level + 1), lambda i: CAST({digit} AS VARCHAR)), 'string_agg', '') AS VARCHAR) AS digits FROM (SELECT t_c.*, CAST(range AS INTEGER) AS level FROM t_c, range({depth + 1}))),
+t_n AS (SELECT coalesce(digits, '') AS path, level, count(*) AS n, {stats} FROM t_e GROUP BY coalesce(digits, ''), level),
+nodes AS MATERIALIZED (SELECT c.*, c.n > {bucket} AND c.level < {depth} AS split FROM t_n c WHERE level = 0 OR EXISTS (SELECT 1 FROM t_n p WHERE p.level = c.level - 1 AND p.path = left(c.path, c.level - 1) AND p.n > {bucket}))"""
+
+
+def _tree_nodes(views: str, source: str, axes: str, bucket: int, depth: int) -> str:
+    shown = ", ".join(f"round({k}_{a}, 6) AS {k}_{a}" for k in ("mean", "low", "high") for a in axes)
+    between = "translate(path, '01234567', '02345678') || '1'"
+    return f"WITH {views}, {_tree(source, axes, bucket, depth)} SELECT path, level, split, n, {shown}, row_number() OVER (ORDER BY path) AS index, row_number() OVER (ORDER BY {between}) - 1 AS place FROM nodes"
+
+
+def _tree_walks() -> str:
+    last = 2**6 - 1
+    cells = ", ".join(f"least({last}, greatest(0, CAST(ceil((q.{a} - low_{a}) / (high_{a} - low_{a}) * 64) AS BIGINT) - 1)) AS c{a}" for a in "xyz")
+    digit = " + ".join(f"((c{a} >> (6 - i)) & 1) * {1 << k}" for k, a in enumerate("xyz"))
+    over = " AND ".join(f"q.{a} - 5e-2 < high_{a} AND q.{a} + 5e-2 > low_{a}" for a in "xyz")
+    return f"""WITH {EMB}, {_tree('particles_emb', 'xyz', 8, 6)}, q AS (SELECT id, x + 1e-1 AS x, y, z FROM particles_emb),
+w AS (SELECT id, list_aggregate(list_transform(range(1, 7), lambda i: CAST({digit} AS VARCHAR)), 'string_agg', '') AS whole FROM (SELECT id, {cells} FROM q, nodes r WHERE r.level = 0)),
+deep AS (SELECT id, arg_max(path, level) AS path, arg_max(n, level) AS n FROM w JOIN nodes ON path = left(whole, level) GROUP BY id),
+near AS (SELECT id, count(*) AS n_leaves, sum(n) AS n_members FROM q JOIN nodes ON NOT split AND {over} GROUP BY id)
+SELECT id, path, n, coalesce(n_leaves, 0) AS n_leaves, CAST(coalesce(n_members, 0) AS BIGINT) AS n_members FROM deep LEFT JOIN near USING (id)"""
+
+
 def _composite() -> str:
     rgb = ", ".join(f"{_byte(f'(g * sqrt(u) + {b} * 1e0 * (1 - sqrt(u))) / (sqrt(u) + 1e0 * (1 - sqrt(u)))')} AS {n}" for n, b in (("r", "2e-1"), ("g", "4e-1"), ("b", "6e-1")))
     # Gray is linear in t between its 256 rows as well.
@@ -351,6 +381,9 @@ ORACLE_SQL = {
     "nth_neighbour": f"{_knn_li(6)} SELECT {PLACE}, round(max(sqrt(r2)), 6) AS distance FROM kth JOIN li USING (id) GROUP BY x, y, z",
     "octant_counts": f"WITH {EVT} SELECT CAST((x > 5e-1)::INT + 2 * (y > 5e-1)::INT + 4 * (z > 5e-1)::INT AS INTEGER) AS octant, count(*) AS n, {', '.join(f'round(avg({a}), 6) AS mean_{a}' for a in 'xyz')} FROM particles_evt GROUP BY ALL",
     "opened_cells": _opened(),
+    "octree_nodes": _tree_nodes(EMB, "particles_emb", "xyz", 8, 6),
+    "binary_tree_nodes": _tree_nodes(EVT, "particles_evt", "x", 64, 8),
+    "octree_walks": _tree_walks(),
     "kernel_table_3d": _table(1.0, _spline("u")),
     "kernel_table_proj": _table(2.0, _projected("(u*u)")),
     "kernel_cumulative": _table(2.0, f"(CASE WHEN u < 1 THEN u - 5e-1*u*u*u + 1875e-4*u*u*u*u WHEN u < 2 THEN 6875e-4 + 2*u - 15e-1*u*u + 5e-1*u*u*u - u*u*u*u/16 - 9375e-4 ELSE 75e-2 END) / {PI}"),

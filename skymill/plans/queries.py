@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RenderConfig, unit_axis
 from ..functions import colour, cosmology, kernels
-from ..operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing, tree
+from ..operators import deposit, frames, interpolate, levels, neighbours, octree, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
 from ..sinks.images import decode_png, render_images
 from ..staging import staged
@@ -192,6 +192,25 @@ def opened_cells(spark, d):
     return neighbours.opened_cells(particles_emb(spark, d), 1.0, 3, 0.7)
 
 
+TREE_DEPTH = 6
+
+
+def octree_nodes(spark, d):
+    tree = octree.numbered(octree.nodes(particles_emb(spark, d), depth=TREE_DEPTH))
+    return _round(tree, 6, *[f"{k}_{a}" for k in ("mean", "low", "high") for a in AXES])
+
+
+def binary_tree_nodes(spark, d):
+    tree = octree.numbered(octree.nodes(particles_evt(spark, d), ("x",), bucket=64, depth=8))
+    return _round(tree, 6, "mean_x", "low_x", "high_x")
+
+
+def octree_walks(spark, d):
+    p = particles_emb(spark, d)
+    tree, moved = octree.nodes(p, depth=TREE_DEPTH), p.withColumn("x", F.col("x") + 0.1)
+    return octree.node_of(moved, tree, depth=TREE_DEPTH).join(octree.leaves_near(moved, tree, 0.05, depth=TREE_DEPTH), "id")
+
+
 def kernel_table_3d(spark, d):
     return _round(kernels.kernel_table(spark, "spline_3d", 65), 8, "u", "value")
 
@@ -354,7 +373,7 @@ QUERIES = {
     for f in (
         cic_density_map, type_mask_select, view_cube_select, type_counts_rollup, type_boundaries, missing_types, bbox, wrap_positions, velocity_extrapolate, id_match_left, id_match_count, hermite_two_snap, hermite_frames,
         catmull_three_snap, catmull_four_snap, rotate_frames, zoom_frames, cic_map_compat, cic_3d_grid, grid_box_mean, grid_smoothing_length, knn_smoothing_length, leaf_smoothing_length, leaf_first_splits, radius_neighbours, kde_density,
-        nth_neighbour, octant_counts, opened_cells, kernel_table_3d, kernel_table_proj, kernel_cumulative, h_band_histogram, sph_density_map, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
+        nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, kernel_table_3d, kernel_table_proj, kernel_cumulative, h_band_histogram, sph_density_map, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
         inpaint_full, normalise_log, normalise_linear, opacity_transfer, palette_generated, palette_lookup_magma, custom_palette, composite_rgba, render_png, slab_histogram, slab_splits, slab_assign, snapshot_roles, global_frame_numbers,
         global_levels, snap_dt, full_render,
     )

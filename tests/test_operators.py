@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skymill.config import RenderConfig
-from skymill.functions import colour, cosmology, kernels
-from skymill.operators import deposit, frames, interpolate, levels, neighbours, select, slabs, smoothing, tree
+from skymill.functions import colour, cosmology, kernels, sql
+from skymill.operators import deposit, frames, interpolate, levels, neighbours, octree, select, slabs, smoothing, tree
 from skymill.schema import minimum_image, wrap_position
 
 XYZ = "id long, ptype int, x double, y double, z double"
@@ -472,3 +472,24 @@ def test_tabulated_palettes(name):
     assert len(rows) == 256 and all(0 <= c <= 1 for r in rows for c in r)
     for i, want in TABLE_ROWS[name].items():
         assert all(abs(a - b) < 5.5e-4 for a, b in zip(rows[i], want, strict=True)), i
+
+
+def test_octree_of_one_place_and_of_a_line(spark):
+    """Equal points are split down to the given depth and no further; an axis without extent has one cell."""
+    same = points(spark, [[0.5, 0.5, 0.5]] * 20)
+    tree = {r.path: r for r in octree.numbered(octree.nodes(same, depth=3)).collect()}
+    assert sorted(tree) == ["", "0", "00", "000"] and all(r.n == 20 for r in tree.values())
+    assert [tree[p].split for p in ("", "0", "00", "000")] == [True, True, True, False]
+    assert [tree[p]["index"] for p in ("", "0", "00", "000")] == [1, 2, 3, 4] and [tree[p].place for p in ("000", "00", "0", "")] == [0, 1, 2, 3]
+    line = points(spark, [[i / 10, 0.0, 0.0] for i in range(11)])
+    nodes = octree.nodes(line)
+    assert {r.path: r.n for r in nodes.collect()} == {"": 11, "0": 6, "1": 5}
+    got = {r.id: (r.path, r.n) for r in octree.node_of(points(spark, [[0.5, 0, 0], [0.51, 0, 0], [-9.0, 0, 0], [9.0, 0, 0]]), nodes).collect()}
+    assert got == {0: ("0", 6), 1: ("1", 5), 2: ("0", 6), 3: ("1", 5)}
+    assert {(r.n_leaves, r.n_members) for r in octree.leaves_near(points(spark, [[5.0, 5, 5]]), nodes, 0.1).collect()} == {(0, 0)}
+
+
+def test_uniform_numbers(spark):
+    draw = spark.range(0, 2000, 1, 2).select(sql.uniform(7).alias("u"))
+    a = [r.u for r in draw.collect()]
+    assert a == [r.u for r in draw.collect()] and all(0 <= u < 1 for u in a) and abs(np.mean(a) - 0.5) < 0.03
