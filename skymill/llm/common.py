@@ -55,13 +55,14 @@ def shared_root(spark: SparkSession) -> str:
     return path.toString()
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, never a second run of what came before.
+    This cuts the lineage: a lost executor costs a re-read, never a second run of what came before. narrow: the rows are
+    few bytes next to what they were made from, so they are gathered into files of a fair size instead of one for each task.
     """
     path = f"{shared_root(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -140,7 +140,7 @@ def _passes(failed: Column) -> Column:
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", reject_at: float = REJECT_AT, suspect_factor: float = SUSPECT_FACTOR) -> DataFrame:
     """Every document's counts, broken rules, its host's rate and verdict, and kept."""
-    judged = apply_rules(stage_table(document_counts(docs, id_col, text_col, host_col), "counts"))
+    judged = apply_rules(stage_table(document_counts(docs, id_col, text_col, host_col), "counts", narrow=True))
     hosts = stage_table(host_verdicts(judged, reject_at, suspect_factor).select("host", "n_docs", "rate", "rejected", "suspect"), "verdicts")
     joined = join_by_key(judged, hosts, "host", "n_docs")
     return joined.withColumn("kept", _passes(F.col("failed"))).withColumnsRenamed({"rate": "host_rate", "n_docs": "host_docs"})

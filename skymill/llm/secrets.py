@@ -138,7 +138,7 @@ def judged_spans(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """(row, doc_id, spans) of every document, each span with its verdict and how many documents and owners hold its value."""
-    return judged_spans(stage_table(candidates(docs, id_col, text_col, owner_col), "candidates"), example_owners, example_repos)
+    return judged_spans(stage_table(candidates(docs, id_col, text_col, owner_col), "candidates", narrow=True), example_owners, example_repos)
 
 
 def span_digests(found: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def redact_live(docs: DataFrame, text_col: str = "text", owner_col: str = "sourc
     mark = clear_name(docs.columns, "redact")
     text = F.col(f"`{text_col}`")
     key = F.xxhash64(text, F.col(f"`{owner_col}`").cast("string"))
-    found = stage_table(candidates(docs.select(key.alias("doc_id"), text.alias("text"), F.col(f"`{owner_col}`").alias("owner")), owner_col="owner"), "candidates")
+    found = stage_table(candidates(docs.select(key.alias("doc_id"), text.alias("text"), F.col(f"`{owner_col}`").alias("owner")), owner_col="owner"), "candidates", narrow=True)
     cuts = redactions(judged(found, example_owners, example_repos).filter("verdict = 'live'"))
     cuts = cuts.groupBy("doc_id").agg(F.first(F.struct("cuts", "last")).alias(f"{mark}_cuts"), F.count(F.lit(1)).alias(f"{mark}_n")).withColumnRenamed("doc_id", f"{mark}_key")
     # Only texts that may hold a candidate are joined, and so shuffled; all others pass.

@@ -233,7 +233,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable by links, the document's own included."""
-    prints = stage_table(fingerprints(docs, id_col, text_col), "prints")
+    prints = stage_table(fingerprints(docs, id_col, text_col), "prints", narrow=True)
     distinct = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     named = component_ids(distinct, near_links(distinct, max_bits), "fp")
     return join_by_key(prints, stage_table(named, "named"), "fp", "n", "inner").select("doc_id", "fp", "component_id")
