@@ -7,11 +7,12 @@ fingerprint is at home at one anchor for each block and visits all anchors withi
 visitors anchor by anchor. Nothing within T bits is missed, whatever the data.
 
 Equal fingerprints are collapsed first, so copies cost one row. What an anchor finds is reported as a spanning forest,
-at most one row for each fingerprint there, never as all pairs. Anchors with many homes are split into chunks, and
-their visitors go to every chunk. Components come from repeated minimum-label steps over those links.
+at most one row for each fingerprint there, never as all pairs. Anchors with many homes or visitors are split into chunks
+of either, and every chunk of homes meets every chunk of visitors. Components come from repeated minimum-label steps over those links.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Equal doc_ids are one document. A null
-doc_id never names a component; a component without any other id has a null one.
+doc_id never names a component; a component without any other id has a null one. An empty table gives an empty result.
+Other columns, whatever their names, are not read, or stay as they are where documents are returned.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_key, map_rows, shuffle_partitions, stage_table, text_list
+from .common import clear_name, join_by_key, map_rows, shuffle_partitions, stage_table, text_list
 from .graph import component_ids, connected, spanning
 
 WORDS = 4
@@ -33,9 +34,9 @@ SEED = 42
 MAX_BITS = 4
 #: Fingerprints beyond this number use larger blocks (fewer, more selective anchors); either way is complete.
 WIDE_FROM = 200_000_000
-#: Homes at one anchor that are compared by one task at a time.
-CHUNK = 8192
-#: Rows held by a comparing task, pairs compared at once, and pairs beyond which a group is compared by itself.
+#: Homes at one anchor, and visitors, that are compared as one group.
+CHUNK, VISITORS = 8192, 1 << 16
+#: Rows held by a comparing task (more than a group has), pairs compared at once, and pairs beyond which a group is compared by itself.
 HELD_ROWS = 1 << 18
 PART_PAIRS = 1 << 20
 GROUP_PAIRS = 1 << 16
@@ -200,33 +201,43 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     spread = distinct.select("fp").mapInArrow(replicate, "anchor long, home boolean, fp long")
     # Anchors with homes and more than one fingerprint; few enough homes make one chunk.
     counts = spread.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n"))
-    hot = stage_table(counts.filter(F.col("homes") > CHUNK).select("anchor", F.ceil(F.col("homes") / CHUNK).cast("int").alias("chunks")), "hot")
-    some_hot = bool(hot.take(1))
-    if some_hot:
-        # Fewer than fingerprints / CHUNK anchors are hot.
+    hot = counts.filter((F.col("homes") > 0) & ((F.col("homes") > CHUNK) | (F.col("n") > VISITORS)))
+    hot = stage_table(hot.select("anchor", F.ceil(F.col("homes") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("n") / VISITORS).cast("int").alias("columns")), "hot")
+    if hot.take(1):
+        # Fewer than all replicated rows / CHUNK anchors are hot.
         spread = spread.join(F.broadcast(hot) if hot.count() < 100_000 else hot, "anchor", "left")
-        own = F.array(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("chunks") - 1)
-        spread = spread.select("anchor", "home", "fp", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(every)).alias("chunk"), F.coalesce(own[0], F.lit(0)).alias("own"))
-        spread = spread.select("anchor", "chunk", (F.col("home") & (F.col("own") == F.col("chunk"))).alias("home"), "fp")
+        cold = spread.filter(F.col("rows").isNull()).select("anchor", F.lit(0).alias("row"), F.lit(0).alias("column"), "home", "fp")
+        split = spread.filter(F.col("rows").isNotNull())
+        own = F.xxhash64("fp")
+        as_home = split.filter("home").select("anchor", F.pmod(own, F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "home", "fp")
+        as_visitor = split.select("anchor", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(F.xxhash64(own), F.col("columns")).cast("int").alias("column"), F.lit(False).alias("home"), "fp")
+        spread = cold.unionByName(as_home).unionByName(as_visitor)
     else:
-        spread = spread.select("anchor", F.lit(0).alias("chunk"), "home", "fp")
-    dealt = spread.repartition(shuffle_partitions(distinct.sparkSession), "anchor", "chunk").sortWithinPartitions("anchor", "chunk", F.col("home").desc())
+        spread = spread.select("anchor", F.lit(0).alias("row"), F.lit(0).alias("column"), "home", "fp")
+    groups = ["anchor", "row", "column"]
+    dealt = spread.repartition(shuffle_partitions(distinct.sparkSession), *groups).sortWithinPartitions(*groups, F.col("home").desc())
+
+    def group_numbers(keys: list[np.ndarray]) -> np.ndarray:
+        change = np.zeros(len(keys[0]), bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        return np.cumsum(change)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for batch in batches:
-            key = batch.column(0).to_numpy() * 65536 + batch.column(1).to_numpy()
-            held.append((key, batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()))
-            rows += len(key)
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            rows += batch.num_rows
             if rows >= HELD_ROWS:
-                key, home, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                key = group_numbers(every[:3])
                 done = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
-                yield from links_of(key[:done], home[:done], fps[:done], max_bits)
-                held, rows = [(key[done:], home[done:], fps[done:])], len(key) - done
+                yield from links_of(key[:done], every[3][:done], every[4][:done], max_bits)
+                held, rows = [tuple(x[done:] for x in every)], len(key) - done
         if rows:
-            yield from links_of(*(np.concatenate(x) for x in zip(*held, strict=True)), max_bits)
+            every = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield from links_of(group_numbers(every[:3]), every[3], every[4], max_bits)
 
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -245,35 +256,37 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Rows that share that doc_id count as one document: the first by text stays. Where a component has no doc_id
     at all, the first of its rows by text stays.
     """
+    mark = clear_name(docs.columns, "near")
+    kept_id, own_id = f"{mark}_id", F.col(f"`{id_col}`")
     found = stage_table(near_duplicates(docs, id_col, text_col, max_bits).filter("doc_id is not null and component_id is not null"), "found")
     named = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("lead"))
     leaders = stage_table(named, "named")
-    once = leaders.filter("lead and n = 1").select(F.col("doc_id").alias("__kept_id"))
+    once = leaders.filter("lead and n = 1").select(F.col("doc_id").alias(kept_id))
     # Ids are hashed and texts stream past them: texts are shuffled once and never sorted, at any size.
-    kept = docs.join(once.hint("shuffle_hash"), docs[id_col] == once["__kept_id"], "left_semi")
+    kept = docs.join(once.hint("shuffle_hash"), own_id == F.col(kept_id), "left_semi")
     # Repeated ids and null ids are rare; only their rows are sorted.
-    odd = leaders.filter("lead and n > 1").select(F.col("doc_id").alias("__kept_id"))
+    odd = leaders.filter("lead and n > 1").select(F.col("doc_id").alias(kept_id))
     if odd.take(1):
-        rows = docs.join(odd, docs[id_col] == odd["__kept_id"], "left_semi")
-        kept = kept.unionByName(_first_of(rows, id_col, text_col))
-    nameless = docs.filter(docs[id_col].isNull())
+        kept = kept.unionByName(_first_of(docs.join(odd, own_id == F.col(kept_id), "left_semi"), id_col, text_col, mark))
+    nameless = docs.filter(own_id.isNull())
     if nameless.take(1):
-        kept = kept.unionByName(_nameless(docs, nameless, text_col, id_col, max_bits))
+        kept = kept.unionByName(_nameless(docs, nameless, text_col, id_col, max_bits, mark))
     return kept
 
 
-def _first_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each id: the first by text."""
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    return rows.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
+def _first_of(rows: DataFrame, key: str, text_col: str, mark: str) -> DataFrame:
+    """One row for each value of key: the first by text."""
+    order = Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{text_col}`").asc_nulls_first())
+    return rows.withColumn(f"{mark}_rank", F.row_number().over(order)).filter(F.col(f"{mark}_rank") == 1).drop(f"{mark}_rank")
 
 
-def _nameless(docs: DataFrame, nameless: DataFrame, text_col: str, id_col: str, max_bits: int) -> DataFrame:
+def _nameless(docs: DataFrame, nameless: DataFrame, text_col: str, id_col: str, max_bits: int, mark: str) -> DataFrame:
     """Of rows without doc_id, those whose component has no doc_id: one for each distinct text's component."""
+    text = F.col(f"`{text_col}`")
     found = near_duplicates(docs, id_col, text_col, max_bits).filter("component_id is null").select("fp").distinct()
-    texts = fingerprints(nameless.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))).distinct()
+    texts = fingerprints(nameless.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))).distinct()
     links = stage_table(texts.join(found, "fp", "left_semi"), "nameless")
     roots = connected(near_links(stage_table(links.select("fp").distinct(), "fps"), max_bits))
-    lead = links.join(roots, links["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("r")).agg(F.min("doc_id").alias("__h"))
-    rows = nameless.withColumn("__h", F.xxhash64(text_col)).join(lead.select("__h"), "__h", "left_semi")
-    return _first_of(rows, "__h", text_col).drop("__h").select(docs.columns)
+    lead = links.join(roots, links["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("r")).agg(F.min("doc_id").alias(f"{mark}_hash"))
+    rows = nameless.withColumn(f"{mark}_hash", F.xxhash64(text)).join(lead.select(f"{mark}_hash"), f"{mark}_hash", "left_semi")
+    return _first_of(rows, f"{mark}_hash", text_col, mark).drop(f"{mark}_hash").select(*[F.col(f"`{c}`") for c in docs.columns])

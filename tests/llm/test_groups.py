@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skymill.llm import embeddings, graph, simhash
 
@@ -55,10 +56,12 @@ def fingerprint_table(spark, fps):
     return spark.createDataFrame([(f,) for f in signed], "fp long")
 
 
-@pytest.mark.parametrize(("group", "chunk"), [(1 << 16, 8192), (4, 16)])
-def test_links_join_all_near_fingerprints(spark, monkeypatch, group, chunk):
+@pytest.mark.parametrize(("group", "chunk", "visitors"), [(1 << 16, 8192, 1 << 16), (4, 16, 1 << 16), (4, 16, 64), (1 << 16, 8192, 32)])
+def test_links_join_all_near_fingerprints(spark, monkeypatch, group, chunk, visitors):
     monkeypatch.setattr(simhash, "GROUP_PAIRS", group)
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "VISITORS", visitors)
+    monkeypatch.setattr(simhash, "HELD_ROWS", chunk + visitors)
     rng = random.Random(4)
     fps = {0}
     for _ in range(12):
@@ -76,7 +79,8 @@ def test_links_join_all_near_fingerprints(spark, monkeypatch, group, chunk):
     links = [(place[r.a], place[r.b]) for r in simhash.near_links(fingerprint_table(spark, fps).cache()).collect()]
     assert all(int(np.bitwise_count(values[a] ^ values[b])) <= 4 for a, b in links)
     assert components(len(fps), links) == want
-    assert len(links) <= 45 * len(fps)
+    # Each group of an anchor reports a forest.
+    assert len(links) <= (45 if chunk + visitors > 10**4 else 450) * len(fps)
 
 
 def test_connected_components(spark):
@@ -107,6 +111,16 @@ def test_near_duplicate_documents(docs, rows, no_docs):
     assert simhash.keep_one(no_docs).collect() == []
 
 
+def test_clashing_names_stay(docs, rows):
+    extra = {"__near_id": 1, "__near": 2, "fp": 3, "n": 4, "lead": 5, "__near_hash": 6}
+    table = docs.withColumns({k: F.lit(v) for k, v in extra.items()})
+    out = simhash.keep_one(table)
+    assert out.columns == table.columns
+    got = out.collect()
+    assert all(r[k] == v for r in got for k, v in extra.items())
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, (r.doc_id for r in simhash.keep_one(docs).collect())))
+
+
 def vectors():
     rng = np.random.default_rng(8)
     out = []
