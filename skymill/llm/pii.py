@@ -5,7 +5,9 @@ text by transducers that keep, for every character of the result, the source spa
 and digits, invisible characters, spelled digits and written-out "at", "dot" and "plus". The same matchers run over the
 rewritten text and their spans are mapped back; those that touch no plain span of their kind are added.
 
-Offsets count code points, ends are exclusive. Null and empty texts have no spans. Matchers are linear in the text.
+Offsets count code points, ends are exclusive. Null and empty texts have no spans. Equal texts have equal spans. An empty
+table gives an empty result. Other columns, whatever their names, are not read, or stay where documents are returned. The
+work on a text grows with its length, and with the logarithm of its spans.
 """
 
 from __future__ import annotations
@@ -79,17 +81,25 @@ LOOK_ALIKES = {
 }
 #: Characters without width.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-#: Digits as words.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Digits as words, in English, German, French and Spanish.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: How the marks of an address are written out.
+AT_WORDS, DOT_WORDS = "at arroba arobase", "dot punto punkt point"
 
 #: Characters that may stand for an ASCII one or for nothing: a quick test before the slow path.
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + INVISIBLE) + "\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2460-\u24ff\u2070-\u209c\uff01-\uff5e\U0001d400-\U0001d7ff]")
-_DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
+_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+_AT, _DOT = ("(?:" + "|".join(w.split()) + ")" for w in (AT_WORDS, DOT_WORDS))
 _GAP = r"[ \t,./_-]{0,3}"
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:plus|\+){_GAP})?(?:{_DIGIT}(?![A-Za-z])|[0-9]+)(?:{_GAP}(?<![A-Za-z])(?:{_DIGIT}(?![A-Za-z])|[0-9]+|double(?![A-Za-z])|triple(?![A-Za-z])))+", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"plus|\+|double|triple|{_DIGIT}|[0-9]+|.", re.IGNORECASE)
 _DIGIT_HINT = re.compile(rf"(?<![A-Za-z]){_DIGIT}(?![A-Za-z])", re.IGNORECASE)
-_BRACKETED = re.compile(r"[ \t]{0,4}[(\[{<][ \t]{0,4}(?:(at|@)|(dot|punto|punkt|point|\.))[ \t]{0,4}[)\]}>][ \t]{0,4}", re.IGNORECASE)
+_BRACKETED = re.compile(rf"[ \t]{{0,4}}[(\[{{<][ \t]{{0,4}}(?:({_AT}|@)|({_DOT}|\.))[ \t]{{0,4}}[)\]}}>][ \t]{{0,4}}", re.IGNORECASE)
 _HOST = r"[A-Za-z0-9-]{1,63}"
 #: Last parts of host names that make three written-out words an address: generic ones, and all country codes. Bracketed marks need none of them.
 GENERIC_LEVELS = "com org net edu gov mil int info biz name pro mobi jobs travel museum aero coop cat tel asia post arpa app dev blog cloud club email life live media news online page shop site space store studio systems team tech today top website wiki work world xyz example test invalid local"
@@ -104,13 +114,15 @@ COUNTRY_CODES = (
 ARTICLES = "a an the this that these those each every any some no one my your his her its our their another which what der die das den dem ein eine einen einem le la les un une el los las una"
 _TOP = "(?:" + "|".join([*GENERIC_LEVELS.split(), *COUNTRY_CODES.split()]) + ")(?![A-Za-z0-9])"
 #: A name with a digit or an inner mark goes before any host; others not before one that is an article.
-_NAME_OR_HOST = r"(?:(?=(?:[A-Za-z_%+-]*[0-9]|[A-Za-z0-9]+(?:[._%+-]|[ \t]+dot[ \t]+)[A-Za-z0-9]))|(?![A-Za-z0-9_%+-]+(?:[ \t]+at[ \t]+|@)(?:" + "|".join(ARTICLES.split()) + r")[ \t]+dot[ \t]))"
-_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME_OR_HOST}(?:[A-Za-z0-9_%+-]{{1,64}}[ \t]+dot[ \t]+|[A-Za-z0-9_%+-]{{1,64}}\.){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?:[ \t]+at[ \t]+|@){_HOST}(?:(?:[ \t]+dot[ \t]+|\.){_HOST}){{0,4}}[ \t]+dot[ \t]+{_TOP}", re.IGNORECASE)
-_WRITTEN_PART = re.compile(r"[ \t]+(?:(at)|dot)[ \t]+", re.IGNORECASE)
-_DOT_HINT = re.compile(r"[ \t]dot[ \t]", re.IGNORECASE)
+#: Out of brackets "point" is left to prose ("at boiling point is").
+_AT_WORD, _DOT_WORD = rf"[ \t]+{_AT}[ \t]+", r"[ \t]+(?:dot|punto|punkt)[ \t]+"
+_NAME_OR_HOST = rf"(?:(?=(?:[A-Za-z_%+-]*[0-9]|[A-Za-z0-9]+(?:[._%+-]|{_DOT_WORD})[A-Za-z0-9]))|(?![A-Za-z0-9_%+-]+(?:{_AT_WORD}|@)(?:" + "|".join(ARTICLES.split()) + rf"){_DOT_WORD}))"
+_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME_OR_HOST}(?:[A-Za-z0-9_%+-]{{1,64}}{_DOT_WORD}|[A-Za-z0-9_%+-]{{1,64}}\.){{0,4}}[A-Za-z0-9_%+-]{{1,64}}(?:{_AT_WORD}|@){_HOST}(?:(?:{_DOT_WORD}|\.){_HOST}){{0,4}}{_DOT_WORD}{_TOP}", re.IGNORECASE)
+_WRITTEN_PART = re.compile(rf"[ \t]+(?:({_AT})|dot|punto|punkt)[ \t]+", re.IGNORECASE)
+_DOT_HINT = re.compile(r"[ \t](?:dot|punto|punkt)[ \t]", re.IGNORECASE)
 #: A name with a digit or an inner mark before a lone "at", or an "@" between spaces, and a host with a lettered end.
-_MAILBOX_AT = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]{0,64}[0-9._+-][A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,64}(?<![._%+-])(?P<at>[ \t]+(?:at|arroba)[ \t]+|[ \t]+@[ \t]*|@[ \t]+)(?:[A-Za-z0-9-]{1,63}\.){1,5}[A-Za-z]{2,24}(?![A-Za-z0-9])", re.IGNORECASE)
-_AT_HINT = re.compile(r"[ \t](?:at|arroba)[ \t]|[ \t]@|@[ \t]", re.IGNORECASE)
+_MAILBOX_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]{{0,64}}[0-9._+-][A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,64}}(?<![._%+-])(?P<at>{_AT_WORD}|[ \t]+@[ \t]*|@[ \t]+)(?:[A-Za-z0-9-]{{1,63}}\.){{1,5}}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.IGNORECASE)
+_AT_HINT = re.compile(rf"[ \t]{_AT}[ \t]|[ \t]@|@[ \t]", re.IGNORECASE)
 #: Character references for the two marks of an address.
 _REFERENCES = re.compile(r"&#0*64;|&#x0*40;|&commat;|%40|(&#0*46;|&#x0*2e;|&period;)", re.IGNORECASE)
 #: Letters that stand for digits, in words made of digits and such letters alone.

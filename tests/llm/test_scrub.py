@@ -156,11 +156,17 @@ def test_base_personal_data(text):
     [
         ("write to jane.doe [at] example [dot] com today", "email", "jane.doe [at] example [dot] com"),
         ("write to jane dot doe at example dot com today", "email", "jane dot doe at example dot com"),
-        ("jаne@exаmple.com", "email", None),
+        ("jаne@exаmple.com", "email", "jаne@exаmple.com"),
         ("call plus one three zero one five five five zero one nine nine now", "phone", "plus one three zero one five five five zero one nine nine"),
         ("host １９２.１６８.０.１ is up", "ip", "１９２.１６８.０.１"),
         ("card ４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
-        ("bob\u200b@example.com", "email", None),
+        ("bob\u200b@example.com", "email", "bob\u200b@example.com"),
+        ("ruf an: plus vier neun drei null eins fünf fünf fünf null eins neun", "phone", "plus vier neun drei null eins fünf fünf fünf null eins neun"),
+        ("tel plus trois trois un deux trois quatre cinq six sept huit neuf merci", "phone", "plus trois trois un deux trois quatre cinq six sept huit neuf"),
+        ("plus tres cuatro nueve uno dos tres cuatro cinco seis siete ocho", "phone", "plus tres cuatro nueve uno dos tres cuatro cinco seis siete ocho"),
+        ("escribe a ana arroba ejemplo punto es hoy", "email", "ana arroba ejemplo punto es"),
+        ("anna (arobase) exemple (point) fr", "email", "anna (arobase) exemple (point) fr"),
+        ("schreib an anna at beispiel punkt de bitte", "email", "anna at beispiel punkt de"),
         ("ask be.06 at mail7.example.com soon", "email", "be.06 at mail7.example.com"),
         ("ask jane.doe @ example.com soon", "email", "jane.doe @ example.com"),
         ("jane&#64;example&#46;com", "email", "jane&#64;example&#46;com"),
@@ -170,12 +176,7 @@ def test_base_personal_data(text):
 )
 def test_disguises(text, kind, found):
     base, added = pii.find_spans(text)
-    spans = [text[a:b] for a, b in base[kind] + added[kind]]
-    if found:
-        assert found in spans
-        assert added[kind]
-    else:
-        assert spans
+    assert [text[a:b] for a, b in added[kind]] == [found] and not base[kind]
 
 
 @pytest.mark.parametrize("odd", ["\u200b", "dan [at] example [dot] org"])
@@ -223,7 +224,7 @@ def test_written_addresses_of_all_countries(end):
         assert [f"write to {text} , soon"[a:b] for a, b in added["email"]] == [text]
 
 
-@pytest.mark.parametrize("text", ["look at the dot in the middle", "he pointed at a dot to the left", "aim at each dot at once", "we met at noon dot matrix"])
+@pytest.mark.parametrize("text", ["look at the dot in the middle", "he pointed at a dot to the left", "aim at each dot at once", "we met at noon dot matrix", "water at boiling point is steam", "he stopped at some point in time", "un deux trois soleil", "das ist der punkt an dem", "uno dos tres"])
 def test_dots_in_prose_are_no_addresses(text):
     base, added = pii.find_spans(text)
     assert not any(base.values()) and not any(added.values())
