@@ -4,7 +4,8 @@ Every token of the vocabulary becomes a piece in which each byte is one printabl
 negative rank, under a normaliser that changes nothing. Sentencepiece then merges the same pairs in the same
 order as a rank-based encoder. Decoding maps pieces back to bytes.
 
-Null and empty texts have no tokens. Equal rows are encoded alike; very long pre-tokens are encoded uncached.
+Null and empty texts have no tokens. Equal rows are encoded alike; very long pre-tokens are encoded uncached. An empty
+table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ placed, longest first, each into the open window with the least room that still
 
 Pieces are dealt to shards by a hash, and shards are packed side by side; a shard gets about SHARD_WINDOWS
 windows' worth of ids at any input size, so that its one incompletely filled tail costs next to nothing.
-Null and empty texts are documents that hold only the end id; rows with equal ids are packed as separate documents.
+Null and empty texts are documents that hold only the end id; rows with equal ids are packed as separate documents. An
+empty table gives no pieces. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ for null), id width in bytes (u8), then the ids. The index of a file holds, for
 and its payload's length (u64), so that a reader may fetch records in any order.
 
 Documents lie in ascending doc_id order, within a file and from file to file; null ids come first and rows
-with equal doc_id follow each other by a checksum of their ids and the ids. A null or empty text gives a record that holds only the end id.
+with equal doc_id follow each other by a checksum of their ids and the ids. A null or empty text gives a record that holds
+only the end id. An empty table gives no records. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
