@@ -352,6 +352,74 @@ ends AS (SELECT k.range AS slab, coalesce((SELECT min(bin) + 1 FROM cum, tot WHE
 rising AS (SELECT slab, least(256, max(e - slab) OVER (ORDER BY slab) + slab) AS end_bin FROM ends UNION ALL SELECT 5, 256),
 splits AS (SELECT CAST(slab - 1 AS INTEGER) AS slab, CAST(coalesce(lag(end_bin) OVER (ORDER BY slab), 0) AS INTEGER) AS first_bin, CAST(end_bin AS INTEGER) AS end_bin FROM rising)"""
 
+def _single(p: str) -> str:
+    return f"CAST(CAST({p} AS FLOAT) AS DOUBLE)"
+
+
+MOVING = ", ".join(f"round({_single(c)}, 6) AS {c}" for c in ("x", "y", "z", "vx", "vy", "vz"))
+HEADERS = f"""WITH {EMB} SELECT CAST(t.range AS INTEGER) AS ptype, 8e-1 AS time, 25e-2 AS redshift, 3 AS num_files, 1e0 AS box_size, count(p.id) AS n, count(p.id) AS n_total
+  FROM range((SELECT max(ptype) + 1 FROM particles_emb)) t LEFT JOIN particles_emb p ON p.ptype = t.range GROUP BY t.range"""
+
+
+def _in_view(p: str, half: str) -> str:
+    return f"abs(2 * ({_image_of(f'({p} - 5e-1)')}) / (2 * {half})) < 1"
+
+
+def _unwrapped(p: str) -> str:
+    return f"round(5e-1 + ({_image_of(f'({p} - 5e-1)')}), 6)"
+
+
+def _render_steps() -> str:
+    seen = " AND ".join(_in_view(a, "25e-2") for a in "xyz")
+    return f"""WITH {EMB}, s AS (SELECT ptype, {', '.join(f'{_single(a)} AS {a}' for a in 'xyz')} FROM particles_emb WHERE ptype IN (0, 1, 4))
+SELECT ptype, CAST(range AS INTEGER) AS frame, round(5e-1 * pow(5e-1, range), 6) AS lbox, {', '.join(f'{_unwrapped(a)} AS {a}' for a in 'xyz')} FROM s, range(3) WHERE {seen}"""
+
+
+def _sequence() -> str:
+    tables, parts = ("snap_p", "particles_emb", "snap_b", "snap_n"), []
+    for i, (a, b) in enumerate(zip(tables, tables[1:], strict=False)):
+        parts.append(f"SELECT {i} AS interval, a.id, a.x, a.y, a.z, b.x AS xb, b.y AS yb, b.z AS zb, b.id IS NOT NULL AS has_b FROM {a} a LEFT JOIN {b} b ON a.id = b.id")
+    seen = " AND ".join(_in_view(a, "5e-1") for a in "xyz")
+    return f"""WITH {EMB}, {SNAP_B}, {SNAP_P}, {SNAP_N}, m AS ({' UNION ALL '.join(parts)}),
+f AS (SELECT m.*, CAST(2 * interval + range AS INTEGER) AS frame, range / 2e0 AS t FROM m, range(3) WHERE range < 2 OR interval = 2), s AS (SELECT *, {BASIS} FROM f), p AS ({_hermite('s', 'id, frame')})
+SELECT id, frame, {', '.join(f'{_unwrapped(a)} AS {a}' for a in 'xyz')} FROM p WHERE {seen}"""
+
+
+def _hot() -> str:
+    rgb = ", ".join(f"coalesce({_byte(f'least(1e0, greatest(0e0, 3 * least(1e0, greatest(0e0, t)) - {k}))')}, 0) AS {c}" for k, c in enumerate("rgb"))
+    return f"{_scaled(True)}, grid AS (SELECT CAST(a.range AS INTEGER) AS iy, CAST(b.range AS INTEGER) AS ix FROM range(64) a, range(64) b) SELECT grid.iy, grid.ix, {rgb} FROM grid LEFT JOIN sc USING (iy, ix)"
+
+
+def _gray() -> str:
+    shown = ", ".join(f"coalesce({_byte('rho / 5e5')}, 0) AS {c}" for c in "rgb")
+    return f"{LI_MAP}, grid AS (SELECT CAST(a.range AS INTEGER) AS iy, CAST(b.range AS INTEGER) AS ix FROM range(64) a, range(64) b) SELECT 0 AS frame, grid.iy, grid.ix, {shown} FROM grid LEFT JOIN img USING (iy, ix)"
+
+
+#: What each list of flags means, written out: only settings that differ from the defaults.
+DEFAULT_SETTINGS = {
+    "mask": "2", "colormap": "magma", "opacity_func": "flat", "opacity_gamma": "2.0", "auto_pct_lo": "0.1", "auto_pct_hi": "1.0", "log_scale": "True", "lock_levels": "False", "zoom_factor": "0.5", "lbox": "0.0", "xc": "0.5",
+    "rot_axis": "(0.0, 0.0, 1.0)", "num_ngb": "32", "sph_eta": "1.2", "width": "768", "mode": "single",
+}
+CHANGED_SETTINGS = {
+    "defaults": {},
+    "types add up": {"mask": "35"},
+    "a later flag replaces the default": {"mask": "1"},
+    "preset": {"colormap": "inferno", "opacity_func": "power", "opacity_gamma": "3.0", "auto_pct_lo": "0.02", "log_scale": "False"},
+    "names": {"colormap": "grayscale", "lock_levels": "True"},
+    "box units": {"lbox": "12.5", "xc": "25.0", "rot_axis": "(0.0, 0.6, 0.8)"},
+}
+
+
+def _settings() -> str:
+    rows = ", ".join(f"('{name}', '{key}', '{value}')" for name, changed in CHANGED_SETTINGS.items() for key, value in (DEFAULT_SETTINGS | changed).items())
+    return f"SELECT * FROM (VALUES {rows}) s(name, key, value)"
+
+
+def _palette_file() -> str:
+    rgb = ", ".join(f"round(CASE WHEN t <= 25e-2 THEN {b} * t / 25e-2 ELSE {b} + (t - 25e-2) / 75e-2 * ({c} - {b}) END, 6) AS {n}" for n, b, c in (("r", "2e-1", "1e0"), ("g", "4e-1", "5e-1"), ("b", "8e-1", "0e0")))
+    return f"SELECT i, {rgb} FROM (SELECT CAST(range AS INTEGER) AS i, range / 255e0 AS t FROM range(256))"
+
+
 ORACLE_SQL = {
     "cic_density_map": f"{LI_MAP} {_shown('img')}",
     "type_mask_select": f"WITH {LI} SELECT ptype, count(*) AS n, round(sum(x), 4) AS sum_x FROM particles_li WHERE (82 & (1 << ptype)) <> 0 GROUP BY ptype",
@@ -412,5 +480,23 @@ ORACLE_SQL = {
     "snapshot_roles": "SELECT * FROM (SELECT seq, root AS prev, lead(root, 1) OVER (ORDER BY seq) AS a, lead(root, 2) OVER (ORDER BY seq) AS b, lead(root, 3) OVER (ORDER BY seq) AS next FROM (SELECT CAST(range AS INTEGER) AS seq, printf('snap_%03d', range) AS root FROM range(10))) WHERE next IS NOT NULL",
     "global_frame_numbers": "SELECT CAST(s.range AS INTEGER) AS seq, CAST(l.range AS INTEGER) AS local, CAST(24 * s.range + l.range AS INTEGER) AS global_frame, printf('frame.%04d.png', 24 * s.range + l.range) AS file FROM range(9) s, range(25) l WHERE l.range < 24 OR s.range = 8",
     "global_levels": f"WITH {LI}, {_cic('img', 'particles_li', 32, keys='ptype')}, sh AS ({_shown('img', 'ptype')}), {_levels('sh', 'ptype')}, r AS (SELECT vmin, vmax, row_number() OVER (ORDER BY vmin) - 1 AS i0, row_number() OVER (ORDER BY vmax) - 1 AS i1, count(*) OVER () AS k FROM lv) SELECT round(max(CASE WHEN i0 = floor(5e-2 * (k - 1)) THEN vmin END), 6) AS vmin, round(max(CASE WHEN i1 = floor(95e-2 * (k - 1)) THEN vmax END), 6) AS vmax FROM r",
+    "gadget_particles": f"WITH {EMB} SELECT id, ptype, {MOVING} FROM particles_emb",
+    "hdf5_particles": f"WITH {EMB} SELECT id, ptype, {MOVING} FROM particles_emb",
+    "hdf5_types_and_columns": f"WITH {EMB} SELECT ptype, {', '.join(f'round({_single(a)}, 6) AS {a}' for a in 'xyz')} FROM particles_emb WHERE ptype IN (1, 4)",
+    "gadget_headers": HEADERS,
+    "hdf5_headers": HEADERS,
+    "cosmology_header": "SELECT 8e-1 AS a, 68e0 AS h0, 31e-2 AS omega_m, 69e-2 AS omega_lambda, 68e-2 AS h",
+    "snapshot_render_steps": _render_steps(),
+    "sequence_hermite": _sequence(),
+    "length_file": "SELECT CAST(range AS INTEGER) AS i, round(CAST(CAST(5e-1 / (range + 3) AS FLOAT) AS DOUBLE), 6) AS h FROM range(101)",
+    "snapshot_list_file": "SELECT * FROM (VALUES (0, 'run/snap_000'), (1, 'run/snap_001'), (2, 'run/snap_002')) s(seq, root)",
+    "palette_file": _palette_file(),
+    "pnm_pixels": _hot(),
+    "gray_picture": _gray(),
+    "pixel_lengths": f"WITH {WITH_H} SELECT id, round(least(h * 64, 4e0), 6) AS h_px FROM lengths WHERE h > 0 AND h * 64 <= 75e-1",
+    "kernel_lookup": "WITH v AS (SELECT [1e0, 5e-1, 25e-2, 125e-3, 0e0] AS v), p AS (SELECT CAST(range AS INTEGER) AS i, range / 5e1 AS u FROM range(121)), q AS (SELECT i, u, 2 * u AS f, CAST(floor(2 * u) AS INTEGER) AS k FROM p) SELECT i, round(CASE WHEN u < 2 THEN v[k + 1] + (f - k) * (v[k + 2] - v[k + 1]) ELSE 0e0 END, 8) AS value FROM q, v",
+    "box_distances": f"WITH {EMB} SELECT id, round(pow(greatest(4e-1 - x, 0e0, x - 6e-1), 2) + pow(greatest(45e-2 - y, 0e0, y - 55e-2), 2) + pow(greatest(5e-1 - z, 0e0, z - 5e-1), 2), 8) AS d2 FROM particles_emb",
+    "sorted_ids": "SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings",
+    "settings": _settings(),
     "snap_dt": "WITH s AS (SELECT 5e-1 + (range + 5e-1) * 2e-6 AS a FROM range(10000)), d AS (SELECT sum(2e-6 / (a * sqrt(309e-3 / (a*a*a) + 691e-3) * (6774e-2 / 3085677581e10))) AS dt FROM s) SELECT round(dt * 6774e-4 / 3085677581e10, 9) AS snap_dt, round(dt / 315576e11, 6) AS dt_gyr FROM d",
 }

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RenderConfig, unit_axis
-from ..functions import colour, cosmology, kernels
+from ..config import RenderConfig, parse_arguments, unit_axis
+from ..functions import colour, cosmology, kernels, sql
 from ..operators import deposit, frames, interpolate, levels, neighbours, octree, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
 from ..sinks.images import decode_png, render_images
-from ..staging import staged
+from ..sinks.snapshots import write_snapshot
+from ..sources.files import locate
+from ..sources.hdf5 import read_cosmology
+from ..sources.snapshots import read_header, read_lengths, read_particles, snapshot_list, write_lengths
+from ..staging import folder, staged
+from .render import finish, gray_pixels, load, sequence_particles
 
 MID = (0.5, 0.5, 0.5)
 AXIS = unit_axis((1.0, 2.0, 3.0))
@@ -138,7 +145,7 @@ def grid_box_mean(spark, d):
 
 
 def grid_smoothing_length(spark, d):
-    h = smoothing.grid_lengths(particles_evt(spark, d), lbox=20.0, n=16)
+    h = smoothing.smoothing_lengths(particles_evt(spark, d), "grid", 20.0, SIDE, n=16)
     return h.select("id", F.round("h", 6).alias("h"))
 
 
@@ -157,11 +164,11 @@ def _by_place(df: DataFrame, value: str) -> DataFrame:
 
 
 def knn_smoothing_length(spark, d):
-    return _by_place(smoothing.knn_lengths(_numbered_li(spark, d), 20.0, SIDE), "h")
+    return _by_place(smoothing.smoothing_lengths(_numbered_li(spark, d), "knn", 20.0, SIDE), "h")
 
 
 def leaf_smoothing_length(spark, d):
-    return smoothing.leaf_lengths(particles_emb(spark, d), 1.0, SIDE, subtree_rows=200).select("id", F.round("h", 6).alias("h"))
+    return smoothing.smoothing_lengths(particles_emb(spark, d), "leaf", 1.0, SIDE, subtree_rows=200).select("id", F.round("h", 6).alias("h"))
 
 
 def leaf_first_splits(spark, d):
@@ -312,18 +319,19 @@ def render_png(spark, d):
     return _pixels_of(render_images(shown, SIDE, SIDE))
 
 
-def _pixels_of(images: DataFrame) -> DataFrame:
+def _pixels_of(images: DataFrame, channels: int = 4) -> DataFrame:
     """(frame, iy, ix, r, g, b, a) of every pixel, read back from the PNGs."""
+    names = ["frame", "iy", "ix", *"rgba"[:channels]]
 
     def run(batches):
         for batch in batches:
             for frame, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 image = decode_png(data)
                 iy, ix = np.indices(image.shape[:2], np.int32)
-                columns = [np.full(iy.size, frame, np.int32), iy.ravel(), ix.ravel(), *image.reshape(-1, 4).T.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["frame", "iy", "ix", "r", "g", "b", "a"])
+                columns = [np.full(iy.size, frame, np.int32), iy.ravel(), ix.ravel(), *image.reshape(-1, channels).T.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return images.select("frame", "image").mapInArrow(run, "frame int, iy int, ix int, r int, g int, b int, a int")
+    return images.select("frame", "image").mapInArrow(run, ", ".join(f"{n} int" for n in names))
 
 
 def slab_histogram(spark, d):
@@ -362,12 +370,168 @@ def snap_dt(spark, d):
 
 def full_render(spark, d):
     """The whole chain on one image: deposit, levels, floor, filling, magma, opacity, compositing."""
-    from .render import finish
-
     cfg = RenderConfig(lbox=1.0, width=SIDE, height=SIDE, opacity_func="sqrt")
     return _round(finish(_frame0(_li_map(spark, d)), cfg), 4, "rho")
 
 
+def _snapshot(spark: SparkSession, d: str, kind: str, files: int = 3) -> str:
+    """The vectors' particles written as a snapshot of several files in a box of 1 at redshift 0.25; its root."""
+    root = f"{folder(spark)}/snap"
+    write_snapshot(particles_emb(spark, d), root, kind, files, 1.0, 0.25, {"HubbleParam": 0.68, "Omega0": 0.31, "OmegaLambda": 0.69})
+    return root
+
+
+def _in_single(df: DataFrame) -> DataFrame:
+    return _round(df, 6, *AXES, *[f"v{a}" for a in AXES]).select("id", "ptype", *AXES, *[f"v{a}" for a in AXES])
+
+
+def gadget_particles(spark, d):
+    return _in_single(read_particles(spark, _snapshot(spark, d, "gadget")))
+
+
+def hdf5_particles(spark, d):
+    return _in_single(read_particles(spark, _snapshot(spark, d, "hdf5"), True))
+
+
+def hdf5_types_and_columns(spark, d):
+    """Two types of one file, their positions alone."""
+    return _round(read_particles(spark, _snapshot(spark, d, "hdf5", 1), True, ("ptype", *AXES), [1, 4]), 6, *AXES)
+
+
+def _headers(df: DataFrame) -> DataFrame:
+    """By type: particles of the files' own counts and of the stated totals, and what else the headers say."""
+    rows = df.select(F.posexplode(F.arrays_zip("npart", "nall")).alias("ptype", "c"), "time", "redshift", "num_files", "box_size")
+    return rows.groupBy("ptype", "time", "redshift", "num_files", "box_size").agg(F.sum("c.npart").alias("n"), F.max("c.nall").alias("n_total"))
+
+
+def gadget_headers(spark, d):
+    return _headers(read_header(spark, _snapshot(spark, d, "gadget")))
+
+
+def hdf5_headers(spark, d):
+    return _headers(read_header(spark, _snapshot(spark, d, "hdf5"), True))
+
+
+def cosmology_header(spark, d):
+    values = read_cosmology(_snapshot(spark, d, "hdf5", 1) + ".hdf5")
+    return spark.createDataFrame([tuple(round(v, 9) for v in values)], "a double, h0 double, omega_m double, omega_lambda double, h double")
+
+
+def snapshot_render_steps(spark, d):
+    """A snapshot's particles, selected and in all frames of a rotation with zoom, as a render reads them."""
+    cfg = RenderConfig(input=_snapshot(spark, d, "hdf5"), isHDF5=True, units=1, lbox=0.5, mask=0b10011, zoom=3, zoom_factor=0.5, rot_dangle=90.0)
+    df, cfg, _ = load(spark, cfg)
+    return _round(df, 6, *AXES, "lbox").select("ptype", "frame", "lbox", *AXES)
+
+
+def sequence_hermite(spark, d):
+    """All frames of a sequence of four snapshots: the interval is a column of one match."""
+    tables = {"p": snap_p, "a": snap_a, "b": snap_b, "n": snap_n}
+    cfg = RenderConfig(itmax=3, lbox=1.0, mask=-1)
+    df = sequence_particles(spark, cfg, ["p", "a", "b", "n"], "hermite", 1.0, lambda s, root, hdf5, columns: tables[root](s, d))
+    return _round(df, 6, *AXES).select("id", "frame", *AXES)
+
+
+def length_file(spark, d):
+    """Smoothing lengths by number, through a length file."""
+    path = f"{folder(spark)}/lengths"
+    h = [r["h"] for r in spark.range(101).select((F.lit(0.5) / (F.col("id") + 3)).alias("h")).collect()]
+    write_lengths(path, np.array(h), 32, 1.2)
+    read = read_lengths(path, 101, 32, 1.2)
+    return _round(spark.createDataFrame([(i, float(x)) for i, x in enumerate(read)], "i int, h double"), 6, "h")
+
+
+def snapshot_list_file(spark, d):
+    path = f"{folder(spark)}/list.txt"
+    store, name = locate(path)
+    with store.open_output_stream(name) as f:
+        f.write(b"# snapshots in order\nrun/snap_000\n\n  run/snap_001  # the second\n#run/snap_none\nrun/snap_002\n")
+    return snapshot_list(spark, path)
+
+
+def palette_file(spark, d):
+    """Stops of a palette file, in any order and with comments, as the 256 rows of a palette."""
+    path = f"{folder(spark)}/palette.txt"
+    store, name = locate(path)
+    with store.open_output_stream(name) as f:
+        f.write(b"# pos r g b\n1.0 1.0 0.5 0.0\n0.25 0.2 0.4 0.8 # early\n\n0.0 0.0 0.0 0.0\n")
+    stops = colour.load_stops(path)
+    rows = spark.range(256).select(F.col("id").cast("int").alias("i"), (F.col("id") / F.lit(255.0)).alias("t"))
+    return rows.select("i", *[F.round(c, 6).alias(n) for n, c in zip("rgb", colour.stop_colour(F.col("t"), stops), strict=True)])
+
+
+def pnm_pixels(spark, d):
+    """A picture as P6, read back."""
+    cfg = RenderConfig(lbox=1.0, width=SIDE, height=SIDE, colormap="hot")
+    shown = colour.colour_pixels(_frame0(_li_map(spark, d)), cfg, F.lit(4.0), F.lit(6.0))
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                head, size, top, body = data.split(b"\n", 3)
+                w, h = map(int, size.split())
+                if (head, top) != (b"P6", b"255"):
+                    raise ValueError("not a P6 picture")
+                image = np.frombuffer(body, np.uint8).reshape(h, w, 3)
+                iy, ix = np.indices((h, w), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (iy.ravel(), ix.ravel(), *image.reshape(-1, 3).T.astype(np.int32))], ["iy", "ix", "r", "g", "b"])
+
+    return render_images(shown, SIDE, SIDE, kind="pnm", channels="rgb").select("image").mapInArrow(run, "iy int, ix int, r int, g int, b int")
+
+
+def gray_picture(spark, d):
+    """The plain gray picture between two densities, as an RGB PNG, read back."""
+    gray = gray_pixels(_frame0(_li_map(spark, d)), 0.0, 5e5)
+    return _pixels_of(render_images(gray, SIDE, SIDE, channels="rgb"), 3)
+
+
+def pixel_lengths(spark, d):
+    df = deposit.pixel_lengths(_with_h(spark, d), SIDE, 1.0, max_px=4.0, skip_px=7.5)
+    return _round(df, 6, "h_px").select("id", "h_px")
+
+
+def kernel_lookup(spark, d):
+    """A kernel table looked up between its rows, beyond its end as well."""
+    rows = [1.0, 0.5, 0.25, 0.125, 0.0]
+    t = spark.range(121).select(F.col("id").cast("int").alias("i"), (F.col("id") / F.lit(50.0)).alias("u"))
+    return t.select("i", F.round(kernels.lookup(rows, 2.0, F.col("u")), 8).alias("value"))
+
+
+def box_distances(spark, d):
+    sql.register_functions(spark)
+    particles_emb(spark, d).createOrReplaceTempView("skymill_box_distances")
+    return spark.sql("SELECT id, round(box_distance2(x, y, z, 0.4D, 0.45D, 0.5D, 0.6D, 0.55D, 0.5D), 8) AS d2 FROM skymill_box_distances")
+
+
+def sorted_ids(spark, d):
+    """Each particle's place in the order of ids, by a range shuffle."""
+    one = particles_emb(spark, d).select("id", F.col("id").alias("key"), F.lit(0).alias("node"))
+    return tree._ranked(one, "node", "key").select("id", F.col("rn").alias("place"))
+
+
+#: Settings by flags in their order, as text.
+SETTINGS = {
+    "defaults": [],
+    "types add up": ["-gas", "-dark_matter", "-ptype", "5"],
+    "a later flag replaces the default": ["-dark_matter", "-gas"],
+    "preset": ["-scene", "filament", "-opacity_gamma", "3", "-linear_scale"],
+    "names": ["-colormap", "Grey", "-opacity_func", "none", "-zoom_factor", "1.5", "-lock_levels"],
+    "box units": ["-units", "1", "-lbox", "0.25", "-xc", "0.5", "-rot_axis", "0,3,4"],
+}
+SHOWN_SETTINGS = ("mask", "colormap", "opacity_func", "opacity_gamma", "auto_pct_lo", "auto_pct_hi", "log_scale", "lock_levels", "zoom_factor", "lbox", "xc", "rot_axis", "num_ngb", "sph_eta", "width", "mode")
+
+
+def settings(spark, d):
+    """What flags make of the settings, in a box of 50."""
+    rows = []
+    for name, flags in SETTINGS.items():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            cfg = parse_arguments(flags).in_box_units(50.0)
+        rows += [(name, key, str(getattr(cfg, key))) for key in SHOWN_SETTINGS]
+    return spark.createDataFrame(rows, "name string, key string, value string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -375,6 +539,7 @@ QUERIES = {
         catmull_three_snap, catmull_four_snap, rotate_frames, zoom_frames, cic_map_compat, cic_3d_grid, grid_box_mean, grid_smoothing_length, knn_smoothing_length, leaf_smoothing_length, leaf_first_splits, radius_neighbours, kde_density,
         nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, kernel_table_3d, kernel_table_proj, kernel_cumulative, h_band_histogram, sph_density_map, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
         inpaint_full, normalise_log, normalise_linear, opacity_transfer, palette_generated, palette_lookup_magma, custom_palette, composite_rgba, render_png, slab_histogram, slab_splits, slab_assign, snapshot_roles, global_frame_numbers,
-        global_levels, snap_dt, full_render,
+        global_levels, snap_dt, full_render, gadget_particles, hdf5_particles, hdf5_types_and_columns, gadget_headers, hdf5_headers, cosmology_header, snapshot_render_steps, sequence_hermite, length_file, snapshot_list_file, palette_file,
+        pnm_pixels, gray_picture, pixel_lengths, kernel_lookup, box_distances, sorted_ids, settings,
     )
 }

@@ -186,15 +186,19 @@ class _Particles(ParticleReader):
         return out
 
 
-def write_snapshot(path: str, counts: list[int], pos: np.ndarray, vel: np.ndarray | None = None, ids: np.ndarray | None = None, box: float = 1.0, redshift: float = 0.0, fmt: int = 1, num_files: int = 1, nall: list[int] | None = None) -> None:
-    """Write one file; pos, vel and ids hold the rows of all types in order."""
+def snapshot_bytes(counts: list[int], pos: np.ndarray, vel: np.ndarray | None = None, ids: np.ndarray | None = None, box: float = 1.0, redshift: float = 0.0, fmt: int = 1, num_files: int = 1, nall: list[int] | None = None) -> bytes:
+    """One file; pos, vel and ids hold the rows of all types in order."""
     counts = [*counts, 0, 0, 0, 0, 0, 0][:TYPES]
     nall = [*(nall or counts), 0, 0, 0, 0, 0, 0][:TYPES]
     head = struct.pack("<6i6d2d2i6I2i4d", *counts, *([0.0] * 6), 1 / (1 + redshift), redshift, 0, 0, *nall, 0, num_files, box, 0.3, 0.7, 0.7).ljust(HEADER_BYTES, b"\0")
+    out = []
+    for name, body in ((b"HEAD", head), (b"POS ", pos.astype("<f4").tobytes()), (b"VEL ", None if vel is None else vel.astype("<f4").tobytes()), (b"ID  ", None if ids is None else ids.astype("<u8").tobytes())):
+        if body is not None:
+            out += [struct.pack("<i4sii", 8, name, len(body) + 8, 8) if fmt == 2 else b"", struct.pack("<I", len(body)), body, struct.pack("<I", len(body))]
+    return b"".join(out)
+
+
+def write_snapshot(path: str, *rows, **settings) -> None:
+    """Write one file of snapshot_bytes."""
     with open(path, "wb") as f:
-        for name, body in ((b"HEAD", head), (b"POS ", pos.astype("<f4").tobytes()), (b"VEL ", None if vel is None else vel.astype("<f4").tobytes()), (b"ID  ", None if ids is None else ids.astype("<u8").tobytes())):
-            if body is None:
-                continue
-            if fmt == 2:
-                f.write(struct.pack("<i4sii", 8, name, len(body) + 8, 8))
-            f.write(struct.pack("<I", len(body)) + body + struct.pack("<I", len(body)))
+        f.write(snapshot_bytes(*rows, **settings))

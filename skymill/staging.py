@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,16 @@ def staged(df: DataFrame) -> DataFrame:
     """The rows, written to the session's checkpoint folder: a lost executor costs a re-read."""
     prepare(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, as a full URI; deleted when the application ends."""
+    prepare(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/skymill-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = fs.makeQualified(path)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()

@@ -48,12 +48,17 @@ def rows(values):
     return sorted(out)
 
 
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, entry.SMOKE)
     names = sorted(df.columns)
     sql = duck.sql(oracles.ORACLE_SQL[name])
     assert names == sorted(sql.columns)
+    kinds = dict(zip(sql.columns, map(str, sql.types), strict=True))
+    assert {n: KINDS[t] for n, t in df.dtypes} == kinds
     assert rows(df.select(*names).collect()) == rows(sql.select(*names).fetchall())
 
 
