@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,11 @@ def spline_3d(u: Column) -> Column:
     return 8 / math.pi * F.when(u < 0.5, inner).when(u < 1, outer).otherwise(0.0)
 
 
+def spline_3d_array(u: np.ndarray) -> np.ndarray:
+    """spline_3d of an array."""
+    return 8 / math.pi * np.where(u < 0.5, 6 * u * u * (u - 1) + 1, np.where(u < 1, 2 * (1 - u) ** 3, 0.0))
+
+
 def _profile(u: Column) -> Column:
     """Cubic spline with support u < 2, without its factor 1/pi."""
     return F.when(u < 1, 1 - 1.5 * u * u + 0.75 * u * u * u).when(u < 2, 0.25 * (2 - u) * (2 - u) * (2 - u)).otherwise(0.0)

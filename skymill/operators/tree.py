@@ -8,7 +8,7 @@ their boxes, level by level from the root, and only points of matched leaves are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ SUBTREE_ROWS = 200_000
 PARTS = 16
 #: Particles in a leaf of the neighbour search at most, or four times the neighbours asked for if that is more.
 LEAF_ROWS = 256
+#: And of comparisons within a radius, where the points of two leaves make a row (of some 4 kB).
+PAIR_ROWS = 64
 #: Levels that a step of the search descends, and nodes of a level up to which they are broadcast (some 5 MB).
 STRIDE, BROADCAST_NODES = 3, 1 << 16
 #: Leaves that one group compares with a leaf, and points compared at once.
@@ -94,18 +96,18 @@ def _by_longest_axis(xyz: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.n
     return rows[np.lexsort((ids[rows], p[:, axis]))]
 
 
-def _rooted(df: DataFrame, group: str | None) -> tuple[DataFrame, int, int, int]:
-    """(id, x, y, z, grp, node) with a root for each group, and the levels above the roots, rows of the largest and the smallest group.
+def _rooted(df: DataFrame, group: str | None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int, int, int]:
+    """(id, x, y, z, extra, grp, node) with a root for each group, and the levels above the roots, rows of the largest and the smallest group.
 
     group: a column of numbers from 0; each of its values has a tree of its own, all of the same depth. Without it: one tree.
     """
     if group is None:
-        out = df.select("id", *AXES, F.lit(0).alias("grp"), F.lit(1).cast("long").alias("node"))
+        out = df.select("id", *AXES, *extra, F.lit(0).alias("grp"), F.lit(1).cast("long").alias("node"))
         n = out.count()
         return out, 0, n, n
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max(group), F.max("n"), F.min("n")).first()
     above = int(sizes[0] or 0).bit_length()
-    return df.select("id", *AXES, F.col(group).cast("int").alias("grp"), (F.col(group) + (1 << above)).cast("long").alias("node")), above, sizes[1] or 0, sizes[2] or 0
+    return df.select("id", *AXES, *extra, F.col(group).cast("int").alias("grp"), (F.col(group) + (1 << above)).cast("long").alias("node")), above, sizes[1] or 0, sizes[2] or 0
 
 
 def leaves(df: DataFrame, leaf_size: int = 32, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> DataFrame:
@@ -123,15 +125,17 @@ def leaves(df: DataFrame, leaf_size: int = 32, subtree_rows: int = SUBTREE_ROWS,
     return out.groupBy("node").applyInArrow(run, "id long, x double, y double, z double, grp int, node long, leaf long")
 
 
-PACKED = "leaf long, grp int, n int, own double, ids array<long>, x array<double>, y array<double>, z array<double>, " + ", ".join(f"l{a} double, h{a} double" for a in AXES)
+PACKED = "leaf long, grp int, n int, own double, ids array<long>, x array<double>, y array<double>, z array<double>, w array<double>, " + ", ".join(f"l{a} double, h{a} double" for a in AXES)
 
 
 def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> tuple[DataFrame, int, int, int]:
     """A row for each leaf, staged, the depth of all leaves below their roots, the levels above those, and the particles of the smallest tree.
 
-    A leaf's row holds its particles, its box and own, the greatest distance of a particle to its k-th nearest in the leaf.
+    A leaf's row holds its particles, their weights (column w, else 1), its box and own, the greatest distance of a particle
+    to its k-th nearest in the leaf; null for k = 0.
     """
-    out, above, most, least = _rooted(df.withColumn("id", F.col("id").cast("long")), group)
+    named = df.withColumns({"id": F.col("id").cast("long"), "w": (F.col("w") if "w" in df.columns else F.lit(1.0)).cast("double")})
+    out, above, most, least = _rooted(named, group, ("w",))
     depth = 0
     while most > max(subtree_rows, leaf_rows):
         out = staged(split(out, parts=PARTS))
@@ -139,7 +143,7 @@ def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUB
     inner = max(0, math.ceil(math.log2(max(1, most) / leaf_rows)))
 
     def run(table: pa.Table) -> pa.Table:
-        xyz, ids = np.stack([table[a].to_numpy() for a in AXES], 1), table["id"].to_numpy()
+        xyz, ids, weight = np.stack([table[a].to_numpy() for a in AXES], 1), table["id"].to_numpy(), table["w"].to_numpy()
         nodes = [np.arange(len(ids))]
         for _ in range(inner):
             nodes = [part for rows in nodes for part in np.split(_by_longest_axis(xyz, ids, rows) if len(rows) else rows, [len(rows) // 2])]
@@ -148,11 +152,13 @@ def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUB
         for i, own in enumerate(nodes):
             if len(own):
                 p = xyz[own]
-                d2 = sum((p[:, a, None] - p[None, :, a]) ** 2 for a in range(3))
-                far = math.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1].max()) if len(own) >= k else None
-                rows.append((first + i, grp, len(own), far, ids[own], *p.T, *[x for a in range(3) for x in (p[:, a].min(), p[:, a].max())]))
+                far = None
+                if 0 < k <= len(own):
+                    d2 = sum((p[:, a, None] - p[None, :, a]) ** 2 for a in range(3))
+                    far = math.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1].max())
+                rows.append((first + i, grp, len(own), far, ids[own], *p.T, weight[own], *[x for a in range(3) for x in (p[:, a].min(), p[:, a].max())]))
         names = [f.split()[0] for f in PACKED.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3, *[pa.float64()] * 6]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 4, *[pa.float64()] * 6]
         return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
     return staged(out.groupBy("node").applyInArrow(run, PACKED)), depth + inner, above, least
@@ -167,12 +173,12 @@ def _box_distance(farthest: bool = False) -> Column:
     return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
 
 
-def leaf_pairs(queries: DataFrame, points: DataFrame, k: int, depth: int, above: int) -> DataFrame:
+def leaf_pairs(queries: DataFrame, points: DataFrame, k: int, depth: int, above: int, radius: float | None = None) -> DataFrame:
     """(leaf, other, gap, reach): the leaves of points that may hold one of the k nearest of a point in a leaf of queries.
 
     queries: (leaf, grp, own, box); a leaf is matched with leaves of its group. A leaf's reach is own, or the least distance
     within which all of a node of k points or more must lie, whichever is less; nodes that begin at or beyond it are left
-    out. The leaf itself stays, or without own the node that gave the reach.
+    out. The leaf itself stays, or without own the node that gave the reach. radius: the reach of all leaves, itself included.
     """
     box = [f"{s}{a}" for a in AXES for s in "lh"]
     levels = sorted({max(0, depth - STRIDE * i) for i in range(depth + 1)})
@@ -185,6 +191,11 @@ def leaf_pairs(queries: DataFrame, points: DataFrame, k: int, depth: int, above:
         children = F.transform(F.sequence(F.lit(0), F.lit(n_children - 1)), lambda i: F.col("other") * n_children + i)
         walk = walk.select("leaf", "reach", "same", *box, F.explode(children).alias("other"))
         walk = walk.join(F.broadcast(boxes) if 1 << (level + above) <= BROADCAST_NODES else boxes, "other")
+        if radius is not None:
+            walk = walk.withColumn("gap", _box_distance()).filter(F.col("gap") <= radius * (1 + 1e-12))
+            found = walk.select("leaf", "other", "gap", F.lit(radius).alias("reach"))
+            walk = walk.select("leaf", "reach", "same", *box, "other")
+            continue
         full = F.when(F.col("on") >= k, F.struct(_box_distance(True).alias("far"), F.col("other")))
         walk = walk.withColumns({"gap": _box_distance(), "first": F.min(full).over(Window.partitionBy("leaf"))})
         walk = walk.withColumn("reach", F.least("reach", F.col("first.far")))  # a null counts for nothing
@@ -290,3 +301,30 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_ro
     # Points of leaves that were compared in several groups: the k nearest of all of them.
     some = found.filter(F.size("all") > 0).groupBy("id", "grp").agg(F.slice(F.array_sort(F.flatten(F.collect_list("all"))), 1, k).alias("all"))
     return alone.unionByName(some.select("id", "grp", F.element_at("all", -1).alias("r2"), F.size("all").alias("n"))).select("id", *named, "r2", "n")
+
+
+def compare_within(queries: DataFrame, points: DataFrame, radius: float, block: Callable[..., dict[str, np.ndarray]], schema: str, leaf_rows: int = PAIR_ROWS, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
+    """What block makes of the points within a radius of each query, leaf by leaf; no key is hot however the points cluster.
+
+    block(ids, p, other ids, other p, other weights, d2): of two leaves, d2 being all squared distances; columns of schema.
+    """
+    held, depth, above, least = packed_leaves(points, 0, leaf_rows, subtree_rows)
+    asked = held if queries is points else packed_leaves(queries, 0, leaf_rows, subtree_rows)[0]
+    names = [c.split()[0] for c in schema.split(", ")]
+    if not least:
+        return queries.sparkSession.createDataFrame([], schema)
+    pairs = leaf_pairs(asked, held, 0, depth, above, radius).select("leaf", "other")
+    own = asked.select("leaf", *[F.col(c).alias(f"own_{c}") for c in ("ids", *AXES)])
+    other = held.select(F.col("leaf").alias("other"), "ids", *AXES, "w")
+    # A row for each pair of leaves, with the points of both.
+    rows = pairs.join(own, "leaf").join(other, "other").select(*[f"own_{c}" for c in ("ids", *AXES)], "ids", *AXES, "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, ax, ay, az, b, bx, by, bz, w = (c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns)
+                p, q = np.stack([ax, ay, az], 1), np.stack([bx, by, bz], 1)
+                made = block(a, p, b, q, w, sum((p[:, k, None] - q[None, :, k]) ** 2 for k in range(3)))
+                yield pa.RecordBatch.from_arrays([pa.array(made[n]) for n in names], names)
+
+    return rows.mapInArrow(run, schema)

@@ -255,6 +255,23 @@ def test_distant_queries_and_few_points(spark):
     assert neighbours.nearest(points(spark, p), 2, none).collect() == []
 
 
+def test_comparisons_within_a_radius(spark):
+    """Separate queries, clusters and distant points, small leaves and several rounds; the edge of the radius belongs to it."""
+    rng = np.random.default_rng(15)
+    p = np.concatenate([np.full((40, 3), 0.5), 0.2 + 0.01 * rng.normal(size=(150, 3)), rng.random((200, 3)), [[0.0, 0.0, 0.0], [0.25, 0.0, 0.0]]])
+    q = np.concatenate([rng.random((60, 3)), [[9.0, 9, 9], [0.0, 0.0, 0.0], [0.5, 0.5, 0.5]]])
+    d2 = ((q[:, None] - p[None]) ** 2).sum(2)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(d2 <= 0.0625)), strict=True))
+    got = neighbours.radius_join(points(spark, q), points(spark, p), 0.25).collect()
+    assert {(r.id, r.other) for r in got} == want and len(got) == len(want) and (61, 391) in want
+    assert all(math.isclose(r.r2, d2[r.id, r.other], abs_tol=1e-12) for r in got)
+    assert neighbours.radius_join(points(spark, q), points(spark, p).filter("id < 0"), 0.25).collect() == []
+    near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) / 0.2
+    w = 8 / math.pi * np.where(near < 0.5, 6 * near * near * (near - 1) + 1, np.where(near < 1, 2 * (1 - near) ** 3, 0)) / 0.2**3
+    density = {r.id: r.density for r in neighbours.kernel_density(points(spark, p), 0.2).collect()}
+    assert len(density) == len(p) and all(math.isclose(density[i], v, rel_tol=1e-9) for i, v in enumerate(w.sum(1)))
+
+
 def test_density_weighs_masses(spark):
     p, df = cloud(spark, 90, 12)
     r = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) / 0.3
