@@ -29,8 +29,8 @@ def load(spark: SparkSession, cfg: RenderConfig, read=read_particles) -> tuple[D
 
 
 def wanted_columns(cfg: RenderConfig) -> tuple[str, ...]:
-    """Velocities only where they move particles, ids only where particles are matched or get lengths."""
-    ids = ("id",) if cfg.mode != "single" or cfg.kernel_smoothing else ()
+    """Velocities only where they move particles, ids only where particles are matched."""
+    ids = ("id",) if cfg.mode != "single" else ()
     return (*ids, "ptype", *AXES, *([f"v{a}" for a in AXES] if cfg.mode == "single" and cfg.interp_frac else []))
 
 
@@ -54,6 +54,9 @@ def particles_in_frames(spark: SparkSession, cfg: RenderConfig, box: float, open
     if cfg.mode == "single":
         df = interpolate.extrapolate(open_snapshot("input"), cfg.interp_frac, cfg.snap_dt)
         df = select.select_view(df, cfg.mask, centre, cfg.lbox, box)
+        if cfg.kernel_smoothing:
+            # Lengths are joined back by these numbers, as snapshots may have no ids; written once, so that each keeps its own.
+            df = staged(df.withColumn("id", F.monotonically_increasing_id()))
         df = frames.with_frames(df, table)
     else:
         a = open_snapshot("snap_a").filter(select.type_filter(cfg.mask))

@@ -16,12 +16,13 @@ def _own_folder() -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Name a checkpoint folder where the session has none; on a cluster it has to be shared, so there the setting must be made."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+    """Name a checkpoint folder where none is named; on a cluster it has to be shared, so there the setting must be made."""
+    if spark.sparkContext.getCheckpointDir():
         return
-    if not re.fullmatch(r"local(\[[0-9*]+\])?", spark.sparkContext.master):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(_own_folder())
+    spark.sparkContext.setCheckpointDir(base or _own_folder())
 
 
 def staged(df: DataFrame) -> DataFrame:

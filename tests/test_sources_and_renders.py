@@ -166,6 +166,18 @@ def test_hdf5_snapshots_are_rendered(spark, h5_snap, more):
     assert a == b and len(np.unique(images.decode_png(a))) > 5
 
 
+@pytest.mark.parametrize("method", ["grid", "leaf", "knn"])
+def test_snapshots_without_ids_are_smoothed(spark, tmp_path, method):
+    """The picture is that of the same particles with ids."""
+    rng = np.random.default_rng(7)
+    pos = rng.random((300, 3))
+    gadget.write_snapshot(str(tmp_path / "none"), [300], pos)
+    gadget.write_snapshot(str(tmp_path / "some"), [300], pos, None, np.arange(300, dtype=np.uint64))
+    cfg = base(kernel_smoothing=True, fast_smooth=method == "grid", h_method=method if method != "grid" else "leaf", num_ngb=8)
+    a, b = (images.decode_png(bytes(render.render(spark, replace(cfg, input=str(tmp_path / n))).first().image)) for n in ("none", "some"))
+    assert (a == b).all() and len(np.unique(a)) > 5
+
+
 def test_sources_leave_the_session_alone(spark, h5_snap):
     root, _ = h5_snap
     name = "spark.sql.python.filterPushdown.enabled"
