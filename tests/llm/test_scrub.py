@@ -211,6 +211,18 @@ def test_added_spans_touch_no_others():
         assert pii.find_spans(text)[1] == slow_added(text), text
 
 
+def test_spelled_digits_are_never_missed_by_the_quick_test():
+    rng = random.Random(13)
+    parts = [*pii.DIGIT_WORDS, "5", "42", "double", "triple", "plus", "+", "x", "Fünf", "SIX", "ſix", "ones", "5x"]
+    seen = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "-", ", ", "    ", ". "]) for _ in range(rng.randint(2, 12)))
+        if pii._spelled_edits(text):
+            seen += 1
+            assert pii._SPELLED_HINT.search(text.casefold()), text
+    assert seen > 100
+
+
 @pytest.mark.parametrize("text", ["look at the dot on the map", "one two three go", "nothing here (at all)", "é ü ñ – dash", "meet me at example.com", "version 2.0 at home", "10 O clock", "I am 1 of 3", "see you @ home. Then"])
 def test_clean_texts_stay_clean(text):
     base, added = pii.find_spans(text)
