@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
+from itertools import product
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,24 +55,98 @@ def sample_grid(df: DataFrame, grid: DataFrame, n: int, low: tuple[Column | floa
     return df.join(got, ["id", *keys])
 
 
+#: Cells of a grid that a task may hold as an array, and that are broadcast (32 MB); larger grids are tables.
+DENSE_CELLS = 1 << 22
+
+
+def _corners(xyz: np.ndarray, n: int, low: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of a cell's eight corners: which positions have it inside the grid, its cell number, and the weight there."""
+    p = (xyz - low) * n / span
+    base = np.floor(p - 0.5).astype(np.int64)
+    t = p - (base + 0.5)
+    for corner in product((0, 1), repeat=3):
+        cell = base + corner
+        inside = ((cell >= 0) & (cell < n)).all(1)
+        weight = np.where(corner, t, 1 - t).prod(1)
+        yield inside, ((cell[:, 2] * n + cell[:, 1]) * n + cell[:, 0])[inside], weight[inside]
+
+
+def dense_grid(df: DataFrame, n: int, low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Unit masses on an n*n*n grid, z first: summed in each task, then by cell; at most n**3 rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros(n**3)
+        for batch in batches:
+            xyz = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            for _, cell, weight in _corners(xyz, n, low, span):
+                np.add.at(grid, cell, weight)
+        cells = np.flatnonzero(grid)
+        for at in range(0, len(cells), 1 << 18):
+            part = cells[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(grid[part])], ["cell", "w"])
+
+    got = df.select(*AXES).mapInArrow(run, "cell long, w double").groupBy("cell").agg(F.sum("w").alias("w")).toArrow()
+    grid = np.zeros(n**3)
+    grid[got["cell"].to_numpy()] = got["w"].to_numpy()
+    return grid.reshape(n, n, n)
+
+
+def dense_mean(grid: np.ndarray) -> np.ndarray:
+    """Mean over the 3*3*3 cells around each cell, of those inside the grid."""
+    total, count = grid, np.ones(grid.shape)
+    for axis in range(3):
+        total, count = (sum(np.roll(np.pad(x, [(1, 1) if a == axis else (0, 0) for a in range(3)]), d, axis) for d in (-1, 0, 1)).take(range(1, grid.shape[axis] + 1), axis) for x in (total, count))
+    return total / count
+
+
+def _bounds(df: DataFrame, *keys: str) -> DataFrame:
+    ends = [x for a in AXES for x in ((F.min(a) - PAD).alias(f"__l{a}"), (F.max(a) - F.min(a) + 2 * PAD).alias(f"__s{a}"))]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *ends)
+
+
 def grid_lengths(df: DataFrame, lbox: float, n: int = 128, num_ngb: int = 32, eta: float = 1.2, min_frac: float = 0.1, max_voxels: float = 8.0, group: str | None = None) -> DataFrame:
     """df (with id) and h from a smoothed density grid; null where the density is below min_frac of the mean.
 
-    h is at most max_voxels * lbox / 768, whatever the image's resolution. group: a column with a grid for each of its values.
+    h is at most max_voxels * lbox / 768, whatever the image's resolution. group: a column with a grid for each of its
+    values. One grid of up to DENSE_CELLS is an array that each task reads; else grids are tables that are joined.
     """
+    most = max_voxels * lbox / 768
+    if group is None and n**3 <= DENSE_CELLS:
+        return _dense_lengths(df, n, num_ngb, eta, min_frac, most)
     keys = () if group is None else (group,)
     low, span = [f"__l{a}" for a in AXES], [f"__s{a}" for a in AXES]
-    ends = [x for a in AXES for x in ((F.min(a) - PAD).alias(f"__l{a}"), (F.max(a) - F.min(a) + 2 * PAD).alias(f"__s{a}"))]
-    bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *ends)
     # One row, or one for each value of the group.
-    placed = df.join(F.broadcast(bounds), list(keys)) if keys else df.crossJoin(F.broadcast(bounds))
+    bounds = F.broadcast(_bounds(df, *keys))
+    placed = df.join(bounds, list(keys)) if keys else df.crossJoin(bounds)
     lows, spans = tuple(map(F.col, low)), tuple(map(F.col, span))
     grid = box_mean(cic_grid(placed, n, lows, spans, keys), n, keys)
     cell = spans[0] * spans[1] * spans[2] / n**3
     factor = eta * F.cbrt(3 * num_ngb * cell / (4 * math.pi))
-    h = F.least(factor / F.cbrt("rho"), F.lit(max_voxels * lbox / 768))
     found = sample_grid(placed, grid, n, lows, spans, keys)
-    return found.withColumn("h", F.when(F.col("rho") >= min_frac * F.col("__n") / n**3, h)).drop("rho", "__n", *low, *span)
+    h = F.when(F.col("rho") >= min_frac * F.col("__n") / n**3, F.least(factor / F.cbrt("rho"), F.lit(most)))
+    return found.withColumn("h", h).drop("rho", "__n", *low, *span)
+
+
+def _dense_lengths(df: DataFrame, n: int, num_ngb: int, eta: float, min_frac: float, most: float) -> DataFrame:
+    b = _bounds(df).first()
+    if not b["__n"]:
+        return df.withColumn("h", F.lit(None).cast("double"))
+    low, span = (np.array([b[f"__{k}{a}"] for a in AXES]) for k in "ls")
+    held = df.sparkSession.sparkContext.broadcast(dense_mean(dense_grid(df, n, low, span)).ravel())
+    factor, least = eta * (3 * num_ngb * span.prod() / n**3 / (4 * math.pi)) ** (1 / 3), min_frac * b["__n"] / n**3
+
+    @F.pandas_udf("double")
+    def length(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        xyz = np.stack([x, y, z], 1)
+        rho = np.zeros(len(xyz))
+        for inside, cell, weight in _corners(xyz, n, low, span):
+            rho[inside] += weight * held.value[cell]
+        h = np.minimum(factor / np.cbrt(np.maximum(rho, 1e-300)), most)
+        return pd.Series(np.where(rho >= least, h, -1.0))
+
+    # Evaluated once for each particle, as a column of its own.
+    found = df.withColumn("h", length(*AXES))
+    return found.withColumn("h", F.when(F.col("h") >= 0, F.col("h")))
 
 
 def knn_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, max_voxels: float = 8.0, group: str | None = None) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -58,6 +59,10 @@ def encode_png(image: np.ndarray) -> bytes:
     return _assemble_png([_deflate(image[y : y + rows]) for y in range(0, h, rows)], w, h, channels)
 
 
+def _joined(a: Column, b: Column) -> Column:
+    return a.bitwiseOR(b)
+
+
 def strip_rows(width: int, channels: int) -> int:
     return max(1, STRIP_BYTES // (width * channels))
 
@@ -114,9 +119,9 @@ def render_images(pixels: DataFrame, width: int, height: int, empty: tuple[int,
     def draw(table: pa.Table) -> pa.Table:
         frame, strip = table["frame"][0].as_py(), table["strip"][0].as_py()
         image = blank(strip).copy()
-        iy, ix = table["iy"].to_numpy() - strip * rows, table["ix"].to_numpy()
-        for k, c in enumerate(channels):
-            image[iy, ix, k] = table[c].to_numpy()
+        place, colour = table["place"].to_numpy(), table["colour"].to_numpy()
+        for k in range(n):
+            image.reshape(-1, n)[place, k] = colour >> 8 * k & 255
         body, adler, size = encode(image)
         return pa.table({"frame": pa.array([frame], pa.int32()), "strip": pa.array([strip], pa.int32()), "body": pa.array([body], pa.binary()), "adler": pa.array([adler], pa.int64()), "size": pa.array([size], pa.int64())})
 
@@ -132,8 +137,10 @@ def render_images(pixels: DataFrame, width: int, height: int, empty: tuple[int,
         return pa.table({"frame": pa.array([table["frame"][0].as_py()], pa.int32()), "image": pa.array([image], pa.binary())})
 
     inside = F.col("iy").between(0, height - 1) & F.col("ix").between(0, width - 1)
-    shown = pixels.select("frame", "iy", "ix", *channels).filter(inside)
-    drawn = shown.withColumn("strip", F.floor(F.col("iy") / rows).cast("int")).groupBy("frame", "strip").applyInArrow(draw, "frame int, strip int, body binary, adler long, size long")
+    # A pixel travels as its place in the strip and its channels in one number.
+    strip, colour = F.floor(F.col("iy") / rows).cast("int"), reduce(_joined, [F.shiftleft(F.col(c).cast("int"), 8 * k) for k, c in enumerate(channels)])
+    shown = pixels.filter(inside).select("frame", strip.alias("strip"), ((F.col("iy") - strip * rows) * width + F.col("ix")).cast("int").alias("place"), colour.alias("colour"))
+    drawn = shown.groupBy("frame", "strip").applyInArrow(draw, "frame int, strip int, body binary, adler long, size long")
     return drawn.groupBy("frame").applyInArrow(assemble, "frame int, image binary")
 
 

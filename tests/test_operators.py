@@ -349,6 +349,19 @@ def test_levels_by_bins_equal_sorted_ones(spark, monkeypatch, lo, hi):
     assert levels.auto_levels(df.filter("frame > 90"), True, lo, hi).collect() == []
 
 
+def test_grids_as_arrays_equal_tables(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    df = points(spark, np.concatenate([rng.random((400, 3)), 0.3 + 0.01 * rng.normal(size=(300, 3)), [[0.0, 0, 0], [1, 1, 1]]])).repartition(3)
+    for n in (1, 2, 9):
+        dense = {r.id: r.h for r in smoothing.grid_lengths(df, 60.0, n).collect()}
+        monkeypatch.setattr(smoothing, "DENSE_CELLS", 0)
+        table = {r.id: r.h for r in smoothing.grid_lengths(df, 60.0, n).collect()}
+        monkeypatch.undo()
+        assert dense.keys() == table.keys() and len(dense) == 702
+        assert all((dense[i] is None) == (h is None) and (h is None or math.isclose(dense[i], h, rel_tol=1e-9)) for i, h in table.items())
+    assert any(h is None for h in dense.values())
+
+
 @pytest.mark.parametrize("method", ["grid", "leaf", "knn"])
 def test_lengths_of_groups_equal_those_alone(spark, method):
     p, df = cloud(spark, 300, 9)
