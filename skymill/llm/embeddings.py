@@ -3,10 +3,11 @@
 Equal vectors are collapsed. Every shard's task builds a graph in numpy, by batches: a batch searches the graph as it
 stands, its members are joined to diverse near nodes, and those nodes' links are pruned alike. Then each pair of shards
 is searched from both sides, and a link that either side finds counts for both its ends. A beam that ends full of linked
-vectors is widened for that query. Before a graph is relied on, queries are compared with its whole shard until enough
-of them were seen with a link to another vector, and the beam is widened until it finds those links; where links are too
-few for that, all queries are compared with the whole shard. What is found is verified by cosine in double precision,
-links are counted, and a spanning forest of them is united to components.
+vectors is widened for that query. Before a graph is relied on, a block of queries and vectors that are planted near its
+nodes, so that there are links to find however rare real ones are, are compared with its whole shard, and the beam is
+widened until it finds their links. Nodes that a search from their own place does not reach are compared with every query.
+What is found is verified by cosine in double precision, links are counted, and a spanning forest of them is united to
+components.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, not even with their equals; nor do
 vectors of different lengths. A null vec_id never names a component. Equal rows are copies of one vector and link. An
@@ -40,8 +41,10 @@ MIN_SHARDS = 6
 BLOCK = 256
 #: Links of a node above the lowest layer (twice as many there), and beams while building and at first for queries.
 DEGREE, BUILD_BEAM, BEAM = 12, 40, 24
-#: Audited queries with a link to another vector for each pair of shards, and the recall they must reach: of their links, and on average over the queries.
+#: Planted queries of an audit, and the recall that it must reach: of the links, and on average over the queries.
 AUDITS, MIN_RECALL = 256, 0.98
+#: Shards of up to so many vectors are compared whole: a search would visit as many.
+WHOLE_ROWS = 1024
 
 
 class SmallWorld:
@@ -49,6 +52,7 @@ class SmallWorld:
 
     def __init__(self, unit: np.ndarray, layers: list[np.ndarray], entry: int):
         self.unit, self.layers, self.entry = unit, layers, entry
+        self._lost: np.ndarray | None = None
         #: Links that audits of searches in this graph knew, and how many of them the beam found that was then used.
         self.audited = np.zeros(2, np.int64)
 
@@ -223,27 +227,56 @@ class SmallWorld:
         self.audited += last
         return beam
 
+    def lost(self) -> np.ndarray:
+        """Nodes that a search from their own place does not reach; they are compared with every query. Found once."""
+        if self._lost is None:
+            missed = []
+            for at in range(0, len(self.unit), BLOCK):
+                own = np.arange(at, min(at + BLOCK, len(self.unit)))
+                missed.append(own[~(self.query(self.unit[own], BEAM)[0] == own[:, None]).any(1)])
+            self._lost = np.concatenate([np.zeros(0, np.int64), *missed])
+        return self._lost
+
+    def planted(self, least: float, n: int = AUDITS) -> np.ndarray:
+        """Unit vectors that are linked to a node: at a cosine between least and half the way from it to 1."""
+        rng = np.random.default_rng(11)
+        u = self.unit[rng.choice(len(self.unit), min(n, len(self.unit)), replace=False)]
+        v = rng.standard_normal(u.shape).astype(np.float32)
+        v -= (v * u).sum(1, keepdims=True) * u
+        c = rng.uniform(least + 1e-3, (1 + least) / 2, (len(u), 1)).astype(np.float32)
+        return c * u + np.sqrt(1 - c * c) * v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+
     def within(self, q: np.ndarray, least: float, same: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
         """For every block of queries its first query, (query in the block, node) of cosine >= least, and whether none can be missing.
 
-        same: the queries are the nodes; then a query's own node is no link and proves nothing.
+        same: the queries are the nodes; then a query's own node is no link and proves nothing. The beam is audited on
+        planted queries and on a block of real ones, all compared with every node.
         """
         starts = (np.random.default_rng(7).permutation(-(-len(q) // BLOCK)) * BLOCK).tolist()
-        queries, truths = [], []
-        while starts and sum(map(len, queries)) < AUDITS:
-            at = starts.pop()
-            r, c = self.whole(q[at : at + BLOCK], least)
-            yield at, r, c, True
-            n = np.bincount(r[c != r + at] if same else r, minlength=BLOCK)
-            queries.append(at + np.flatnonzero(n))
-            truths.append(n[n > 0])
+        if len(self.unit) <= WHOLE_ROWS:
+            for at in starts:
+                yield at, *self.whole(q[at : at + BLOCK], least), True
+            return
+        at = starts.pop()
+        r, c = self.whole(q[at : at + BLOCK], least)
+        yield at, r, c, True
         if not starts:
             return
-        audits = np.concatenate(queries)
-        beam = self.audited_beam(q[audits], audits if same else np.full(len(audits), -1), np.concatenate(truths), least)
-        exact = 2 * beam >= len(self.unit)
+        real = np.bincount(r[c != r + at] if same else r, minlength=min(BLOCK, len(q) - at))
+        made = self.planted(least)
+        audits = np.concatenate([q[at : at + BLOCK][real > 0], made])
+        own = np.concatenate([at + np.flatnonzero(real) if same else np.full((real > 0).sum(), -1), np.full(len(made), -1)])
+        truth = np.concatenate([real[real > 0], np.bincount(self.whole(made, least)[0], minlength=len(made))])
+        known = truth > 0
+        beam = self.audited_beam(audits[known], own[known], truth[known], least)
+        exact, lost = 2 * beam >= len(self.unit), self.lost()
         for at in starts:
-            yield at, *self.near(q[at : at + BLOCK], least, beam), exact
+            part = q[at : at + BLOCK]
+            r, c = self.near(part, least, beam)
+            if len(lost) and not exact:
+                i, j = np.nonzero(part @ self.unit[lost].T >= least)
+                r, c = np.concatenate([r, i]), np.concatenate([c, lost[j]])
+            yield at, r, c, exact
 
 
 def found_links(a: SmallWorld, b: SmallWorld, least: float) -> np.ndarray:
@@ -301,7 +334,7 @@ def build_shards(vectors: DataFrame, shards: int) -> list[tuple[int, str]]:
             with np.errstate(over="ignore"):
                 narrow = x.astype(np.float32)
             # Components that were single precision are kept so.
-            np.savez(out, node=own["node"].to_numpy(), n=own["n"].to_numpy(), x=narrow if (narrow == x).all() else x, **{f"layer{i}": a for i, a in enumerate(graph.layers)})
+            np.savez(out, lost=graph.lost(), node=own["node"].to_numpy(), n=own["n"].to_numpy(), x=narrow if (narrow == x).all() else x, **{f"layer{i}": a for i, a in enumerate(graph.layers)})
             file = f"{uuid.uuid4().hex}.npz"
             store, base = _store(folder)
             with store.open_output_stream(f"{base}/{file}") as stream:
@@ -321,6 +354,7 @@ def _load(uri: str) -> tuple[SmallWorld, np.ndarray, np.ndarray, np.ndarray]:
         held = np.load(io.BytesIO(stream.read()))
     x = held["x"].astype(np.float64)
     graph = SmallWorld(_unit(x), [held[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in held.files))], 0)
+    graph._lost = held["lost"]
     return graph, held["node"], held["n"], x
 
 

@@ -162,12 +162,13 @@ def test_embeddings_of_an_empty_table(spark):
 
 
 def test_recall_on_planted_clusters(spark, monkeypatch):
-    """6000 vectors in clusters of all sizes up to a third of them, spread over shards, against all pairs."""
-    monkeypatch.setattr(embeddings, "SHARD_ROWS", 800)
+    """9000 vectors in clusters of all sizes up to a third of them, spread over shards, against all pairs."""
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 1500)  # more than are compared whole
+    assert embeddings.WHOLE_ROWS < 1400
     rng = np.random.default_rng(14)
-    sizes = [2000, 300, 100, *[2] * 200, *[3] * 100, *[8] * 60]
+    sizes = [3000, 300, 100, *[2] * 200, *[3] * 100, *[8] * 60]
     parts = [c + s * rng.normal(size=(n, 48)) / np.sqrt(48) for n in sizes for c, s in [(rng.normal(size=48) / np.sqrt(48), rng.choice([0.1, 0.25, 0.33]))]]
-    x = np.concatenate([*parts, rng.normal(size=(6000 - sum(sizes), 48))]).astype(np.float32)
+    x = np.concatenate([*parts, rng.normal(size=(9000 - sum(sizes), 48))]).astype(np.float32)
     x = x[rng.permutation(len(x))]
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
@@ -195,6 +196,21 @@ def test_double_precision_is_kept(spark):
     assert (got[5].n_links, got[6].n_links, got[7].n_links) == (1, 1, 0)
 
 
+def test_planted_queries_and_lost_nodes():
+    """Planted queries are linked to their nodes; a node cut off from its graph is found by comparison."""
+    rng = np.random.default_rng(3)
+    u = embeddings._unit(rng.normal(size=(1500, 32)))
+    g = embeddings.SmallWorld.build(u)
+    made = g.planted(0.9)
+    best = (made @ u.T).max(1)
+    assert len(made) == embeddings.AUDITS and (best >= 0.9).all() and (best < 0.96).all() and np.allclose(np.linalg.norm(made, axis=1), 1, atol=1e-5)
+    before = set(g.lost().tolist())
+    cut = embeddings.SmallWorld(u, [np.where(np.isin(x, [7, 8]), -1, x) for x in g.layers], 0)
+    assert set(cut.lost().tolist()) >= {7, 8} and len(before) < 15
+    tiny = embeddings.SmallWorld.build(u[:1])
+    assert [(at, r.tolist(), c.tolist()) for at, r, c, _ in tiny.within(u[:2], 0.9)] == [(0, [0], [0])]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(2)
     u = embeddings._unit(rng.normal(size=(1500, 24)))
