@@ -19,7 +19,7 @@ from ..schema import AXES
 from ..staging import staged
 
 #: Nodes of up to so many particles are split further inside one task.
-SUBTREE_ROWS = 200_000
+SUBTREE_ROWS = 1 << 20
 #: Each round of range shuffles cuts a node into so many parts (a power of two).
 PARTS = 16
 #: Particles in a leaf of the neighbour search at most, or four times the neighbours asked for if that is more.
@@ -30,6 +30,8 @@ PAIR_ROWS = 64
 STRIDE, BROADCAST_NODES = 3, 1 << 16
 #: Leaves that one group compares with a leaf, and points compared at once.
 GROUP_LEAVES, CHUNK_POINTS = 128, 4096
+#: Points up to which every task is given all of them (24 MB), so that none are shuffled.
+BROADCAST_POINTS = 1 << 20
 
 
 def _ranked(df: DataFrame, node: str, coord: str) -> DataFrame:
@@ -96,6 +98,15 @@ def _by_longest_axis(xyz: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.n
     return rows[np.lexsort((ids[rows], p[:, axis]))]
 
 
+def _halves(xyz: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Rows cut in the middle along their longest axis; which of equal ones go where does not matter."""
+    if len(rows) < 2:
+        return [rows[:0], rows]
+    p = xyz[rows]
+    axis = int(np.argmax(p.max(0) - p.min(0)))
+    return np.split(rows[np.argpartition(p[:, axis], len(rows) // 2)], [len(rows) // 2])
+
+
 def _rooted(df: DataFrame, group: str | None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int, int, int]:
     """(id, x, y, z, extra, grp, node) with a root for each group, and the levels above the roots, rows of the largest and the smallest group.
 
@@ -146,7 +157,7 @@ def packed_leaves(df: DataFrame, k: int, leaf_rows: int, subtree_rows: int = SUB
         xyz, ids, weight = np.stack([table[a].to_numpy() for a in AXES], 1), table["id"].to_numpy(), table["w"].to_numpy()
         nodes = [np.arange(len(ids))]
         for _ in range(inner):
-            nodes = [part for rows in nodes for part in np.split(_by_longest_axis(xyz, ids, rows) if len(rows) else rows, [len(rows) // 2])]
+            nodes = [part for rows in nodes for part in _halves(xyz, rows)]
         first, grp = table["node"][0].as_py() << inner, table["grp"][0].as_py()
         rows = []
         for i, own in enumerate(nodes):
@@ -212,12 +223,15 @@ class _Group:
     def __init__(self, grp: int, ids: np.ndarray, p: np.ndarray, k: int, reach: float, shared: bool):
         self.grp, self.ids, self.p, self.k, self.shared = grp, ids, p, k, shared
         self.low, self.high = p.min(0), p.max(0)
-        # A hair more, so that rounding loses nothing.
-        self.reach2 = reach * reach * (1 + 1e-12)
+        self.set_reach(reach)
         self.best = np.zeros((len(p), 0))
         self.waiting: list[np.ndarray] = []
         self.size = 0
 
+    def set_reach(self, reach: float) -> None:
+        # A hair more, so that rounding loses nothing.
+        self.reach, self.reach2 = reach, reach * reach * (1 + 1e-12)
+
     def add(self, q: np.ndarray) -> None:
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
         q = q[(gap * gap).sum(1) <= self.reach2]
@@ -255,6 +269,55 @@ class _Group:
         return pa.RecordBatch.from_arrays(columns, ["id", "grp", "r2", "n", "all"])
 
 
+class _Leaves:
+    """All leaves of a table of bounded size."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.leaf, self.grp, self.n = (table[c].to_numpy() for c in ("leaf", "grp", "n"))
+        self.low, self.high = (np.stack([table[f"{s}{a}"].to_numpy() for a in AXES], 1) for s in "lh")
+        self.xyz = np.stack([table[a].chunk(0).flatten().to_numpy() for a in AXES], 1)
+        self.ends = np.concatenate([[0], np.cumsum(self.n)])
+
+    def near(self, group: _Group, leaf: int, own: bool) -> None:
+        """Hand a group all points that may count, nearest leaves first: as leaf_pairs, but of leaves alone."""
+        gap = np.sqrt((np.maximum(np.maximum(group.low - self.high, self.low - group.high), 0) ** 2).sum(1))
+        gap[self.grp != group.grp] = np.inf
+        far = np.sqrt((np.maximum(group.high - self.low, self.high - group.low) ** 2).sum(1))
+        far[(self.n < group.k) | (self.grp != group.grp)] = np.inf
+        reach = min(group.reach, far.min(initial=np.inf))
+        if np.isfinite(far).any() or own:
+            some = gap < reach
+            some[np.flatnonzero(self.leaf == leaf) if own else np.argmin(far)] = True
+        else:
+            some = np.isfinite(gap)
+        group.set_reach(reach)
+        some = np.flatnonzero(some)
+        for i in some[np.lexsort((gap[some], self.leaf[some] != leaf))].tolist():
+            group.add(self.xyz[self.ends[i] : self.ends[i + 1]])
+
+
+def _nearest_of_all(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """nearest where all points are few enough to be given to every task: (id, grp, r2, n)."""
+    names = ["leaf", "grp", "n", *AXES, *[f"{s}{a}" for a in AXES for s in "lh"]]
+    shared = held.sparkSession.sparkContext.broadcast(held.select(*names).toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = None
+        for batch in batches:
+            leaves = leaves or _Leaves(shared.value)
+            leaf, grp, own, ids, *xyz = batch.columns
+            for i in range(batch.num_rows):
+                p = np.stack([c[i].values.to_numpy() for c in xyz], 1)
+                reach = own[i].as_py()
+                group = _Group(grp[i].as_py(), ids[i].values.to_numpy(), p, k, float("inf") if reach is None else reach, False)
+                leaves.near(group, leaf[i].as_py(), reach is not None)
+                yield group.result().select(["id", "grp", "r2", "n"])
+
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.select("leaf", "grp", "own", "ids", *AXES).repartition(parts).mapInArrow(run, "id long, grp int, r2 double, n int")
+
+
 def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_rows: int = LEAF_ROWS, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> DataFrame:
     """(id, r2, n): squared distance to the k-th nearest point, a point itself counted first, and how many were found (k at most).
 
@@ -268,6 +331,8 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf_ro
     asked = held if queries is None else packed_leaves(queries, 1, leaf_rows, subtree_rows)[0].withColumn("own", F.lit(None).cast("double"))
     if not least:
         return asked.select(F.explode("ids").alias("id"), *named, F.lit(None).cast("double").alias("r2"), F.lit(0).alias("n"))
+    if held.agg(F.sum("n")).first()[0] <= BROADCAST_POINTS:
+        return _nearest_of_all(asked, held, k).select("id", *named, "r2", "n")
     pairs = staged(leaf_pairs(asked, held, k, depth, above))
     salts = pairs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP_LEAVES).cast("int").alias("salts"), F.max("reach").alias("reach"))
     dealt = pairs.drop("reach").join(salts, "leaf").withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int"))

@@ -216,10 +216,11 @@ def kth(q, p, k):
     return d2[:, min(k, len(p)) - 1]
 
 
-@pytest.mark.parametrize(("subtree", "group"), [(200_000, 128), (300, 2)])
-def test_nearest_of_clustered_points(spark, monkeypatch, subtree, group):
-    """A third of all points in one place, a tight cluster, a thin halo; in several rounds of range shuffles and groups."""
+@pytest.mark.parametrize(("subtree", "group", "shared"), [(200_000, 128, 0), (300, 2, 0), (300, 128, 10**6)])
+def test_nearest_of_clustered_points(spark, monkeypatch, subtree, group, shared):
+    """A third of all points in one place, a tight cluster, a thin halo; in several rounds of range shuffles and groups, or given to all tasks."""
     monkeypatch.setattr(tree, "GROUP_LEAVES", group)
+    monkeypatch.setattr(tree, "BROADCAST_POINTS", shared)
     rng = np.random.default_rng(8)
     p = np.concatenate([np.full((700, 3), 0.25), 0.6 + 1e-4 * rng.normal(size=(700, 3)), rng.random((600, 3)), 40 * rng.normal(size=(100, 3))])
     got = {r.id: r for r in tree.nearest(points(spark, p), 9, leaf_rows=16, subtree_rows=subtree).collect()}
@@ -231,8 +232,10 @@ def test_nearest_of_clustered_points(spark, monkeypatch, subtree, group):
     assert len(got) == len(q) and all(got[i].n == 9 and math.isclose(got[i].r2, want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(q)))
 
 
-def test_nearest_within_groups_of_all_sizes(spark):
+@pytest.mark.parametrize("shared", [0, 10**6])
+def test_nearest_within_groups_of_all_sizes(spark, monkeypatch, shared):
     """A tree for each group, all as deep as the largest needs: the leaves of small ones hold fewer than k points."""
+    monkeypatch.setattr(tree, "BROADCAST_POINTS", shared)
     rng = np.random.default_rng(10)
     sizes = {0: 900, 1: 40, 3: 9, 4: 5, 6: 60}
     p = {g: np.full((n, 3), 0.5) if g == 6 else rng.random((n, 3)) for g, n in sizes.items()}
@@ -244,7 +247,9 @@ def test_nearest_within_groups_of_all_sizes(spark):
         assert all(got[g, i][1] == min(9, len(want)) and math.isclose(got[g, i][0], w, rel_tol=1e-9, abs_tol=1e-15) for i, w in enumerate(want))
 
 
-def test_distant_queries_and_few_points(spark):
+@pytest.mark.parametrize("shared", [0, 10**6])
+def test_distant_queries_and_few_points(spark, monkeypatch, shared):
+    monkeypatch.setattr(tree, "BROADCAST_POINTS", shared)
     p = np.array([[0.0, 0, 0], [1, 0, 0], [0, 2, 0]])
     q = points(spark, [[0.1, 0, 0], [1e6, 1e6, 1e6]])
     assert {r.id: r.n for r in neighbours.nearest(points(spark, p), 3, q).collect()} == {0: 3, 1: 3}
