@@ -7,12 +7,15 @@ never particles, are expanded to four pixels. Depth integrates to one and is not
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import projected_q2, spline_3d
+from ..functions.kernels import projected_array, projected_q2, spline_3d
 
 
 def to_pixel(p: Column, centre: float, lbox: Column | float, n: int) -> Column:
@@ -96,13 +99,88 @@ def _span(p: str, n: int) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
+#: Pixels of an image that a task may hold (128 MB), and kernel values that it computes at once.
+DENSE_PIXELS, KERNEL_VALUES = 1 << 24, 1 << 20
+
+
 def sph_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), max_px: float = 8.0, skip_px: float = 16.0) -> DataFrame:
     """(keys, iy, ix, rho): column density with the projected spline kernel; df has x, y and h.
 
-    Each particle is expanded to the pixels that its kernel reaches, at most (4 * max_px + 3) squared, and summed map-side.
+    Images of up to DENSE_PIXELS are summed as arrays, one at a time in each task, and the tasks' pixels then by pixel;
+    for larger ones each particle is expanded to rows for the pixels that its kernel reaches.
     """
     lbox = F.lit(float(lbox)) if not isinstance(lbox, Column) else lbox
-    p = pixel_lengths(df, width, lbox, max_px, skip_px).select(*keys, to_pixel(F.col("x"), centre[0], lbox, width).alias("px"), to_pixel(F.col("y"), centre[1], lbox, height).alias("py"), "h_px", (F.lit(float(width)) * float(height) / (lbox * lbox)).alias("__n"))
+    norm = F.lit(float(width)) * float(height) / (lbox * lbox)
+    p = pixel_lengths(df, width, lbox, max_px, skip_px).select(*keys, to_pixel(F.col("x"), centre[0], lbox, width).alias("px"), to_pixel(F.col("y"), centre[1], lbox, height).alias("py"), "h_px", norm.alias("__n"))
+    if width * height > DENSE_PIXELS:
+        return _sph_rows(p, width, height, keys)
+    # Particles that reach no pixel go first.
+    reach = F.ceil(2 * F.col("h_px")) + 1
+    p = p.filter((F.col("px") > -reach) & (F.col("px") < width + reach) & (F.col("py") > -reach) & (F.col("py") < height + reach))
+    if keys:
+        p = p.sortWithinPartitions(*keys)
+    kinds = [t for c, t in p.dtypes if c in keys]
+    parts = p.mapInArrow(_sph_images(width, height, len(keys)), ", ".join([*[f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)], "iy int, ix int, rho double"]))
+    return parts.groupBy(*keys, "iy", "ix").agg(F.sum("rho").alias("rho"))
+
+
+def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums particles, those of one key after those of another, on an image for each key; gives its pixels."""
+
+    def add(image: np.ndarray, px: np.ndarray, py: np.ndarray, h: np.ndarray, norm: np.ndarray) -> None:
+        reach = np.ceil(2 * h).astype(np.int64)
+        for r in np.unique(reach).tolist():
+            own = np.flatnonzero(reach == r)
+            off = np.arange(-r, r + 1)
+            step = max(1, KERNEL_VALUES // len(off) ** 2)
+            for i in range(0, len(own), step):
+                some = own[i : i + step]
+                h2 = (h[some] * h[some])[:, None]
+                ix, iy = (np.trunc(c[some]).astype(np.int64)[:, None] + off for c in (px, py))
+                dx, dy = ix + 0.5 - px[some, None], iy + 0.5 - py[some, None]
+                # Pixels beyond the image are out of reach.
+                dx2 = np.where((ix >= 0) & (ix < width), dx * dx, np.inf) / h2
+                dy2 = np.where((iy >= 0) & (iy < height), dy * dy, np.inf) / h2
+                q2 = dy2[:, :, None] + dx2[:, None, :]
+                near = np.flatnonzero(q2 < 4)
+                place = (iy[:, :, None] * width + ix[:, None, :]).ravel()[near]
+                value = projected_array(q2.ravel()[near]) * np.repeat(norm[some] / h2[:, 0], len(off) ** 2)[near]
+                image += np.bincount(place, value, minlength=len(image))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, key, fields = None, None, None
+
+        def pixels() -> Iterator[pa.RecordBatch]:
+            cells = np.flatnonzero(image)
+            for at in range(0, len(cells), 1 << 18):
+                part = cells[at : at + (1 << 18)]
+                held = [pa.array([k] * len(part), f.type) for k, f in zip(key, fields, strict=True)]
+                columns = [*held, pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(image[part])]
+                yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in fields], "iy", "ix", "rho"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fields = [batch.schema.field(k) for k in range(n_keys)]
+            named = list(zip(*[batch.column(k).to_pylist() for k in range(n_keys)], strict=True)) if n_keys else [()] * batch.num_rows
+            ends = [i + 1 for i in range(batch.num_rows - 1) if named[i] != named[i + 1]] + [batch.num_rows]
+            px, py, h, norm = (batch.column(n_keys + c).to_numpy(zero_copy_only=False) for c in range(4))
+            start = 0
+            for end in ends:
+                if image is None or named[start] != key:
+                    if image is not None:
+                        yield from pixels()
+                    image, key = np.zeros(width * height), named[start]
+                add(image, px[start:end], py[start:end], h[start:end], norm[start:end])
+                start = end
+        if image is not None:
+            yield from pixels()
+
+    return run
+
+
+def _sph_rows(p: DataFrame, width: int, height: int, keys: tuple[str, ...]) -> DataFrame:
+    """sph_map with a row for each pixel that a kernel reaches, at most (4 * max_px + 3) squared, summed map-side."""
     rows = p.select(*keys, "px", "py", "h_px", "__n", F.explode(_span("py", height)).alias("iy"))
     dy = F.col("iy") + 0.5 - F.col("py")
     rows = rows.withColumn("dy2", dy * dy).filter(F.col("dy2") < 4 * F.col("h_px") * F.col("h_px"))

@@ -187,6 +187,27 @@ def test_particles_beyond_the_image_change_nothing(spark, compat):
     assert all(math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-9) for k, v in want.items() if v > 1e-9)
 
 
+def test_kernel_of_arrays(spark):
+    q2 = np.concatenate([np.linspace(0, 3.999999, 4001), [1.0, 1e-12, 0.9999999]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(q2)], "i int, q2 double")
+    want = {r.i: r.w for r in df.select("i", kernels.projected_q2(F.col("q2")).alias("w")).collect()}
+    assert np.allclose(kernels.projected_array(q2), [want[i] for i in range(len(q2))], rtol=0, atol=2e-12)
+
+
+def test_kernel_images_equal_rows(spark, monkeypatch):
+    """Several frames in any order, particles at and beyond the edges, all sizes of kernels, images of either way."""
+    rng = np.random.default_rng(17)
+    rows = [(int(rng.integers(3)), int(rng.integers(2)), *map(float, rng.uniform(-0.3, 1.3, 2)), float(rng.choice([0.0, 0.004, 0.03, 0.2, 0.5])) or None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "frame int, part int, x double, y double, h double").repartition(3).withColumn("lbox", 1.0 / (F.col("frame") + 1))
+    for keys in (("frame", "part"), ("frame",)):
+        monkeypatch.setattr(deposit, "DENSE_PIXELS", 1 << 24)
+        a = {(*(r[k] for k in keys), r.iy, r.ix): r.rho for r in deposit.sph_map(df, 40, 30, (0.5, 0.5), F.col("lbox"), keys).collect()}
+        monkeypatch.setattr(deposit, "DENSE_PIXELS", 0)
+        b = {(*(r[k] for k in keys), r.iy, r.ix): r.rho for r in deposit.sph_map(df, 40, 30, (0.5, 0.5), F.col("lbox"), keys).collect()}
+        assert len(b) > 500 and {k for k, v in a.items() if v > 1e-6} == {k for k, v in b.items() if v > 1e-6}
+        assert all(math.isclose(a[k], v, rel_tol=1e-9, abs_tol=1e-6) for k, v in b.items() if v > 1e-6)
+
+
 def test_sph_mass(spark):
     df = spark.createDataFrame([(0.5, 0.5, 0.06)], "x double, y double, h double")
     total = deposit.sph_map(df, 64, 64, (0.5, 0.5), 1.0).agg(F.sum("rho")).first()[0]
