@@ -99,8 +99,8 @@ def _span(p: str, n: int) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
-#: Pixels of an image that a task may hold (128 MB), and kernel values that it computes at once.
-DENSE_PIXELS, KERNEL_VALUES = 1 << 24, 1 << 20
+#: Pixels of an image that a task may hold (128 MB), particles that it adds together, and kernel values at once (few, to stay in the cache).
+DENSE_PIXELS, KERNEL_ROWS, KERNEL_VALUES = 1 << 24, 1 << 17, 1 << 16
 
 
 def sph_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), max_px: float = 8.0, skip_px: float = 16.0) -> DataFrame:
@@ -130,7 +130,9 @@ def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.R
     def add(image: np.ndarray, px: np.ndarray, py: np.ndarray, h: np.ndarray, norm: np.ndarray) -> None:
         reach = np.ceil(2 * h).astype(np.int64)
         for r in np.unique(reach).tolist():
+            # From row to row, so that a few particles touch a narrow band of the image.
             own = np.flatnonzero(reach == r)
+            own = own[np.argsort(py[own])]
             off = np.arange(-r, r + 1)
             step = max(1, KERNEL_VALUES // len(off) ** 2)
             for i in range(0, len(own), step):
@@ -143,14 +145,24 @@ def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.R
                 dy2 = np.where((iy >= 0) & (iy < height), dy * dy, np.inf) / h2
                 q2 = dy2[:, :, None] + dx2[:, None, :]
                 near = np.flatnonzero(q2 < 4)
-                place = (iy[:, :, None] * width + ix[:, None, :]).ravel()[near]
-                value = projected_array(q2.ravel()[near]) * np.repeat(norm[some] / h2[:, 0], len(off) ** 2)[near]
-                image += np.bincount(place, value, minlength=len(image))
+                first, last = max(0, int(iy[0, 0])) * width, min(height, int(iy[-1, -1]) + 1) * width
+                if not len(near):
+                    continue
+                place = (iy[:, :, None] * width + ix[:, None, :]).ravel()[near] - first
+                value = projected_array(q2.ravel()[near]) * (norm[some] / h2[:, 0])[near // len(off) ** 2]
+                image[first:last] += np.bincount(place, value, minlength=last - first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         image, key, fields = None, None, None
+        waiting: list[list[np.ndarray]] = []
+
+        def draw() -> None:
+            if waiting:
+                add(image, *(np.concatenate(c) for c in zip(*waiting, strict=True)))
+                waiting.clear()
 
         def pixels() -> Iterator[pa.RecordBatch]:
+            draw()
             cells = np.flatnonzero(image)
             for at in range(0, len(cells), 1 << 18):
                 part = cells[at : at + (1 << 18)]
@@ -164,14 +176,16 @@ def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.R
             fields = [batch.schema.field(k) for k in range(n_keys)]
             named = list(zip(*[batch.column(k).to_pylist() for k in range(n_keys)], strict=True)) if n_keys else [()] * batch.num_rows
             ends = [i + 1 for i in range(batch.num_rows - 1) if named[i] != named[i + 1]] + [batch.num_rows]
-            px, py, h, norm = (batch.column(n_keys + c).to_numpy(zero_copy_only=False) for c in range(4))
+            columns = [batch.column(n_keys + c).to_numpy(zero_copy_only=False) for c in range(4)]
             start = 0
             for end in ends:
                 if image is None or named[start] != key:
                     if image is not None:
                         yield from pixels()
                     image, key = np.zeros(width * height), named[start]
-                add(image, px[start:end], py[start:end], h[start:end], norm[start:end])
+                waiting.append([c[start:end] for c in columns])
+                if sum(len(w[0]) for w in waiting) >= KERNEL_ROWS:
+                    draw()
                 start = end
         if image is not None:
             yield from pixels()
