@@ -117,6 +117,8 @@ def sph_map(df: DataFrame, width: int, height: int, centre: tuple[float, float],
     # Particles that reach no pixel go first.
     reach = F.ceil(2 * F.col("h_px")) + 1
     p = p.filter((F.col("px") > -reach) & (F.col("px") < width + reach) & (F.col("py") > -reach) & (F.col("py") < height + reach))
+    # A kernel costs far more than moving its particle, so all tasks get as many, whatever the input's partitions are.
+    p = p.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if keys:
         p = p.sortWithinPartitions(*keys)
     kinds = [t for c, t in p.dtypes if c in keys]
