@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from .wordids import word_encoder
 
 WINDOW = 4096
 SHARD_WINDOWS = 4096
+#: Window number and offset for each of the lengths, given the capacity.
+Fit = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
 
 class RoomTree:
@@ -105,7 +107,7 @@ def cut_pieces(docs: DataFrame, model_json: str, end_id: int, capacity: int = WI
     return map_rows(docs, [id_col, text_col], run, schema, keeps=True)
 
 
-def pack(pieces: DataFrame, capacity: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = WINDOW, shard_windows: int = SHARD_WINDOWS, fit: Fit = best_fit) -> DataFrame:
     """The pieces with sequence_id, offset and sequence_tokens; any further columns (ids, checksums) go along.
 
     pieces: a staged table, as it is read twice (once for its total length). A shard's pieces meet in one task,
@@ -124,7 +126,7 @@ def pack(pieces: DataFrame, capacity: int = WINDOW, shard_windows: int = SHARD_W
         for shard in np.unique(shard_of):
             own = table.filter(pa.array(shard_of == shard)).drop_columns(["__shard"])
             lengths = own.column("length").to_numpy()
-            window, offset = best_fit(lengths, capacity)
+            window, offset = fit(lengths, capacity)
             used = np.bincount(window, lengths).astype(np.int64)
             own = own.append_column("sequence_id", pa.array((int(shard) << 32) + window)).append_column("offset", pa.array(offset)).append_column("sequence_tokens", pa.array(used[window]))
             yield from own.to_batches()

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from skymill.llm import bpe, embeddings, langid, packing, pii, quality, queries, records, secrets, simhash, toxicity
+from skymill.llm import bpe, embeddings, langid, matching, packing, pii, quality, queries, records, secrets, simhash, toxicity
 
 CLASHES = "row id ids n n_docs host spans matches hash owner kind start end node root terms label mark text_2 fp home anchor rate rejected suspect failed n_words __rank __h __key __n __spans __kept_id __quality_n_words __redact_n __near_rank".split()
 MODEL, WORDS = queries.byte_model(queries.RANKS), queries.word_model(queries.WORD_MODEL)
@@ -18,6 +18,7 @@ OPERATORS = {
     "secrets": lambda d: secrets.span_digests(secrets.find_secrets(d)),
     "redaction": lambda d: secrets.redact_live(d),
     "packing": lambda d: packing.pack_documents(d, WORDS, end_id=2, with_ids=False),
+    "matching": lambda d: matching.pack_documents(d, WORDS, end_id=1, with_ids=False),
     "toxicity": lambda d: toxicity.score_documents(d, MACHINE),
     "language": lambda d: langid.identify(d, NET),
     "known": lambda d: langid.keep_known(d, NET),

@@ -85,6 +85,28 @@ def test_packing(spark, word_ids):
     assert padded <= 0.05 * sum(len(x) + 1 for x in word_ids.values()) + packing.WINDOW
 
 
+def test_matched_packing(spark, word_ids):
+    out, _ = rows(spark, "op12_matched_packing")
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in out:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == word_ids.keys()
+    for i, own in pieces.items():
+        ids = [*word_ids[i], 1]
+        cuts = [(k, at, ids[at : at + packing.WINDOW]) for k, at in enumerate(range(0, len(ids), packing.WINDOW))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in own) == [(k, at, len(part), crc(part)) for k, at, part in cuts]
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+    lengths = [r.length for r in out]
+    large = sum(3 * n > packing.WINDOW for n in lengths)
+    assert len(sequences) <= max(-(-sum(lengths) // packing.WINDOW), large) + 2
+
+
 def test_secrets(spark, texts):
     _, got = rows(spark, "op3_secret_ownership")
     assert got.keys() == texts.keys()
