@@ -1,4 +1,4 @@
-"""DuckDB SQL for the training-data queries that SQL can express: op3, op9 and op10."""
+"""DuckDB SQL for the training-data queries that SQL can express: op3, op9, op10 and op11."""
 
 from __future__ import annotations
 
@@ -79,4 +79,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(rate, 6) AS host_rate, coalesce(rejected, false) AS host_rejected, coalesce(suspect, false) AS host_suspect FROM j LEFT JOIN verdict USING (host)"""
 
 
-ORACLE_SQL = {"op3_secret_ownership": _secrets(), "op9_embedding_neighbours": _embeddings(), "op10_host_quality": _quality()}
+def _divergence() -> str:
+    share = "1 + CAST(1000000000 AS HUGEINT) * (n + 1) // nullif(total + v, 0)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+own AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(any_value(l.v), 0) AS v FROM d LEFT JOIN l USING (lang) GROUP BY d.lang, d.source),
+gn AS (SELECT g.*, coalesce(s.total, 0) AS total FROM g LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own GROUP BY lang, source) s USING (lang, source)),
+p AS (SELECT gn.lang, gn.source, k.term, {share.replace('(n + 1)', '(coalesce(own.n, 0) + 1)')} AS p, coalesce(own.n, 0) AS n FROM gn JOIN (SELECT lang, term FROM kept) k USING (lang) LEFT JOIN own ON own.lang = gn.lang AND own.source = gn.source AND own.term = k.term),
+q AS (SELECT kept.lang, kept.term, {share} AS q FROM kept JOIN l USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // q.q AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+parts AS (SELECT 'pair' AS part, * FROM every UNION ALL SELECT 'term' AS part, * FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item) AS r FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 200"""
+
+
+ORACLE_SQL = {"op3_secret_ownership": _secrets(), "op9_embedding_neighbours": _embeddings(), "op10_host_quality": _quality(), "op11_divergence_audit": _divergence()}

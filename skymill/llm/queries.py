@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, matching, packing, pii, quality, records, secrets, simhash, toxicity
+from . import bpe, divergence, embeddings, langid, matching, packing, pii, quality, records, secrets, simhash, toxicity
 from .common import read_table
 from .oracles import ORACLE_SQL
 
@@ -75,10 +75,14 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def op12_matched_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = matching.pack_documents(read_table(spark, sf_dir, "documents"), word_model(WORD_MODEL), end_id=1, with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_records, op3_secret_ownership, op4_packing, op5_toxicity, op6_language_id, op7_personal_data, op8_simhash, op9_embedding_neighbours, op10_host_quality, op12_matched_packing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_records, op3_secret_ownership, op4_packing, op5_toxicity, op6_language_id, op7_personal_data, op8_simhash, op9_embedding_neighbours, op10_host_quality, op11_divergence_audit, op12_matched_packing)}
 __all__ = ["ORACLE_SQL", "QUERIES"]
