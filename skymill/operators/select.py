@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,25 +18,29 @@ def type_filter(mask: int) -> Column:
     return F.lit(True) if types is None else F.col("ptype").isin(types)
 
 
-def cube_filter(centre: tuple[float, float, float], lbox: float, box: float, in_box: bool = False) -> Column:
+#: Plain bounds are wider than the exact test by this share of the box, so that rounding loses no row.
+SLACK = 1e-9
+
+
+def cube_filter(centre: tuple[float, float, float], lbox: float, box: float) -> Column:
     """Within lbox/2 of the centre on each axis, edges excluded, by the nearest periodic image.
 
-    in_box: all positions are known to lie in [0, box); a cube that does not cross the edge is then also given as plain
-    bounds, which scans push down.
+    A cube smaller than the box is also given as plain bounds: on each axis those of the cube and of its images one period
+    to either side, which together are the boxes into which the edge cuts the cube. Scans push them down and skip row groups.
     """
     if not lbox > 0:
         raise ValueError("lbox must be positive")
-    tests = []
+    tests, reach = [], lbox / 2 + SLACK * box
     for axis, c in zip(AXES, centre, strict=True):
         p = F.col(axis)
-        if in_box and c - lbox / 2 >= 0 and c + lbox / 2 <= box:
-            tests += [p >= c - lbox / 2, p <= c + lbox / 2]
+        if lbox < box:
+            tests.append(reduce(or_, [(p >= c + shift - reach) & (p <= c + shift + reach) for shift in (0, -box, box)]))
         tests.append(F.abs(2 * minimum_image(p - c, box) / lbox) < 1)
     return reduce(and_, tests)
 
 
-def select_view(df: DataFrame, mask: int, centre: tuple[float, float, float], lbox: float, box: float, in_box: bool = False) -> DataFrame:
-    return df.filter(type_filter(mask)).filter(cube_filter(centre, lbox, box, in_box))
+def select_view(df: DataFrame, mask: int, centre: tuple[float, float, float], lbox: float, box: float) -> DataFrame:
+    return df.filter(type_filter(mask)).filter(cube_filter(centre, lbox, box))
 
 
 def unwrap_to_view(df: DataFrame, centre: tuple[float, float, float], box: float) -> DataFrame:

@@ -423,6 +423,7 @@ def _palette_file() -> str:
 ORACLE_SQL = {
     "cic_density_map": f"{LI_MAP} {_shown('img')}",
     "type_mask_select": f"WITH {LI} SELECT ptype, count(*) AS n, round(sum(x), 4) AS sum_x FROM particles_li WHERE (82 & (1 << ptype)) <> 0 GROUP BY ptype",
+    "view_cube_clustered": f"WITH {LI} SELECT ptype, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM particles_li WHERE ptype IN (1, 2, 3, 4, 6) AND abs(2 * ({_image_of('(x - 2e-2)')}) / 3e-1) < 1 AND abs(2 * ({_image_of('(y - 95e-2)')}) / 3e-1) < 1 AND abs(2 * ({_image_of('(z - 97e-2)')}) / 3e-1) < 1",
     "view_cube_select": f"WITH {EVT} SELECT id, ptype, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM particles_evt WHERE abs(2 * ({_image_of('(x - 1e-1)')}) / 4e-1) < 1 AND abs(2 * ({_image_of('(y - 5e-1)')}) / 4e-1) < 1 AND abs(2 * ({_image_of('(z - 5e-1)')}) / 4e-1) < 1",
     "type_counts_rollup": f"WITH {LI} SELECT part, ptype, count(*) AS n FROM (SELECT CAST(floor(y * 4) AS INTEGER) AS part, ptype FROM particles_li) GROUP BY ROLLUP (part, ptype)",
     "type_boundaries": f"WITH {LI}, c AS (SELECT ptype, count(*) AS n FROM particles_li GROUP BY ptype) SELECT ptype, n, CAST(sum(n) OVER (ORDER BY ptype) - n AS BIGINT) AS first_row, CAST(sum(n) OVER (ORDER BY ptype) AS BIGINT) AS end_row FROM c",

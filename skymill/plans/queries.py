@@ -13,6 +13,7 @@ from ..config import RenderConfig, parse_arguments, unit_axis
 from ..functions import colour, cosmology, kernels, sql
 from ..operators import deposit, frames, interpolate, levels, neighbours, octree, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
+from ..sinks.clustered import write_clustered
 from ..sinks.images import decode_png, render_images
 from ..sinks.snapshots import write_snapshot
 from ..sources.files import locate
@@ -55,6 +56,13 @@ def view_cube_select(spark, d):
     return _xyz(select.select_view(particles_evt(spark, d), -1, (0.1, 0.5, 0.5), 0.4, 1.0), "id", "ptype")
 
 
+def view_cube_clustered(spark, d):
+    """A view across three edges of the box, from Parquet ordered along the curve."""
+    path, p = f"{folder(spark)}/clustered", particles_li(spark, d)
+    write_clustered(p, path, 1.0)
+    return _xyz(select.select_view(spark.read.schema(p.schema).parquet(path), 0b1011110, (0.02, 0.95, 0.97), 0.3, 1.0), "ptype")
+
+
 def type_counts_rollup(spark, d):
     df = particles_li(spark, d).withColumn("part", F.floor(F.col("y") * 4).cast("int"))
     return select.count_types(df, "part")
@@ -535,7 +543,7 @@ def settings(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        cic_density_map, type_mask_select, view_cube_select, type_counts_rollup, type_boundaries, missing_types, bbox, wrap_positions, velocity_extrapolate, id_match_left, id_match_count, hermite_two_snap, hermite_frames,
+        cic_density_map, type_mask_select, view_cube_select, view_cube_clustered, type_counts_rollup, type_boundaries, missing_types, bbox, wrap_positions, velocity_extrapolate, id_match_left, id_match_count, hermite_two_snap, hermite_frames,
         catmull_three_snap, catmull_four_snap, rotate_frames, zoom_frames, cic_map_compat, cic_3d_grid, grid_box_mean, grid_smoothing_length, knn_smoothing_length, leaf_smoothing_length, leaf_first_splits, radius_neighbours, kde_density,
         nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, kernel_table_3d, kernel_table_proj, kernel_cumulative, h_band_histogram, sph_density_map, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
         inpaint_full, normalise_log, normalise_linear, opacity_transfer, palette_generated, palette_lookup_magma, custom_palette, composite_rgba, render_png, slab_histogram, slab_splits, slab_assign, snapshot_roles, global_frame_numbers,

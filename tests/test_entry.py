@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from skymill.plans import oracles
-from skymill.plans.queries import QUERIES
+from jobs import registered
+from skymill.plans import oracles, queries
+
+QUERIES = {**queries.QUERIES, **registered.QUERIES}
+SQL = {**oracles.ORACLE_SQL, **registered.ORACLE_SQL}
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,7 +37,7 @@ def test_particle_queries_stand_alone(monkeypatch, missing):
         names = set(entry.queries())
     assert set(QUERIES) <= names and "pipeline" not in names
     with pytest.warns(UserWarning, match="training-data"):
-        assert set(oracles.ORACLE_SQL) <= set(entry.oracle_sql())
+        assert set(SQL) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
@@ -51,17 +54,17 @@ def rows(values):
 KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, entry.SMOKE)
     names = sorted(df.columns)
-    sql = duck.sql(oracles.ORACLE_SQL[name])
+    sql = duck.sql(SQL[name])
     assert names == sorted(sql.columns)
     kinds = dict(zip(sql.columns, map(str, sql.types), strict=True))
     assert {n: KINDS[t] for n, t in df.dtypes} == kinds
     assert rows(df.select(*names).collect()) == rows(sql.select(*names).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(oracles.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, entry.SMOKE).count() > 0

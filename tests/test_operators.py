@@ -55,7 +55,7 @@ def test_selection_is_strict_and_periodic(spark):
     rows = [(i, 0, x, 0.5, 0.5) for i, x in enumerate([0.25, 0.2501, 0.7499, 0.75])]
     df = spark.createDataFrame(rows, XYZ)
     assert [r.id for r in df.filter(select.cube_filter((0.5, 0.5, 0.5), 0.5, 1.0)).orderBy("id").collect()] == [1, 2]
-    assert [r.id for r in df.filter(select.cube_filter((0.5, 0.5, 0.5), 0.5, 1.0, in_box=True)).orderBy("id").collect()] == [1, 2]
+    assert [r.id for r in df.filter(select.cube_filter((0.5, 0.5, 0.5), 0.5, 1.0)).orderBy("id").collect()] == [1, 2]
     edge = spark.createDataFrame([(0, 0, 0.98, 0.5, 0.5), (1, 0, 0.2, 0.5, 0.5)], XYZ)
     kept = edge.filter(select.cube_filter((0.05, 0.5, 0.5), 0.2, 1.0))
     assert [r.id for r in kept.collect()] == [0]
@@ -67,7 +67,7 @@ def test_selection_is_strict_and_periodic(spark):
 def test_filters_reach_the_scan(spark, tmp_path):
     _, df = cloud(spark)
     df.write.parquet(str(tmp_path / "p.parquet"))
-    seen = select.select_view(spark.read.parquet(str(tmp_path / "p.parquet")), 0b101, (0.5, 0.5, 0.5), 0.2, 1.0, in_box=True).select("x", "y")
+    seen = select.select_view(spark.read.parquet(str(tmp_path / "p.parquet")), 0b101, (0.5, 0.5, 0.5), 0.2, 1.0).select("x", "y")
     plan = seen._jdf.queryExecution().executedPlan().toString()
     assert "In(ptype" in plan and "GreaterThanOrEqual(x" in plan
 
