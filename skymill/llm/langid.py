@@ -4,6 +4,10 @@ The network reads a text's bytes, lower-cased and nothing left out, forwards and
 distribution over the languages; a document's log probabilities are pooled over all its positions. It is trained in numpy
 by backpropagation through time, on windows of a bounded sample of documents.
 
+Beside the languages the network learns what is in none of them: training texts with their letters shuffled or exchanged for
+others of their kind, encoded bytes, and characters of other scripts. `keep_known` rejects a document where that is
+likelier, over all its positions, than all languages together.
+
 Texts are read in windows of WINDOW bytes with MARGIN more on either side where the text goes on; each position is
 labelled once, in the window that holds it with its context. So a text of any length takes bounded memory, and windows of
 many texts are read side by side.
@@ -15,16 +19,17 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, filter_rows, map_rows, text_list, worker_state
+from .common import filter_rows, map_rows, stage_table, text_list, worker_state
 
 UND = "und"
 #: Training documents for each language, and the characters that are drawn from longer texts among them.
@@ -40,89 +45,41 @@ READ_AT_ONCE = 1024
 UNITS, EMBED = 16, 12
 #: Windows of a training step, and their bytes.
 STEPS, BATCH, TRAIN_BYTES, RATE = 600, 96, 80, 0.01
-#: Words are judged by their spelling in pieces of so many bytes.
-MAX_BYTES = 24
-#: keep_known rejects a document with a smaller share of its letters in words that are spelled like a learned language's, whichever.
+#: Share of training windows that are in no language, and their characters in all.
+OTHER_SHARE, OTHER_CHARS = 0.2, 1 << 20
+#: keep_known rejects a document whose positions are in a learned language with a smaller mean probability, whichever language.
 MIN_KNOWN = 0.5
-#: A word is spelled like a language's if its bytes are as likely as those of all but this share of the training words.
-RARE_WORDS = 0.02
-
-_TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-
-
-def word_pieces(text: str) -> list[bytes]:
-    """Lower-cased runs of ASCII letters and other bytes beyond ASCII; long ones in pieces."""
-    out = text.lower().encode().translate(_TO_SPACE).split()
-    if max(map(len, out), default=0) > MAX_BYTES:
-        out = [w[i : i + MAX_BYTES] for w in out for i in range(0, len(w), MAX_BYTES)]
-    return out
-
-
-def _pack(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the words with a space at either end, padded by spaces, and their lengths."""
-    width = max(map(len, words)) + 2
-    data = np.frombuffer(b"".join([(b" " + w).ljust(width) for w in words]), np.uint8).reshape(-1, width)
-    return data, np.array([len(w) + 2 for w in words])
-
-
-def _triples(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's triples of bytes as numbers, and which of them lie inside."""
-    d = data.astype(np.int32)
-    return d[:, :-2] << 16 | d[:, 1:-1] << 8 | d[:, 2:], np.arange(data.shape[1] - 2)[None, :] < lengths[:, None] - 2
-
-
-@dataclass
-class Spelling:
-    """Logarithms of how likely a byte follows two others in any learned language: of known triples, and of others by their first two bytes.
-
-    The network has to choose a language for any text, and is often sure of one for texts in none; this tells such texts apart.
-    """
-
-    triples: np.ndarray
-    values: np.ndarray
-    pairs: np.ndarray
-    others: np.ndarray
-    least: float = -np.inf
-
-    @staticmethod
-    def count(words: list[list[bytes]]) -> Spelling:
-        """All languages weigh the same."""
-        found = []
-        for own in words:
-            parts = []
-            for at in range(0, len(own), 1 << 15):
-                t, inside = _triples(*_pack(own[at : at + (1 << 15)]))
-                parts.append(np.unique(t[inside], return_counts=True))
-            t, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([p[1] for p in parts]))
-            found.append((t, n, n.sum()))
-        most = max(total for _, _, total in found)
-        triples, where = np.unique(np.concatenate([t for t, _, _ in found]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([k * (most / total) for _, k, total in found]))
-        pairs, of = np.unique(triples >> 8, return_inverse=True)
-        total = np.bincount(of, n) + 0.05 * 256
-        return Spelling(triples, np.log((n + 0.05) / total[of]), pairs, np.log(0.05 / total))
-
-    @staticmethod
-    def learn(words: list[list[bytes]]) -> Spelling:
-        """The limit is set on half of the words by the counts of the other half, for the language that is spelled least regularly."""
-        half = [(w[: len(w) // 2] or w, w[len(w) // 2 :]) for w in words]
-        seen = Spelling.count([a for a, _ in half])
-        out = Spelling.count(words)
-        out.least = min(float(np.quantile(seen.means(b), RARE_WORDS)) for _, b in half)
-        return out
-
-    def means(self, words: list[bytes]) -> np.ndarray:
-        """Each word's mean over its triples."""
-        out = np.zeros(len(words))
-        for at in range(0, len(words), 1 << 13):
-            t, inside = _triples(*_pack(words[at : at + (1 << 13)]))
-            pair = np.minimum(np.searchsorted(self.pairs, t >> 8), len(self.pairs) - 1)
-            value = np.where(self.pairs[pair] == t >> 8, self.others[pair], -np.log(256))
-            place = np.minimum(np.searchsorted(self.triples, t), len(self.triples) - 1)
-            value = np.where(self.triples[place] == t, self.values[place], value)
-            out[at : at + (1 << 13)] = (value * inside).sum(1) / inside.sum(1)
-        return out
+#: First characters of blocks of several scripts.
+BLOCKS = (0x100, 0x370, 0x400, 0x5D0, 0x620, 0x900, 0x3040, 0x4E00, 0xAC00)
+
+
+def in_no_language(texts: list[str], seed: int, chars: int = OTHER_CHARS) -> bytes:
+    """Passages that are shaped like the texts but in no language, encoded data, and characters of many scripts."""
+    rng, out, size = np.random.default_rng(seed), [], 0
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    vowels, others = list("aeiouy"), list("bcdfghjklmnpqrstvwxz")
+
+    def exchanged(part: str, *kinds: list[str]) -> str:
+        table = {}
+        for kind in kinds:
+            table |= dict(zip(kind, np.array(kind)[rng.permutation(len(kind))].tolist(), strict=True))
+        return part.translate(str.maketrans(table))
+
+    while size < chars:
+        text = texts[rng.integers(len(texts))]
+        at = rng.integers(max(1, len(text) - 200))
+        part = text[at : at + 200]
+        made = (
+            "".join(np.array(list(part))[rng.permutation(len(part))].tolist()),
+            exchanged(part, letters),
+            exchanged(part, vowels, others),
+            base64.b64encode(rng.bytes(120)).decode().lower(),
+            rng.bytes(80).hex(),
+            "".join(np.where(rng.random(100) < 0.15, " ", np.array([chr(c) for c in BLOCKS[rng.integers(len(BLOCKS))] + rng.integers(0, 80, 100)])).tolist()),
+        )
+        out += made
+        size += sum(map(len, made))
+    return "\n".join(out).encode()
 
 
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,22 +99,26 @@ class Network:
     """Weights: embedding e; for each gate (z: update, r: reset, c: candidate) and direction (f, b) input x, recurrent u and bias v; output o; and bias.
 
     The gates are logistic, written by the hyperbolic tangent: z = (1 + tanh) / 2, and r = 1 + tanh, its half being in u.
+    Outputs are the languages and, if the network has learned it, one more for what is in none.
     """
 
     langs: list[str]
     w: dict[str, np.ndarray]
-    spelling: Spelling | None = None
+
+    @property
+    def outputs(self) -> int:
+        return len(self.w["bias"])
 
     @staticmethod
-    def fresh(langs: list[str], seed: int = 7) -> Network:
-        rng = np.random.default_rng(seed)
+    def fresh(langs: list[str], seed: int = 7, other: bool = False) -> Network:
+        rng, outputs = np.random.default_rng(seed), len(langs) + other
 
         def draw(a: int, b: int, scale: float = 1.0) -> np.ndarray:
             return (scale * rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
 
-        w = {"e": draw(256, EMBED, 16.0), "bias": np.zeros(len(langs), np.float32)}
+        w = {"e": draw(256, EMBED, 16.0), "bias": np.zeros(outputs, np.float32)}
         for d in "fb":
-            w[f"o{d}"] = draw(UNITS, len(langs))
+            w[f"o{d}"] = draw(UNITS, outputs)
             for g in "zrc":
                 w |= {f"x{g}{d}": draw(EMBED, UNITS, 0.5), f"u{g}{d}": draw(UNITS, UNITS, 0.5), f"v{g}{d}": np.zeros(UNITS, np.float32)}
         return Network(langs, w)
@@ -173,7 +134,7 @@ class Network:
         width, n = data.shape
         h = np.zeros((n, UNITS), uz.dtype)
         buffers = [np.empty_like(h) for _ in range(4)]
-        out = np.zeros((width, n, len(self.langs)), uz.dtype)
+        out = np.zeros((width, n, self.outputs), uz.dtype)
         for t in range(width) if d == "f" else range(width - 1, -1, -1):
             m, at = going[t], data[t, : going[t]]
             x, z, r, c = (b[:m] for b in buffers)
@@ -200,7 +161,7 @@ class Network:
         return out
 
     def window_scores(self, data: np.ndarray, going: list[int], inside: np.ndarray) -> np.ndarray:
-        """For each window, log probabilities and probabilities of the languages summed over the places inside (window, 2 * languages)."""
+        """For each window, log probabilities and probabilities of the outputs summed over the places inside (window, 2 * outputs)."""
         y = self.run(data, going, "f")
         y += self.run(data, going, "b")
         y += self.w["bias"]
@@ -213,8 +174,8 @@ class Network:
         return np.concatenate([np.einsum("tnk,tn->nk", x, inside) for x in (y, p)], axis=1)
 
     def text_scores(self, texts: list[bytes]) -> np.ndarray:
-        """For each text, log probabilities and probabilities of the languages summed over all its bytes."""
-        k = len(self.langs)
+        """For each text, log probabilities and probabilities of the outputs summed over all its bytes."""
+        k = self.outputs
         held = np.frombuffer(b"".join(texts), np.uint8)
         text, first, length, low, high = windows_of(np.array([len(t) for t in texts], np.int64))
         out = np.zeros((len(texts), 2 * k))
@@ -267,15 +228,17 @@ class Network:
         return loss, g
 
 
-def train(texts: list[list[bytes]], langs: list[str], steps: int = STEPS, seed: int = 7) -> Network:
-    """Fit by Adam on batches with as many windows of each language. texts: for each language its documents' bytes."""
-    net, rng = Network.fresh(langs, seed), np.random.default_rng(seed)
+def train(texts: list[list[bytes]], langs: list[str], steps: int = STEPS, seed: int = 7, other: bytes = b"") -> Network:
+    """Fit by Adam on batches with as many windows of each language, and OTHER_SHARE of other. texts: for each language its documents' bytes."""
+    net, rng = Network.fresh(langs, seed, bool(other)), np.random.default_rng(seed)
     # Documents of a language are read one after the other, repeated if they are shorter than a window.
-    own = [b"\n".join(t) + b"\n" for t in texts]
+    own = [b"\n".join(t) + b"\n" for t in texts] + [other] * bool(other)
     own = [np.frombuffer(t * -(-TRAIN_BYTES // len(t)), np.uint8) for t in own]
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     for step in range(1, steps + 1):
         lang = rng.integers(0, len(langs), BATCH)
+        if other:
+            lang[rng.random(BATCH) < OTHER_SHARE] = len(langs)
         at = [rng.integers(len(own[k]) - TRAIN_BYTES + 1) for k in lang]
         data = np.stack([own[k][i : i + TRAIN_BYTES] for k, i in zip(lang, at, strict=True)], axis=1).astype(np.intp)
         _, g = net.gradient(data, lang)
@@ -305,73 +268,68 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, steps: int = STEPS) -> Network:
-    """Train on a bounded sample: up to about docs_per_lang documents, chosen by a hash of their id, of each language.
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
+    """(lang, row, id, text): of each language the first docs_per_lang documents by a hash of id and text; equal ones count once.
 
-    Only rows with an id whose crc32 modulo 3 is not 1, a language and a text count. Of long texts, words from the whole text are drawn.
+    Only rows with an id whose crc32 modulo 3 is not 1, a language and a text with a letter count, so every language that has one such
+    row is there. Documents are chosen by their hashes alone; each task passes on at most docs_per_lang of a language, and texts are read again for
+    those that were chosen.
     """
-    key = F.col(f"`{id_col}`").cast("string")
-    rows = docs.filter(key.isNotNull() & (F.crc32(key.cast("binary")) % 3 != 1) & F.col(f"`{lang_col}`").isNotNull())
-    rows = rows.select(key.alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    # One row for each language.
-    counts = rows.groupBy("lang").count().collect()
-    langs = sorted(r["lang"] for r in counts)
+    key, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")
+    rows = docs.filter(key.isNotNull() & (F.crc32(key.cast("binary")) % 3 != 1) & F.col(f"`{lang_col}`").isNotNull() & text.rlike(r"\p{L}"))
+    rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(key, text).alias("row"), key.alias("id"), text.alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("row"))
+    chosen = stage_table(rows.select("lang", "row", place.alias("place")).filter(F.col("place") <= docs_per_lang).select("lang", "row").distinct(), "chosen", narrow=True)
+    return rows.join(chosen, ["lang", "row"]).dropDuplicates(["lang", "row"])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, steps: int = STEPS) -> Network:
+    """Train on a bounded sample, docs_per_lang documents of each language (training_rows). Of long texts, words from the whole text are drawn."""
+    sample = stage_table(training_rows(docs, id_col, text_col, lang_col, docs_per_lang), "sample", narrow=True)
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # a row for each language
     if not langs:
         return Network.fresh([UND])
-    share = {r["lang"]: min(1.0, 1.25 * docs_per_lang / r["count"]) for r in counts}
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    shares = docs.sparkSession.createDataFrame(sorted(share.items()), "lang string, share double")
-    sample = rows.filter("text is not null").join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
     chars = max(1, MAX_TRAIN_CHARS * MANY_LANGS // max(MANY_LANGS, len(langs)))
 
     def shorten(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [drawn_text(t, chars, zlib.crc32(i.encode())) for i, t in zip(batch.column(0).to_pylist(), text_list(batch.column(2)), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "lang", "text"])
-
-    sample = map_rows(sample, ["id", "lang", "text"], shorten, "id string, lang string, text string")
-    texts: list[list[str]] = [[] for _ in langs]
-    number = {lang: i for i, lang in enumerate(langs)}
-    for r in sample.orderBy(F.xxhash64("id")).limit(docs_per_lang * len(langs)).collect():
-        texts[number[r["lang"]]].append(r["text"])
-    words = [[w for t in own for w in word_pieces(t)] for own in texts]
-    have = [i for i, w in enumerate(words) if w]
-    if not have:
-        return Network.fresh([UND])
-    net = train([[t.lower().encode() for t in texts[i]] for i in have], [langs[i] for i in have], steps * -(-len(have) // MANY_LANGS))
-    net.spelling = Spelling.learn([words[i] for i in have])
-    return net
+        texts = [drawn_text(t, chars, zlib.crc32(i.encode())) for i, t in zip(batch.column(0).to_pylist(), text_list(batch.column(3)), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(texts, pa.string())], ["lang", "row", "text"])
+
+    short = map_rows(sample, ["id", "lang", "row", "text"], shorten, "lang string, row long, text string")
+    texts: dict[str, list[str]] = {lang: [] for lang in langs}
+    for r in short.orderBy("lang", "row").collect():
+        texts[r["lang"]].append(r["text"].lower())
+    other = in_no_language([t for lang in langs for t in texts[lang]], len(langs))
+    return train([[t.encode() for t in texts[lang]] for lang in langs], langs, steps * -(-len(langs) // MANY_LANGS), other=other)
 
 
 class Scorer:
-    """A network, and a bounded cache of which words are spelled like a learned language's."""
+    """What a network says of texts."""
 
     def __init__(self, net: Network):
-        self.net, self.k = net, len(net.langs)
-        self.spelled: dict[bytes, bool] = {}
+        self.net, self.k = net, net.outputs
+
+    def pooled(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
+        """Which texts have a letter, and what the network sums over their positions."""
+        told = [] if self.net.langs == [UND] else [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]
+        return told, self.net.text_scores([texts[i].lower().encode() for i in told]) if told else np.zeros((0, 2 * self.k))
 
     def known(self, texts: list[str]) -> list[float]:
-        """The share of each text's letters in words that are spelled like a learned language's; 0 where its language is und."""
-        langs, spelling, out = self.score(texts)[0], self.net.spelling, []
-        for text, lang in zip(texts, langs, strict=True):
-            words = [] if lang == UND else word_pieces(text)
-            missing = list({w for w in words if w not in self.spelled})
-            if missing and spelling:
-                self.spelled.update(zip(missing, (spelling.means(missing) >= spelling.least).tolist(), strict=True))
-            size = sum(map(len, words))
-            out.append(sum(len(w) for w in words if self.spelled.get(w, True)) / size if size else 0.0)
-            if len(self.spelled) > CACHE_WORDS:
-                self.spelled = {}
+        """The mean probability that a text's positions are in any learned language; 0 where it has no letter."""
+        out = [0.0] * len(texts)
+        told, pooled = self.pooled(texts)
+        share = pooled[:, self.k : self.k + len(self.net.langs)].sum(1) / np.maximum(pooled[:, self.k :].sum(1), 1e-30)
+        for i, known in zip(told, share.tolist(), strict=True):
+            out[i] = min(1.0, known)
         return out
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the mean probability that its positions give the pooled choice."""
         langs, scores = [UND] * len(texts), [0.0] * len(texts)
-        told = [] if self.net.langs == [UND] else [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]
-        if told:
-            pooled = self.net.text_scores([texts[i].lower().encode() for i in told])
-            for i, row, best in zip(told, pooled, pooled[:, : self.k].argmax(1).tolist(), strict=True):
-                langs[i] = self.net.langs[best]
-                scores[i] = round(float(min(1.0, row[self.k + best] / row[self.k :].sum())), 6)
+        told, pooled = self.pooled(texts)
+        for i, row, best in zip(told, pooled, pooled[:, : len(self.net.langs)].argmax(1).tolist(), strict=True):
+            langs[i] = self.net.langs[best]
+            scores[i] = round(float(min(1.0, row[self.k + best] / row[self.k :].sum())), 6)
         return langs, scores
 
 
@@ -391,10 +349,11 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, net: Network, text_col: str = "text", min_known: float = MIN_KNOWN) -> DataFrame:
-    """The documents, with all columns, that have a language and at least min_known of their letters in words of learned languages.
+    """The documents, with all columns, whose positions are in learned languages, whichever, with a mean probability of at least min_known.
 
-    Words of different learned languages count alike, so mixed texts stay; noise, encoded data and other languages go.
+    Mixed texts stay; noise, encoded data, other languages and texts without a letter go.
     """
+
     def keep(texts: list[str]) -> list[bool]:
         return [k > 0 and k >= min_known for k in _scorer(net).known(texts)]
 

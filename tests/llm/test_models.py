@@ -88,8 +88,32 @@ def test_held_out_accuracy(spark):
     assert np.mean([a == r.lang for a, r in zip(langid.Scorer(net).score(noisy)[0], long, strict=True)]) > 0.9
 
 
-def test_long_words_are_read_in_pieces():
-    assert b"".join(langid.word_pieces("x" * 100)) == b"x" * 100
+def test_network_with_texts_in_no_language(docs):
+    """The further output changes no language's name, and tells shuffled letters from texts."""
+    net = langid.fit(docs)
+    assert net.langs == ["de", "en"] and net.outputs == 3
+    texts = [r.text for r in docs.filter("doc_id < 20").collect()]
+    rng = np.random.default_rng(1)
+    mixed = ["".join(rng.permutation(list(t)).tolist()) for t in texts]
+    known = langid.Scorer(net).known(texts + mixed + ["", "123"])
+    assert min(known[:20]) > 0.8 and np.mean(known[20:40]) < 0.3 and known[40:] == [0.0, 0.0]
+    assert langid.in_no_language(texts, 3, 5000) == langid.in_no_language(texts, 3, 5000)
+
+
+def test_rare_languages_are_sampled_beside_large_ones(spark):
+    """Fifty languages of one document each beside 24 large ones; a language of mostly null texts; one whose rows have one id."""
+    rows = [(i, f"text {i}", f"large{i % 24:02}") for i in range(24 * 60)]
+    rare = [i for i in range(10_000, 10_200) if not langid.held_out(i)][:50]
+    rows += [(i, "only one", f"rare{i}") for i in rare]
+    rows += [(20_000 + i, None, "empty") for i in range(3000)] + [(30_000 + i, "words", "empty") for i in range(7)]
+    rows += [(40_000, f"copy {i % 40}", "same") for i in range(400)] + [(50_000 + i, "12 34", "digits") for i in range(9)] + [(None, "no id", "none"), (60_000, "no language", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = langid.training_rows(table, docs_per_lang=20).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in got}
+    assert {lang for lang in n if lang.startswith("rare")} == {f"rare{i}" for i in rare}
+    assert {n[f"large{k:02}"] for k in range(24)} == {20}
+    assert n["empty"] == sum(not langid.held_out(30_000 + i) for i in range(7))
+    assert not langid.held_out(40_000) and 1 <= n["same"] <= 20 and not n.keys() & {"digits", "none", None}
 
 
 def test_languages_without_training_rows(no_docs, docs):
