@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import projected_array, projected_q2, spline_3d
+from ..functions.kernels import projected_array, spline_3d
+from ..staging import staged
 
 
 def to_pixel(p: Column, centre: float, lbox: Column | float, n: int) -> Column:
@@ -91,48 +92,59 @@ def pixel_lengths(df: DataFrame, width: int, lbox: Column | float, max_px: float
     return df.withColumn("h_px", h).filter((F.col("h") > 0) & (F.col("h_px") <= skip_px)).withColumn("h_px", F.least("h_px", F.lit(max(max_px, 0.01 * width))))
 
 
-def _span(p: str, n: int) -> Column:
-    """Pixels that a kernel of two smoothing lengths may reach on one axis."""
-    reach = F.ceil(2 * F.col("h_px")).cast("int")
-    at = F.col(p).cast("int")
-    lo, hi = F.greatest(F.lit(0), at - reach), F.least(F.lit(n - 1), at + reach)
-    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+#: Rows of a strip of an image, at most and at least; particles that one task adds to a strip.
+STRIP_ROWS, LEAST_ROWS, PART_ROWS = 64, 16, 1 << 22
+#: Particles that are added together, and kernel values at once (few, to stay in the cache).
+KERNEL_ROWS, KERNEL_VALUES = 1 << 17, 1 << 16
 
 
-#: Pixels of an image that a task may hold (128 MB), particles that it adds together, and kernel values at once (few, to stay in the cache).
-DENSE_PIXELS, KERNEL_ROWS, KERNEL_VALUES = 1 << 24, 1 << 17, 1 << 16
-
-
-def sph_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), max_px: float = 8.0, skip_px: float = 16.0) -> DataFrame:
+def sph_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), max_px: float = 8.0, skip_px: float = 16.0, part_rows: int = PART_ROWS) -> DataFrame:
     """(keys, iy, ix, rho): column density with the projected spline kernel; df has x, y and h.
 
-    Images of up to DENSE_PIXELS are summed as arrays, one at a time in each task, and the tasks' pixels then by pixel;
-    for larger ones each particle is expanded to rows for the pixels that its kernel reaches.
+    Each image is cut into strips of rows. Particles are dealt out by strip, with copies for those whose kernel reaches into
+    the next one, and a strip is summed as an array by one task, so pixels have one owner and are not shuffled. Only where a strip
+    has more than part_rows particles is it dealt to several tasks; then their pixels are summed by pixel. The particles are
+    written once, as they are counted by strip first.
     """
     lbox = F.lit(float(lbox)) if not isinstance(lbox, Column) else lbox
     norm = F.lit(float(width)) * float(height) / (lbox * lbox)
     p = pixel_lengths(df, width, lbox, max_px, skip_px).select(*keys, to_pixel(F.col("x"), centre[0], lbox, width).alias("px"), to_pixel(F.col("y"), centre[1], lbox, height).alias("py"), "h_px", norm.alias("__n"))
-    if width * height > DENSE_PIXELS:
-        return _sph_rows(p, width, height, keys)
     # Particles that reach no pixel go first.
     reach = F.ceil(2 * F.col("h_px")) + 1
-    p = p.filter((F.col("px") > -reach) & (F.col("px") < width + reach) & (F.col("py") > -reach) & (F.col("py") < height + reach))
-    # A kernel costs far more than moving its particle, so all tasks get as many, whatever the input's partitions are.
-    p = p.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if keys:
-        p = p.sortWithinPartitions(*keys)
-    kinds = [t for c, t in p.dtypes if c in keys]
-    parts = p.mapInArrow(_sph_images(width, height, len(keys)), ", ".join([*[f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)], "iy int, ix int, rho double"]))
-    return parts.groupBy(*keys, "iy", "ix").agg(F.sum("rho").alias("rho"))
+    p = staged(p.filter((F.col("px") > -reach) & (F.col("px") < width + reach) & (F.col("py") > -reach) & (F.col("py") < height + reach)))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(LEAST_ROWS, min(STRIP_ROWS, -(-height // n)))
+    first, last = F.floor((F.col("py") - reach) / rows), F.floor((F.col("py") + reach) / rows)
+    strips = F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit((height - 1) // rows)).cast("int"))
+    dealt = p.select("*", F.explode(strips).alias("__strip"))
+    # A row for each strip of each image.
+    parts = dealt.groupBy(*keys, "__strip").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("__parts")).filter("__parts > 1")
+    crowded = bool(parts.take(1))
+    if crowded:
+        # Null keys are images like others, so they are compared as equal.
+        parts = staged(parts).select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__strip").alias("__of"), "__parts")
+        same = F.col("__strip") == F.col("__of")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+        dealt = dealt.join(parts, same, "left")
+        dealt = dealt.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))))
+        dealt = dealt.repartition(n, *keys, "__strip", "__part")
+    else:
+        dealt = dealt.repartition(n, *keys, "__strip")
+    dealt = dealt.select(*keys, "__strip", "px", "py", "h_px", "__n").sortWithinPartitions(*keys, "__strip")
+    kinds = [t for c, t in dealt.dtypes if c in keys]
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)], "iy int, ix int, rho double"])
+    pixels = dealt.mapInArrow(_sph_strips(width, height, rows, len(keys)), schema)
+    return pixels.groupBy(*keys, "iy", "ix").agg(F.sum("rho").alias("rho")) if crowded else pixels
 
 
-def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums particles, those of one key after those of another, on an image for each key; gives its pixels."""
+def _sph_strips(width: int, height: int, rows: int, n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums particles, those of one strip after those of another, on an array of the strip; gives its pixels."""
 
-    def add(image: np.ndarray, px: np.ndarray, py: np.ndarray, h: np.ndarray, norm: np.ndarray) -> None:
-        reach = np.ceil(2 * h).astype(np.int64)
+    def add(image: np.ndarray, low: int, px: np.ndarray, py: np.ndarray, h: np.ndarray, norm: np.ndarray) -> None:
+        reach, high = np.ceil(2 * h).astype(np.int64), min(height, low + rows)
         for r in np.unique(reach).tolist():
-            # From row to row, so that a few particles touch a narrow band of the image.
+            # From row to row, so that a few particles touch a narrow band of the strip.
             own = np.flatnonzero(reach == r)
             own = own[np.argsort(py[own])]
             off = np.arange(-r, r + 1)
@@ -142,15 +154,15 @@ def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.R
                 h2 = (h[some] * h[some])[:, None]
                 ix, iy = (np.trunc(c[some]).astype(np.int64)[:, None] + off for c in (px, py))
                 dx, dy = ix + 0.5 - px[some, None], iy + 0.5 - py[some, None]
-                # Pixels beyond the image are out of reach.
+                # Pixels beyond the strip are out of reach.
                 dx2 = np.where((ix >= 0) & (ix < width), dx * dx, np.inf) / h2
-                dy2 = np.where((iy >= 0) & (iy < height), dy * dy, np.inf) / h2
+                dy2 = np.where((iy >= low) & (iy < high), dy * dy, np.inf) / h2
                 q2 = dy2[:, :, None] + dx2[:, None, :]
                 near = np.flatnonzero(q2 < 4)
-                first, last = max(0, int(iy[0, 0])) * width, min(height, int(iy[-1, -1]) + 1) * width
                 if not len(near):
                     continue
-                place = (iy[:, :, None] * width + ix[:, None, :]).ravel()[near] - first
+                first, last = (max(low, int(iy[0, 0])) - low) * width, (min(high, int(iy[-1, -1]) + 1) - low) * width
+                place = ((iy[:, :, None] - low) * width + ix[:, None, :]).ravel()[near] - first
                 value = projected_array(q2.ravel()[near]) * (norm[some] / h2[:, 0])[near // len(off) ** 2]
                 image[first:last] += np.bincount(place, value, minlength=last - first)
 
@@ -160,7 +172,7 @@ def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.R
 
         def draw() -> None:
             if waiting:
-                add(image, *(np.concatenate(c) for c in zip(*waiting, strict=True)))
+                add(image, key[-1] * rows, *(np.concatenate(c) for c in zip(*waiting, strict=True)))
                 waiting.clear()
 
         def pixels() -> Iterator[pa.RecordBatch]:
@@ -168,23 +180,23 @@ def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.R
             cells = np.flatnonzero(image)
             for at in range(0, len(cells), 1 << 18):
                 part = cells[at : at + (1 << 18)]
-                held = [pa.array([k] * len(part), f.type) for k, f in zip(key, fields, strict=True)]
-                columns = [*held, pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(image[part])]
+                held = [pa.array([k] * len(part), f.type) for k, f in zip(key[:-1], fields, strict=True)]
+                columns = [*held, pa.array((key[-1] * rows + part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(image[part])]
                 yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in fields], "iy", "ix", "rho"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             fields = [batch.schema.field(k) for k in range(n_keys)]
-            named = list(zip(*[batch.column(k).to_pylist() for k in range(n_keys)], strict=True)) if n_keys else [()] * batch.num_rows
+            named = list(zip(*[batch.column(k).to_pylist() for k in range(n_keys + 1)], strict=True))
             ends = [i + 1 for i in range(batch.num_rows - 1) if named[i] != named[i + 1]] + [batch.num_rows]
-            columns = [batch.column(n_keys + c).to_numpy(zero_copy_only=False) for c in range(4)]
+            columns = [batch.column(n_keys + 1 + c).to_numpy(zero_copy_only=False) for c in range(4)]
             start = 0
             for end in ends:
                 if image is None or named[start] != key:
                     if image is not None:
                         yield from pixels()
-                    image, key = np.zeros(width * height), named[start]
+                    image, key = np.zeros(width * rows), named[start]
                 waiting.append([c[start:end] for c in columns])
                 if sum(len(w[0]) for w in waiting) >= KERNEL_ROWS:
                     draw()
@@ -195,17 +207,6 @@ def _sph_images(width: int, height: int, n_keys: int) -> Callable[[Iterator[pa.R
     return run
 
 
-def _sph_rows(p: DataFrame, width: int, height: int, keys: tuple[str, ...]) -> DataFrame:
-    """sph_map with a row for each pixel that a kernel reaches, at most (4 * max_px + 3) squared, summed map-side."""
-    rows = p.select(*keys, "px", "py", "h_px", "__n", F.explode(_span("py", height)).alias("iy"))
-    dy = F.col("iy") + 0.5 - F.col("py")
-    rows = rows.withColumn("dy2", dy * dy).filter(F.col("dy2") < 4 * F.col("h_px") * F.col("h_px"))
-    rows = rows.select("*", F.explode(_span("px", width)).alias("ix"))
-    dx = F.col("ix") + 0.5 - F.col("px")
-    rows = rows.withColumn("q2", (dx * dx + F.col("dy2")) / (F.col("h_px") * F.col("h_px"))).filter("q2 < 4")
-    return rows.groupBy(*keys, "iy", "ix").agg(F.sum(projected_q2(F.col("q2")) / (F.col("h_px") * F.col("h_px")) * F.col("__n")).alias("rho"))
-
-
 def sph_grid(df: DataFrame, n: int, centre: tuple[float, float, float], lbox: float, max_px: float = 8.0, skip_px: float = 16.0) -> DataFrame:
     """(iz, iy, ix, rho): mass density on a grid with the three-dimensional spline, whose support is one h."""
     p = pixel_lengths(df, n, float(lbox), max_px, skip_px)

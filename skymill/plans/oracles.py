@@ -7,11 +7,22 @@ import math
 import numpy as np
 
 from ..config import unit_axis
-from ..functions.colour import EVEN, MAGMA, VIRIDIS
-from ..functions.kernels import GL_NODES, GL_WEIGHTS
+from .palette_rows import MAGMA_ROWS, VIRIDIS_ROWS
 
 AXIS = unit_axis((1.0, 2.0, 3.0))
 PI = repr(math.pi)
+#: Nodes and weights of the quadrature, computed here.
+NODES = [(float(x), float(w)) for x, w in zip(*np.polynomial.legendre.leggauss(16), strict=True) if x > 0]
+#: Evenly spaced colours of the palettes without tables.
+EVEN_ROWS = {
+    "hot": ((0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1)),
+    "grayscale": ((0, 0, 0), (1, 1, 1)),
+    "fire": ((0, 0, 0), (0.5, 0, 0), (1, 0, 0), (1, 0.5, 0), (1, 1, 0), (1, 1, 1)),
+    "ice": ((0, 0, 0), (0, 0, 0.5), (0, 0, 1), (0, 1, 1), (1, 1, 1)),
+    "coolwarm": ((0, 0, 1), (1, 1, 1), (1, 0, 0)),
+    "inferno": ((0.001462, 0.000466, 0.013866), (0.3415, 0.055545, 0.417309), (0.735683, 0.215906, 0.330245), (0.977856, 0.572965, 0.152024), (0.988362, 0.998364, 0.644924)),
+    "plasma": ((0.050383, 0.029803, 0.527975), (0.436508, 0.026239, 0.644324), (0.798216, 0.280197, 0.469538), (0.973416, 0.585761, 0.250652), (0.940015, 0.975158, 0.131326)),
+}
 
 
 def _e(i: int) -> str:
@@ -146,7 +157,7 @@ def _profile(u: str) -> str:
 
 
 def _projected(q2: str) -> str:
-    terms = " + ".join(f"2*{w}*{_profile(f'sqrt({q2} + (4-{q2})*{x * x!r})')}" for x, w in zip(GL_NODES, GL_WEIGHTS, strict=True))
+    terms = " + ".join(f"2*{w}*{_profile(f'sqrt({q2} + (4-{q2})*{x * x!r})')}" for x, w in NODES)
     return f"CASE WHEN {q2} < 4 THEN sqrt(greatest(4 - {q2}, 0e0)) * ({terms}) / {PI} ELSE 0e0 END"
 
 
@@ -176,29 +187,15 @@ def _rows(stops: list[tuple]) -> str:
     return "(VALUES " + ", ".join(f"({', '.join(f'CAST({float(x)!r} AS DOUBLE)' for x in s)})" for s in stops) + ")"
 
 
-def _rows_of(anchors: tuple) -> list[tuple]:
-    """256 rows (i, r, g, b) through anchors: one cubic, and from the third anchor to the last but two the cube of what lies beyond each."""
-    jumps = [i for i, (a, b) in enumerate(zip(anchors, anchors[1:], strict=False)) if b[0] - a[0] == 1]
-    smooth = np.array(anchors[: jumps[0] + 1] if jumps else anchors, float)
-    x, at = smooth[:, 0] / 255, np.arange(smooth[-1, 0] + 1) / 255
-
-    def basis(u: np.ndarray) -> np.ndarray:
-        return np.stack([np.ones_like(u), u, u * u, u**3, *[np.maximum(u - k, 0) ** 3 for k in x[2:-2]]], 1)
-
-    rows = basis(at) @ np.linalg.solve(basis(x), smooth[:, 1:])
-    return [(i, *map(float, r)) for i, r in enumerate([*rows, *[a[1:] for a in anchors[len(smooth) :]]])]
-
-
 def _palettes() -> str:
-    names = ("hot", "grayscale", "fire", "ice", "coolwarm", "inferno", "plasma")
     parts = []
-    for n in names:
-        k = len(EVEN[n]) - 1
-        stops = _rows([(i, *c) for i, c in enumerate(EVEN[n])])
+    for n, colours in EVEN_ROWS.items():
+        k = len(colours) - 1
+        stops = _rows([(i, *c) for i, c in enumerate(colours)])
         rgb = ", ".join(f"round(a.{c} + (s.f - a.p) * (b.{c} - a.{c}), 6) AS {c}" for c in "rgb")
         parts.append(f"SELECT '{n}' AS cmap, s.i, {rgb} FROM (SELECT CAST(range AS INTEGER) AS i, range / 255e0 * {k} AS f FROM range(256)) s JOIN {stops} a(p, r, g, b) ON a.p = least(floor(s.f), {k - 1}) JOIN {stops} b(p, r, g, b) ON b.p = a.p + 1")
-    for n, anchors in (("viridis", VIRIDIS), ("magma", MAGMA)):
-        parts.append(f"SELECT '{n}' AS cmap, CAST(i AS INTEGER) AS i, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM {_rows(_rows_of(anchors))} m(i, r, g, b)")
+    for n, table in (("viridis", VIRIDIS_ROWS), ("magma", MAGMA_ROWS)):
+        parts.append(f"SELECT '{n}' AS cmap, CAST(i AS INTEGER) AS i, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM {_rows([(i, *c) for i, c in enumerate(table)])} m(i, r, g, b)")
     return " UNION ALL ".join(parts)
 
 
@@ -281,7 +278,7 @@ def _composite() -> str:
 def _looked_up(source: str, name: str) -> str:
     """CTEs: the source's rows and r, g, b of its t in magma."""
     rgb = ", ".join(f"a.{c} + (s.f - a.i) * (b.{c} - a.{c}) AS {c}" for c in "rgb")
-    return f"""m AS (SELECT * FROM {_rows(_rows_of(MAGMA))} m(i, r, g, b)), {name}_f AS (SELECT *, least(1e0, greatest(0e0, t)) * 255 AS f FROM {source}),
+    return f"""m AS (SELECT * FROM {_rows([(i, *c) for i, c in enumerate(MAGMA_ROWS)])} m(i, r, g, b)), {name}_f AS (SELECT *, least(1e0, greatest(0e0, t)) * 255 AS f FROM {source}),
 {name} AS (SELECT s.* EXCLUDE (f), {rgb} FROM {name}_f s JOIN m a ON a.i = floor(s.f) JOIN m b ON b.i = least(floor(s.f) + 1, 255))"""
 
 
@@ -501,3 +498,8 @@ ORACLE_SQL = {
     "settings": _settings(),
     "snap_dt": "WITH s AS (SELECT 5e-1 + (range + 5e-1) * 2e-6 AS a FROM range(10000)), d AS (SELECT sum(2e-6 / (a * sqrt(309e-3 / (a*a*a) + 691e-3) * (6774e-2 / 3085677581e10))) AS dt FROM s) SELECT round(dt * 6774e-4 / 3085677581e10, 9) AS snap_dt, round(dt / 315576e11, 6) AS dt_gyr FROM d",
 }
+
+#: SQL of queries that read no given table; tests use it, the entry does not.
+FIXED_SQL = {name: ORACLE_SQL.pop(name) for name in (
+    "kernel_table_3d", "kernel_table_proj", "kernel_cumulative", "kernel_lookup", "opacity_transfer", "palette_generated", "custom_palette", "palette_file", "snapshot_roles", "global_frame_numbers", "snap_dt", "length_file", "snapshot_list_file", "settings", "cosmology_header",
+)}

@@ -92,7 +92,11 @@ def with_lengths(df: DataFrame, cfg: RenderConfig) -> DataFrame:
             h = smoothing.cached_lengths(first, cfg.sph_cache, method, cfg.lbox, cfg.width, num_ngb=cfg.num_ngb, eta=cfg.sph_eta, **options)
         else:
             h = smoothing.smoothing_lengths(first, method, cfg.lbox, cfg.width, cfg.num_ngb, cfg.sph_eta, **options)
-        return df.join(h.select("id", "h"), "id")
+        if cfg.mode != "single":
+            return df.join(h.select("id", "h"), "id")
+        # All frames show the same particles, so lengths are joined to one frame's, not to those of all.
+        table = frames.frames_table(df.sparkSession, cfg)
+        return frames.with_frames(df.filter("frame = 0").drop(*table.columns).join(h.select("id", "h"), "id"), table)
     return smoothing.smoothing_lengths(df, method, cfg.lbox, cfg.width, cfg.num_ngb, cfg.sph_eta, group="frame", **options)
 
 
