@@ -454,6 +454,11 @@ ORACLE_SQL = {
     "kernel_table_proj": _table(2.0, _projected("(u*u)")),
     "kernel_cumulative": _table(2.0, f"(CASE WHEN u < 1 THEN u - 5e-1*u*u*u + 1875e-4*u*u*u*u WHEN u < 2 THEN 6875e-4 + 2*u - 15e-1*u*u + 5e-1*u*u*u - u*u*u*u/16 - 9375e-4 ELSE 75e-2 END) / {PI}"),
     "h_band_histogram": f"WITH {WITH_H}, b AS (SELECT h * 64 AS px FROM lengths) SELECT CASE WHEN px <= 0 THEN 'zero' WHEN px < 2 THEN 'below 2' WHEN px < 8 THEN '2 to 8' WHEN px <= 16 THEN '8 to 16' ELSE 'above 16' END AS band, count(*) AS n, CAST(sum(CASE WHEN px > 0 THEN pow(2 * ceil(2 * px) + 1, 2) ELSE 0 END) AS BIGINT) AS pixel_writes FROM b GROUP BY ALL",
+    "sph_line_item_frames": f"""WITH {LI}, z AS (SELECT CAST(f.range AS INTEGER) AS frame, pow(5e-1, f.range) AS lbox, x, y, (1 + ptype % 2) * 8e-4 AS h FROM particles_li, range(2) f),
+p AS (SELECT frame, (x - 5e-1) * 768 / lbox + 384 AS px, (y - 5e-1) * 768 / lbox + 384 AS py, h * 768 / lbox AS hp FROM z),
+q AS (SELECT frame, CAST(trunc(py) + b.range AS INTEGER) AS iy, CAST(trunc(px) + a.range AS INTEGER) AS ix, px, py, hp FROM p JOIN range(-6, 7) a ON abs(a.range) <= ceil(2 * hp) JOIN range(-6, 7) b ON abs(b.range) <= ceil(2 * hp)),
+r AS (SELECT frame, iy, ix, hp, ((ix + 5e-1 - px)*(ix + 5e-1 - px) + (iy + 5e-1 - py)*(iy + 5e-1 - py)) / (hp*hp) AS q2 FROM q WHERE ix BETWEEN 0 AND 767 AND iy BETWEEN 0 AND 767)
+SELECT * FROM (SELECT frame, iy // 8 AS iy, ix // 8 AS ix, round(sum(({_projected('q2')}) / (hp*hp)), 4) AS mass FROM r WHERE q2 < 4 GROUP BY ALL) WHERE mass > 0""",
     "sph_density_map": f"WITH {WITH_H}, p AS (SELECT x * 64 AS px, y * 64 AS py, least(h * 64, 8e0) AS hp FROM lengths WHERE h > 0 AND h * 64 <= 16), g AS (SELECT CAST(a.range AS INTEGER) AS iy, CAST(b.range AS INTEGER) AS ix FROM range(64) a, range(64) b), q AS (SELECT iy, ix, hp, ((ix + 5e-1 - px)*(ix + 5e-1 - px) + (iy + 5e-1 - py)*(iy + 5e-1 - py)) / (hp*hp) AS q2 FROM p JOIN g ON abs(ix - trunc(px)) <= ceil(2*hp) AND abs(iy - trunc(py)) <= ceil(2*hp)) SELECT * FROM (SELECT iy, ix, round(sum(({_projected('q2')}) / (hp*hp) * 4096), 4) AS rho FROM q WHERE q2 < 4 GROUP BY ALL) WHERE rho > 0",
     "sph_3d_map": f"WITH {WITH_H}, p AS (SELECT x * 24 AS px, y * 24 AS py, z * 24 AS pz, least(h * 24, 8e0) AS hp FROM lengths WHERE h > 0 AND h * 24 <= 16), g AS (SELECT CAST(a.range AS INTEGER) AS iz, CAST(b.range AS INTEGER) AS iy, CAST(c.range AS INTEGER) AS ix FROM range(24) a, range(24) b, range(24) c), q AS (SELECT iz, iy, ix, hp, sqrt((ix + 5e-1 - px)*(ix + 5e-1 - px) + (iy + 5e-1 - py)*(iy + 5e-1 - py) + (iz + 5e-1 - pz)*(iz + 5e-1 - pz)) / hp AS u FROM p JOIN g ON abs(ix + 5e-1 - px) <= hp AND abs(iy + 5e-1 - py) <= hp AND abs(iz + 5e-1 - pz) <= hp) SELECT * FROM (SELECT iz, iy, ix, round(sum({_spline('u')} / (hp*hp*hp)), 4) AS rho FROM q WHERE u < 1 GROUP BY ALL) WHERE rho > 0",
     "image_range_report": f"{LI_MAP}, m AS (SELECT count_if(rho > 0) AS n_positive, max(rho) AS mx, min(CASE WHEN rho > 0 THEN rho END) AS mn, sum(rho) / 4096 AS mean FROM img) SELECT CAST(n_positive AS BIGINT) AS n_positive, round(mx, 4) AS max_rho, round(mn, 4) AS min_positive, round(mean, 4) AS mean_rho, (SELECT CAST(count_if(rho > 1e-6 * mx) AS BIGINT) FROM img) AS n_above_floor FROM m",
@@ -485,6 +490,10 @@ ORACLE_SQL = {
     "hdf5_headers": HEADERS,
     "cosmology_header": "SELECT 8e-1 AS a, 68e0 AS h0, 31e-2 AS omega_m, 69e-2 AS omega_lambda, 68e-2 AS h",
     "snapshot_render_steps": _render_steps(),
+    "sequence_probe_levels": f"""WITH {EMB}, {SNAP_B}, {SNAP_P}, s AS (SELECT 0 AS frame, x, y, z FROM snap_p UNION ALL SELECT 2, x, y, z FROM particles_emb UNION ALL SELECT 4, x, y, z FROM snap_b),
+u AS (SELECT frame, {', '.join(f"5e-1 + {_image_of(f'({a} - 5e-1)')} AS {a}" for a in 'xyz')} FROM s WHERE {' AND '.join(f"abs(2 * ({_image_of(f'({a} - 5e-1)')})) < 1" for a in 'xyz')}),
+{_cic('img', 'u', 32, keys='frame')}, {_levels('img', 'frame')}, r AS (SELECT *, row_number() OVER (ORDER BY vmin) - 1 AS i, row_number() OVER (ORDER BY vmax) - 1 AS j, count(*) OVER () AS k FROM lv)
+SELECT round(max(CASE WHEN i = floor(5e-2 * (k - 1)) THEN vmin END), 6) AS vmin, round(max(CASE WHEN j = floor(95e-2 * (k - 1)) THEN vmax END), 6) AS vmax FROM r""",
     "sequence_hermite": _sequence(),
     "length_file": "SELECT CAST(range AS INTEGER) AS i, round(CAST(CAST(5e-1 / (range + 3) AS FLOAT) AS DOUBLE), 6) AS h FROM range(101)",
     "snapshot_list_file": "SELECT * FROM (VALUES (0, 'run/snap_000'), (1, 'run/snap_001'), (2, 'run/snap_002')) s(seq, root)",

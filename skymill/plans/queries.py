@@ -20,7 +20,7 @@ from ..sources.files import locate
 from ..sources.hdf5 import read_cosmology
 from ..sources.snapshots import read_header, read_lengths, read_particles, snapshot_list, write_lengths
 from ..staging import folder, staged
-from .render import finish, gray_pixels, load, sequence_particles
+from .render import finish, gray_pixels, load, probed_levels, sequence_particles
 
 MID = (0.5, 0.5, 0.5)
 AXIS = unit_axis((1.0, 2.0, 3.0))
@@ -246,6 +246,16 @@ def sph_density_map(spark, d):
     return _image(deposit.sph_map(_with_h(spark, d), SIDE, SIDE, MID[:2], 1.0))
 
 
+def sph_line_item_frames(spark, d):
+    """Kernels of all line items on two zoomed images of 768 by 768 pixels, as mass in blocks of 8 by 8 pixels."""
+    table = frames.frames_table(spark, RenderConfig(zoom=2, zoom_factor=0.5, lbox=1.0))
+    p = particles_li(spark, d).withColumn("h", (F.col("ptype") % 2 + 1) * F.lit(8e-4))
+    pixels = deposit.sph_map(frames.with_frames(p, table), 768, 768, MID[:2], F.col("lbox"), ("frame",))
+    blocks = pixels.groupBy("frame", F.floor(F.col("iy") / 8).cast("int").alias("iy"), F.floor(F.col("ix") / 8).cast("int").alias("ix"))
+    mass = F.sum("rho") / (768 * 768) * F.pow(F.lit(0.25), F.col("frame"))
+    return _round(blocks.agg(mass.alias("mass")), 4, "mass").filter("mass > 0").select("frame", "iy", "ix", "mass")
+
+
 def sph_3d_map(spark, d):
     return _round(deposit.sph_grid(_with_h(spark, d), 24, MID, 1.0), 4, "rho").filter("rho > 0")
 
@@ -440,6 +450,13 @@ def sequence_hermite(spark, d):
     return _round(df, 6, *AXES).select("id", "frame", *AXES)
 
 
+def sequence_probe_levels(spark, d):
+    """Levels of a sequence of four snapshots from the first frame of each interval."""
+    tables = {"p": snap_p, "a": snap_a, "b": snap_b, "n": snap_n}
+    cfg = RenderConfig(itmax=3, lbox=1.0, mask=-1, width=32, height=32, xc=0.5, yc=0.5, zc=0.5, auto_pct_lo=0.1, auto_pct_hi=1.0)
+    return _round(probed_levels(spark, cfg, ["p", "a", "b", "n"], "hermite", 1.0, lambda s, root, hdf5, columns: tables[root](s, d)), 6, "vmin", "vmax")
+
+
 def length_file(spark, d):
     """Smoothing lengths by number, through a length file."""
     path = f"{folder(spark)}/lengths"
@@ -545,9 +562,9 @@ QUERIES = {
     for f in (
         cic_density_map, type_mask_select, view_cube_select, view_cube_clustered, type_counts_rollup, type_boundaries, missing_types, bbox, wrap_positions, velocity_extrapolate, id_match_left, id_match_count, hermite_two_snap, hermite_frames,
         catmull_three_snap, catmull_four_snap, rotate_frames, zoom_frames, cic_map_compat, cic_3d_grid, grid_box_mean, grid_smoothing_length, knn_smoothing_length, leaf_smoothing_length, leaf_first_splits, radius_neighbours, kde_density,
-        nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, h_band_histogram, sph_density_map, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
+        nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, h_band_histogram, sph_density_map, sph_line_item_frames, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
         inpaint_full, normalise_log, normalise_linear, palette_lookup_magma, composite_rgba, render_png, slab_histogram, slab_splits, slab_assign,
-        global_levels, full_render, gadget_particles, hdf5_particles, hdf5_types_and_columns, gadget_headers, hdf5_headers, snapshot_render_steps, sequence_hermite,
+        global_levels, full_render, gadget_particles, hdf5_particles, hdf5_types_and_columns, gadget_headers, hdf5_headers, snapshot_render_steps, sequence_hermite, sequence_probe_levels,
         pnm_pixels, gray_picture, pixel_lengths, box_distances, sorted_ids,
     )
 }

@@ -157,27 +157,53 @@ def sequence_frames(spark: SparkSession, cfg: RenderConfig, intervals: int) -> D
     return kept.withColumn("frame", (F.col("frame") + F.col("interval") * (cfg.itmax - 1)).cast("int"))
 
 
-def sequence_particles(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode: str, box: float, read=read_particles) -> DataFrame:
-    """Selected particles of every frame of a sequence, as particles_in_frames: the interval is a column, so all intervals are one match and one job."""
+def sequence_particles(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode: str, box: float, read=read_particles, only: list[int] | None = None) -> DataFrame:
+    """Selected particles of every frame of a sequence, as particles_in_frames: the interval is a column, so all intervals are one match and one job.
+
+    only: places of frames in their interval; the others are left out.
+    """
     parts = [read(spark, root, cfg.isHDF5, ("id", "ptype", *AXES)).select("id", "ptype", *AXES, F.lit(i).alias("place")) for i, root in enumerate(roots)]
     every = reduce(DataFrame.unionByName, parts)
     names, count = ROLES[mode], len(roots) - len(ROLES[mode]) + 1
     role = {n: every.withColumn("interval", F.col("place") - k).filter(F.col("interval").between(0, count - 1)).drop("place") for k, n in enumerate(names)}
     a = role.pop("a").filter(select.type_filter(cfg.mask))
-    matched = interpolate.match_by_id(a, ("id", "interval"), **role).join(F.broadcast(sequence_frames(spark, cfg, count)), "interval")
+    table = sequence_frames(spark, cfg, count)
+    if only is not None:
+        table = table.filter((F.col("frame") - F.col("interval") * (cfg.itmax - 1)).isin(only))
+    matched = interpolate.match_by_id(a, ("id", "interval"), **role).join(F.broadcast(table), "interval")
     t, centre = F.col("t"), (cfg.xc, cfg.yc, cfg.zc)
     df = interpolate.hermite(matched, t, box) if mode == "hermite" else interpolate.catmull_rom(matched, t, box, "n" in names)
     df = df.filter(select.cube_filter(centre, cfg.lbox, box))
     return df if cfg.compat else select.unwrap_to_view(df, centre, box)
 
 
-def render_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, mode: str = "hermite", lock: bool = True, read=read_particles) -> DataFrame:
-    """(frame, image, file) of all intervals, numbered through; lock: levels of the very first frame hold for all."""
+def probed_levels(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode: str, box: float, read=read_particles, probes: int = 1) -> DataFrame:
+    """(vmin, vmax) that hold for a whole sequence, from a pass over a few frames of each interval alone (levels.global_levels of their levels).
+
+    Each interval is looked at in `probes` frames spread over it, from its first one on. One row; null where no particle is seen.
+    """
+    moving = replace(cfg, snap_a="a", snap_b="b")
+    step = max(1, (cfg.itmax - 1) // probes)
+    at = [k for k in range(0, max(1, cfg.itmax - 1), step)][:probes]
+    seen = sequence_particles(spark, cfg, roots, mode, box, read, at)
+    options = {"log_scale": cfg.log_scale, "lo": cfg.auto_pct_lo, "hi": cfg.auto_pct_hi, "most": cfg.width * cfg.height}
+    return levels.global_levels(levels.auto_levels(density(seen, moving), **options))
+
+
+def render_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, mode: str = "hermite", lock: bool = True, read=read_particles, probes: int = 0) -> DataFrame:
+    """(frame, image, file) of all intervals, numbered through; lock: levels of the very first frame hold for all.
+
+    probes: if not 0, levels come from that many frames of each interval before anything is drawn (probed_levels), and hold for all.
+    """
     roots = [r["root"] for r in snaps.orderBy("seq").collect()]  # a row for each snapshot
     if len(roots) < len(ROLES[mode]):
         raise ValueError("the list has too few snapshots for this mode")
     cfg, box = in_snapshot_units(spark, cfg, roots[ROLES[mode].index("a")])
     moving = replace(cfg, snap_a="a", snap_b="b", lock_levels=lock or cfg.lock_levels)
+    if probes:
+        found = probed_levels(spark, cfg, roots, mode, box, read, probes).first()  # one row
+        if found and found["vmin"] is not None:
+            moving = replace(moving, auto_levels=False, vmin=found["vmin"], vmax=found["vmax"])
     pixels = density(sequence_particles(spark, cfg, roots, mode, box, read), moving)
     images = render_images(finish(pixels, moving), cfg.width, cfg.height, empty_colour(spark, cfg))
     return name_frames(images, cfg.output or "frame")

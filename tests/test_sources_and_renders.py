@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skymill import __main__ as cli
 from skymill.config import RenderConfig
-from skymill.operators import select
+from skymill.operators import levels, select
 from skymill.plans import render
 from skymill.sinks import images
 from skymill.sources import files, gadget, h5file, hdf5, snapshots
@@ -305,6 +305,34 @@ def test_sequence_equals_its_intervals(spark, parquet_snapshots, mode, more):
             assert (images.decode_png(got[2 * i + frame]) == images.decode_png(alone[frame])).all()
 
 
+@pytest.mark.parametrize("probes", [1, 2])
+def test_levels_of_a_probe_hold_for_a_sequence(spark, parquet_snapshots, probes):
+    """The pictures are those of fixed levels, which come from the probed frames alone."""
+    cfg = base(itmax=5)
+    snaps = spark.createDataFrame(list(enumerate(parquet_snapshots)), "seq int, root string")
+    every = render.density(render.sequence_particles(spark, cfg, parquet_snapshots, "hermite", 1.0), replace(cfg, snap_a="a", snap_b="b"))
+    at = [0, 2][:probes]
+    some = every.filter((F.col("frame") < 4 * (len(parquet_snapshots) - 1)) & (F.col("frame") % 4).isin(at))
+    own = levels.auto_levels(some, cfg.log_scale, cfg.auto_pct_lo, cfg.auto_pct_hi).collect()
+    assert len(own) == probes * (len(parquet_snapshots) - 1)
+    found = render.probed_levels(spark, cfg, parquet_snapshots, "hermite", 1.0, probes=probes).first()
+    low, high = sorted(r.vmin for r in own), sorted(r.vmax for r in own)
+    assert found.vmin == pytest.approx(low[int(0.05 * (len(low) - 1))]) and found.vmax == pytest.approx(high[int(0.95 * (len(high) - 1))])
+    got = {r.frame: bytes(r.image) for r in render.render_sequence(spark, cfg, snaps, "hermite", probes=probes).collect()}
+    fixed = replace(cfg, auto_levels=False, vmin=found.vmin, vmax=found.vmax)
+    want = {r.frame: bytes(r.image) for r in render.render_sequence(spark, fixed, snaps, "hermite", lock=False).collect()}
+    assert got == want and len(got) == 4 * (len(parquet_snapshots) - 1) + 1
+
+
+def test_lengths_are_joined_to_one_frame(spark, parquet_snapshots):
+    """Particles of all frames are not shuffled by id: the cross join with frames lies above that join."""
+    df, cfg, _ = render.load(spark, base(input=parquet_snapshots[0], kernel_smoothing=True, h_method="knn", num_ngb=8, rot_dangle=30.0, itmax=4))
+    plan = render.with_lengths(df, cfg)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {kind: min(len(line) - len(line.lstrip(" :+-|")) for line in plan if f"Join {kind}" in line) for kind in ("Cross", "Inner")}
+    assert depth["Cross"] < depth["Inner"]
+    assert render.with_lengths(df, cfg).count() == df.count()
+
+
 def test_files_and_command_line(spark, parquet_snapshots, tmp_path):
     out = str(tmp_path / "img" / "f")
     cli.main(["-input", parquet_snapshots[0], "-output", out, "-lbox", "1", "-all_types", "-width", "12", "-height", "10"])
