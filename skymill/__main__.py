@@ -1,26 +1,33 @@
-"""python -m skymill -input snapshot.parquet -output frame -lbox 1 ...; -sequence list.txt renders a list of snapshots."""
+"""python -m skymill -input snapshot.parquet -output frame -lbox 1 ...; -sequence list.txt renders a list of snapshots.
+
+-bucketed folder: with -sequence the list is first written there as one table bucketed by id; alone, what lies there is rendered.
+"""
 
 import sys
 
 from pyspark.sql import SparkSession
 
 from .config import parse_arguments
-from .plans.render import render_sequence, render_to_files
+from .plans.render import bucket_sequence, render_sequence, render_to_files
+from .sources.bucketed import open_bucketed
 from .sources.snapshots import register, snapshot_list
 
 
 def main(argv: list[str]) -> None:
-    sequence, mode = None, "hermite"
-    for flag in ("-sequence", "-mode"):
+    own = {"-sequence": None, "-mode": "hermite", "-bucketed": None}
+    for flag in own:
         if flag in argv:
             i = argv.index(flag)
-            sequence, mode = (argv[i + 1], mode) if flag == "-sequence" else (sequence, argv[i + 1])
-            argv = argv[:i] + argv[i + 2 :]
+            own[flag], argv = argv[i + 1], argv[:i] + argv[i + 2 :]
+    sequence, mode, bucketed = own.values()
     cfg = parse_arguments(argv)
     spark = SparkSession.builder.appName("skymill").getOrCreate()
     register(spark)
-    if sequence:
-        images = render_sequence(spark, cfg, snapshot_list(spark, sequence), mode)
+    if sequence or bucketed:
+        snaps = snapshot_list(spark, sequence) if sequence else None
+        if bucketed and sequence:
+            bucket_sequence(spark, cfg, snaps, bucketed)
+        images = render_sequence(spark, cfg, open_bucketed(spark, bucketed) if bucketed else snaps, mode)
         images.select("file", "image").write.format("skymill_images").mode("append").save()
     else:
         render_to_files(spark, cfg)

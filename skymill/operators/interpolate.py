@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AXES, minimum_image, wrap_position
@@ -29,6 +29,23 @@ def match_by_id(a: DataFrame, keys: tuple[str, ...] = ("id",), **others: DataFra
     return out.withColumns({f"has_{name}": F.coalesce(f"has_{name}", F.lit(False)) for name in others})
 
 
+def match_in_order(rows: DataFrame, **steps: int) -> DataFrame:
+    """As match_by_id, from one table of all snapshots (id, place, x, y, z) with one row for each id and place at most.
+
+    steps: how many snapshots behind a row's own (before it, if negative) each other one lies. Rows look along their own id, so the
+    table is read once, and stays where it is if it is bucketed by id. An id has as many rows as there are snapshots.
+    """
+    along = Window.partitionBy("id").orderBy("place")
+    reach = sorted({k if step > 0 else -k for step in steps.values() for k in range(1, abs(step) + 1)})
+    seen = rows.withColumns({f"__at{k}": F.lead(F.struct("place", *AXES), k).over(along) for k in reach})
+    out = {}
+    for name, step in steps.items():
+        near = [F.col(f"__at{k if step > 0 else -k}") for k in range(1, abs(step) + 1)]
+        found = F.coalesce(*[F.when(s["place"] == F.col("place") + step, s) for s in near])
+        out |= {f"{c}_{name}": found[c] for c in AXES} | {f"has_{name}": found.isNotNull()}
+    return seen.withColumns(out).drop(*[f"__at{k}" for k in reach])
+
+
 def hermite_basis(t: Column) -> tuple[Column, Column, Column, Column]:
     """Weights of start, start slope, end and end slope."""
     t2, t3 = t * t, t * t * t

@@ -495,6 +495,7 @@ u AS (SELECT frame, {', '.join(f"5e-1 + {_image_of(f'({a} - 5e-1)')} AS {a}" for
 {_cic('img', 'u', 32, keys='frame')}, {_levels('img', 'frame')}, r AS (SELECT *, row_number() OVER (ORDER BY vmin) - 1 AS i, row_number() OVER (ORDER BY vmax) - 1 AS j, count(*) OVER () AS k FROM lv)
 SELECT round(max(CASE WHEN i = floor(5e-2 * (k - 1)) THEN vmin END), 6) AS vmin, round(max(CASE WHEN j = floor(95e-2 * (k - 1)) THEN vmax END), 6) AS vmax FROM r""",
     "sequence_hermite": _sequence(),
+    "sequence_bucketed": _sequence(),
     "length_file": "SELECT CAST(range AS INTEGER) AS i, round(CAST(CAST(5e-1 / (range + 3) AS FLOAT) AS DOUBLE), 6) AS h FROM range(101)",
     "snapshot_list_file": "SELECT * FROM (VALUES (0, 'run/snap_000'), (1, 'run/snap_001'), (2, 'run/snap_002')) s(seq, root)",
     "palette_file": _palette_file(),

@@ -13,9 +13,11 @@ from ..config import RenderConfig, parse_arguments, unit_axis
 from ..functions import colour, cosmology, kernels, sql
 from ..operators import deposit, frames, interpolate, levels, neighbours, octree, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
+from ..sinks.bucketed import write_bucketed
 from ..sinks.clustered import write_clustered
 from ..sinks.images import decode_png, render_images
 from ..sinks.snapshots import write_snapshot
+from ..sources.bucketed import open_bucketed
 from ..sources.files import locate
 from ..sources.hdf5 import read_cosmology
 from ..sources.snapshots import read_header, read_lengths, read_particles, snapshot_list, write_lengths
@@ -450,6 +452,14 @@ def sequence_hermite(spark, d):
     return _round(df, 6, *AXES).select("id", "frame", *AXES)
 
 
+def sequence_bucketed(spark, d):
+    """The same frames from the four snapshots in one table bucketed by id, which is read once and matched where it lies."""
+    path = f"{folder(spark)}/sequence"
+    write_bucketed([t(spark, d) for t in (snap_p, snap_a, snap_b, snap_n)], path, 1.0, 8)
+    df = sequence_particles(spark, RenderConfig(itmax=3, lbox=1.0, mask=-1), open_bucketed(spark, path), "hermite", 1.0)
+    return _round(df, 6, *AXES).select("id", "frame", *AXES)
+
+
 def sequence_probe_levels(spark, d):
     """Levels of a sequence of four snapshots from the first frame of each interval."""
     tables = {"p": snap_p, "a": snap_a, "b": snap_b, "n": snap_n}
@@ -564,7 +574,7 @@ QUERIES = {
         catmull_three_snap, catmull_four_snap, rotate_frames, zoom_frames, cic_map_compat, cic_3d_grid, grid_box_mean, grid_smoothing_length, knn_smoothing_length, leaf_smoothing_length, leaf_first_splits, radius_neighbours, kde_density,
         nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, h_band_histogram, sph_density_map, sph_line_item_frames, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
         inpaint_full, normalise_log, normalise_linear, palette_lookup_magma, composite_rgba, render_png, slab_histogram, slab_splits, slab_assign,
-        global_levels, full_render, gadget_particles, hdf5_particles, hdf5_types_and_columns, gadget_headers, hdf5_headers, snapshot_render_steps, sequence_hermite, sequence_probe_levels,
+        global_levels, full_render, gadget_particles, hdf5_particles, hdf5_types_and_columns, gadget_headers, hdf5_headers, snapshot_render_steps, sequence_hermite, sequence_bucketed, sequence_probe_levels,
         pnm_pixels, gray_picture, pixel_lengths, box_distances, sorted_ids,
     )
 }

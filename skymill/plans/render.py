@@ -13,7 +13,9 @@ from ..config import RenderConfig, types_of
 from ..functions.colour import byte, colour_pixels
 from ..operators import deposit, frames, interpolate, levels, select, smoothing
 from ..schema import AXES
+from ..sinks.bucketed import write_bucketed
 from ..sinks.images import name_frames, render_images
+from ..sources.bucketed import Bucketed
 from ..sources.snapshots import box_size, header_counts, read_header, read_particles
 from ..staging import staged
 
@@ -157,27 +159,54 @@ def sequence_frames(spark: SparkSession, cfg: RenderConfig, intervals: int) -> D
     return kept.withColumn("frame", (F.col("frame") + F.col("interval") * (cfg.itmax - 1)).cast("int"))
 
 
-def sequence_particles(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode: str, box: float, read=read_particles, only: list[int] | None = None) -> DataFrame:
+def stored_matches(store: Bucketed, names: tuple[str, ...], mask: int) -> DataFrame:
+    """As the match of a sequence's snapshots by id, from a table that is bucketed by id: no row moves but repeated ids and rows without one."""
+    start, count = names.index("a"), store.places - len(names) + 1
+    interval = F.col("place") - start
+    shown = interval.between(0, count - 1) & select.type_filter(mask)
+    steps = {n: k - start for k, n in enumerate(names) if n != "a"}
+    matched = interpolate.match_in_order(store.named, **steps).filter(shown).withColumn("interval", interval).drop("place")
+    if store.rest is None:
+        return matched
+    others = {n: store.named.withColumn("interval", F.col("place") - names.index(n)).drop("place") for n in steps}
+    rest = store.rest.filter(shown).withColumn("interval", interval).drop("place")
+    return matched.unionByName(interpolate.match_by_id(rest, ("id", "interval"), **others))
+
+
+def sequence_particles(spark: SparkSession, cfg: RenderConfig, roots: list[str] | Bucketed, mode: str, box: float, read=read_particles, only: list[int] | None = None) -> DataFrame:
     """Selected particles of every frame of a sequence, as particles_in_frames: the interval is a column, so all intervals are one match and one job.
 
+    roots: names of snapshots, or all of them in one table bucketed by id, which then is read once and not shuffled.
     only: places of frames in their interval; the others are left out.
     """
-    parts = [read(spark, root, cfg.isHDF5, ("id", "ptype", *AXES)).select("id", "ptype", *AXES, F.lit(i).alias("place")) for i, root in enumerate(roots)]
-    every = reduce(DataFrame.unionByName, parts)
-    names, count = ROLES[mode], len(roots) - len(ROLES[mode]) + 1
-    role = {n: every.withColumn("interval", F.col("place") - k).filter(F.col("interval").between(0, count - 1)).drop("place") for k, n in enumerate(names)}
-    a = role.pop("a").filter(select.type_filter(cfg.mask))
+    names = ROLES[mode]
+    if isinstance(roots, Bucketed):
+        count = roots.places - len(names) + 1
+        found = stored_matches(roots, names, cfg.mask)
+    else:
+        count = len(roots) - len(names) + 1
+        found = _read_matches(spark, cfg, roots, names, read)
     table = sequence_frames(spark, cfg, count)
     if only is not None:
         table = table.filter((F.col("frame") - F.col("interval") * (cfg.itmax - 1)).isin(only))
-    matched = interpolate.match_by_id(a, ("id", "interval"), **role).join(F.broadcast(table), "interval")
+    matched = found.join(F.broadcast(table), "interval")
     t, centre = F.col("t"), (cfg.xc, cfg.yc, cfg.zc)
     df = interpolate.hermite(matched, t, box) if mode == "hermite" else interpolate.catmull_rom(matched, t, box, "n" in names)
     df = df.filter(select.cube_filter(centre, cfg.lbox, box))
     return df if cfg.compat else select.unwrap_to_view(df, centre, box)
 
 
-def probed_levels(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode: str, box: float, read=read_particles, probes: int = 1) -> DataFrame:
+def _read_matches(spark: SparkSession, cfg: RenderConfig, roots: list[str], names: tuple[str, ...], read) -> DataFrame:
+    """Each interval's particles with their positions in its other snapshots."""
+    parts = [read(spark, root, cfg.isHDF5, ("id", "ptype", *AXES)).select("id", "ptype", *AXES, F.lit(i).alias("place")) for i, root in enumerate(roots)]
+    every = reduce(DataFrame.unionByName, parts)
+    count = len(roots) - len(names) + 1
+    role = {n: every.withColumn("interval", F.col("place") - k).filter(F.col("interval").between(0, count - 1)).drop("place") for k, n in enumerate(names)}
+    a = role.pop("a").filter(select.type_filter(cfg.mask))
+    return interpolate.match_by_id(a, ("id", "interval"), **role)
+
+
+def probed_levels(spark: SparkSession, cfg: RenderConfig, roots: list[str] | Bucketed, mode: str, box: float, read=read_particles, probes: int = 1) -> DataFrame:
     """(vmin, vmax) that hold for a whole sequence, from a pass over a few frames of each interval alone (levels.global_levels of their levels).
 
     Each interval is looked at in `probes` frames spread over it, from its first one on. One row; null where no particle is seen.
@@ -190,15 +219,20 @@ def probed_levels(spark: SparkSession, cfg: RenderConfig, roots: list[str], mode
     return levels.global_levels(levels.auto_levels(density(seen, moving), **options))
 
 
-def render_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, mode: str = "hermite", lock: bool = True, read=read_particles, probes: int = 0) -> DataFrame:
+def render_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame | Bucketed, mode: str = "hermite", lock: bool = True, read=read_particles, probes: int = 0) -> DataFrame:
     """(frame, image, file) of all intervals, numbered through; lock: levels of the very first frame hold for all.
 
+    snaps: (seq, root), or the snapshots themselves in a table bucketed by id (sources.bucketed).
     probes: if not 0, levels come from that many frames of each interval before anything is drawn (probed_levels), and hold for all.
     """
-    roots = [r["root"] for r in snaps.orderBy("seq").collect()]  # a row for each snapshot
-    if len(roots) < len(ROLES[mode]):
+    stored = isinstance(snaps, Bucketed)
+    roots = snaps if stored else [r["root"] for r in snaps.orderBy("seq").collect()]  # a row for each snapshot
+    if (snaps.places if stored else len(roots)) < len(ROLES[mode]):
         raise ValueError("the list has too few snapshots for this mode")
-    cfg, box = in_snapshot_units(spark, cfg, roots[ROLES[mode].index("a")])
+    if stored:
+        cfg, box = cfg.in_box_units(snaps.box).validated(), snaps.box
+    else:
+        cfg, box = in_snapshot_units(spark, cfg, roots[ROLES[mode].index("a")])
     moving = replace(cfg, snap_a="a", snap_b="b", lock_levels=lock or cfg.lock_levels)
     if probes:
         found = probed_levels(spark, cfg, roots, mode, box, read, probes).first()  # one row
@@ -209,6 +243,15 @@ def render_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, mo
     return name_frames(images, cfg.output or "frame")
 
 
+def bucket_sequence(spark: SparkSession, cfg: RenderConfig, snaps: DataFrame, path: str, read=read_particles, buckets: int | None = None) -> None:
+    """Write a list of snapshots (seq, root) as one table bucketed by id, for sequences that are rendered more than once."""
+    roots = [r["root"] for r in snaps.orderBy("seq").collect()]  # a row for each snapshot
+    if not roots:
+        raise ValueError("the list has no snapshots")
+    box = in_snapshot_units(spark, cfg, roots[0])[1]
+    write_bucketed([read(spark, root, cfg.isHDF5, ("id", "ptype", *AXES)) for root in roots], path, box, buckets)
+
+
 def gray_pixels(pixels: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """(frame, iy, ix, r, g, b, a): plain gray between two densities."""
     v = byte((F.col("rho") - low) / (high - low))
