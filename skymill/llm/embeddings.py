@@ -37,6 +37,10 @@ MIN_COSINE = 0.9
 #: Vectors in a shard at most on average, and shards at least (they are built side by side).
 SHARD_ROWS = 50_000
 MIN_SHARDS = 6
+#: Bytes of a shard's vectors at most on average; a task holds two shards, and each component in double and single precision.
+SHARD_BYTES, COMPONENT_BYTES = 128 << 20, 12
+#: Tasks of a search at most; beyond that a task compares several pairs of shards.
+PAIR_TASKS = 1 << 16
 #: Queries that search together; a multiple of 8.
 BLOCK = 256
 #: Links of a node above the lowest layer (twice as many there), and beams while building and at first for queries.
@@ -358,16 +362,41 @@ def _load(uri: str) -> tuple[SmallWorld, np.ndarray, np.ndarray, np.ndarray]:
     return graph, held["node"], held["n"], x
 
 
+def shard_count(vectors: int, components: int) -> int:
+    """Shards for that many vectors, which have that many components together: bounded in rows and in bytes."""
+    return max(MIN_SHARDS, math.ceil(vectors / SHARD_ROWS), math.ceil(components * COMPONENT_BYTES / SHARD_BYTES))
+
+
+def pair_at(number: int, n: int) -> tuple[int, int]:
+    """Pair i <= j of n things by its number, in the order (0, 0), (0, 1), ..., (1, 1), ..., (n - 1, n - 1)."""
+    behind = n * (n + 1) // 2 - 1 - number
+    rows = (math.isqrt(8 * behind + 1) - 1) // 2
+    return n - 1 - rows, n - 1 - (behind - rows * (rows + 1) // 2)
+
+
 def search_shards(spark: SparkSession, files: list[tuple[int, str]], min_cosine: float) -> DataFrame:
     """(a, b, n, known, found): rows (node, null, copies of other vectors linked), some for each linked node, links (a, b, null) that span all found, and for each pair of shards what its audits knew and found.
 
-    Each task compares one pair of shards, or a shard with itself.
+    A task compares pairs of shards, or shards with themselves, one after another. It gets numbers of pairs and the shards'
+    files; which pair a number means is computed there, so that pairs, which grow with the square of the shards, are no list.
     """
-    pairs = [(a, b) for i, (d, a) in enumerate(files) for e, b in files[i:] if d == e]
+    alike: dict[int, list[str]] = {}
+    for dims, file in files:
+        alike.setdefault(dims, []).append(file)
+    total = sum(len(of) * (len(of) + 1) // 2 for of in alike.values())
+
+    def pair(number: int) -> tuple[str, str]:
+        for of in alike.values():
+            own = len(of) * (len(of) + 1) // 2
+            if number < own:
+                i, j = pair_at(number, len(of))
+                return of[i], of[j]
+            number -= own
+        raise IndexError("no such pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number in (k for batch in batches for k in batch.column(0).to_pylist()):
-            names_of = pairs[number]
+            names_of = pair(number)
             same = names_of[0] == names_of[1]
             one = _load(names_of[0])
             graph, node, copies, x = one
@@ -404,7 +433,7 @@ def search_shards(spark: SparkSession, files: list[tuple[int, str]], min_cosine:
         columns = [*columns, *[None] * (5 - len(columns))]
         return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else c for c in columns], ["a", "b", "n", "known", "found"])
 
-    return spark.range(0, len(pairs), 1, max(1, len(pairs))).mapInArrow(run, "a long, b long, n long, known long, found long")
+    return spark.range(0, total, 1, min(max(1, total), PAIR_TASKS)).mapInArrow(run, "a long, b long, n long, known long, found long")
 
 
 def audited_recall(found: DataFrame) -> float | None:
@@ -425,7 +454,8 @@ def found_between(rows: DataFrame, min_cosine: float = MIN_COSINE) -> tuple[Data
     """Classes of equal vectors and what search_shards finds between them, both staged. rows: staged usable_vectors."""
     groups = rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     classes = stage_table(groups.select(F.monotonically_increasing_id().alias("node"), "first_id", "n", F.size("embedding").alias("dims"), "embedding"), "classes")
-    files = build_shards(classes, max(MIN_SHARDS, math.ceil(classes.count() / SHARD_ROWS)))
+    size = classes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("dims"), F.lit(0)).alias("components")).first()
+    files = build_shards(classes, shard_count(size["rows"], size["components"]))
     return classes, stage_table(search_shards(rows.sparkSession, files, min_cosine), "found")
 
 

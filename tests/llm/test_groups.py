@@ -187,6 +187,39 @@ def test_recall_on_planted_clusters(spark, monkeypatch):
     assert recall is not None and recall >= embeddings.MIN_RECALL
 
 
+def test_pairs_by_number():
+    for n in (1, 2, 3, 7, 50):
+        assert [embeddings.pair_at(k, n) for k in range(n * (n + 1) // 2)] == [(i, j) for i in range(n) for j in range(i, n)]
+    n = 20_000_000
+    assert embeddings.pair_at(0, n) == (0, 0) and embeddings.pair_at(n * (n + 1) // 2 - 1, n) == (n - 1, n - 1) and embeddings.pair_at(n, n) == (1, 1)
+
+
+def test_shards_are_bounded_in_rows_and_bytes():
+    assert embeddings.shard_count(0, 0) == embeddings.MIN_SHARDS
+    assert embeddings.shard_count(10**9, 64 * 10**9) == 20_000
+    assert 10**6 / embeddings.shard_count(10**6, 1024 * 10**6) * 1024 * embeddings.COMPONENT_BYTES <= embeddings.SHARD_BYTES
+
+
+def test_long_vectors_in_many_shards(spark, monkeypatch):
+    """1,024 components, more shards than rows alone would give, several pairs a task, two lengths: links as by brute force."""
+    monkeypatch.setattr(embeddings, "SHARD_BYTES", 100 * 1024 * embeddings.COMPONENT_BYTES)
+    monkeypatch.setattr(embeddings, "PAIR_TASKS", 5)
+    rng = np.random.default_rng(6)
+    x = [v for _ in range(200) for c in [rng.normal(size=1024)] for v in (c, c + 0.3 * rng.normal(size=1024), c + 0.6 * rng.normal(size=1024), rng.normal(size=1024))]
+    x += [v[:700] for v in x[:90]]
+    assert embeddings.shard_count(len(x), sum(map(len, x))) > embeddings.MIN_SHARDS
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()}
+    near = []
+    for low, high in ((0, 800), (800, len(x))):
+        m = np.array(x[low:high])
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        near += [(low + i, low + j) for i, j in zip(*np.nonzero(np.triu(m @ m.T >= 0.9, 1)), strict=True)]
+    want = np.bincount(np.array(near).ravel(), minlength=len(x))
+    comp = components(len(x), near)
+    assert want.sum() > 400 and got == {i: (want[i], comp[i]) for i in range(len(x))}
+
+
 def test_double_precision_is_kept(spark):
     """Components beyond single precision, and pairs that only double precision tells from 0.9."""
     a = [1.0, 0.0, 0.0]
