@@ -30,7 +30,8 @@ def main(argv: list[str]) -> None:
         images = render_sequence(spark, cfg, open_bucketed(spark, bucketed) if bucketed else snaps, mode)
         images.select("file", "image").write.format("skymill_images").mode("append").save()
     else:
-        render_to_files(spark, cfg)
+        counted = render_to_files(spark, cfg)
+        print(", ".join(f"{k.removeprefix('n_')}: {v}" for k, v in counted.items() if k.startswith("n_")))
 
 
 if __name__ == "__main__":

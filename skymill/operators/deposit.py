@@ -12,7 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.kernels import projected_array, spline_3d
@@ -56,12 +56,17 @@ def _corners(moments: DataFrame, keys: tuple[str, ...], axes: list[str]) -> Data
     return moments.select(*keys, F.explode(F.array(*corners)).alias("k")).select(*keys, "k.*")
 
 
-def cic_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), compat: bool = False) -> DataFrame:
+def cic_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), compat: bool = False, seen: Observation | None = None) -> DataFrame:
     """(keys, iy, ix, rho): column density by cloud in cell; pixels without particles have no row.
 
     What falls outside the image is dropped. compat: rows beyond the upper edge, and those just below the lower one,
-    come in again from the other side.
+    come in again from the other side. seen: gets the numbers of particles, of those deposited and of those outside when the deposit runs.
     """
+    if seen is not None:
+        px, py = to_pixel(F.col("x"), centre[0], lbox, width), to_pixel(F.col("y"), centre[1], lbox, height)
+        # Cells are from the middle of one pixel to that of the next; compat takes rows from above the edge as well.
+        on = (px >= -0.5) & (px < width + 0.5) & ((py >= 0.5 - height) if compat else (py >= -0.5) & (py < height + 0.5))
+        df = df.observe(seen, *_counted(on))
     # A box length that varies is a key of its own; a fixed one is a factor at the end.
     varies = isinstance(lbox, Column)
     norm = F.lit(float(width)) * float(height) / (lbox * lbox)
@@ -86,6 +91,20 @@ def cic_grid(df: DataFrame, n: int, low: tuple[Column | float, ...], span: tuple
     return parts.filter(inside).groupBy(*keys, "iz", "iy", "ix").agg(F.sum("w").alias("rho"))
 
 
+def _counted(on: Column, length: Column | None = None, max_px: float = 8.0, skip_px: float = 16.0) -> list[Column]:
+    """Counters of a deposit. on: whether a particle reaches the image; length: in pixels, before any limit."""
+    on = F.coalesce(on, F.lit(False))
+    if length is None:
+        return [F.count(F.lit(1)).alias("n_particles"), F.count_if(on).alias("n_deposited"), F.count_if(~on).alias("n_outside")]
+    has = F.coalesce(length > 0, F.lit(False))
+    fits = has & (length <= skip_px)
+    return [
+        F.count(F.lit(1)).alias("n_particles"), F.count_if(fits & on).alias("n_deposited"), F.count_if(fits & ~on).alias("n_outside"), F.count_if(~has).alias("n_without"),
+        F.count_if(has & (length > skip_px)).alias("n_skipped"), F.count_if(fits & on & (length > max_px)).alias("n_capped"),
+        *[F.count_if(in_band).alias(f"n {name}") for name, in_band in _bands(length).items()], *[F.sum(F.when(in_band, _writes(length)).otherwise(0)).alias(f"writes {name}") for name, in_band in _bands(length).items()],
+    ]
+
+
 def pixel_lengths(df: DataFrame, width: int, lbox: Column | float, max_px: float = 8.0, skip_px: float = 16.0) -> DataFrame:
     """Adds h_px, the smoothing length in pixels: rows without one or above skip_px go, the rest is cut to max_px or 1 % of the width."""
     h = F.col("h") * width / lbox
@@ -98,15 +117,22 @@ STRIP_ROWS, LEAST_ROWS, PART_ROWS = 64, 16, 1 << 22
 KERNEL_ROWS, KERNEL_VALUES = 1 << 17, 1 << 16
 
 
-def sph_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), max_px: float = 8.0, skip_px: float = 16.0, part_rows: int = PART_ROWS) -> DataFrame:
+def sph_map(df: DataFrame, width: int, height: int, centre: tuple[float, float], lbox: Column | float, keys: tuple[str, ...] = (), max_px: float = 8.0, skip_px: float = 16.0, part_rows: int = PART_ROWS, seen: Observation | None = None) -> DataFrame:
     """(keys, iy, ix, rho): column density with the projected spline kernel; df has x, y and h.
 
     Each image is cut into strips of rows. Particles are dealt out by strip, with copies for those whose kernel reaches into
     the next one, and a strip is summed as an array by one task, so pixels have one owner and are not shuffled. Only where a strip
     has more than part_rows particles is it dealt to several tasks; then their pixels are summed by pixel. The particles are
-    written once, as they are counted by strip first.
+    written once, as they are counted by strip first. seen: gets the counters of that pass, among them what is deposited, outside
+    the image, without a length, skipped for a long one or cut to the longest (bands_seen reads those by band).
     """
     lbox = F.lit(float(lbox)) if not isinstance(lbox, Column) else lbox
+    if seen is not None:
+        length = F.coalesce(F.col("h"), F.lit(0.0)) * width / lbox
+        most = max(max_px, 0.01 * width)
+        far = F.ceil(2 * F.least(length, F.lit(most))) + 1
+        px, py = to_pixel(F.col("x"), centre[0], lbox, width), to_pixel(F.col("y"), centre[1], lbox, height)
+        df = df.observe(seen, *_counted((px > -far) & (px < width + far) & (py > -far) & (py < height + far), length, most, skip_px))
     norm = F.lit(float(width)) * float(height) / (lbox * lbox)
     p = pixel_lengths(df, width, lbox, max_px, skip_px).select(*keys, to_pixel(F.col("x"), centre[0], lbox, width).alias("px"), to_pixel(F.col("y"), centre[1], lbox, height).alias("py"), "h_px", norm.alias("__n"))
     # Particles that reach no pixel go first.
@@ -224,9 +250,25 @@ def sph_grid(df: DataFrame, n: int, centre: tuple[float, float, float], lbox: fl
     return p.groupBy("iz", "iy", "ix").agg(F.sum(spline_3d(F.col("u")) / (F.col("h_px") * F.col("h_px") * F.col("h_px"))).alias("rho"))
 
 
+def _bands(h: Column) -> dict[str, Column]:
+    """Bands of lengths in pixels; each length is in one."""
+    return {"zero": h <= 0, "below 2": (h > 0) & (h < 2), "2 to 8": (h >= 2) & (h < 8), "8 to 16": (h >= 8) & (h <= 16), "above 16": h > 16}
+
+
+def _writes(h: Column) -> Column:
+    """Pixels that a kernel of this length writes."""
+    side = 2 * F.ceil(2 * h) + 1
+    return F.when(h > 0, side * side).otherwise(0).cast("long")
+
+
 def h_bands(df: DataFrame, width: int, lbox: float) -> DataFrame:
     """(band, n, pixel_writes): how many smoothing lengths are zero, below 2, to 8, to 16 and above 16 pixels, and the pixels they write."""
     h = F.coalesce(F.col("h"), F.lit(0.0)) * width / lbox
-    band = F.when(h <= 0, "zero").when(h < 2, "below 2").when(h < 8, "2 to 8").when(h <= 16, "8 to 16").otherwise("above 16")
-    side = 2 * F.ceil(2 * h) + 1
-    return df.select(band.alias("band"), F.when(h > 0, side * side).otherwise(0).cast("long").alias("w")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("pixel_writes"))
+    band = F.coalesce(*[F.when(inside, name) for name, inside in _bands(h).items()])
+    return df.select(band.alias("band"), _writes(h).alias("w")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("pixel_writes"))
+
+
+def bands_seen(counted: dict[str, int]) -> list[tuple[str, int, int]]:
+    """The bands of h_bands from the counters of a kernel deposit; bands without a length are left out."""
+    names = [k[2:] for k in counted if k.startswith("n ")]
+    return [(b, counted[f"n {b}"], counted[f"writes {b}"]) for b in names if counted[f"n {b}"]]

@@ -454,6 +454,11 @@ ORACLE_SQL = {
     "kernel_table_proj": _table(2.0, _projected("(u*u)")),
     "kernel_cumulative": _table(2.0, f"(CASE WHEN u < 1 THEN u - 5e-1*u*u*u + 1875e-4*u*u*u*u WHEN u < 2 THEN 6875e-4 + 2*u - 15e-1*u*u + 5e-1*u*u*u - u*u*u*u/16 - 9375e-4 ELSE 75e-2 END) / {PI}"),
     "h_band_histogram": f"WITH {WITH_H}, b AS (SELECT h * 64 AS px FROM lengths) SELECT CASE WHEN px <= 0 THEN 'zero' WHEN px < 2 THEN 'below 2' WHEN px < 8 THEN '2 to 8' WHEN px <= 16 THEN '8 to 16' ELSE 'above 16' END AS band, count(*) AS n, CAST(sum(CASE WHEN px > 0 THEN pow(2 * ceil(2 * px) + 1, 2) ELSE 0 END) AS BIGINT) AS pixel_writes FROM b GROUP BY ALL",
+    "deposit_counters": f"""WITH {LI}, p AS (SELECT (x - 5e-1) * 768 + 192 AS px, (y - 5e-1) * 768 + 192 AS py, CASE WHEN ptype = 0 THEN 0 ELSE ptype * 4e-3 * 768 END AS hp FROM particles_li),
+q AS (SELECT *, greatest(-px, px - 384, -py, py - 384) < ceil(2 * least(hp, 8e0)) + 1 AS near FROM p)
+SELECT count(*) AS n_particles, CAST(count_if(near AND hp > 0 AND hp <= 16) AS BIGINT) AS n_deposited, CAST(count_if(NOT near AND hp > 0 AND hp <= 16) AS BIGINT) AS n_outside, CAST(count_if(hp = 0) AS BIGINT) AS n_without,
+CAST(count_if(hp > 16) AS BIGINT) AS n_skipped, CAST(count_if(near AND hp > 8 AND hp <= 16) AS BIGINT) AS n_capped FROM q""",
+    "arrivals_locked_levels": f"WITH {LI}, s AS (SELECT * FROM particles_li WHERE ptype = 3), {_cic('img', 's', 64)}, f AS (SELECT 0 AS frame, rho FROM img), {_levels('f', 'frame')} SELECT ptype AS snapshot, 3 AS first, round(vmin, 6) AS vmin, round(vmax, 6) AS vmax FROM (SELECT DISTINCT ptype FROM particles_li), lv",
     "sph_line_item_frames": f"""WITH {LI}, z AS (SELECT CAST(f.range AS INTEGER) AS frame, pow(5e-1, f.range) AS lbox, x, y, (1 + ptype % 2) * 8e-4 AS h FROM particles_li, range(2) f),
 p AS (SELECT frame, (x - 5e-1) * 768 / lbox + 384 AS px, (y - 5e-1) * 768 / lbox + 384 AS py, h * 768 / lbox AS hp FROM z),
 q AS (SELECT frame, CAST(trunc(py) + b.range AS INTEGER) AS iy, CAST(trunc(px) + a.range AS INTEGER) AS ix, px, py, hp FROM p JOIN range(-6, 7) a ON abs(a.range) <= ceil(2 * hp) JOIN range(-6, 7) b ON abs(b.range) <= ceil(2 * hp)),

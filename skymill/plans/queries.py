@@ -6,7 +6,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RenderConfig, parse_arguments, unit_axis
@@ -22,6 +22,7 @@ from ..sources.files import locate
 from ..sources.hdf5 import read_cosmology
 from ..sources.snapshots import read_header, read_lengths, read_particles, snapshot_list, write_lengths
 from ..staging import folder, staged
+from ..streaming.locked import run_arrivals
 from .render import finish, gray_pixels, load, probed_levels, sequence_particles
 
 MID = (0.5, 0.5, 0.5)
@@ -244,6 +245,27 @@ def h_band_histogram(spark, d):
     return deposit.h_bands(_with_h(spark, d), SIDE, 1.0)
 
 
+def deposit_counters(spark, d):
+    """What a kernel deposit of all line items counts as it runs: half of the box in the image, lengths from none to 18 pixels."""
+    seen = Observation()
+    p = particles_li(spark, d).withColumn("h", F.nullif(F.col("ptype"), F.lit(0)) * F.lit(4e-3))
+    deposit.sph_map(p, 384, 384, MID[:2], 0.5, seen=seen)
+    return spark.createDataFrame([tuple(seen.get[k] for k in COUNTERS)], ", ".join(f"{k} long" for k in COUNTERS))
+
+
+COUNTERS = ("n_particles", "n_deposited", "n_outside", "n_without", "n_skipped", "n_capped")
+
+
+def arrivals_locked_levels(spark, d):
+    """Line items of each type as a snapshot, in two runs of the streams: types 3 and 5 come first, the others late."""
+    store, p = folder(spark), particles_li(spark, d).withColumn("snapshot", F.col("ptype"))
+    cfg = RenderConfig(lbox=1.0, width=SIDE, height=SIDE, mask=-1)
+    for come in (F.col("snapshot").isin(3, 5), ~F.col("snapshot").isin(3, 5)):
+        p.filter(come).write.partitionBy("snapshot").mode("append").parquet(f"{store}/in")
+        held = run_arrivals(spark.readStream.schema(p.schema).parquet(f"{store}/in"), cfg, 1.0, f"{store}/state")
+    return _round(held, 6, "vmin", "vmax")
+
+
 def sph_density_map(spark, d):
     return _image(deposit.sph_map(_with_h(spark, d), SIDE, SIDE, MID[:2], 1.0))
 
@@ -572,7 +594,7 @@ QUERIES = {
     for f in (
         cic_density_map, type_mask_select, view_cube_select, view_cube_clustered, type_counts_rollup, type_boundaries, missing_types, bbox, wrap_positions, velocity_extrapolate, id_match_left, id_match_count, hermite_two_snap, hermite_frames,
         catmull_three_snap, catmull_four_snap, rotate_frames, zoom_frames, cic_map_compat, cic_3d_grid, grid_box_mean, grid_smoothing_length, knn_smoothing_length, leaf_smoothing_length, leaf_first_splits, radius_neighbours, kde_density,
-        nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, h_band_histogram, sph_density_map, sph_line_item_frames, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
+        nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, h_band_histogram, deposit_counters, arrivals_locked_levels, sph_density_map, sph_line_item_frames, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
         inpaint_full, normalise_log, normalise_linear, palette_lookup_magma, composite_rgba, render_png, slab_histogram, slab_splits, slab_assign,
         global_levels, full_render, gadget_particles, hdf5_particles, hdf5_types_and_columns, gadget_headers, hdf5_headers, snapshot_render_steps, sequence_hermite, sequence_bucketed, sequence_probe_levels,
         pnm_pixels, gray_picture, pixel_lengths, box_distances, sorted_ids,

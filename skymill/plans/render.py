@@ -6,7 +6,7 @@ import warnings
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RenderConfig, types_of
@@ -72,16 +72,16 @@ def particles_in_frames(spark: SparkSession, cfg: RenderConfig, box: float, open
     return df
 
 
-def density(df: DataFrame, cfg: RenderConfig) -> DataFrame:
-    """(frame, iy, ix, rho) of all frames."""
+def density(df: DataFrame, cfg: RenderConfig, seen: Observation | None = None) -> DataFrame:
+    """(frame, iy, ix, rho) of all frames. seen: gets the deposit's counters, over all frames, from the pass that deposits."""
     centre = (cfg.xc, cfg.yc, cfg.zc)
     if cfg.kernel_smoothing:
         df = with_lengths(df, cfg)
     if cfg.rot_dangle:
         df = frames.rotate(df, centre, cfg.rot_axis)
     if cfg.kernel_smoothing:
-        return deposit.sph_map(df, cfg.width, cfg.height, centre[:2], F.col("lbox"), ("frame",), cfg.max_h_deposit_px, cfg.max_h_skip_px)
-    return deposit.cic_map(df, cfg.width, cfg.height, centre[:2], F.col("lbox"), ("frame",), cfg.compat)
+        return deposit.sph_map(df, cfg.width, cfg.height, centre[:2], F.col("lbox"), ("frame",), cfg.max_h_deposit_px, cfg.max_h_skip_px, seen=seen)
+    return deposit.cic_map(df, cfg.width, cfg.height, centre[:2], F.col("lbox"), ("frame",), cfg.compat, seen)
 
 
 def with_lengths(df: DataFrame, cfg: RenderConfig) -> DataFrame:
@@ -131,19 +131,21 @@ def empty_colour(spark: SparkSession, cfg: RenderConfig) -> tuple[int, int, int,
     return row["r"], row["g"], row["b"], row["a"]
 
 
-def render(spark: SparkSession, cfg: RenderConfig) -> DataFrame:
-    """(frame, image, file) of every frame of a render."""
+def render(spark: SparkSession, cfg: RenderConfig, seen: Observation | None = None) -> DataFrame:
+    """(frame, image, file) of every frame of a render. seen: see density; filled by the time the first image is there."""
     df, cfg, _ = load(spark, cfg)
-    images = render_images(finish(density(df, cfg), cfg), cfg.width, cfg.height, empty_colour(spark, cfg))
+    images = render_images(finish(density(df, cfg, seen), cfg), cfg.width, cfg.height, empty_colour(spark, cfg))
     return name_frames(images, cfg.output or "frame")
 
 
-def render_to_files(spark: SparkSession, cfg: RenderConfig) -> None:
-    """Render and write every frame's file. ValueError if no particle is selected."""
-    images = render(spark, cfg)
+def render_to_files(spark: SparkSession, cfg: RenderConfig) -> dict[str, int]:
+    """Render and write every frame's file; returns the deposit's counters. ValueError if no particle is selected."""
+    seen = Observation()
+    images = render(spark, cfg, seen)
     if not images.take(1):
         raise ValueError("no particle is selected")
     images.select("file", "image").write.format("skymill_images").mode("append").save()
+    return seen.get
 
 
 #: The snapshots of an interval in order: its ends a and b, the one before and the one behind.
