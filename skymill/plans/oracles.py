@@ -514,6 +514,10 @@ SELECT round(max(CASE WHEN i = floor(5e-2 * (k - 1)) THEN vmin END), 6) AS vmin,
     "snap_dt": "WITH s AS (SELECT 5e-1 + (range + 5e-1) * 2e-6 AS a FROM range(10000)), d AS (SELECT sum(2e-6 / (a * sqrt(309e-3 / (a*a*a) + 691e-3) * (6774e-2 / 3085677581e10))) AS dt FROM s) SELECT round(dt * 6774e-4 / 3085677581e10, 9) AS snap_dt, round(dt / 315576e11, 6) AS dt_gyr FROM d",
 }
 
+# The same results, by table functions.
+ORACLE_SQL["sql_kernel_footprints"] = ORACLE_SQL["sph_line_item_frames"]
+ORACLE_SQL["sql_cell_stencils"] = ORACLE_SQL["cic_density_map"]
+
 #: SQL of queries that read no given table; tests use it, the entry does not.
 FIXED_SQL = {name: ORACLE_SQL.pop(name) for name in (
     "kernel_table_3d", "kernel_table_proj", "kernel_cumulative", "kernel_lookup", "opacity_transfer", "palette_generated", "custom_palette", "palette_file", "snapshot_roles", "global_frame_numbers", "snap_dt", "length_file", "snapshot_list_file", "settings", "cosmology_header",

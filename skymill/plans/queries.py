@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RenderConfig, parse_arguments, unit_axis
-from ..functions import colour, cosmology, kernels, sql
+from ..functions import colour, cosmology, kernels, sql, tables
 from ..operators import deposit, frames, interpolate, levels, neighbours, octree, select, slabs, smoothing, tree
 from ..schema import AXES, minimum_image, particles_emb, particles_evt, particles_li, snap_a, snap_b, snap_n, snap_p, snapshots, wrap_position
 from ..sinks.bucketed import write_bucketed
@@ -280,6 +281,29 @@ def sph_line_item_frames(spark, d):
     return _round(blocks.agg(mass.alias("mass")), 4, "mass").filter("mass > 0").select("frame", "iy", "ix", "mass")
 
 
+def sql_kernel_footprints(spark, d):
+    """As sph_line_item_frames, but written in SQL with a table function."""
+    tables.register(spark)
+    view = f"line_items_{uuid.uuid4().hex}"
+    particles_li(spark, d).createOrReplaceTempView(view)
+    return spark.sql(f"""
+        WITH z AS (SELECT frame, pow(0.5D, frame) AS lbox, x, y, (ptype % 2 + 1) * 8e-4D AS h, monotonically_increasing_id() % 64 AS part FROM {view} CROSS JOIN (SELECT explode(array(0, 1)) AS frame)),
+        p AS (SELECT frame, part, (x - 0.5D) * 768 / lbox + 384 AS px, (y - 0.5D) * 768 / lbox + 384 AS py, h * 768 / lbox AS h_px, 768D * 768D / (lbox * lbox) AS weight, lbox FROM z),
+        f AS (SELECT * FROM kernel_footprints(TABLE(SELECT * FROM p WHERE px BETWEEN -8 AND 776 AND py BETWEEN -8 AND 776) PARTITION BY part) WHERE iy BETWEEN 0 AND 767 AND ix BETWEEN 0 AND 767)
+        SELECT * FROM (SELECT frame, CAST(floor(iy / 8) AS INT) AS iy, CAST(floor(ix / 8) AS INT) AS ix, round(sum(rho) / (768 * 768) * pow(0.25D, frame), 4) AS mass FROM f GROUP BY 1, 2, 3) WHERE mass > 0""")
+
+
+def sql_cell_stencils(spark, d):
+    """As cic_density_map of line items, but written in SQL with a table function."""
+    tables.register(spark)
+    view = f"line_items_{uuid.uuid4().hex}"
+    particles_li(spark, d).createOrReplaceTempView(view)
+    return spark.sql(f"""
+        WITH p AS (SELECT 0 AS frame, monotonically_increasing_id() % 64 AS part, x * {SIDE} AS px, y * {SIDE} AS py, {SIDE * SIDE}D AS weight FROM {view}),
+        f AS (SELECT * FROM cell_stencils(TABLE(p) PARTITION BY part) WHERE iy BETWEEN 0 AND {SIDE - 1} AND ix BETWEEN 0 AND {SIDE - 1})
+        SELECT * FROM (SELECT iy, ix, round(sum(rho), 4) AS rho FROM f GROUP BY iy, ix) WHERE rho > 0""")
+
+
 def sph_3d_map(spark, d):
     return _round(deposit.sph_grid(_with_h(spark, d), 24, MID, 1.0), 4, "rho").filter("rho > 0")
 
@@ -594,7 +618,7 @@ QUERIES = {
     for f in (
         cic_density_map, type_mask_select, view_cube_select, view_cube_clustered, type_counts_rollup, type_boundaries, missing_types, bbox, wrap_positions, velocity_extrapolate, id_match_left, id_match_count, hermite_two_snap, hermite_frames,
         catmull_three_snap, catmull_four_snap, rotate_frames, zoom_frames, cic_map_compat, cic_3d_grid, grid_box_mean, grid_smoothing_length, knn_smoothing_length, leaf_smoothing_length, leaf_first_splits, radius_neighbours, kde_density,
-        nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, h_band_histogram, deposit_counters, arrivals_locked_levels, sph_density_map, sph_line_item_frames, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
+        nth_neighbour, octant_counts, opened_cells, octree_nodes, binary_tree_nodes, octree_walks, h_band_histogram, deposit_counters, arrivals_locked_levels, sph_density_map, sph_line_item_frames, sql_kernel_footprints, sql_cell_stencils, sph_3d_map, image_range_report, auto_levels, locked_levels_frames, noise_floor, inpaint_one_pass,
         inpaint_full, normalise_log, normalise_linear, palette_lookup_magma, composite_rgba, render_png, slab_histogram, slab_splits, slab_assign,
         global_levels, full_render, gadget_particles, hdf5_particles, hdf5_types_and_columns, gadget_headers, hdf5_headers, snapshot_render_steps, sequence_hermite, sequence_bucketed, sequence_probe_levels,
         pnm_pixels, gray_picture, pixel_lengths, box_distances, sorted_ids,
