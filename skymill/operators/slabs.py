@@ -36,9 +36,16 @@ def slab_splits(histogram: DataFrame, slabs: int, low: float, span: float, bins:
 
 
 def assign_slabs(df: DataFrame, splits: DataFrame) -> DataFrame:
-    """df and slab: the first slab that ends above x; what lies beyond all goes to the last. One row for each slab is collected."""
-    ends = [r["hi"] for r in splits.orderBy("slab").collect()]
-    slab = F.lit(len(ends) - 1)
-    for i in range(len(ends) - 2, -1, -1):
-        slab = F.when(F.col("x") < ends[i], i).otherwise(slab)
-    return df.withColumn("slab", slab.cast("int"))
+    """df and slab: the first slab that ends above x; what lies beyond all, or nowhere, goes to the last. One row for each slab is collected.
+
+    The slab is found by halving the list of ends, so the expression does not grow with the slabs.
+    """
+    ends = [r["hi"] for r in splits.orderBy("slab").collect()][:-1]
+    last = len(ends)
+    if not last:
+        return df.withColumn("slab", F.lit(0))
+    steps = [1 << k for k in reversed(range(last.bit_length()))]
+    held, x = F.lit(ends), F.col("x")
+    # How many ends lie at or below x.
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda n, step: F.when(F.get(held, n + step - 1) <= x, n + step).otherwise(n))
+    return df.withColumn("slab", F.when(x.isNull(), last).otherwise(below).cast("int"))

@@ -513,6 +513,16 @@ def test_slabs(spark):
     assert counts == [4, 4]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 3000])
+def test_many_slabs(spark, n):
+    """Ends belong to the next slab; below all is the first, beyond all or nowhere the last."""
+    ends = np.arange(1, n + 1) / n
+    splits = spark.createDataFrame([(i, float(e)) for i, e in enumerate(ends)], "slab int, hi double")
+    xs = [-1.0, 0.0, 2.0, float("nan"), None, *np.random.default_rng(n).random(200).tolist(), *ends[:: max(1, n // 50)].tolist()]
+    got = {(r.i, r.slab) for r in slabs.assign_slabs(spark.createDataFrame(list(enumerate(xs)), "i int, x double"), splits).collect()}
+    assert got == {(i, n - 1 if x is None or x != x else min(int(np.searchsorted(ends, x, "right")), n - 1)) for i, x in enumerate(xs)}
+
+
 def test_interval(spark):
     got = cosmology.snapshot_interval(spark, 0.5, 0.52, h=0.6774).first()
     assert math.isclose(got.snap_dt, 2.256318e-4, rel_tol=1e-6) and math.isclose(got.dt_gyr, 0.325688, rel_tol=1e-5)
