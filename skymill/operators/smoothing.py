@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..schema import AXES
 from ..staging import staged
 from .deposit import cic_grid
-from .tree import SUBTREE_ROWS, leaves, nearest
+from .tree import SUBTREE_ROWS, at_places, leaves, nearest_places
 
 #: The box around all particles is widened by this on each side before it is cut into a grid.
 PAD = 1e-4
@@ -149,11 +149,15 @@ def _dense_lengths(df: DataFrame, n: int, num_ngb: int, eta: float, min_frac: fl
     return found.withColumn("h", F.when(F.col("h") >= 0, F.col("h")))
 
 
-def knn_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, max_voxels: float = 8.0, group: str | None = None) -> DataFrame:
-    """df (with id) and h = eta times the distance to the num_ngb-th neighbour, the particle itself counted; null if there are fewer."""
-    found, keys = nearest(df, num_ngb, group=group), ["id"] if group is None else ["id", group]
+def place_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, max_voxels: float = 8.0, group: str | None = None) -> DataFrame:
+    """(grp, x, y, z, copies, h): every place of the particles once, with how many lie there and their length by knn_lengths. No ids are needed."""
     h = F.least(eta * F.sqrt("r2"), F.lit(max_voxels * lbox / width))
-    return df.join(found.select(*keys, F.when(F.col("n") >= num_ngb, h).alias("h")), keys)
+    return nearest_places(df, num_ngb, group=group).select("grp", *AXES, "copies", F.when(F.col("n") >= num_ngb, h).alias("h"))
+
+
+def knn_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, max_voxels: float = 8.0, group: str | None = None) -> DataFrame:
+    """df and h = eta times the distance to the num_ngb-th neighbour, the particle itself counted; null if there are fewer."""
+    return at_places(df, place_lengths(df, lbox, width, num_ngb, eta, max_voxels, group).drop("copies"), group)
 
 
 def leaf_lengths(df: DataFrame, lbox: float, width: int, num_ngb: int = 32, eta: float = 1.2, leaf_size: int = 32, max_voxels: float = 8.0, subtree_rows: int = SUBTREE_ROWS, group: str | None = None) -> DataFrame:

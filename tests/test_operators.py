@@ -586,3 +586,20 @@ def test_uniform_numbers(spark):
     draw = spark.range(0, 2000, 1, 2).select(sql.uniform(7).alias("u"))
     a = [r.u for r in draw.collect()]
     assert a == [r.u for r in draw.collect()] and all(0 <= u < 1 for u in a) and abs(np.mean(a) - 0.5) < 0.03
+
+
+def test_nearest_across_blocks_counts_copies(spark):
+    """Many copies of few places, a sparse halo, and blocks smaller than a distance to the k-th; points are never shuffled leaf by leaf."""
+    rng = np.random.default_rng(21)
+    few = rng.random((40, 3))
+    p = np.concatenate([few[rng.integers(0, 40, 600)], rng.random((300, 3)), 20 * rng.normal(size=(30, 3)), np.full((200, 3), -0.0)])
+    want = kth(p, p, 7)
+    df = points(spark, p)
+    got = {(r.x, r.y, r.z): r for r in tree.nearest_places(df, 7, block_rows=25).collect()}
+    places, where, n = np.unique(p + 0.0, axis=0, return_inverse=True, return_counts=True)
+    assert len(got) == len(places) and all(got[tuple(q)].copies == m for q, m in zip(places.tolist(), n.tolist(), strict=True))
+    assert all(got[tuple(p[i] + 0.0)].n == 7 and math.isclose(got[tuple(p[i] + 0.0)].r2, want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(p)))
+    by_id = {r.id: r.r2 for r in tree.nearest(df, 7, subtree_rows=25).collect()}
+    assert all(math.isclose(by_id[i], want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(p)))
+    odd = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (1, 0, float("nan"), 0.0, 0.0), (2, 0, 1.0, None, 0.0), (3, 0, 0.0, 3.0, 4.0)], XYZ)
+    assert {r.id: (r.n, r.r2) for r in tree.nearest(odd, 2).collect()} == {0: (2, 25.0), 1: (0, None), 2: (0, None), 3: (2, 25.0)}
