@@ -603,3 +603,11 @@ def test_nearest_across_blocks_counts_copies(spark):
     assert all(math.isclose(by_id[i], want[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(len(p)))
     odd = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (1, 0, float("nan"), 0.0, 0.0), (2, 0, 1.0, None, 0.0), (3, 0, 0.0, 3.0, 4.0)], XYZ)
     assert {r.id: (r.n, r.r2) for r in tree.nearest(odd, 2).collect()} == {0: (2, 25.0), 1: (0, None), 2: (0, None), 3: (2, 25.0)}
+
+
+def test_nth_neighbour_of_places(spark):
+    """Rows without ids; copies are neighbours of each other."""
+    df = spark.createDataFrame([(0.0, 0.0, 0.0)] * 5 + [(1.0, 0.0, 0.0), (3.0, 0.0, 0.0)], "x double, y double, z double")
+    got = {r.x: (r.copies, r.distance) for r in neighbours.nth_neighbour_places(df, 5).collect()}
+    assert got == {0.0: (5, 1.0), 1.0: (1, 1.0), 3.0: (1, 3.0)}
+    assert {r.distance for r in neighbours.nth_neighbour_places(df, 7).collect()} == {-1.0}
