@@ -611,3 +611,29 @@ def test_nth_neighbour_of_places(spark):
     got = {r.x: (r.copies, r.distance) for r in neighbours.nth_neighbour_places(df, 5).collect()}
     assert got == {0.0: (5, 1.0), 1.0: (1, 1.0), 3.0: (1, 3.0)}
     assert {r.distance for r in neighbours.nth_neighbour_places(df, 7).collect()} == {-1.0}
+
+
+def test_radius_in_blocks_that_stream(spark, monkeypatch):
+    """More points than are given to every task: many blocks, copies, distant points, separate queries."""
+    monkeypatch.setattr(tree, "BROADCAST_POINTS", 0)
+    rng = np.random.default_rng(23)
+    p = np.concatenate([np.full((60, 3), 0.5), rng.random((250, 3)), 5 * rng.normal(size=(20, 3)), 0.2 + 0.01 * rng.normal(size=(90, 3))])
+    q = np.concatenate([rng.random((80, 3)), [[9.0, 9, 9]], p[:2]])
+
+    def block(ids, a, others, b, w, d2):
+        row, column = np.nonzero(d2 <= 0.04)
+        return {"id": ids[row], "other": others[column]}
+
+    for asked, x in ((points(spark, q), q), (None, p)):
+        df = points(spark, p)
+        got = sorted((r.id, r.other) for r in tree.compare_within(asked or df, df, 0.2, block, "id long, other long", leaf_rows=8, block_rows=40).collect())
+        assert got == list(zip(*map(np.ndarray.tolist, np.nonzero(((x[:, None] - p[None]) ** 2).sum(2) <= 0.04)), strict=True))
+
+
+def test_density_compares_copies_once(spark, monkeypatch):
+    """1,000 copies of each of 30 places: as many comparisons as for the places alone, and a row for each id."""
+    monkeypatch.setattr(tree, "BROADCAST_POINTS", 0)
+    p = np.random.default_rng(24).random((30, 3))
+    got = {r.id: r.density for r in neighbours.kernel_density(points(spark, np.tile(p, (1000, 1))), 0.4).collect()}
+    one = {r.id: r.density for r in neighbours.kernel_density(points(spark, p), 0.4).collect()}
+    assert len(got) == 30000 and all(math.isclose(v, 1000 * one[i % 30], rel_tol=1e-9) for i, v in got.items())
