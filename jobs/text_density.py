@@ -28,7 +28,8 @@ from skymill.operators.levels import auto_levels
 from skymill.sinks.images import ImageSink, render_images
 
 DEFAULTS = {"text": "text", "lang": "lang", "width": 64, "height": 64, "decades": 6.0, "low": 0.1, "high": 1.0, "files_per_batch": 1000, "pictures": False}
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Letters one by one as far as Latin-1 goes, which Java looks up in a table; ranges are compared one after the other.
+LETTERS = "".join(c for c in map(chr, range(0x100)) if (c.isalpha() and c.isascii()) or (c >= "À" and c not in "×÷")) + "Ā-ɏ"
 CELLS = "batch long, lang string, iy int, ix int, rho double"
 IMAGES = "lang string, iy int, ix int, rho double, shade int, upto long"
 
@@ -36,10 +37,13 @@ IMAGES = "lang string, iy int, ix int, rho double, shade int, upto long"
 def as_particles(docs: DataFrame, s: dict) -> DataFrame:
     """(lang, x, y) of every document, in a unit square whose edges lie in the middle of the outermost pixels, so that no document is cut off."""
     t: Column = F.coalesce(F.col(f"`{s['text']}`"), F.lit(""))
-    n = F.length("t")
+    lang = F.coalesce(F.nullif(F.col(f"`{s['lang']}`").cast("string"), F.lit("")), F.lit("none"))
+    # Rows of a generator, since filters on x and y would otherwise go below and count each text's letters once more.
+    counts = F.struct(F.length(t).alias("n"), (F.length(t) - F.length(F.regexp_replace(t, f"[{LETTERS}]+", ""))).alias("letters"))
+    named = docs.select(lang.alias("lang"), F.inline(F.array(counts)))
+    n = F.col("n")
     x = F.least(F.log10((n + 1).cast("double")) / s["decades"], F.lit(1.0))
-    y = F.when(n > 0, F.length(F.regexp_replace("t", f"[^{LETTERS}]", "")) / n).otherwise(0.0)
-    named = docs.select(F.coalesce(F.nullif(F.col(f"`{s['lang']}`").cast("string"), F.lit("")), F.lit("none")).alias("lang"), t.alias("t"))
+    y = F.when(n > 0, F.col("letters") / n).otherwise(0.0)
     inner = [p * (1 - 1 / k) + 0.5 / k for p, k in ((x, s["width"]), (y, s["height"]))]
     return named.select("lang", inner[0].alias("x"), inner[1].alias("y"))
 

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from skymill.operators.deposit import cic_map
 from jobs import common, registered, text_density, zoom_archive
 from skymill.sinks.images import decode_png
 
@@ -211,3 +212,13 @@ def test_command_line(monkeypatch, tmp_path):
 def test_jobs_stand_alone():
     for file in Path(common.__file__).parent.glob("*.py"):
         assert "llm" not in file.read_text() and "corpus_pipeline" not in file.read_text()
+
+
+def test_letters_are_counted_once_for_each_text(spark):
+    """Filters on a particle's place do not repeat the count; letters are those of the ranges, one character each."""
+    docs = spark.createDataFrame([("aÀ×÷ɏɐ Ωz9", "en"), ("", "en"), (None, None), ("!!", "")], "text string, lang string")
+    particles = text_density.as_particles(docs, text_density.DEFAULTS)
+    plan = cic_map(particles, 64, 64, (0.5, 0.5), 1.0, ("lang",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    got = sorted((r.lang, round((r.y - 0.5 / 64) / (1 - 1 / 64), 9)) for r in particles.collect())
+    assert got == [("en", 0.0), ("en", 0.4), ("none", 0.0), ("none", 0.0)]
