@@ -40,7 +40,7 @@ MANY_LANGS = 64
 #: Longer runs without white space are drawn in parts.
 RUN_CHARS = 1000
 #: Bytes that a window labels, and bytes of context on either side; windows that are read side by side.
-WINDOW, MARGIN = 192, 16
+WINDOW, MARGIN = 320, 16
 READ_AT_ONCE = 1024
 UNITS, EMBED = 16, 12
 #: Windows of a training step, and their bytes.

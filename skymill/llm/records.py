@@ -79,7 +79,10 @@ def crc32c(parts: list[bytes]) -> np.ndarray:
     state = np.zeros(int(ends[-1]) if len(parts) else 0, np.uint32)
     columns = np.ascontiguousarray(data.reshape(-1, LANE).T)
     for column in columns:
-        state = table[(state ^ column) & 255] ^ (state >> 8)
+        low = state.astype(np.uint8)
+        low ^= column
+        state >>= np.uint32(8)
+        state ^= table.take(low)
     after = (np.repeat(ends, lanes) - 1 - np.arange(len(state))) * LANE
     state = _carry(state, after)
     joined = np.bitwise_xor.reduceat(state, ends - lanes) if len(parts) else state

@@ -70,7 +70,7 @@ class WordEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text."""
-        return b"".join([self[w] for w in text.encode().split()])
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
