@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import zlib
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,18 +159,55 @@ class Network:
             np.matmul(now, w[f"o{d}"], out=out[t, :m])
         return out
 
+    def read(self, data: np.ndarray, going: list[int], d: str, y: np.ndarray) -> None:
+        """Add to y (place, output, window) what run tells, for labelling alone.
+
+        The gates are written by e = exp(-2 a) in place of tanh(a), which takes numpy twice as long: z = 1 / (1 + e), 1 + tanh = 2 / (1 + e) and
+        tanh = 2 / (1 + e) - 1, where an e too large for a number is infinite and gives the limit. Factors are in the weights.
+        """
+        w = self.w
+        tz, tr, tc = (-2 * (w["e"] @ w[f"x{g}{d}"] + w[f"v{g}{d}"]) for g in "zrc")
+        uz, ur, uc = (k * w[f"u{g}{d}"] for g, k in (("z", -2), ("r", -2), ("c", -4)))
+        o = np.ascontiguousarray(w[f"o{d}"].T)
+        width, n = data.shape
+        h = np.zeros((n, UNITS), uz.dtype)
+        buffers = [np.empty_like(h) for _ in range(4)]
+        told = np.empty((self.outputs, n), uz.dtype)
+        with np.errstate(over="ignore"):
+            for t in range(width) if d == "f" else range(width - 1, -1, -1):
+                m, at = going[t], data[t, : going[t]]
+                x, z, r, c = (b[:m] for b in buffers)
+                now, out = h[:m], told[:, :m]
+                for gate, u, table in ((z, uz, tz), (r, ur, tr)):
+                    np.matmul(now, u, out=gate)
+                    gate += table.take(at, 0, x, "clip")
+                    np.exp(gate, out=gate)
+                    gate += 1
+                np.matmul(now, uc, out=c)
+                c /= r
+                c += tc.take(at, 0, x, "clip")
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                c -= now
+                c /= z
+                now += c
+                y[t, :, :m] += np.matmul(o, now.T, out=out)
+
     def window_scores(self, data: np.ndarray, going: list[int], inside: np.ndarray) -> np.ndarray:
         """For each window, log probabilities and probabilities of the outputs summed over the places inside (window, 2 * outputs)."""
-        y = self.run(data, going, "f")
-        y += self.run(data, going, "b")
-        y += self.w["bias"]
-        # Sums and maxima over a short last axis are slow; a product and a fold are not.
-        y -= reduce(np.maximum, [y[:, :, i] for i in range(y.shape[2])])[:, :, None]
+        # Windows are the last axis, so that sums and maxima over the outputs run along rows.
+        y = np.empty((data.shape[0], self.outputs, data.shape[1]), self.w["bias"].dtype)
+        y[:] = self.w["bias"][:, None]
+        for d in "fb":
+            self.read(data, going, d, y)
+        y -= y.max(1, keepdims=True)
         p = np.exp(y)
-        total = p @ np.ones((y.shape[2], 1), y.dtype)
+        total = p.sum(1, keepdims=True)
         p /= total
         y -= np.log(total)
-        return np.concatenate([np.einsum("tnk,tn->nk", x, inside) for x in (y, p)], axis=1)
+        return np.concatenate([np.einsum("tkn,tn->kn", x, inside) for x in (y, p)]).T
 
     def text_scores(self, texts: list[bytes]) -> np.ndarray:
         """For each text, log probabilities and probabilities of the outputs summed over all its bytes."""

@@ -63,6 +63,32 @@ def test_every_position_is_labelled(rows):
         assert np.allclose(net.text_scores([text.lower().encode()])[0], row, rtol=1e-4, atol=1e-3)
 
 
+def test_labelling_takes_exponentials_alone(monkeypatch):
+    """A tangent takes numpy twice as long as an exponential, and most of the time went into them: none is taken, and one exponential for each gate and unit."""
+    net, text = langid.Network.fresh(["a", "b", "c"]), b"some words " * 20
+    want, counted = net.text_scores([text]), []
+    exp = np.exp
+
+    def no_tangent(*_, **__):
+        raise AssertionError("a tangent in labelling")
+
+    monkeypatch.setattr(np, "tanh", no_tangent)
+    monkeypatch.setattr(np, "exp", lambda x, **k: (counted.append(np.size(x)), exp(x, **k))[1])
+    assert np.array_equal(net.text_scores([text]), want)
+    assert sum(counted) == len(text) * (2 * 3 * langid.UNITS + net.outputs)
+
+
+@pytest.mark.filterwarnings("error")
+def test_gates_beyond_the_range_of_an_exponential():
+    """Where exp(-2 a) is infinite or zero in single precision, gates have their limits, without a warning."""
+    net = langid.Network.fresh(["a", "b", "c", "d", "e"])
+    net.w["e"] *= 40
+    text = "Some words, 12 of them, and straße " * 12
+    most = max(np.abs(net.w["e"] @ net.w[f"x{g}{d}"]).max() for g in "zrc" for d in "fb")
+    assert 80 < most < 300
+    assert np.allclose(net.text_scores([text.lower().encode()])[0].reshape(2, -1), slow_text(net, text), rtol=2e-4, atol=1e-3)
+
+
 def test_languages_of_the_fixture(docs, rows):
     net = langid.fit(docs, steps=150)
     got = langid.identify(docs, net).collect()
