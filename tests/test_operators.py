@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from skymill.config import RenderConfig
 from skymill.functions import colour, cosmology, kernels, sql
 from skymill.operators import deposit, frames, interpolate, levels, neighbours, octree, select, slabs, smoothing, tree
+from skymill.plans import queries
 from skymill.schema import AXES, minimum_image, wrap_position
 
 XYZ = "id long, ptype int, x double, y double, z double"
@@ -631,6 +633,61 @@ def test_radius_in_blocks_that_stream(spark, monkeypatch):
         assert got == list(zip(*map(np.ndarray.tolist, np.nonzero(((x[:, None] - p[None]) ** 2).sum(2) <= 0.04)), strict=True))
 
 
+@pytest.mark.parametrize("shared", [0, 1 << 20])
+def test_pairs_with_rounded_distances(spark, monkeypatch, shared):
+    """Copies, halves, distant points; distances that repeat, and some too fine for a number of a pair."""
+    monkeypatch.setattr(tree, "BROADCAST_POINTS", shared)
+    rng = np.random.default_rng(27)
+    p = np.concatenate([np.full((60, 3), 0.5), rng.random((200, 3)), [[2.0, 0, 0], [2.25, 0.25, 0], [9.0, 9, 9]]])
+    q = np.concatenate([rng.random((40, 3)), p[:2], p[-3:]])
+    for asked, x, digits in ((None, p, 2), (points(spark, q), q, 12)):
+        d2 = ((x[:, None] - p[None]) ** 2).sum(2)
+        row, column = np.nonzero(d2 <= 0.16)
+        df = points(spark, p)
+        got = sorted((r.id, r.other, r.r2) for r in neighbours.radius_join(asked or df, df, 0.4, digits=digits).collect())
+        assert [r[:2] for r in got] == list(zip(row.tolist(), column.tolist(), strict=True))
+        assert np.allclose([r[2] for r in got], np.floor(d2[row, column] * 10.0**digits + 0.5) / 10.0**digits, rtol=0, atol=2e-12)
+        assert digits > 2 or {r[2] for r in got if r[:2] == (260, 261)} == {0.13}
+
+
+@pytest.mark.parametrize("room", [1 << 9, 1 << 12, 1 << 24])
+def test_pairs_are_arranged_piece_by_piece(monkeypatch, room):
+    """Room, or lists, for a few pieces only, and copies that fill it several times: every pair once; in order of distance where these repeat."""
+    monkeypatch.setattr(neighbours, "SORTED_PAIRS", room)
+    monkeypatch.setattr(neighbours, "OTHER_BITS", 10)
+    rng = np.random.default_rng(29)
+    for most in (20, 1 << 24):
+        code = rng.integers(0, most, (700, 900)).astype(float)
+        hit = rng.random(code.shape) < 0.4
+        hit[:300, :500] = True
+        hit[:, 850] = False
+        ids, others = 7000 + np.arange(700), 9000 + np.arange(900)
+        queries_of = [slice(0, 300), slice(300, 420), slice(420, 700)]
+        named = [ids[a] for a in queries_of]
+        pieces = [(named[i], others[o], *np.nonzero(hit[a, o]), code[a, o][hit[a, o]]) for o in (slice(0, 500), slice(500, 850), slice(850, 851), slice(851, 900)) for i, a in enumerate(queries_of)]
+        made = list(neighbours._by_distance(iter(pieces), 10.0))
+        got = np.stack([np.concatenate([m[c] for m in made]) for c in ("id", "other", "r2")])
+        row, column = np.nonzero(hit)
+        assert sorted(map(tuple, got.T.tolist())) == sorted(zip(ids[row].tolist(), others[column].tolist(), (code[row, column] / 10).tolist(), strict=True))
+        down = int((np.diff(got[2]) < 0).sum())
+        assert down < 0.1 * len(row) if most == 20 else down > 0.4 * len(row)
+
+
+def test_files_of_pairs_within_a_radius_are_small(spark, tmp_path):
+    """16 million pairs whose vectors lie apart: under 6 bytes each in Parquet, and all of them."""
+    v = (np.random.default_rng(28).random((4000, 3)) * 0.05).astype(np.float32)
+    emb = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 3), pa.int32()), pa.array(v.ravel()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(v))), "embedding": emb, "label": pa.array(np.zeros(len(v), np.int32))}), tmp_path / "embeddings.parquet")
+    queries.radius_neighbours(spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    rows = spark.read.parquet(f"{tmp_path}/pairs")
+    x = v.astype(float) + 0.5
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert rows.select("id", "other").distinct().count() == rows.count() == d2.size and d2.max() <= 0.01
+    assert math.isclose(rows.agg(F.sum("r2")).first()[0], float(np.round(d2, 8).sum()), rel_tol=1e-9)
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 6 * d2.size, size / d2.size
+
+
 def test_density_compares_copies_once(spark, monkeypatch):
     """1,000 copies of each of 30 places: as many comparisons as for the places alone, and a row for each id."""
     monkeypatch.setattr(tree, "BROADCAST_POINTS", 0)
